@@ -1 +1,8 @@
 """Retail point-of-sale analytics and table maintenance on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillworks.functions.dates import from_day, until_day
 from tillworks.functions.text import contains_text
 from tillworks.operators.paging import take_page
+from tillworks.session import settle
 
 SEE_ALL = "ver_historial_ventas_todas"
 SEE_OWN = "ver_historial_ventas_propias"
@@ -78,9 +79,9 @@ def sale_documents(
 ) -> DataFrame:
     """Sale, user name and its nested lines in line-id order; no lines gives an empty list.
 
-    A sale of at most ``part_lines`` lines is one document (part 0 of 1). A larger one comes in
-    several parts of bounded size, cut by line number, so no group is collected whole however
-    many lines one sale holds.
+    A sale of at most ``part_lines`` lines is one document, part 0. A larger one comes in several
+    parts of bounded size, whose numbers grow with the lines but may skip, so no group is collected
+    whole however many lines one sale holds.
     """
     if sale_ids is not None:
         wanted = sale_ids.select(F.col("id").alias("sale_id")).distinct()
@@ -88,20 +89,27 @@ def sale_documents(
         lines = lines.join(wanted, "sale_id", "left_semi")
     named = document_lines(lines, products)
     line = F.struct(*[c for c in named.columns if c != "sale_id"])
-    ordinary, large = _split_by_size(named, lines, part_lines)
-
-    whole = ordinary.groupBy("sale_id").agg(
-        F.lit(0).cast("long").alias("part"),
-        F.collect_list(F.struct("id", line.alias("line"))).alias("found"),
-    )
-    # grouped by a struct, which shares no partitioning with the join on sale_id
-    pieces = (
-        large.withColumn("piece", F.struct("sale_id", "part"))
-        .groupBy("piece")
-        .agg(F.collect_list(F.struct("id", line.alias("line"))).alias("found"))
-        .select("piece.sale_id", "piece.part", "found")
+    found = F.collect_list(F.struct("id", line.alias("line"))).alias("found")
+    large_ids = settle(
+        lines.groupBy("sale_id").agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > part_lines).select("sale_id"),
+        "large-sales",
     )
-    nested = whole.unionByName(pieces).select(
+    whole = F.lit(0).cast("long").alias("part")
+    if large_ids.isEmpty():
+        collected = named.groupBy("sale_id").agg(whole, found)
+    else:
+        ordinary = named.join(large_ids, "sale_id", "left_anti")
+        # grouped by a struct, which shares no partitioning with the join on sale_id
+        pieces = (
+            _numbered_parts(named.join(large_ids, "sale_id", "left_semi"), part_lines)
+            .withColumn("piece", F.struct("sale_id", "part"))
+            .groupBy("piece")
+            .agg(found)
+            .select("piece.sale_id", "piece.part", "found")
+        )
+        collected = ordinary.groupBy("sale_id").agg(whole, found).unionByName(pieces)
+    nested = collected.select(
         F.col("sale_id").alias("id"),
         "part",
         F.transform(F.sort_array("found"), lambda x: x["line"]).alias("lines"),
@@ -114,28 +122,20 @@ def sale_documents(
     )
 
 
-def _split_by_size(
-    named: DataFrame, lines: DataFrame, part_lines: int
-) -> tuple[DataFrame, DataFrame]:
-    """Lines of ordinary sales, and lines of large sales with a ``part`` of bounded size.
+def _numbered_parts(large: DataFrame, part_lines: int) -> DataFrame:
+    """Lines of large sales with a ``part`` of at most ``part_lines`` lines, in line order.
 
-    Parts are numbered without a window over the sale: lines of the large sales are laid out by
-    range of (sale, line), and each range partition numbers its own rows. The sort covers every
-    column, so a recomputed partition numbers its rows the same way.
+    Parts are numbered without a window over the sale: lines are laid out by range of (sale, line)
+    and each range partition numbers its own rows. monotonically_increasing_id grows by one within
+    a partition and jumps between partitions, so dividing it gives groups of bounded size. The
+    sort covers every column, so a recomputed partition numbers its rows the same way.
     """
-    counts = lines.groupBy("sale_id").agg(F.count(F.lit(1)).alias("n"))
-    large_ids = counts.filter(F.col("n") > part_lines).select("sale_id")
-    ordinary = named.join(large_ids, "sale_id", "left_anti")
-    rest = [c for c in named.columns if c not in ("sale_id", "id")]
-    # monotonically_increasing_id grows by one within a partition and jumps between partitions,
-    # so dividing it gives groups of at most part_lines rows that keep the line order
-    large = (
-        named.join(large_ids, "sale_id", "left_semi")
-        .repartitionByRange("sale_id", "id", *rest)
-        .sortWithinPartitions("sale_id", "id", *rest)
-        .withColumn("part", F.floor(F.monotonically_increasing_id() / F.lit(part_lines)))
+    order = ["sale_id", "id", *[c for c in large.columns if c not in ("sale_id", "id")]]
+    return (
+        large.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("part", F.expr(f"monotonically_increasing_id() div {int(part_lines)}"))
     )
-    return ordinary, large
 
 
 def visible_sales(

@@ -15,7 +15,7 @@ from tillworks.schemas import STOCK_IN, STOCK_OUT
 from tillworks.session import settle
 
 MANUAL_NOTE = "AJUSTE MANUAL: "
-HEAD_LINES = 20_000
+HEAD_LINES = 50_000
 SLOW_SHARE = 0.02
 
 
@@ -148,17 +148,17 @@ def allocate_stock(
     )
     accepted = [laid_out.filter(~F.col("open")).select("txn")]
     work, left = laid_out, laid_out.filter("open").count()
-    slow = False
+    slow, rounds = False, 0
     while left:
         bounded = _bounds(work, cut)
-        if slow or left <= head_lines:
+        if slow or (rounds and left <= head_lines):
             work = _replay_head(settle(bounded, "alloc-bounds"), head_lines)
         else:
             work = _decide(bounded)
         work = settle(work, "alloc-round")
         accepted.append(work.filter(~F.col("open")).select("txn"))
         before, left = left, work.filter("open").count()
-        slow = before - left < slow_share * before
+        slow, rounds = before - left < slow_share * before, rounds + 1
     taken = accepted[0]
     for more in accepted[1:]:
         taken = taken.unionByName(more)
