@@ -83,7 +83,8 @@ def shop(make):
             dict(zip(("id", "sold_at", "user_id", "client_name", "total", "payment_type",
                       "status"), s)) for s in sales]),
         "sale_lines": make("sale_lines", [
-            dict(zip(("id", "sale_id", "product_id", "quantity", "line_subtotal"), x))
+            dict(zip(("id", "sale_id", "product_id", "quantity", "line_subtotal"), x),
+                 unit_price=x[4] / x[3])
             for x in lines]),
     }
 
