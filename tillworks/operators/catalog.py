@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillworks.functions.text import contains_text, fold_ascii, yes_no
 from tillworks.operators.paging import take_page
 from tillworks.schemas import EXPORT_COLUMNS
+from tillworks.session import settle
 
 
 def list_categories(categories: DataFrame) -> DataFrame:
@@ -80,7 +81,9 @@ def list_products(
 ) -> DataFrame:
     """One page of enriched products by name; names are joined to the page only."""
     order = ["product_name", "id"]
-    rows = take_page(filter_products(products, **filters), order, page, limit)
+    rows = filter_products(products, **filters)
+    if limit:
+        rows = take_page(rows, order, page, limit)
     return enrich_products(rows, categories, suppliers).orderBy(*order)
 
 
@@ -118,7 +121,9 @@ def search_products(terms: DataFrame, products: DataFrame, limit: int = 5) -> Da
     )
     active = products.filter("active").select("id", "product_name", "barcode")
     code = F.when(F.col("term").rlike("^[0-9]{6,}$"), F.col("term"))
-    tried = asked.withColumn("barcode", code).join(active, "barcode", "left")
+    tried = settle(
+        asked.withColumn("barcode", code).join(active, "barcode", "left"), "search-terms"
+    )
     hits = tried.filter(F.col("id").isNotNull()).select(
         "term", F.lit(1).alias("position"), F.col("id").alias("product_id"),
         "product_name", "barcode",

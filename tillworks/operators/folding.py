@@ -1,11 +1,13 @@
-"""Ordered, stateful processing per key with bounded tasks.
+"""Ordered, stateful processing per key, side by side even for a key that holds much of the data.
 
 Some rules cannot be written as an aggregate or a window: whether a movement is accepted depends
-on which earlier ones were. Such a fold has to see the rows of one key in order. It does not have
-to see them in one task: rows are laid out by range of (key, order), which cuts a key that
-holds much of the data into slices of ordinary size, and the slices of one key are processed
-turn by turn, the state travelling from one to the next as a row. Keys that fit one slice, that is
-nearly all, are done in the first turn, side by side.
+on which earlier ones were. Such a fold has to follow the rows of one key in order, but not in
+one task. Rows are laid out by range of (key, order), so a very large key is cut into slices of
+ordinary size. All slices run at once, those that continue a key from a guessed state. A slice
+whose guess differs from the state its predecessor ended in runs again from that state, until all
+guesses hold. What slices forget soon, such as a stock that ran out or a line that was removed, makes
+most guesses harmless, so a few rounds do; and as every round settles at least one more slice of each
+key, the number of rounds never exceeds the number of slices of the largest key.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ def fold_in_order(
     total order ``order_by``.
     """
     spark = events.sparkSession
+    names = [f.name for f in state]
+    place = [*key, "_slice"]
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written, because a partition id must not change between the uses below
     laid_out = settle(
@@ -50,46 +54,69 @@ def fold_in_order(
         ),
         "fold-slices",
     )
-    turn = F.row_number().over(W.partitionBy(*key).orderBy("_slice")) - 1
-    # at most one row per slice border
-    later = (
-        laid_out.select(*key, "_slice").distinct().withColumn("_turn", turn).filter("_turn > 0")
-    )
-    later = settle(later, "fold-turns")
-    last_turn = later.agg(F.max("_turn")).first()[0] or 0
 
-    names = [f.name for f in state]
+    def run(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition(*place).sortWithinPartitions(*place, *order_by)
+        schema = T.StructType([*ordered.schema.fields, *result])
+        task = _runner(place, inputs, state, result, step)
+        return settle(ordered.mapInArrow(task, schema), "fold-run")
+
     opening = start.select(*key, *names)
-    first = laid_out
-    if last_turn:
-        first = first.join(later, [*key, "_slice"], "left_anti")
-    done = [_run(first.drop("_slice"), opening, key, order_by, inputs, state, result, step)]
-    for now in range(1, last_turn + 1):
-        rows = laid_out.join(later.filter(F.col("_turn") == now), [*key, "_slice"])
-        reached = (
-            done[-1]
-            .join(rows.select(*key).distinct(), key, "left_semi")
-            .groupBy(*key)
-            .agg(F.max_by(F.struct(*names), F.struct(*order_by)).alias("s"))
-            .select(*key, "s.*")
+    runs = [run(laid_out.join(opening, key, "left"))]
+
+    # keys cut by a slice border; a border cuts one key, so there are at most 2 * slices rows
+    spans = laid_out.select(*place).distinct().withColumn(
+        "_n", F.count(F.lit(1)).over(W.partitionBy(*key))
+    )
+    cut = settle(spans.filter("_n > 1").select(*place), "fold-cut")
+    at = sorted(tuple(r) for r in cut.dropna().collect())
+    if at:
+        # small driver-side bookkeeping: (key, slice) -> state it started from, state it ended in
+        opened = {
+            tuple(r[k] for k in key): tuple(r[n] for n in names)
+            for r in opening.join(cut.select(*key).distinct(), key, "left_semi").collect()
+        }
+        began = {p: opened.get(p[:-1], (None,) * len(names)) for p in at}
+        ended = _ends(runs[0], cut, place, names, order_by)
+        newest = dict.fromkeys(at, 0)
+        schema = T.StructType([cut.schema[c] for c in place] + state)
+        while True:
+            wrong = [
+                (now, ended[before])
+                for before, now in zip(at, at[1:])
+                if before[:-1] == now[:-1] and ended[before] != began[now]
+            ]
+            if not wrong:
+                break
+            again = spark.createDataFrame([p + s for p, s in wrong], schema)
+            runs.append(run(laid_out.join(again, place)))
+            began.update(wrong)
+            ended.update(_ends(runs[-1], again, place, names, order_by))
+            newest.update((p, len(runs) - 1) for p, _ in wrong)
+        stale = spark.createDataFrame(
+            [(*p, r) for p, last in newest.items() for r in range(last)],
+            T.StructType([cut.schema[c] for c in place]).add("_run", T.IntegerType()),
         )
-        rows = rows.drop("_slice", "_turn")
-        done.append(_run(rows, reached, key, order_by, inputs, state, result, step))
-    out = done[0]
-    for more in done[1:]:
+        runs = [
+            df.join(stale.filter(F.col("_run") == i), place, "left_anti") for i, df in enumerate(runs)
+        ]
+    out = runs[0]
+    for more in runs[1:]:
         out = out.unionByName(more)
-    return out
+    return out.drop("_slice")
 
 
-def _run(rows, opening, key, order_by, inputs, state, result, step) -> DataFrame:
-    joined = rows.join(opening, key, "left")
-    ordered = joined.repartition(*key).sortWithinPartitions(*key, *order_by)
-    schema = T.StructType([*ordered.schema.fields, *result])
-    run = _runner(key, inputs, state, result, step)
-    return settle(ordered.mapInArrow(run, schema), "fold-turn")
+def _ends(done: DataFrame, cut: DataFrame, place, names, order_by) -> dict[tuple, tuple]:
+    """(key, slice) -> state after its last row, for the slices in ``cut``."""
+    last = (
+        done.join(cut.select(*place), place, "left_semi")
+        .groupBy(*place)
+        .agg(F.max_by(F.struct(*names), F.struct(*order_by)).alias("s"))
+    )
+    return {tuple(r[p] for p in place): tuple(r.s) for r in last.collect()}
 
 
-def _runner(key, inputs, state, result, step):
+def _runner(place, inputs, state, result, step):
     names = [f.name for f in state]
     state_types = [_ARROW[f.dataType] for f in state]
     result_types = [_ARROW[f.dataType] for f in result]
@@ -97,11 +124,11 @@ def _runner(key, inputs, state, result, step):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, None
         for batch in batches:
-            keys = zip(*[batch.column(c).to_pylist() for c in key])
+            places = zip(*[batch.column(c).to_pylist() for c in place])
             events = zip(*[batch.column(c).to_pylist() for c in inputs])
             opens = zip(*[batch.column(c).to_pylist() for c in names])
             states, results = [], []
-            for this, event, opening in zip(keys, events, opens):
+            for this, event, opening in zip(places, events, opens):
                 if this != current:
                     current, held = this, opening
                 held, outcome = step(event, held)

@@ -149,13 +149,16 @@ def visible_sales(
     ``grants`` holds (user_id, permission). With the right to all sales the optional user filter
     applies; with the right to one's own it is replaced by the requester.
     """
-    def holds(permission: str):
-        mine = (F.col("user_id") == requester_id) & (F.col("permission") == permission)
-        return grants.filter(mine).agg((F.count(F.lit(1)) > 0).alias("held")).scalar()
-
+    mine = (F.col("user_id") == requester_id) & F.col("permission").isin(SEE_ALL, SEE_OWN)
+    rights = grants.filter(mine).agg(
+        F.struct(
+            F.coalesce(F.max(F.col("permission") == SEE_ALL), F.lit(False)).alias("sees_all"),
+            F.coalesce(F.max(F.col("permission") == SEE_OWN), F.lit(False)).alias("sees_own"),
+        ).alias("rights")
+    ).scalar()
     scope = F.lit(True) if user_id is None else F.col("user_id") == user_id
-    own = holds(SEE_OWN) & (F.col("user_id") == requester_id)
-    return sales.filter(F.when(holds(SEE_ALL), scope).otherwise(own))
+    own = rights["sees_own"] & (F.col("user_id") == requester_id)
+    return sales.filter(F.when(rights["sees_all"], scope).otherwise(own))
 
 
 def history_scope(users: DataFrame, grants: DataFrame) -> DataFrame:

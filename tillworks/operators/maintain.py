@@ -215,12 +215,19 @@ def guarded_delete(
 ) -> Changed:
     """Delete categories or suppliers unless an active product refers to them."""
     in_use = products.filter("active").select(F.col(column).alias("id")).distinct()
-    wanted = ids.select("id").distinct()
-    blocked = wanted.join(in_use, "id", "left_semi").join(dimension.select("id"), "id", "left_semi")
-    done = hard_delete(dimension, wanted.join(blocked, "id", "left_anti"))
-    return Changed(
-        done.table, done.refused.unionByName(blocked.withColumn("reason", F.lit("in_use")))
+    judged = (
+        ids.select("id").distinct()
+        .join(dimension.select("id", F.lit(True).alias("_known")), "id", "left")
+        .join(in_use.withColumn("_used", F.lit(True)), "id", "left")
+        .select("id", F.when(F.col("_known").isNull(), "not_found")
+                .when(F.col("_used"), "in_use").alias("reason"))
     )
+    return _remove(dimension, judged)
+
+
+def _remove(table: DataFrame, judged: DataFrame) -> Changed:
+    gone = judged.filter("reason is null").select("id")
+    return Changed(table.join(gone, "id", "left_anti"), judged.filter("reason is not null"))
 
 
 @dataclass
@@ -238,25 +245,25 @@ def delete_users(
     The requester cannot delete themselves if no other administrator would be left.
     """
     wanted = ids.select("id").distinct()
-    admins = users.filter(F.col("role") == ROLES[0])
+    admin = F.col("role") == ROLES[0]
     others_left = (
-        admins.filter(F.col("id") != requester_id)
+        users.filter(admin & (F.col("id") != requester_id))
         .join(wanted, "id", "left_anti")
         .agg((F.count(F.lit(1)) > 0).alias("x"))
         .scalar()
     )
-    last_admin = (
-        wanted.filter(F.col("id") == requester_id)
-        .join(admins.select("id"), "id", "left_semi")
-        .filter(~others_left)
+    judged = wanted.join(users.select("id", "role"), "id", "left").select(
+        "id",
+        F.when(F.col("role").isNull(), "not_found")
+        .when((F.col("id") == requester_id) & admin & ~others_left, "last_admin")
+        .alias("reason"),
     )
-    allowed = wanted.join(last_admin, "id", "left_anti")
-    done = hard_delete(users, allowed)
-    gone = allowed.join(users.select("id"), "id", "left_semi").withColumnRenamed("id", "user_id")
+    done = _remove(users, judged)
+    gone = judged.filter("reason is null").select(F.col("id").alias("user_id"))
     return DeletedUsers(
         done.table,
         user_permissions.join(gone, "user_id", "left_anti").select(*user_permissions.columns),
-        done.refused.unionByName(last_admin.withColumn("reason", F.lit("last_admin"))),
+        done.refused,
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tillworks.schemas import TABLES
 
+LAYOUT = {"sales": ("sold_at", "id")}
 _VERSIONS = "version long, table_name string, path string, n_rows long, tag string"
 
 
@@ -57,11 +58,14 @@ def as_stored(name: str, df: DataFrame) -> DataFrame:
     )
 
 
-def write_files(df: DataFrame, path: str, day_column: str | None = None) -> int:
-    """Write a Parquet folder and return its row count (read from the file footers)."""
-    if day_column:
-        # rows of a day together: row-group statistics then prune day ranges
-        df = df.repartitionByRange(F.col(day_column)).sortWithinPartitions(day_column)
+def write_files(df: DataFrame, path: str, layout: tuple[str, ...] = ()) -> int:
+    """Write a Parquet folder and return its row count (read from the file footers).
+
+    ``layout`` puts rows close in its columns into the same files, so that row-group statistics
+    prune ranges of them; its last column is a key that also divides a run of equal values.
+    """
+    if layout:
+        df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
@@ -83,8 +87,7 @@ def commit_tables(
     rows = {name: (path, n) for name, (_, path, n) in before.items()}
     for name, df in tables.items():
         path = f"{root}/data/{name}/v{version:08d}-{uuid.uuid4().hex[:8]}"
-        day = "sold_at" if name == "sales" else None
-        rows[name] = (path, write_files(as_stored(name, df), path, day))
+        rows[name] = (path, write_files(as_stored(name, df), path, LAYOUT.get(name, ())))
     listing = [(version, name, path, n, tag) for name, (path, n) in sorted(rows.items())]
     spark.createDataFrame(listing, _VERSIONS).coalesce(1).write.mode("append").json(
         f"{root}/versions"
