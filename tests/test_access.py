@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tillworks.operators import access, maintain
+from tillworks.operators import access, catalog, maintain
 from tillworks.schemas import PERMISSIONS
 
 
@@ -92,3 +92,24 @@ def test_role_grants(spark, make):
     again = maintain.revoke_role(undone.table, permissions, pairs)
     assert sorted(r.reason for r in again.refused.collect()) == [
         "not_found", "not_found", "unknown_permission"]
+
+
+def test_gates(spark, make, shop):
+    users, permissions, roles, overrides = tables(make)
+    grants = access.effective_permissions(users, permissions, roles, overrides)
+    assert access.gate(shop["products"], grants, 1, "read_catalogue").count() == 4
+    for requester in (3, 99):
+        assert access.gate(shop["products"], grants, requester, "read_catalogue").isEmpty()
+    terms = spark.createDataFrame([("leche",), ("7501999",), ("750199",)], "term string")
+    products = shop["products"].withColumn(
+        "barcode", F.when(F.col("id") == 11, "7501999").otherwise(F.col("barcode")))
+    for requester, want in ((1, {("leche", 10), ("7501999", 11)}), (3, {("7501999", 11)})):
+        may = access.allowed(grants, requester, "read_catalogue")
+        found = catalog.search_products(terms, products, names_allowed=may).collect()
+        assert {(r.term, r.product_id) for r in found} == want
+
+
+def test_password_hashes(spark):
+    rows = spark.createDataFrame([(1, "admin"), (2, None)], "seq long, password string")
+    got = {r.seq: r.password_hash for r in maintain.hash_passwords(rows).collect()}
+    assert got[2] is None and got[1].startswith("8c6976e5b541")

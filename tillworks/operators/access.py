@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEE_COST = ("ver_precio_compra", "gestionar_inventario")
@@ -103,6 +103,19 @@ def capability_flags(users: DataFrame, grants: DataFrame) -> DataFrame:
     )
 
 
+def allowed(grants: DataFrame, requester_id: int, capability: str) -> Column:
+    """One boolean value: may the requester do this? For use in a filter."""
+    mine = grants.filter(F.col("user_id") == requester_id)
+    return mine.agg(F.collect_set("permission").alias("permissions")).select(
+        F.coalesce(_rule(capability), F.lit(False)).alias("allowed")
+    ).scalar()
+
+
+def gate(df: DataFrame, grants: DataFrame, requester_id: int, capability: str) -> DataFrame:
+    """``df`` for a requester who has the capability, no rows for any other."""
+    return df.filter(allowed(grants, requester_id, capability))
+
+
 def permission_matrix(users: DataFrame, permissions: DataFrame, grants: DataFrame) -> DataFrame:
     """(user_id, permission, held) for every user and every permission.
 

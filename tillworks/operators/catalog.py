@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -104,9 +104,14 @@ def products_by_key(
     )
 
 
-def search_products(terms: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:
+def search_products(
+    terms: DataFrame, products: DataFrame, limit: int = 5, names_allowed: Column | None = None
+) -> DataFrame:
     """Till search for many terms at once: (term, position, product id, name, barcode).
 
+    ``names_allowed`` is one boolean value (``access.allowed``): a seller who may not read the
+    catalogue finds products by barcode only.
+
     A term of six or more digits is tried as the barcode of an active product. Every other term,
     and a barcode that misses, is searched in the names; the first ``limit`` by name are kept.
 
@@ -129,6 +134,8 @@ def search_products(terms: DataFrame, products: DataFrame, limit: int = 5) -> Da
         "product_name", "barcode",
     )
     missed = tried.filter(F.col("id").isNull()).select("term")
+    if names_allowed is not None:
+        missed = missed.filter(names_allowed)
     return hits.unionByName(_search_names(missed, active, limit))
 
 

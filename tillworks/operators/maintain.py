@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions.text import sha256_hex
 from tillworks.operators.ids import with_new_ids
 from tillworks.schemas import (
     PERMISSIONS,
@@ -72,6 +73,11 @@ def insert_unique(
     return Changed(table.unionByName(added.select(*values)), refused)
 
 
+def hash_passwords(rows: DataFrame) -> DataFrame:
+    """User rows with ``password`` replaced by ``password_hash``; no password gives no hash."""
+    return rows.withColumn("password_hash", sha256_hex("password")).drop("password")
+
+
 def insert_rows(name: str, table: DataFrame, rows: DataFrame) -> Changed:
     """``insert_unique`` with the unique key and required fields of the named table."""
     return insert_unique(table, rows, list(UNIQUE[name][0]), REQUIRED[name])

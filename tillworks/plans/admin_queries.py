@@ -67,6 +67,21 @@ def i3_checks(t):
     return access.has_capability(checks, t.users, grants(t))
 
 
+@query("i3_gated_catalogue", with_views(f"products {ACCESS}", f"""
+    with g as ({GRANTS_SQL})
+    select id, product_name from products where exists (
+        select 1 from g where user_id = 50 and permission in ('ver_inventario',
+                                                              'gestionar_inventario'))
+    union all select id, product_name from products where exists (
+        select 1 from g where user_id = 51 and permission = 'administrar_usuarios')"""))
+def i3_gated(t):
+    shown = t.products.select("id", "product_name")
+    held = grants(t)
+    return access.gate(shown, held, 50, "read_catalogue").unionByName(
+        access.gate(shown, held, 51, "manage_users")
+    )
+
+
 @query("i4_permission_matrix", with_views(ACCESS, f"""
     with g as ({GRANTS_SQL})
     select u.id as user_id, p.permission, g.permission is not null as held
@@ -95,7 +110,7 @@ _NEW_USERS = """
            case when c_custkey % 3 = 0 then c_name
                 when c_custkey % 7 = 0 then null
                 else c_mktsegment || cast(c_custkey % 50 as string) end as username,
-           'hash' as password_hash, 'empleado' as role
+           sha256(c_mktsegment) as password_hash, 'empleado' as role
     from customer"""
 
 
@@ -106,25 +121,27 @@ def _new_users(t):
         .when(key % 7 == 0, F.lit(None))
         .otherwise(F.concat("c_mktsegment", (key % 50).cast("string")))
     )
-    return t.base("customer").select(
-        key.alias("seq"), name.alias("username"), F.lit("hash").alias("password_hash"),
+    rows = t.base("customer").select(
+        key.alias("seq"), name.alias("username"), F.col("c_mktsegment").alias("password"),
         F.lit("empleado").alias("role"),
     )
+    return maintain.hash_passwords(rows)
 
 
 def _inserted(t):
-    return maintain.insert_rows("users", t.users, _new_users(t))
+    users = t.users.withColumn("password_hash", F.lit(None).cast("string"))
+    return maintain.insert_rows("users", users, _new_users(t))
 
 
 @query("h1_insert_users", with_views("users", f"""
     with fresh as ({_NEW_USERS})
-    select username, role from users
+    select username, null as password_hash, role from users
     union all
-    select username, role from fresh
+    select username, password_hash, role from fresh
     where username not in (select username from users)
     qualify row_number() over (partition by username order by seq) = 1"""))
 def h1(t):
-    return _inserted(t).table.select("username", "role")
+    return _inserted(t).table.select("username", "password_hash", "role")
 
 
 @query("h1_insert_refused", with_views("users", f"""

@@ -65,25 +65,33 @@ def e3(t):
     )
 
 
-@query("e4_validate", with_views(f"new_sales new_lines products {ACCESS}", f"""
-    with g as ({GRANTS_SQL}),
+def _validated(check_stock: bool) -> str:
+    """``validated``: seq, sale_ref and the reason of every new sale."""
+    short = "when p.stock < l.quantity then 'insufficient_stock'" if check_stock else ""
+    return f"""
+    g as ({GRANTS_SQL}),
     checked as (
         select l.*, case when l.quantity <= 0 then 'bad_quantity'
-                         when p.id is null then 'product_not_found'
-                         when p.stock < l.quantity then 'insufficient_stock' end as reason
+                         when p.id is null then 'product_not_found' {short} end as reason
         from new_lines l left join products p on l.product_id = p.id and p.active),
     first_bad as (
         select sale_ref, reason from checked where reason is not null
         qualify row_number() over (partition by sale_ref
-                                   order by position, product_id, quantity) = 1)
-    select s.seq, case when s.user_id not in
-                            (select user_id from g where permission = 'realizar_ventas')
-                            then 'no_permission'
-                       when s.sale_ref not in (select sale_ref from new_lines) then 'empty_cart'
-                       when b.reason is not null then b.reason
-                       when s.tender_reason is not null then s.tender_reason
-                       when s.paid_by = 'cheque' then 'bad_payment_type' end as reason
-    from ({_TENDER}) s left join first_bad b on b.sale_ref = s.sale_ref"""))
+                                   order by position, product_id, quantity) = 1),
+    validated as (
+        select s.*, case when s.user_id not in
+                              (select user_id from g where permission = 'realizar_ventas')
+                              then 'no_permission'
+                         when s.sale_ref not in (select sale_ref from new_lines) then 'empty_cart'
+                         when b.reason is not null then b.reason
+                         when s.tender_reason is not null then s.tender_reason
+                         when s.paid_by = 'cheque' then 'bad_payment_type' end as reason
+        from ({_TENDER}) s left join first_bad b on b.sale_ref = s.sale_ref)"""
+
+
+@query("e4_validate", with_views(f"new_sales new_lines products {ACCESS}", f"""
+    with {_validated(True).strip()}
+    select seq, reason from validated"""))
 def e4(t):
     checked = sales.validate_sales(t.new_sales, t.new_lines, t.products, grants(t))
     return checked.select("seq", "reason")
@@ -96,28 +104,75 @@ def _posting(t):
     )
 
 
-# The outcome of a sale depends on all sales before it; SQL would need one recursion step per sale
-# over the whole table, so this query has no check SQL. Tests replay it one sale at a time.
-@query("e5_post_sales")
+# Rounds over the open lines: refused if a line exceeds what accepted sales left, accepted if it
+# fits even after all open sales before it. Every round settles the first open sale.
+_ALLOCATED = f"""
+    {_validated(False).strip()},
+    alloc as (
+        select l.sale_ref, v.seq, l.product_id, sum(l.quantity) as need, min(p.stock) as room,
+               'open' as state
+        from new_lines l join validated v on v.sale_ref = l.sale_ref and v.reason is null
+             join products p on p.id = l.product_id
+        group by 1, 2, 3
+        union all
+        select sale_ref, seq, product_id, need, room,
+               case when bool_or(need > room) over (partition by sale_ref) then 'refused'
+                    when bool_and(ahead + need <= room) over (partition by sale_ref)
+                         then 'accepted' else 'open' end
+        from (select sale_ref, seq, product_id, need, state, room - coalesce(sum(case when state
+                     = 'accepted' then need else 0 end) over earlier, 0) as room,
+                     coalesce(sum(case when state = 'open' then need else 0 end) over earlier, 0)
+                     as ahead
+              from alloc where state <> 'refused'
+              window earlier as (partition by product_id order by seq
+                                 rows between unbounded preceding and 1 preceding))
+        where state = 'open'),
+    taken as (select distinct sale_ref from alloc where state = 'accepted')"""
+_POST_VIEWS = f"new_sales new_lines products {ACCESS}"
+
+
+@query("e5_post_sales", with_views(_POST_VIEWS, f"""
+    with {_ALLOCATED.strip()},
+    amounts as (select sale_ref, count(*) as n_lines, sum(quantity * unit_price) as amount
+                from new_lines group by 1)
+    select null as ref, 'posted' as outcome, v.user_id, cast(v.total as double) as total,
+           v.paid_by as payment_type,
+           cast(case when v.tendered is not null and v.paid_by = 'efectivo' and v.amount >= v.total
+                     then v.amount - v.total end as double) as change_due,
+           a.n_lines, cast(a.amount as double) as amount
+    from validated v join taken using (sale_ref) join amounts a using (sale_ref)
+    union all
+    select sale_ref, coalesce(reason, 'insufficient_stock'), null, null, null, null, 0, null
+    from validated where sale_ref not in (select sale_ref from taken)""", recursive=True))
 def e5(t):
     done = _posting(t)
-    posted = done.lines.groupBy("sale_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("line_subtotal").alias("amount")
+    lines = done.lines.groupBy(F.col("sale_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum("line_subtotal").cast("double").alias("amount"),
     )
-    accepted = done.sales.join(posted, done.sales["id"] == posted["sale_id"]).select(
-        F.col("id").alias("ref"), F.lit("posted").alias("outcome"), "n_lines",
-        F.col("amount").cast("double").alias("amount"),
+    posted = done.sales.join(lines, "id").select(
+        F.lit(None).cast("long").alias("ref"), F.lit("posted").alias("outcome"), "user_id",
+        F.col("total").cast("double").alias("total"), "payment_type",
+        F.col("change_due").cast("double").alias("change_due"), "n_lines", "amount",
     )
     refused = done.refused.select(
         F.col("sale_ref").alias("ref"), F.col("reason").alias("outcome"),
-        F.lit(0).cast("long").alias("n_lines"), F.lit(0.0).alias("amount"),
+        F.lit(0).cast("long").alias("n_lines"),
     )
-    return accepted.unionByName(refused)
+    return posted.unionByName(refused, allowMissingColumns=True)
 
 
-@query("e5_stock_after")
+@query("e5_stock_after", with_views(_POST_VIEWS, f"""
+    with {_ALLOCATED.strip()},
+    sold as (select product_id, sum(quantity) as quantity
+             from new_lines join taken using (sale_ref) group by 1)
+    select p.id, cast(p.stock - coalesce(s.quantity, 0) as bigint) as stock,
+           s.quantity is not null as moved
+    from products p left join sold s on s.product_id = p.id""", recursive=True))
 def e5_stock(t):
-    return _posting(t).products.select("id", "stock", "modified_at")
+    return _posting(t).products.select(
+        "id", "stock", F.col("modified_at").isNotNull().alias("moved")
+    )
 
 
 @query("e6_cart_fold", with_views("cart_events products", f"""

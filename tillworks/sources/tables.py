@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tillworks.schemas import TABLES
 
-LAYOUT = {"sales": ("sold_at", "id")}
+LAYOUT = {"sales": ("sold_at", "id"), "sale_lines": ("sale_id", "id")}
 _VERSIONS = "version long, table_name string, path string, n_rows long, tag string"
 
 
