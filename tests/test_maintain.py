@@ -142,3 +142,31 @@ def test_fill_defaults(spark, make, now):
     got = quality.fill_defaults("products", make("products", [dict(id=1, stock=4)]), now).first()
     assert (got.stock, got.min_stock, got.unit, got.active) == (4, 0, "unidad", True)
     assert got.created_at is not None and got.barcode is None
+
+
+def test_value_sets_are_kept(spark, shop):
+    rows = spark.createDataFrame(
+        [(1, "dora", "h", "jefe"), (2, "dora", "h", "empleado")],
+        "seq long, username string, password_hash string, role string")
+    done = maintain.insert_rows("users", shop["users"], rows)
+    assert reasons(done) == {1: "bad_value"} and done.table.count() == 4
+    changes = spark.createDataFrame(
+        [(1, 2, "x", "jefe"), (2, 3, None, "administrador")],
+        "seq long, id long, username string, role string")
+    done = maintain.update_rows("users", shop["users"], changes)
+    assert reasons(done) == {1: "bad_value"}
+    assert {r.username: r.role for r in done.table.collect()} == {
+        "ana": "administrador", "beto": "empleado", "caro": "administrador"}
+
+
+def test_insert_products(spark, shop, now):
+    rows = spark.createDataFrame(
+        [(1, "7501", "a", Decimal(1), None), (2, "8", "b", Decimal(0), 3), (3, "8", "c", None, 1),
+         (4, None, "", Decimal(1), 1), (5, None, "d", Decimal(2), None)],
+        "seq long, barcode string, product_name string, retail_price decimal(18,2), stock long")
+    done = maintain.insert_products(shop["products"], rows, now)
+    assert reasons(done) == {1: "duplicate", 3: "missing_value", 4: "missing_value"}
+    new = {r.product_name: r for r in done.table.filter("id > 13").collect()}
+    assert set(new) == {"b", "d"}
+    assert (new["d"].stock, new["d"].unit, new["d"].active) == (0, "unidad", True)
+    assert new["b"].created_at == new["b"].modified_at is not None

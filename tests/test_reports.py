@@ -105,5 +105,9 @@ def test_visible_sales(spark, shop, rows):
         own = history.visible_sales(sales, grants, 2, user_id=asked)
         assert {r.user_id for r in own.collect()} == {2}
     assert history.visible_sales(sales, grants, 3).count() == 0
+    documents = history.visible_documents(
+        sales, shop["users"], shop["sale_lines"], shop["products"], grants, 2,
+        sales.select("id").filter("id in (1, 3, 5)")).collect()
+    assert {r.id for r in documents} == {1, 5}
     assert rows(history.visible_totals(sales, shop["users"], grants)) == [
         (1, "all", 5, 1195.0), (2, "own", 3, 1080.0), (3, "refused", 0, None)]

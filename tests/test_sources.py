@@ -78,6 +78,11 @@ def test_bad_snapshots_are_refused(spark, shop, make, tmp_path):
     good = stored(spark, shop, str(tmp_path / "good"))
     with pytest.raises(ValueError, match="users: key repeated"):
         snapshots.restore_snapshot(spark, folder, good, out, NOW)
+    strange = dict(shop, sales=shop["sales"].withColumn("status", F.lit("rara")))
+    root = stored(spark, strange, str(tmp_path / "strange"))
+    other = snapshots.export_snapshot(spark, root, out, NOW + dt.timedelta(seconds=5))
+    with pytest.raises(ValueError, match="sales: value outside its set"):
+        snapshots.restore_snapshot(spark, other, good, out, NOW)
     shop["sales"].limit(2).write.mode("overwrite").parquet(f"{folder}/sales")
     with pytest.raises(ValueError, match="not complete"):
         snapshots.read_snapshot(spark, folder)

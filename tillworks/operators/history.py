@@ -161,6 +161,20 @@ def visible_sales(
     return sales.filter(F.when(rights["sees_all"], scope).otherwise(own))
 
 
+def visible_documents(
+    sales: DataFrame,
+    users: DataFrame,
+    lines: DataFrame,
+    products: DataFrame,
+    grants: DataFrame,
+    requester_id: int,
+    sale_ids: DataFrame | None = None,
+) -> DataFrame:
+    """``sale_documents`` of the asked sales that the requester may see."""
+    seen = visible_sales(sales, grants, requester_id)
+    return sale_documents(seen, users, lines, products, sale_ids)
+
+
 def history_scope(users: DataFrame, grants: DataFrame) -> DataFrame:
     """(user_id, scope) for every user: all, own or refused."""
     rights = (

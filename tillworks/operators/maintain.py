@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tillworks.functions.text import sha256_hex
 from tillworks.operators.ids import with_new_ids
+from tillworks.operators.quality import fill_defaults
 from tillworks.schemas import (
+    DEFAULTS,
+    DOMAINS,
     PERMISSIONS,
     REQUIRED,
     ROLES,
@@ -48,12 +51,26 @@ def _first_claims(claims: DataFrame, keys: list[str]) -> DataFrame:
     return complete.groupBy(*keys).agg(F.min("seq").alias("seq"))
 
 
+def _outside(domains: dict[str, tuple[str, ...]]) -> Column:
+    """A value lies outside its set; NULL passes."""
+    return _any([F.coalesce(~F.col(c).isin(*v), F.lit(False)) for c, v in domains.items()])
+
+
 def insert_unique(
-    table: DataFrame, rows: DataFrame, keys: list[str], required: tuple[str, ...] = ()
+    table: DataFrame,
+    rows: DataFrame,
+    keys: list[str],
+    required: tuple[str, ...] = (),
+    domains: dict[str, tuple[str, ...]] | None = None,
 ) -> Changed:
-    """Append ``rows`` under new ids; the first of equal keys wins, taken keys are refused."""
+    """Append ``rows`` under new ids; the first of equal keys wins, taken keys are refused.
+
+    Rows that lack a required value or hold one outside its set are refused and claim no key.
+    """
     missing = _any([F.col(c).isNull() for c in required])
-    complete = rows.filter(~missing)
+    outside = _outside({c: v for c, v in (domains or {}).items() if c in rows.columns})
+    faulty = missing | outside
+    complete = rows.filter(~faulty)
     free = _first_claims(complete, keys).join(
         table.select(*keys).dropna(), keys, "left_anti"
     )
@@ -67,7 +84,8 @@ def insert_unique(
         else F.lit(None).cast(f.dataType).alias(f.name)
         for f in table.schema
     ]
-    refused = rows.filter(missing).withColumn("reason", F.lit("missing_value")).unionByName(
+    fault = F.when(missing, F.lit("missing_value")).otherwise(F.lit("bad_value"))
+    refused = rows.filter(faulty).withColumn("reason", fault).unionByName(
         judged.filter(~passed).select(*rows.columns, F.lit("duplicate").alias("reason"))
     )
     return Changed(table.unionByName(added.select(*values)), refused)
@@ -79,8 +97,23 @@ def hash_passwords(rows: DataFrame) -> DataFrame:
 
 
 def insert_rows(name: str, table: DataFrame, rows: DataFrame) -> Changed:
-    """``insert_unique`` with the unique key and required fields of the named table."""
-    return insert_unique(table, rows, list(UNIQUE[name][0]), REQUIRED[name])
+    """``insert_unique`` with the unique key, required fields and value sets of the named table."""
+    return insert_unique(
+        table, rows, list(UNIQUE[name][0]), REQUIRED[name], DOMAINS.get(name)
+    )
+
+
+def insert_products(products: DataFrame, rows: DataFrame, now: Column) -> Changed:
+    """New products with their defaults; name and sale price must be given."""
+    named = rows.withColumn("product_name", F.nullif("product_name", F.lit("")))
+    defaults = DEFAULTS["products"]
+    absent = {
+        c: F.lit(None).cast(TABLES["products"][c].dataType)
+        for c in defaults if c not in rows.columns
+    }
+    filled = fill_defaults("products", named.withColumns(absent), now)
+    stamped = filled.withColumn("modified_at", now)
+    return insert_rows("products", products, stamped)
 
 
 def _key_conflicts(
@@ -98,26 +131,37 @@ def _key_conflicts(
 
 def _judge(
     table: DataFrame, changes: DataFrame, keys: list[str], new_key, supplied: Column,
-    broken: Column,
+    fault: Column,
 ) -> DataFrame:
-    """``changes`` with a reason; NULL means the change is applied."""
+    """``changes`` with a reason; NULL means the change is applied.
+
+    ``fault`` is the reason a change is refused for its own values, or NULL.
+    """
     known = table.select("id", *[F.col(k).alias(f"_now_{k}") for k in keys])
     found = changes.join(known.withColumn("_known", F.lit(True)), "id", "left")
-    wanted = found.filter(supplied & F.col("_known") & ~broken).select(
+    wanted = found.filter(supplied & F.col("_known") & fault.isNull()).select(
         "seq", "id", *[new_key(k).alias(k) for k in keys]
     )
     clashes = _key_conflicts(table, wanted, keys).withColumn("_clash", F.lit(True))
     reason = (
         F.when(~supplied, "nothing_to_change")
         .when(F.col("_known").isNull(), "not_found")
-        .when(broken, "missing_value")
+        .when(fault.isNotNull(), fault)
         .when(F.col("_clash").isNotNull(), "duplicate")
     )
     return found.join(clashes, "seq", "left").select(*changes.columns, reason.alias("reason"))
 
 
+def update_rows(name: str, table: DataFrame, changes: DataFrame) -> Changed:
+    """``update_partial`` with the unique key and value sets of the named table."""
+    return update_partial(table, changes, list(UNIQUE[name][0]), DOMAINS.get(name))
+
+
 def update_partial(
-    table: DataFrame, changes: DataFrame, keys: list[str]
+    table: DataFrame,
+    changes: DataFrame,
+    keys: list[str],
+    domains: dict[str, tuple[str, ...]] | None = None,
 ) -> Changed:
     """Overwrite only the supplied (non-NULL) fields; the last supplied value per field wins."""
     fields = [c for c in changes.columns if c not in ("seq", "id")]
@@ -127,7 +171,8 @@ def update_partial(
         now = F.col(f"_now_{k}")
         return F.coalesce(F.col(k), now) if k in fields else now
 
-    judged = _judge(table, changes, keys, new_key, supplied, F.lit(False))
+    outside = _outside({c: v for c, v in (domains or {}).items() if c in fields})
+    judged = _judge(table, changes, keys, new_key, supplied, F.when(outside, "bad_value"))
     latest = (
         judged.filter("reason is null")
         .groupBy("id")
@@ -165,7 +210,8 @@ def update_products(products: DataFrame, changes: DataFrame, now: Column) -> Cha
         return F.when(F.array_contains("fields", k), F.col(k)).otherwise(now_value)
 
     judged = _judge(
-        products, cleaned, ["barcode"], new_key, F.size("fields") > 0, broken
+        products, cleaned, ["barcode"], new_key, F.size("fields") > 0,
+        F.when(broken, "missing_value"),
     )
     named = {c: F.array_contains("fields", c) for c in fields}
     latest = (

@@ -110,7 +110,8 @@ _NEW_USERS = """
            case when c_custkey % 3 = 0 then c_name
                 when c_custkey % 7 = 0 then null
                 else c_mktsegment || cast(c_custkey % 50 as string) end as username,
-           sha256(c_mktsegment) as password_hash, 'empleado' as role
+           sha256(c_mktsegment) as password_hash,
+           case when c_custkey % 13 = 5 then 'jefe' else 'empleado' end as role
     from customer"""
 
 
@@ -123,7 +124,7 @@ def _new_users(t):
     )
     rows = t.base("customer").select(
         key.alias("seq"), name.alias("username"), F.col("c_mktsegment").alias("password"),
-        F.lit("empleado").alias("role"),
+        F.when(key % 13 == 5, "jefe").otherwise("empleado").alias("role"),
     )
     return maintain.hash_passwords(rows)
 
@@ -138,7 +139,7 @@ def _inserted(t):
     select username, null as password_hash, role from users
     union all
     select username, password_hash, role from fresh
-    where username not in (select username from users)
+    where role <> 'jefe' and username not in (select username from users)
     qualify row_number() over (partition by username order by seq) = 1"""))
 def h1(t):
     return _inserted(t).table.select("username", "password_hash", "role")
@@ -146,14 +147,84 @@ def h1(t):
 
 @query("h1_insert_refused", with_views("users", f"""
     with fresh as ({_NEW_USERS}),
-    ranked as (select *, row_number() over (partition by username order by seq) as r from fresh)
-    select seq, case when username is null then 'missing_value' else 'duplicate' end as reason
+    ranked as (select *, row_number() over (partition by username, role = 'jefe' order by seq) as r
+               from fresh)
+    select seq, case when username is null then 'missing_value'
+                     when role = 'jefe' then 'bad_value' else 'duplicate' end as reason
     from ranked
-    where username is null or r > 1 or username in (select username from users)"""))
+    where username is null or role = 'jefe' or r > 1 or username in (select username from users)
+    """))
 def h1_refused(t):
     return _inserted(t).refused.select("seq", "reason")
 
 
+_NEW_PRODUCTS = """
+    select p_partkey as seq, case when p_partkey % 4 = 0 then null
+           when p_partkey % 4 = 1 then '75' || lpad(cast(p_partkey as string), 12, '0')
+           else '66' || cast(p_partkey // 8 as string) end as barcode,
+           case when p_partkey % 9 = 0 then '' else 'copy ' || p_name end as product_name,
+           case when p_partkey % 10 = 7 then null else cast(p_size as decimal(18,2)) end
+               as retail_price,
+           case when p_partkey % 3 = 0 then cast(p_size as bigint) end as stock
+    from part"""
+
+
+def _new_products(t):
+    key = F.col("p_partkey")
+    code = F.when(
+        key % 4 == 1, F.concat(F.lit("75"), F.lpad(key.cast("string"), 12, "0"))
+    ).when(key % 4 > 1, F.concat(F.lit("66"), F.floor(key / 8).cast("string")))
+    rows = t.base("part").select(
+        key.alias("seq"), code.alias("barcode"),
+        F.when(key % 9 == 0, "").otherwise(F.concat(F.lit("copy "), "p_name"))
+        .alias("product_name"),
+        F.when(key % 10 != 7, F.col("p_size").cast(MONEY)).alias("retail_price"),
+        F.when(key % 3 == 0, F.col("p_size").cast("long")).alias("stock"),
+    )
+    products = t.products.withColumns({
+        c: F.lit(None).cast("timestamp_ntz") for c in ("created_at", "modified_at")
+    })
+    return maintain.insert_products(products, rows, now())
+
+
+@query("h1_insert_products", with_views("products", f"""
+    with fresh as ({_NEW_PRODUCTS}),
+    judged as (
+        select *, product_name = '' or retail_price is null as faulty,
+               row_number() over (partition by barcode, product_name = '' or retail_price is null
+                                  order by seq) as r
+        from fresh)
+    select barcode, product_name, cast(retail_price as double) as retail_price, stock, unit,
+           active, cast(null as timestamp) as created_at
+    from products
+    union all
+    select barcode, product_name, cast(retail_price as double), coalesce(stock, 0), 'unidad',
+           true, {NOW_SQL}
+    from judged where not faulty and (barcode is null or (r = 1 and barcode not in
+         (select barcode from products)))"""))
+def h1_products(t):
+    return _new_products(t).table.select(
+        "barcode", "product_name", F.col("retail_price").cast("double").alias("retail_price"),
+        "stock", "unit", "active", "created_at",
+    )
+
+
+@query("h2_update_users", with_views("users", """
+    select id, case when id % 5 = 1 then 'user ' || cast(id as string) else username end
+               as username,
+           case when id % 5 = 2 then 'administrador' else role end as role
+    from users"""))
+def h2_users(t):
+    key = F.col("id")
+    changes = t.users.select(
+        key.alias("seq"), "id",
+        F.when(key % 5 == 1, F.concat(F.lit("user "), key.cast("string")))
+        .when(key % 5 == 4, "Customer#000000000").alias("username"),
+        F.when(key % 5 == 2, "administrador").when(key % 5 == 3, "jefe").alias("role"),
+    )
+    return maintain.update_rows("users", t.users, changes).table
+
+
 # supplier k: renamed in pairs to one name (second refused), some get only a phone, some nothing
 _SUPPLIER_CHANGES = """
     select s_suppkey as seq, case when s_suppkey % 10 = 9 then s_suppkey + 1000000

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.functions.dates import file_stamp
-from tillworks.operators.quality import check_not_null, check_unique_keys
+from tillworks.operators.quality import check_domains, check_not_null, check_unique_keys
 from tillworks.schemas import TABLES
 from tillworks.sources.tables import commit_tables, current, read_table, write_files
 
@@ -42,13 +42,18 @@ def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def snapshot_faults(tables: dict[str, DataFrame]) -> list[str]:
-    """Tables that break a required column or a unique key. Dangling references are legal."""
+    """Tables that break a required column, a unique key or a value set.
+
+    Dangling references are legal.
+    """
     faults = []
     for name, df in tables.items():
         if not check_not_null(name, df).filter(F.col("n_bad") > 0).isEmpty():
             faults.append(f"{name}: required value missing")
         if any(not repeated.isEmpty() for repeated in check_unique_keys(name, df)):
             faults.append(f"{name}: key repeated")
+        if any(not outside.isEmpty() for outside in check_domains(name, df).values()):
+            faults.append(f"{name}: value outside its set")
     return faults
 
 
