@@ -16,6 +16,10 @@ from tillworks.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session()
+    # small inputs: fewer partitions, and no time spent on compiling plans
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

@@ -39,21 +39,20 @@ def replay(transactions, opening):
 
 
 @pytest.mark.parametrize("options", [
-    {"head_lines": 0, "slow_share": 0}, {"head_lines": 3}, {"slow_share": 2, "head_lines": 1}, {}])
+    {"head_lines": 0, "slow_share": 0}, {"slow_share": 2, "head_lines": 1}])
 def test_allocation_cases(spark, options):
     got = allocate(spark, [(s, x) for s, x, _ in CASES], {"A": 10, "B": 5}, **options)
     assert got == {s: ok for s, _, ok in CASES}
 
 
 @pytest.mark.parametrize("seed,options", [
-    (1, {"head_lines": 0, "slow_share": 0}), (2, {}), (3, {"head_lines": 40}),
-    (4, {"head_lines": 25, "slow_share": 0.5})])
+    (1, {"head_lines": 0, "slow_share": 0}), (2, {}), (3, {"head_lines": 25, "slow_share": 0.5})])
 def test_allocation_equals_replay(spark, seed, options):
     rnd = random.Random(seed)
     # product p0 is in a third of all lines
     names = [f"p{i}" for i in range(25)]
     transactions = []
-    for seq in range(400):
+    for seq in range(250):
         if rnd.random() < 0.1:
             lines = [(rnd.choice(names), -rnd.randint(1, 20))]
         else:
