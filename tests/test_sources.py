@@ -113,7 +113,16 @@ def test_report_files(spark, shop, tmp_path):
     assert spark.read.json(f"{json_folder}/por_usuario").count() == 2
 
 
-def test_stream_daily_totals(spark, shop, tmp_path):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_stream_daily_totals(spark, shop, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        check_daily_totals(spark, shop, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def check_daily_totals(spark, shop, tmp_path):
     shop["sales"].write.parquet(str(tmp_path / "in"))
     stream = summary.stream_table(spark, str(tmp_path / "in"), TABLES["sales"])
     running = summary.write_daily_totals(

@@ -28,7 +28,8 @@ def stream_movements(
         products = read_table(spark, root, "products")
         applied = apply_movements(products, batch, order_by)
         applied.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        table = stock_after(products, applied, order_by, F.localtimestamp())
+        now = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+        table = stock_after(products, applied, order_by, now)
         commit_tables(spark, root, {"products": table}, tag)
 
     return (
