@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 
 import pytest
-
 from pyspark.sql import functions as F
+
 from tillworks.operators import reports
-from tillworks.schemas import TABLES
+from tillworks.schemas import REPORT_BY_USER, REPORT_PERIOD, TABLES
+from tillworks.session import clear_scratch, scratch_path, scratch_root, settle
 from tillworks.sources import feed, report_files, snapshots, tables
 from tillworks.streaming import stock as stream_stock
 from tillworks.streaming import summary
@@ -25,6 +27,16 @@ def test_versions(spark, shop, tmp_path):
     assert tables.is_tagged(spark, root, "cut") and not tables.is_tagged(spark, root, "x")
 
 
+def test_scratch_is_cleared(spark):
+    kept = settle(spark.range(5), "x")
+    path = scratch_path(spark, "y")
+    assert kept.count() == 5 and path.startswith(scratch_root(spark))
+    folder = path.rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    clear_scratch(spark)
+    assert not os.path.isdir(folder)
+
+
 def test_feed_files(spark, tmp_path):
     path = str(tmp_path / "feed.csv")
     with open(path, "w", encoding="utf-8") as f:
@@ -91,7 +103,7 @@ def test_bad_snapshots_are_refused(spark, shop, make, tmp_path):
 def test_report_files(spark, shop, tmp_path):
     week = ("2025-06-22", "2025-06-29")
     sheets = report_files.period_sheets(reports.period_report(shop["sales"], *week))
-    folder = report_files.write_report(sheets, str(tmp_path), report_files.PERIOD, NOW)
+    folder = report_files.write_report(sheets, str(tmp_path), REPORT_PERIOD, NOW)
     assert folder.endswith("ReporteVentasPeriodo_20250630_045035")
     back = spark.read.option("header", True).csv(f"{folder}/resumen").first()
     assert tuple(back) == ("4", "$191.00", "$47.75")
@@ -109,7 +121,7 @@ def test_report_files(spark, shop, tmp_path):
     assert [r[2] for r in tops["por_valor"].collect()] == ["$90.00", "$50.00"]
     by_user = report_files.user_sheets(reports.sales_by_user(shop["sales"], shop["users"], *week))
     json_folder = report_files.write_report(
-        by_user, str(tmp_path), report_files.BY_USER, NOW, "json")
+        by_user, str(tmp_path), REPORT_BY_USER, NOW, "json")
     assert spark.read.json(f"{json_folder}/por_usuario").count() == 2
 
 

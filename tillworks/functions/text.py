@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillworks.schemas import NO, YES
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +46,7 @@ def currency_grouped(amount: Column) -> Column:
 
 
 def yes_no(flag: Column) -> Column:
-    return F.when(flag, F.lit("Sí")).otherwise(F.lit("No"))
+    return F.when(flag, F.lit(YES)).otherwise(F.lit(NO))
 
 
 def sha256_hex(col: Column | str) -> Column:

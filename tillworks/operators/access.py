@@ -5,26 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEE_COST = ("ver_precio_compra", "gestionar_inventario")
-
-# capability -> groups of permissions: one of each group is needed
-RULES: dict[str, tuple[tuple[str, ...], ...]] = {
-    "manage_users": (("administrar_usuarios",),),
-    "edit_categories": (("gestionar_categorias", "gestionar_inventario"),),
-    "edit_suppliers": (("gestionar_proveedores", "gestionar_inventario"),),
-    "read_catalogue": (("ver_inventario", "gestionar_inventario"),),
-    "edit_products": (("gestionar_inventario",),),
-    "adjust_stock": (("ajustar_stock", "gestionar_inventario"),),
-    "sell": (("realizar_ventas",),),
-    "read_history": (("ver_historial_ventas_todas", "ver_historial_ventas_propias"),),
-    "run_reports": (("generar_reportes_ventas",),),
-    "run_user_report": (("generar_reportes_ventas",), ("ver_historial_ventas_todas",)),
-    "export_snapshot": (("exportar_bd",),),
-    "restore_snapshot": (("importar_bd",),),
-    "export_products": (("exportar_datos_productos",),),
-    "import_products": (("importar_datos_productos",),),
-    "see_cost": (SEE_COST,),
-}
+from tillworks.schemas import CAPABILITIES
 
 
 def role_permissions_of(
@@ -78,7 +59,7 @@ def permission_sets(users: DataFrame, grants: DataFrame) -> DataFrame:
 
 def _rule(capability: str):
     met = F.lit(True)
-    for group in RULES[capability]:
+    for group in CAPABILITIES[capability]:
         met = met & F.arrays_overlap("permissions", F.array(*[F.lit(p) for p in group]))
     return met
 
@@ -86,7 +67,7 @@ def _rule(capability: str):
 def has_capability(checks: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     """Adds ``allowed`` to (user_id, capability) rows; unknown users or capabilities get false."""
     allowed = F.lit(False)
-    for capability in RULES:
+    for capability in CAPABILITIES:
         allowed = F.when(F.col("capability") == capability, _rule(capability)).otherwise(allowed)
     sets = permission_sets(users, grants)
     return (
@@ -99,7 +80,7 @@ def has_capability(checks: DataFrame, users: DataFrame, grants: DataFrame) -> Da
 def capability_flags(users: DataFrame, grants: DataFrame) -> DataFrame:
     """One row per user, one boolean column per capability."""
     return permission_sets(users, grants).select(
-        "user_id", *[_rule(name).alias(name) for name in RULES]
+        "user_id", *[_rule(name).alias(name) for name in CAPABILITIES]
     )
 
 
@@ -135,7 +116,7 @@ def permission_matrix(users: DataFrame, permissions: DataFrame, grants: DataFram
 
 def mask_cost(products: DataFrame, grants: DataFrame, requester_id: int) -> DataFrame:
     """``cost_price`` becomes NULL unless the requester may see it."""
-    mine = (F.col("user_id") == requester_id) & F.col("permission").isin(*SEE_COST)
+    mine = (F.col("user_id") == requester_id) & F.col("permission").isin(*CAPABILITIES["see_cost"][0])
     may_see = grants.filter(mine).agg((F.count(F.lit(1)) > 0).alias("m")).scalar()
     return products.withColumn("cost_price", F.when(may_see, F.col("cost_price")))
 

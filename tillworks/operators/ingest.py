@@ -16,10 +16,17 @@ from pyspark.sql import functions as F
 
 from tillworks.functions.pricing import money_from_text, whole_from_text
 from tillworks.operators.ids import with_new_ids
-from tillworks.schemas import DEFAULT_UNIT, FEED_TRUE, MONEY
+from tillworks.schemas import (
+    CREATED,
+    DEFAULT_UNIT,
+    ERROR,
+    FEED_TRUE,
+    IMPORT_MESSAGES,
+    MONEY,
+    UPDATED,
+)
 from tillworks.session import settle
 
-CREATED, UPDATED, ERROR = "creado", "actualizado", "error"
 NULLABLE = ("description", "wholesale_price", "wholesale_min_qty")
 _MONEY = ("cost_price", "retail_price", "wholesale_price")
 _WHOLE = ("wholesale_min_qty", "stock", "min_stock")
@@ -207,16 +214,6 @@ def upsert_products(
     return Import(table, import_log(rows, judged))
 
 
-_MESSAGES = {
-    CREATED: "Creado correctamente",
-    UPDATED: "Actualizado correctamente",
-    "duplicate": "código de barras duplicado con otro producto",
-    "price_required": "Precio Venta requerido para nuevo producto",
-    "bad_number": "Error de formato numérico en precios o stock",
-    "bad_id": "ID inválido",
-}
-
-
 def import_log(rows: DataFrame, judged: DataFrame) -> DataFrame:
     """(row_no, product_name, status, message) of every named row."""
     failed = rows.filter(F.col("bad_number") | F.col("bad_id")).withColumn(
@@ -225,7 +222,7 @@ def import_log(rows: DataFrame, judged: DataFrame) -> DataFrame:
     columns = ["row_no", "product_name", "outcome"]
     every = judged.select(*columns).unionByName(failed.select(*columns))
     message = F.lit(None).cast("string")
-    for key, text in _MESSAGES.items():
+    for key, text in IMPORT_MESSAGES.items():
         message = F.when(F.col("outcome") == key, text).otherwise(message)
     done = F.col("outcome").isin(CREATED, UPDATED)
     return every.select(

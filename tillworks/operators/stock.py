@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillworks.operators.folding import fold_in_order
-from tillworks.schemas import STOCK_IN, STOCK_OUT
+from tillworks.schemas import MANUAL_NOTE, STOCK_IN, STOCK_OUT
 from tillworks.session import settle
 
-MANUAL_NOTE = "AJUSTE MANUAL: "
 HEAD_LINES = 50_000
 SLOW_SHARE = 0.02
 

@@ -5,11 +5,10 @@ from pyspark.sql import types as T
 
 from tillworks.functions import dates, text
 from tillworks.operators import access, maintain, quality
-from tillworks.operators.access import RULES
 from tillworks.plans.driver_views import with_views
 from tillworks.plans.registry import query
 from tillworks.plans.report_queries import ACCESS, GRANTS_SQL, grants
-from tillworks.schemas import MONEY, PAYMENT_TYPES, REQUIRED
+from tillworks.schemas import CAPABILITIES, MONEY, PAYMENT_TYPES, REQUIRED
 
 def now():
     """The statement time of the registered queries."""
@@ -37,14 +36,14 @@ def i2(t):
 def _rule_sql(capability: str) -> str:
     groups = [
         "coalesce(bool_or(g.permission in (" + ", ".join(f"'{p}'" for p in group) + ")), false)"
-        for group in RULES[capability]
+        for group in CAPABILITIES[capability]
     ]
     return " and ".join(groups) + f" as {capability}"
 
 
 @query("i3_capability_flags", with_views(ACCESS, f"""
     with g as ({GRANTS_SQL})
-    select u.id as user_id, {", ".join(_rule_sql(c) for c in RULES)}
+    select u.id as user_id, {", ".join(_rule_sql(c) for c in CAPABILITIES)}
     from users u left join g on g.user_id = u.id group by 1"""))
 def i3(t):
     return access.capability_flags(t.users, grants(t))
@@ -52,7 +51,7 @@ def i3(t):
 
 @query("i3_capability_checks", with_views(ACCESS, f"""
     with g as ({GRANTS_SQL}),
-    flags as (select u.id as user_id, {", ".join(_rule_sql(c) for c in RULES)}
+    flags as (select u.id as user_id, {", ".join(_rule_sql(c) for c in CAPABILITIES)}
               from users u left join g on g.user_id = u.id group by 1)
     select user_id, case user_id % 3 when 0 then 'sell' when 1 then 'run_user_report'
                          else 'fly' end as capability,

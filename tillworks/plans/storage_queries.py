@@ -9,7 +9,7 @@ from tillworks.plans.driver_views import with_views
 from tillworks.plans.registry import query
 from tillworks.plans.report_queries import YEAR, _IN_YEAR
 from tillworks.plans.stock_queries import MOVEMENT_ORDER, _moves_sql
-from tillworks.schemas import TABLES
+from tillworks.schemas import REPORT_CATALOGUE, REPORT_PERIOD, TABLES
 from tillworks.session import scratch_path, settle
 from tillworks.sources import feed as feed_files
 from tillworks.sources import report_files, snapshots, tables
@@ -57,7 +57,7 @@ def a4(t):
     report = settle(reports.period_report(t.sales, *YEAR), "report")
     folder = report_files.write_report(
         report_files.period_sheets(report), scratch_path(t.spark, "reports"),
-        report_files.PERIOD, _NOW,
+        REPORT_PERIOD, _NOW,
     )
     return t.spark.read.option("header", True).csv(f"{folder}/tipo_pago")
 
@@ -101,7 +101,7 @@ def a6(t):
     tables.commit_tables(t.spark, root, before)
     out = scratch_path(t.spark, "backup")
     folder = snapshots.export_snapshot(t.spark, root, out, _NOW)
-    tables.commit_tables(t.spark, root, {"sales": t.sales, "products": t.products.limit(0)})
+    tables.commit_tables(t.spark, root, {"sales": t.sales, "products": t.products.filter("not active")})
     later = _NOW + dt.timedelta(minutes=1)
     snapshots.restore_snapshot(t.spark, folder, root, out, later)
     return _counts({n: tables.read_table(t.spark, root, n) for n in TABLES})
@@ -118,7 +118,7 @@ def a3_files(t):
     })
     out = catalog.export_catalogue(products, t.categories, t.suppliers)
     folder = report_files.write_report(
-        {"productos": out}, scratch_path(t.spark, "reports"), "ListadoProductos", _NOW
+        {"productos": out}, scratch_path(t.spark, "reports"), REPORT_CATALOGUE, _NOW
     )
     back = t.spark.read.option("header", True).csv(f"{folder}/productos")
     return back.select("Código Barras", "Nombre Producto", "Activo", "`Precio Venta ($)`")

@@ -118,6 +118,45 @@ EXPORT_COLUMNS = {
     "Fecha Creación": "created_at",
     "Última Modificación": "modified_at",
 }
+
+# Import log.
+CREATED, UPDATED, ERROR = "creado", "actualizado", "error"
+IMPORT_MESSAGES = {
+    CREATED: "Creado correctamente",
+    UPDATED: "Actualizado correctamente",
+    "duplicate": "código de barras duplicado con otro producto",
+    "price_required": "Precio Venta requerido para nuevo producto",
+    "bad_number": "Error de formato numérico en precios o stock",
+    "bad_id": "ID inválido",
+}
+
+# Texts in notes, report files and snapshot names.
+MANUAL_NOTE = "AJUSTE MANUAL: "
+REPORT_PERIOD = "ReporteVentasPeriodo"
+REPORT_BY_USER = "VentasPorUsuario"
+REPORT_TOP = "Top{n}Productos"
+REPORT_CATALOGUE = "ListadoProductos"
+SNAPSHOT = "pos_backup"
+YES, NO, NOT_KNOWN = "Sí", "No", "N/A"
+
+# capability -> groups of permissions: one of each group is needed
+CAPABILITIES: dict[str, tuple[tuple[str, ...], ...]] = {
+    "manage_users": (("administrar_usuarios",),),
+    "edit_categories": (("gestionar_categorias", "gestionar_inventario"),),
+    "edit_suppliers": (("gestionar_proveedores", "gestionar_inventario"),),
+    "read_catalogue": (("ver_inventario", "gestionar_inventario"),),
+    "edit_products": (("gestionar_inventario",),),
+    "adjust_stock": (("ajustar_stock", "gestionar_inventario"),),
+    "sell": (("realizar_ventas",),),
+    "read_history": (("ver_historial_ventas_todas", "ver_historial_ventas_propias"),),
+    "run_reports": (("generar_reportes_ventas",),),
+    "run_user_report": (("generar_reportes_ventas",), ("ver_historial_ventas_todas",)),
+    "export_snapshot": (("exportar_bd",),),
+    "restore_snapshot": (("importar_bd",),),
+    "export_products": (("exportar_datos_productos",),),
+    "import_products": (("importar_datos_productos",),),
+    "see_cost": (("ver_precio_compra", "gestionar_inventario"),),
+}
 # --- end of fixed values ---
 
 REQUIRED: dict[str, tuple[str, ...]] = {

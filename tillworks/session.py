@@ -46,8 +46,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[context.applicationId]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tillworks-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path below this application's own scratch folder."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote, once no DataFrame built on it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -16,7 +16,8 @@ def read_product_feed(spark: SparkSession, path: str, file_format: str = "csv")
 
     The first line of a delimited file is its header. The row number must be in the file, because
     a file read in parallel has no line order. Refused unless product name, barcode and
-    sale price headers are present; absent optional columns are NULL.
+    sale price headers are present (JSON lines have no header: there a missing key is NULL); absent
+    optional columns are NULL.
     """
     if file_format == "csv":
         raw = spark.read.option("header", True).option("multiLine", False).csv(path)

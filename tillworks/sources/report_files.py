@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from tillworks.functions.dates import file_stamp
 from tillworks.functions.text import currency_text
-
-PERIOD, BY_USER = "ReporteVentasPeriodo", "VentasPorUsuario"
+from tillworks.schemas import NOT_KNOWN, REPORT_TOP
 
 
 def top_name(n: int) -> str:
-    return f"Top{n}Productos"
+    return REPORT_TOP.format(n=n)
 
 
 def write_report(
@@ -30,7 +29,7 @@ def write_report(
 
 
 def _or_dash(col: str) -> Column:
-    return F.coalesce(F.col(col), F.lit("N/A"))
+    return F.coalesce(F.col(col), F.lit(NOT_KNOWN))
 
 
 def period_sheets(report: DataFrame) -> dict[str, DataFrame]:

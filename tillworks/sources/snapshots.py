@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from tillworks.functions.dates import file_stamp
 from tillworks.operators.quality import check_domains, check_not_null, check_unique_keys
-from tillworks.schemas import TABLES
+from tillworks.schemas import SNAPSHOT, TABLES
 from tillworks.sources.tables import commit_tables, current, read_table, write_files
 
 _MANIFEST = "table_name string, n_rows long"
 
 
 def export_snapshot(spark: SparkSession, root: str, out: str, now: dt.datetime) -> str:
-    """Copy every table to ``out/pos_backup_{time}``; returns that folder.
+    """Copy every table to ``out/{SNAPSHOT}_{time}``; returns that folder.
 
     The manifest with the row counts is written last: a folder without one is not a snapshot.
     """
-    folder = f"{out}/pos_backup_{file_stamp(now)}"
+    folder = f"{out}/{SNAPSHOT}_{file_stamp(now)}"
     counts = [
         (name, write_files(read_table(spark, root, name), f"{folder}/{name}")) for name in TABLES
     ]
