@@ -93,6 +93,12 @@ def shop(make):
     }
 
 
+@pytest.fixture
+def small_slices(monkeypatch):
+    """Cut small test data into several slices."""
+    monkeypatch.setattr("tillworks.session.ROWS_PER_SLICE", 100)
+
+
 @pytest.fixture(scope="session")
 def now(spark):
     return F.lit("2025-06-30 12:00:00").cast("timestamp_ntz")

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillworks.operators import sales, stock
 
@@ -47,7 +46,7 @@ def test_allocation_cases(spark, options):
 
 @pytest.mark.parametrize("seed,options", [
     (1, {"head_lines": 0, "slow_share": 0}), (2, {}), (3, {"head_lines": 25, "slow_share": 0.5})])
-def test_allocation_equals_replay(spark, seed, options):
+def test_allocation_equals_replay(spark, small_slices, seed, options):
     rnd = random.Random(seed)
     # product p0 is in a third of all lines
     names = [f"p{i}" for i in range(25)]
@@ -84,7 +83,7 @@ def move_all(moves, opening):
     return out, left
 
 
-def test_movements_equal_replay(spark, make, now):
+def test_movements_equal_replay(spark, make, now, small_slices):
     rnd = random.Random(7)
     # product 0 holds a third of the movements, so it spans several slices
     moves = [
@@ -180,7 +179,7 @@ def test_posting(spark, shop, now):
     assert done.lines.columns == shop["sale_lines"].columns
 
 
-def test_posting_equals_replay(spark, make, now):
+def test_posting_equals_replay(spark, make, now, small_slices):
     rnd = random.Random(11)
     sale_rows = [new_sale(s) for s in range(300)]
     line_rows = [(s, i, 0 if rnd.random() < 0.33 else rnd.randint(1, 20), rnd.randint(1, 5))
@@ -226,7 +225,7 @@ def fold_carts(events, products):
     return carts
 
 
-def test_cart_fold_equals_replay(spark, make):
+def test_cart_fold_equals_replay(spark, make, small_slices):
     rnd = random.Random(5)
     products = {
         p: dict(retail=10.25 + p, wholesale=rnd.choice([None, 8.5]), min=rnd.choice([None, 0, 3]),

@@ -5,9 +5,9 @@ on which earlier ones were. Such a fold has to follow the rows of one key in ord
 one task. Rows are laid out by range of (key, order), so a very large key is cut into slices of
 ordinary size. All slices run at once, those that continue a key from a guessed state. A slice
 whose guess differs from the state its predecessor ended in runs again from that state, until all
-guesses hold. What slices forget soon, such as a stock that ran out or a line that was removed, makes
-most guesses harmless, so a few rounds do; and as every round settles at least one more slice of each
-key, the number of rounds never exceeds the number of slices of the largest key.
+guesses hold. What slices forget soon, such as a stock that ran out or a line that was removed,
+makes most guesses harmless, so a few rounds do; and as every round settles at least one more slice
+of each key, the number of rounds never exceeds the number of slices of the largest key.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.session import settle
+from tillworks.session import settle, slice_count
 
 _ARROW = {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string()}
 
@@ -46,10 +46,9 @@ def fold_in_order(
     spark = events.sparkSession
     names = [f.name for f in state]
     place = [*key, "_slice"]
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written, because a partition id must not change between the uses below
     laid_out = settle(
-        events.repartitionByRange(slices, *key, *order_by).withColumn(
+        events.repartitionByRange(slice_count(events), *key, *order_by).withColumn(
             "_slice", F.spark_partition_id()
         ),
         "fold-slices",
@@ -98,7 +97,8 @@ def fold_in_order(
             T.StructType([cut.schema[c] for c in place]).add("_run", T.IntegerType()),
         )
         runs = [
-            df.join(stale.filter(F.col("_run") == i), place, "left_anti") for i, df in enumerate(runs)
+            df.join(stale.filter(F.col("_run") == i), place, "left_anti")
+            for i, df in enumerate(runs)
         ]
     out = runs[0]
     for more in runs[1:]:

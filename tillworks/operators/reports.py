@@ -61,9 +61,9 @@ def _within_ids(lines: DataFrame, counted: DataFrame) -> DataFrame:
     """Only lines between the lowest and highest counted sale id.
 
     The join below implies it. But sale ids grow with time and lines are stored by sale id, so the
-    two bounds, known before the scan starts, let Parquet skip the lines of other periods. Written as
-    two top-1 reads: a pair of min and max would be merged into one struct, which Spark does
-    not push into the scan.
+    two bounds, known before the scan starts, let Parquet skip the lines of other periods. Written
+    as two top-1 reads: a pair of min and max would be merged into one struct, which Spark does not
+    push into the scan.
     """
     ids = counted.select("sale_id")
     lowest = ids.orderBy("sale_id").limit(1).scalar()

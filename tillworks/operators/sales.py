@@ -231,7 +231,7 @@ def fold_cart_events(events: DataFrame, products: DataFrame) -> DataFrame:
         F.col("id").alias("product_id"), cents("retail_price"), cents("wholesale_price"),
         "wholesale_min_qty", "active",
     )
-    priced = events.join(prices, "product_id")
+    priced = settle(events.join(prices, "product_id"), "cart-events")
     no_state = prices.filter(F.lit(False)).select(
         F.lit(0).cast("long").alias("cart_id"), "product_id",
         F.lit(0).cast("long").alias("_count"), F.lit(0).cast("long").alias("_price"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tillworks.operators.folding import fold_in_order
 from tillworks.schemas import MANUAL_NOTE, STOCK_IN, STOCK_OUT
-from tillworks.session import settle
+from tillworks.session import settle, slice_count
 
 HEAD_LINES = 50_000
 SLOW_SHARE = 0.02
@@ -125,16 +125,15 @@ def allocate_stock(
     When a round decides little, or few lines are left, the earliest ``head_lines`` open lines (a
     constant, not a share of the data) are replayed one by one in one task.
     """
-    lines = (
+    lines = settle(
         demands.groupBy("txn", "seq", "product_id")
         .agg(F.sum("quantity").alias("need"))
         .join(opening.select("product_id", F.col("stock").alias("room")), "product_id", "left")
-        .withColumn("room", F.coalesce("room", F.lit(0)).cast("long"))
+        .withColumn("room", F.coalesce("room", F.lit(0)).cast("long")),
+        "alloc-lines",
     )
-    spark = demands.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid_out = settle(
-        lines.repartitionByRange(slices, "product_id", "seq")
+        lines.repartitionByRange(slice_count(lines), "product_id", "seq")
         .withColumn("slice", F.spark_partition_id())
         .withColumn("open", F.col("need") > 0),
         "alloc-start",

@@ -1,4 +1,4 @@
-"""Sources, sinks, snapshots and streams, each written to the shared scratch folder and read back."""
+"""Sources, sinks, snapshots and streams, written to the shared scratch folder and read back."""
 
 import datetime as dt
 

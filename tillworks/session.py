@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ROWS_PER_SLICE = 50_000
 _local_scratch: dict[str, str] = {}
 
 
@@ -61,6 +62,12 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slice_count(df: DataFrame) -> int:
+    """Number of range slices for ``df``: by its rows, at most the shuffle partitions."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, -(-df.count() // ROWS_PER_SLICE)))
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back.
 
