@@ -12,8 +12,11 @@ from tillworks.llm import (
     fingerprint,
     jaccard_join,
     language,
+    language_model,
     line_dedup,
     mixing,
+    passages,
+    pseudonyms,
 )
 from tillworks.llm.common import table
 
@@ -40,7 +43,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_fingerprint": _documents(fingerprint.fingerprint_all),
     "op3_jaccard_join": _documents(jaccard_join.join_all),
+    "op4_language_model": _documents(language_model.score_all),
     "op5_language": _documents(language.identify),
+    "op6_passages": _documents(passages.shared_passages),
+    "op7_pseudonyms": _documents(pseudonyms.pseudonymise_all),
     "op8_line_dedup": _documents(line_dedup.clean_lines),
     "op9_mixing": _documents(mixing.taken_words),
     "op10_chat_format": op10_chat_format,
