@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,53 @@ def map_text(
     return df.select(*kept, text).mapInArrow(run, schema)
 
 
+#: bits of a filter by hash; its size is fixed, and when it is full it lets more rows through
+FILTER_BITS = 1 << 24
+_PAGE = 32768  # bits of one page of Spark's bitmaps
+
+
+def filter_bits(hashes: DataFrame) -> np.ndarray:
+    """Packed bits, one for each value of the upper bits of the column hash.
+
+    Gathered by Spark page by page: 2 MB at most, whatever the number of rows.
+    """
+    upper = F.shiftrightunsigned("hash", 64 - (FILTER_BITS.bit_length() - 1)) + 1
+    pages = hashes.select(upper.alias("bit")).groupBy(
+        F.bitmap_bucket_number("bit").alias("page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for page, bits in pages.collect():
+        out[(page - 1) * _PAGE // 8: page * _PAGE // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def passes(packed: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Which unsigned 64-bit hashes pass a filter."""
+    bits = np.unpackbits(packed, bitorder="little").view(bool)
+    shift = np.uint64(64 - (FILTER_BITS.bit_length() - 1))
+    return lambda hashes: bits[hashes >> shift]
+
+
+def keep_hashes(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash is among those wanted (one column), and by chance some others.
+
+    Comes before a join with few of many rows, so that the rest need not be shuffled.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(
+        filter_bits(wanted.toDF("hash").filter("hash IS NOT NULL")))
+    at = df.columns.index(column)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kept = passes(shared.value)
+        for batch in batches:
+            hashes = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(kept(hashes.view(np.uint64))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def numbered(df: DataFrame, order: str, name: str, label: str) -> DataFrame:
     """Number rows 0, 1, ... by one column, NULL last, without a window over all rows.
 

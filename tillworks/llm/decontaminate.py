@@ -16,17 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import map_text
+from tillworks.llm.common import filter_bits, map_text, passes
 from tillworks.llm.hashing import WordHashes, shingles, word_bytes
 from tillworks.session import settle
 
 WINDOW = 13
 SHINGLE = 5
-#: bits of the filter that documents are held against before the join; its size is fixed, and a
-#: benchmark too large for it makes more rows for the join, not other results
-FILTER_BITS = 1 << 24
-_PAGE = 32768  # bits of one page of Spark's bitmaps
-
 
 def _window_rows(benchmark: DataFrame) -> DataFrame:
     """item_id, words (the window, joined by blanks), n, size of its shingles, their hashes."""
@@ -57,30 +52,16 @@ def _window_rows(benchmark: DataFrame) -> DataFrame:
     return named.select(F.col("item_id").cast("string"), "text").mapInArrow(run, schema)
 
 
-def _filter_bits(hashes: DataFrame) -> np.ndarray:
-    """A bit for each value of the hashes' upper bits, gathered page by page (2 MB at most)."""
-    upper = F.shiftrightunsigned("hash", 64 - (FILTER_BITS.bit_length() - 1)) + 1
-    pages = hashes.select(upper.alias("bit")).groupBy(
-        F.bitmap_bucket_number("bit").alias("page")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for page, bits in pages.collect():
-        out[(page - 1) * _PAGE // 8: page * _PAGE // 8] = np.frombuffer(bits, np.uint8)
-    return out
-
-
 def _hits(shared, sizes: list[int]):
     """A function from the words of a text to (place, shingle size, hash) that pass the filter."""
-    bits = np.unpackbits(shared.value, bitorder="little").view(bool)
-    shift = np.uint64(64 - (FILTER_BITS.bit_length() - 1))
-    known = WordHashes()
+    kept, known = passes(shared.value), WordHashes()
 
     def find(words: list[bytes]) -> list[tuple[np.ndarray, int, np.ndarray]]:
         hashes = known.of(words)
         found = []
         for k in sizes:
             all_of = shingles(hashes, k)
-            at = np.flatnonzero(bits[all_of >> shift])
+            at = np.flatnonzero(kept(all_of))
             if len(at):
                 found.append((at, k, all_of[at].view(np.int64)))
         return found
@@ -154,7 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = settle(_window_rows(benchmark), "windows")
     sizes = sorted(r["k"] for r in windows.select("k").distinct().collect())
     each = windows.select("words", "n", F.posexplode("hashes").alias("offset", "hash")).distinct()
-    counts = settle(_counts(docs, _filter_bits(each.select("hash")), sizes), "counts")
+    counts = settle(_counts(docs, filter_bits(each.select("hash")), sizes), "counts")
     # windows with a shingle that no document holds occur nowhere
     rarest = (
         each.join(counts.withColumnRenamed("n", "freq"), "hash", "left")
@@ -164,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .filter(F.col("first.freq") > 0))
     probes = settle(rarest.select("words", "n", "first.offset", "first.hash"), "probes")
     judged = settle(
-        _candidates(texts, _filter_bits(probes), sizes)
+        _candidates(texts, filter_bits(probes), sizes)
         .withColumn("row", F.monotonically_increasing_id()), "candidates")
 
     spots = judged.select("row", "n_words", F.inline("places"))

@@ -13,14 +13,16 @@ that falls short, by the chance of hashing, buys second units by one-deletion ne
 its parts (a row per shingle); should that not do, its single shingles count too. Signatures that
 very many sets share are the dearest: a set that has H + 1 parts besides those skips them. Only
 sets that cannot (copies of each other, or texts made of common passages) are compared there, by
-way of the least of them: their distances to it link most, and by the triangle inequality rule
-out most of the rest.
+way of the least of them: their distances to it link most, and rule out others by the triangle
+inequality; the rest is thinned by bitmaps and by members that no other set has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import xxhash
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import fields, partitions
+from tillworks.llm.common import fields, keep_hashes, partitions
 from tillworks.llm.components import components
 from tillworks.llm.hashing import WordHashes, mix, word_set
 from tillworks.llm.pairing import with_texts
@@ -37,8 +39,9 @@ from tillworks.session import settle
 WORDS = 5
 SPARE = 0.12  # share of signatures that a set can do without
 WIDE = 8  # signatures of more sets than this are skipped by sets that can
+SKETCH_WORDS = 16  # 64-bit words of a bitmap
 _FLUSH = 1 << 21  # signatures held by a task before it sends them on
-_LOW = 6  # bytes kept of a signature besides its bucket; a chance match is found out later
+_LOW = 5  # bytes kept of a signature besides its bucket; a chance match is found out later
 
 
 def linked(common, size_a, size_b):
@@ -88,23 +91,23 @@ class Bands:
 
 
 def signatures(tokens: np.ndarray, instance: int, bands: Bands) -> tuple[np.ndarray, int]:
-    """A set's signatures in an instance, and how many parts it has to spare (< 0: too few)."""
+    """A set's signatures in an instance, and its number of parts that are not empty."""
     m = bands.parts(instance)
     segment = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     at = np.flatnonzero(np.diff(segment, prepend=segment[:1] + np.uint64(1)))
     each = mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
     sums = np.add.reduceat(each, at)
     place = segment * np.uint64(0x9E3779B97F4A7C15) + np.uint64((instance * 2 + 1) << 40)
-    spare = len(at) - bands.needed(len(tokens), instance)
-    if spare >= 0:
-        return mix(sums + place[at]), spare
+    needed = bands.needed(len(tokens), instance)
+    if len(at) >= needed:
+        return mix(sums + place[at]), len(at)
     sizes = np.diff(at, append=len(tokens))
     several = np.repeat(sizes > 1, sizes)
     without = (np.repeat(sums, sizes) - each + place)[several]
     found = [mix(sums + place[at]), mix(without)]
-    if np.minimum(sizes, 2).sum() < bands.needed(len(tokens), instance):
+    if np.minimum(sizes, 2).sum() < needed:
         found.append(mix(tokens + np.uint64(instance)))
-    return np.unique(np.concatenate(found)), spare
+    return np.unique(np.concatenate(found)), len(at)
 
 
 def _pages(docs: DataFrame, buckets: int) -> DataFrame:
@@ -127,9 +130,9 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
             if not heads:
                 return
             head = np.array(heads, _HEAD)
-            counts = np.array([len(s) for s in sigs])
-            every = np.concatenate(sigs)
-            owner = np.repeat(np.arange(len(head)), counts)
+            lengths = np.array([len(x) for pair in sigs for x in pair])
+            every = np.concatenate([x for pair in sigs for x in pair])
+            owner = np.repeat(np.arange(len(lengths)), lengths)  # document * 2 + instance
             bucket = (every % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rest, owner = (every // np.uint64(buckets))[order], owner[order]
@@ -138,9 +141,10 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
             for k in range(buckets):
                 mine, low = owner[edges[k]: edges[k + 1]], rest[edges[k]: edges[k + 1]]
                 if len(mine):
-                    who, n = np.unique(mine, return_counts=True)
+                    who, at = np.unique(mine // 2, return_inverse=True)
                     top = head[who]
-                    top["count"] = n
+                    top["counts"] = np.bincount(
+                        at * 2 + mine % 2, minlength=2 * len(who)).reshape(-1, 2)
                     cut = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
                     pages.append(len(who).to_bytes(4, "little") + top.tobytes() + cut.tobytes())
                     names.append(k)
@@ -160,11 +164,12 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
                 if digest is None or digest in seen:
                     continue
                 seen.add(digest)
-                for instance in bands.instances(len(tokens)):
-                    mine, spare = signatures(tokens, instance, bands)
-                    heads.append((digest[:8], digest[8:], len(tokens), instance, spare, 0))
-                    sigs.append(mine)
-                    held += len(mine)
+                made = [signatures(tokens, x, bands) for x in bands.instances(len(tokens))]
+                made += [(tokens[:0], 0)] * (2 - len(made))
+                words_ = np.frombuffer(digest, ">u8").tolist()
+                heads.append((words_, len(tokens), [x[1] for x in made], [0, 0]))
+                sigs.append([x[0] for x in made])
+                held += sum(len(x[0]) for x in made)
                 if held >= _FLUSH:
                     yield from flush()
             where = np.arange(len(sizes), dtype=np.int32) % buckets
@@ -178,27 +183,28 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-_HEAD = [("upper", "S8"), ("lower", "S8"), ("n", "<u4"), ("instance", "<u2"), ("spare", "<i4"),
-         ("count", "<u4")]
-# S8 drops zero bytes at the end when read, so digests are compared as numbers
-_READ = [("upper", ">u8"), ("lower", ">u8"), *_HEAD[2:]]
+#: per document and page: digest, size, parts that are not empty in the instance of its own band and
+#: in the one before, and how many signatures of each are in the page
+_HEAD = [("digest", ">u8", 2), ("n", "<u4"), ("parts", "<u4", 2), ("counts", "<u4", 2)]
 # kinds of rows that a bucket gives
 DOCUMENT, PAIR, SHARED, SKIPPED = range(4)
+_INSTANCES = 1 << 10
 
 
 def _matches(pages: DataFrame, buckets: int) -> DataFrame:
-    """Per bucket: pairs of sets that share a signature few sets have; the members of the others;
-    and how many of those each set has, with its parts to spare."""
+    """Per bucket: pairs of sets that share signatures few sets have, and how many; the members of
+    the others; and how many of those each set has."""
     schema = T.StructType([
         T.StructField("kind", T.IntegerType()), *fields(pages, "doc_id", "text_hash"),
         T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()),
-        T.StructField("n", T.LongType()), T.StructField("x", T.LongType())])
+        *[T.StructField(c, T.LongType()) for c in (
+            "n", "n_b", "sig", "instance", "parts", "parts_b", "times")]])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        arrow, bands = to_arrow_schema(schema), Bands()
         heads, lows = [], []
         bucket = 0
 
@@ -223,7 +229,7 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
             for p, k in zip(page, batch.column(0).to_pylist()):
                 if p is not None:
                     bucket, who = k, int.from_bytes(p[:4], "little")
-                    heads.append(np.frombuffer(p, _READ, who, 4))
+                    heads.append(np.frombuffer(p, _HEAD, who, 4))
                     cut = np.frombuffer(p, np.uint8, offset=4 + heads[-1].nbytes)
                     low = np.zeros((len(cut) // _LOW, 8), np.uint8)
                     low[:, :_LOW] = cut.reshape(-1, _LOW)
@@ -232,58 +238,78 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
             return
         head, low = np.concatenate(heads), np.concatenate(lows)
         heads, lows = [], []
-        ids = np.stack([head["upper"], head["lower"]], 1).astype(np.uint64)
-        ids, cls = np.unique(ids, axis=0, return_inverse=True)
+        ids, cls = np.unique(head["digest"].astype(np.uint64), axis=0, return_inverse=True)
         cls = cls.ravel()
-        names = [r.tobytes() for r in ids.astype(">u8")]
-        sizes = np.zeros(len(ids), np.int64)
-        sizes[cls] = head["n"]
-        owner = np.repeat(np.arange(len(head)), head["count"])
+        names = np.array([r.tobytes() for r in ids.astype(">u8")] or [b""], object)
+        size, parts = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2), np.int64)
+        size[cls], parts[cls] = head["n"], head["parts"]
+        band = np.array([bands.band(n) for n in size.tolist()], np.int64)
+        owner = np.repeat(np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)),
+                          head["counts"].ravel())
         # members of each signature, a set once: copies from other tasks are the same set
-        order = np.lexsort((cls[owner], low))
+        order = np.lexsort((owner, low))
         low, owner = low[order], owner[order]
         new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (cls[owner[1:]] != cls[owner[:-1]])
+        new[1:] = (low[1:] != low[:-1]) | (owner[1:] // 2 != owner[:-1] // 2)
         low, owner = low[new], owner[new]
+        cls, instance = owner // 2, band[owner // 2] - owner % 2
         at = np.flatnonzero(np.diff(low, prepend=low[:1] + np.uint64(1)))
         width = np.diff(at, append=len(low))
-        found = []
+        found = [np.empty(0, np.int64)]
         for g in range(2, WIDE + 1):
-            members = cls[owner[at[width == g][:, None] + np.arange(g)]]
+            places = at[width == g][:, None] + np.arange(g)
+            members = cls[places]
             for i, j in combinations(range(g), 2):
                 a, b = members[:, i], members[:, j]
-                near = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
-                found.append(np.unique(a[near] * len(ids) + b[near]))
-        pairs = np.unique(np.concatenate(found))
+                near = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
+                found.append(
+                    (a[near] * len(ids) + b[near]) * _INSTANCES + instance[places[near, i]])
+        pairs, times = np.unique(np.concatenate(found), return_counts=True)
+        pairs, of = np.divmod(pairs, _INSTANCES)
         a, b = np.divmod(pairs, len(ids))
-        yield from rows(PAIR, a=[names[i] for i in a], b=[names[i] for i in b])
-        wide = np.repeat(width > WIDE, width)
-        who = owner[wide]
-        # the instance tells a set's entries apart
         yield from rows(
-            SHARED, a=[names[i] for i in cls[who]], n=head["n"][who].astype(np.int64),
-            x=(low[wide] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64),
-            text_hash=head["instance"][who].astype(np.int64))
-        which, n = np.unique(
-            np.stack([cls[who], head["instance"][who], head["spare"][who]], 1).astype(np.int64),
-            axis=0, return_counts=True)
+            PAIR, a=names[a], b=names[b], n=size[a], n_b=size[b], instance=of, times=times,
+            parts=parts[a, band[a] - of], parts_b=parts[b, band[b] - of])
+        wide = np.flatnonzero(np.repeat(width > WIDE, width))
         yield from rows(
-            SKIPPED, a=[names[i] for i in which[:, 0]], text_hash=which[:, 1], x=which[:, 2],
-            n=n.astype(np.int64))
+            SHARED, a=names[cls[wide]], n=size[cls[wide]], instance=instance[wide],
+            sig=(low[wide] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64))
+        which, times = np.unique(owner[wide], return_counts=True)
+        a, of = which // 2, band[which // 2] - which % 2
+        needed = [bands.needed(n, i) for n, i in zip(size[a].tolist(), of.tolist())]
+        yield from rows(
+            SKIPPED, a=names[a], instance=of, times=times,
+            parts=parts[a, which % 2] - np.array(needed, np.int64))
 
     return pages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """a, b, common, n_a, n_b of pairs of sets, from the whole texts."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    who = settle(classes.join(wanted, classes["cls"] == wanted["a"]).select(
+def _texts(classes: DataFrame, wanted: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """key (the set), text for the sets in the column a of ``wanted``, from their first document."""
+    who = settle(classes.join(wanted, classes["cls"] == wanted["a"], "left_semi").select(
         F.col("cls").alias("key"), F.col("first.doc_id").alias("_doc"),
         F.col("first.text_hash").alias("_hash")), f"{label}-who")
-    texts = settle(docs.select("doc_id", "text").join(
-        who, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")),
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
+    some = keep_hashes(hashed, "_hash", who.select("_hash"))
+    # the hash of the text goes along, so rows that share a doc_id are told apart
+    return settle(some.withColumnRenamed("_hash", "_text_hash").join(
+        who, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")),
     ).select("key", "text"), f"{label}-texts")
 
+
+def _verify(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """a, b, common, n_a, n_b of pairs of sets, from the whole texts."""
+    # the set with more partners comes first: its text goes along once for many
+    both = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count("*").alias("n"))
+    many = both.select(F.col("a").alias("_a"), F.col("n").alias("_n"))
+    other = both.select(F.col("a").alias("_b"), F.col("n").alias("_m"))
+    swap = F.col("_m") > F.col("_n")
+    turned = pairs.join(many, pairs["a"] == many["_a"]).join(
+        other, pairs["b"] == other["_b"]).select(
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+        F.lit(None).cast("int").alias("data"))
+
     def start():
         known = WordHashes()
 
@@ -293,8 +319,91 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -
         return (lambda text: text_set(text, known)), count
 
     out = [T.StructField(c, T.LongType()) for c in ("common", "n_a", "n_b")]
-    ready = pairs.withColumn("data", F.lit(None).cast("int"))
-    return settle(with_texts(ready, texts, out, start).distinct(), f"{label}-verified")
+    return settle(with_texts(turned, texts, out, start).distinct(), f"{label}-verified")
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """a, shared, s0, s1, ...: how many members of each set are in another of these sets, too, and
+    a bitmap of its members' hashes. Bitmaps of two sets differ in no more bits than the sets in
+    members."""
+
+    def sketch(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = WordHashes()
+        for batch in batches:
+            texts_ = batch.column(1).cast(pa.binary()).to_pylist()
+            bits = np.zeros((len(texts_), SKETCH_WORDS * 64), bool)
+            for row, text in zip(bits, texts_):
+                row[(text_set(text, known) % np.uint64(len(row))).astype(int)] = True
+            words = np.packbits(bits, axis=1).view(np.int64).reshape(len(texts_), SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c) for c in words.T]], names=["row", *names])
+
+    def members(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = WordHashes()
+        for batch in batches:
+            sets = [text_set(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            for row, tokens in zip(batch.column(0).to_pylist(), sets):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * len(tokens), pa.int64()), pa.array(tokens.view(np.int64))],
+                    names=["row", "token"])
+
+    names = [f"s{i}" for i in range(SKETCH_WORDS)]
+    rows = settle(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    source = rows.select("row", "text")
+    tokens = settle(source.mapInArrow(members, "row long, token long"), "tokens")
+    several = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = tokens.join(several, "token", "left_semi").groupBy("row").agg(
+        F.count("*").alias("shared"))
+    sketches = source.mapInArrow(sketch, ", ".join(f"{c} long" for c in ["row", *names]))
+    return settle(
+        rows.join(shared, "row").join(sketches, "row")
+        .select(F.col("key").alias("a"), "shared", *names), "sketched")
+
+
+def _likely(found: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Pairs that share as many signatures as linked sets must.
+
+    Of the parts of either set all but (sum of sizes) / 7 are found in the other, and at most
+    those skipped are not among the signatures counted here.
+    """
+    wide = skipped.select("a", "instance", "wide")
+    counted = found.filter(F.col("kind") == PAIR).groupBy("a", "b", "instance").agg(
+        F.sum("times").alias("times"), F.first("parts").alias("parts"),
+        F.first("parts_b").alias("parts_b"), F.first("n").alias("n"),
+        F.first("n_b").alias("n_b"))
+    with_a = counted.join(wide, ["a", "instance"], "left")
+    with_b = with_a.join(
+        wide.withColumnsRenamed({"a": "b", "wide": "wide_b"}), ["b", "instance"], "left")
+    least = F.greatest(
+        F.col("parts") - F.coalesce("wide", F.lit(0)),
+        F.col("parts_b") - F.coalesce("wide_b", F.lit(0)))
+    return with_b.filter(
+        F.col("times") >= least - F.floor((F.col("n") + F.col("n_b")) / 7)).select("a", "b")
+
+
+def _unsettled(placed: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs with a common signature, in different components, that may link.
+
+    Their distances to the hub differ by no more than a link allows, each has as many members that
+    occur in any other of these sets as the pair would have to have in common, and their bitmaps
+    differ in no more bits than linked sets differ in members.
+    """
+    left = placed.join(sketched, "a")
+    right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
+    differ = reduce(add, [
+        F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(SKETCH_WORDS)])
+    return left.join(
+        right, (F.col("sig") == F.col("sig_")) & (F.col("a") < F.col("a_"))
+        & (F.col("root") != F.col("root_"))
+        & (F.abs(F.col("distance") - F.col("distance_")) <= 0.25 + 1e-9)
+        & (7 * F.least("shared", "shared_") >= 3 * (F.col("n") + F.col("n_")))
+        & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_"))
+        & (7 * differ <= F.col("n") + F.col("n_")),
+    ).select("a", F.col("a_").alias("b")).distinct()
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
@@ -314,26 +423,26 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     classes = settle(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
         F.min(node).alias("first")), "classes")
 
-    shared = found.filter(F.col("kind") == SHARED).select(
-        "a", F.col("x").alias("sig"), F.col("text_hash").alias("instance"), "n")
-    needs = found.filter(F.col("kind") == SKIPPED).groupBy(
-        "a", F.col("text_hash").alias("instance")).agg(
-        F.sum("n").alias("wide"), F.min("x").alias("spare")).filter("wide > spare")
-    members = settle(shared.join(needs.select("a", "instance"), ["a", "instance"]), "members")
+    shared = found.filter(F.col("kind") == SHARED).select("a", "sig", "instance", "n")
+    skipped = settle(found.filter(F.col("kind") == SKIPPED).groupBy("a", "instance").agg(
+        F.sum("times").alias("wide"), F.min("parts").alias("spare")), "skipped")
+    members = settle(shared.join(
+        skipped.filter("wide > spare").select("a", "instance"), ["a", "instance"]), "members")
     hubs = members.groupBy("sig").agg(F.min("a").alias("hub"))
     spokes = settle(members.join(hubs, "sig"), "spokes")
     star = spokes.filter("a <> hub").select(F.col("hub").alias("a"), F.col("a").alias("b"))
-    pairs = settle(
-        found.filter(F.col("kind") == PAIR).select("a", "b").union(star).distinct(), "pairs")
-    first = _verify(pairs, classes, docs, "first")
+    pairs = settle(_likely(found, skipped).union(star).distinct(), "pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).distinct()
+    first = _verify(pairs, _texts(classes, wanted, docs, "first"), "first")
     is_link = linked(F.col("common"), F.col("n_a"), F.col("n_b"))
     links = first.filter(is_link).select("a", "b")
     roots = components(links)
 
-    # in signatures of many sets: what is neither linked by now nor ruled out by the distances
+    # in signatures of many sets: what is neither linked by now nor ruled out
     distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    far = first.select(
-        F.col("a").alias("hub"), F.col("b").alias("a"), distance.alias("distance"))
+    known = first.select("a", "b", distance.alias("distance"))
+    far = known.union(known.select("b", "a", "distance")).withColumnsRenamed(
+        {"a": "hub", "b": "a"})
     placed = (
         spokes.join(roots.withColumnRenamed("node", "a"), "a", "left")
         .join(far, ["hub", "a"], "left")
@@ -342,16 +451,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     open_ = placed.groupBy("sig").agg(
         F.min("root").alias("_least"), F.max("root").alias("_most")).filter("_least <> _most")
     left = settle(placed.join(open_.select("sig"), "sig"), "open")
-    right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
-    more = left.join(
-        right, (F.col("sig") == F.col("sig_")) & (F.col("a") < F.col("a_"))
-        & (F.col("root") != F.col("root_"))
-        & (F.abs(F.col("distance") - F.col("distance_")) <= 0.25 + 1e-9)
-        & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")),
-    ).select("a", F.col("a_").alias("b")).distinct()
-    rest = settle(more.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        second = _verify(rest, classes, docs, "second")
+    if not left.isEmpty():
+        texts = _texts(classes, left.select("a").distinct(), docs, "second")
+        rest = settle(
+            _unsettled(left, _sketched(texts)).join(pairs, ["a", "b"], "left_anti"), "rest")
+        second = _verify(rest, texts, "second")
         roots = components(links.union(second.filter(is_link).select("a", "b")))
 
     grouped = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
