@@ -386,23 +386,26 @@ def _likely(found: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 def _unsettled(placed: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs with a common signature, in different components, that may link.
+    """Pairs with a common hub, in different components, that may link.
 
     Their distances to the hub differ by no more than a link allows, each has as many members that
     occur in any other of these sets as the pair would have to have in common, and their bitmaps
-    differ in no more bits than linked sets differ in members.
+    differ in no more bits than linked sets differ in members. One of their hubs gives the pair.
     """
-    left = placed.join(sketched, "a")
+    hash_ = F.xxhash64("hub")
+    hubs = placed.groupBy("a").agg(F.collect_set(hash_).alias("hubs"))
+    left = placed.join(sketched.join(hubs, "a"), "a")
     right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
     differ = reduce(add, [
         F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(SKETCH_WORDS)])
     return left.join(
-        right, (F.col("sig") == F.col("sig_")) & (F.col("a") < F.col("a_"))
+        right, (F.col("hub") == F.col("hub_")) & (F.col("a") < F.col("a_"))
         & (F.col("root") != F.col("root_"))
         & (F.abs(F.col("distance") - F.col("distance_")) <= 0.25 + 1e-9)
         & (7 * F.least("shared", "shared_") >= 3 * (F.col("n") + F.col("n_")))
         & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_"))
-        & (7 * differ <= F.col("n") + F.col("n_")),
+        & (7 * differ <= F.col("n") + F.col("n_"))
+        & (F.array_min(F.array_intersect("hubs", "hubs_")) == hash_),
     ).select("a", F.col("a_").alias("b")).distinct()
 
 
@@ -429,7 +432,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     members = settle(shared.join(
         skipped.filter("wide > spare").select("a", "instance"), ["a", "instance"]), "members")
     hubs = members.groupBy("sig").agg(F.min("a").alias("hub"))
-    spokes = settle(members.join(hubs, "sig"), "spokes")
+    spokes = settle(members.join(hubs, "sig").select("hub", "a", "n").distinct(), "spokes")
     star = spokes.filter("a <> hub").select(F.col("hub").alias("a"), F.col("a").alias("b"))
     pairs = settle(_likely(found, skipped).union(star).distinct(), "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
@@ -446,11 +449,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     placed = (
         spokes.join(roots.withColumnRenamed("node", "a"), "a", "left")
         .join(far, ["hub", "a"], "left")
-        .select("sig", "a", "n", F.coalesce("root", "a").alias("root"),
+        .select("hub", "a", "n", F.coalesce("root", "a").alias("root"),
                 F.coalesce("distance", F.lit(0.0)).alias("distance")))
-    open_ = placed.groupBy("sig").agg(
+    open_ = placed.groupBy("hub").agg(
         F.min("root").alias("_least"), F.max("root").alias("_most")).filter("_least <> _most")
-    left = settle(placed.join(open_.select("sig"), "sig"), "open")
+    left = settle(placed.join(open_.select("hub"), "hub"), "open")
     if not left.isEmpty():
         texts = _texts(classes, left.select("a").distinct(), docs, "second")
         rest = settle(
