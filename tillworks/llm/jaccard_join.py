@@ -26,7 +26,7 @@ from operator import add
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,10 @@ def text_set(text: bytes | None, known: WordHashes) -> np.ndarray:
     return word_set(known.of(text.lower().split()) if text else np.empty(0, np.uint64), WORDS)
 
 
+def set_digest(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())[:_DIGEST]
+
+
 class Bands:
     """Size bands, and per instance the number of segments."""
 
@@ -129,7 +133,8 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
             nonlocal heads, sigs, held
             if not heads:
                 return
-            head = np.array(heads, _HEAD)
+            digests = np.frombuffer(b"".join(h[0] for h in heads), np.uint8).reshape(-1, _DIGEST)
+            head = np.array([h[1:] for h in heads], np.int64)
             lengths = np.array([len(x) for pair in sigs for x in pair])
             every = np.concatenate([x for pair in sigs for x in pair])
             owner = np.repeat(np.arange(len(lengths)), lengths)  # document * 2 + instance
@@ -142,11 +147,11 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
                 mine, low = owner[edges[k]: edges[k + 1]], rest[edges[k]: edges[k + 1]]
                 if len(mine):
                     who, at = np.unique(mine // 2, return_inverse=True)
-                    top = head[who]
-                    top["counts"] = np.bincount(
-                        at * 2 + mine % 2, minlength=2 * len(who)).reshape(-1, 2)
+                    counts = np.bincount(at * 2 + mine % 2, minlength=2 * len(who))
+                    top = np.concatenate([head[who], counts.reshape(-1, 2)], axis=1)
                     cut = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
-                    pages.append(len(who).to_bytes(4, "little") + top.tobytes() + cut.tobytes())
+                    pages.append(len(who).to_bytes(4, "little") + digests[who].tobytes()
+                                 + _planes(top.T.ravel()) + cut.tobytes())
                     names.append(k)
             heads, sigs, held = [], [], 0
             seen.clear()
@@ -159,15 +164,15 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 tokens = text_set(text, known)
                 sizes.append(len(tokens))
-                digest = xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
-                digests.append(digest)
-                if digest is None or digest in seen:
+                digest = set_digest(tokens) if len(tokens) else None
+                name = digest + len(tokens).to_bytes(4, "big") if digest else None
+                digests.append(name)
+                if digest is None or name in seen:
                     continue
-                seen.add(digest)
+                seen.add(name)
                 made = [signatures(tokens, x, bands) for x in bands.instances(len(tokens))]
                 made += [(tokens[:0], 0)] * (2 - len(made))
-                words_ = np.frombuffer(digest, ">u8").tolist()
-                heads.append((words_, len(tokens), [x[1] for x in made], [0, 0]))
+                heads.append((digest, len(tokens), made[0][1], made[1][1]))
                 sigs.append([x[0] for x in made])
                 held += sum(len(x[0]) for x in made)
                 if held >= _FLUSH:
@@ -183,9 +188,23 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-#: per document and page: digest, size, parts that are not empty in the instance of its own band and
-#: in the one before, and how many signatures of each are in the page
-_HEAD = [("digest", ">u8", 2), ("n", "<u4"), ("parts", "<u4", 2), ("counts", "<u4", 2)]
+#: bytes of a set's digest; a set is known by these and its size
+_DIGEST = 10
+#: what a page has of each document, a column after the other: size, parts that are not empty in the
+#: instance of its own band and in the one before, and how many signatures of each are in the page
+_NUMBERS = 5
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by byte, so that bytes that are mostly zero pack well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes, at: int, count: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, 4 * count, at).reshape(4, count)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 # kinds of rows that a bucket gives
 DOCUMENT, PAIR, SHARED, SKIPPED = range(4)
 _INSTANCES = 1 << 10
@@ -205,7 +224,7 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, bands = to_arrow_schema(schema), Bands()
-        heads, lows = [], []
+        digests_, heads, lows = [], [], []
         bucket = 0
 
         def rows(kind: int, **columns):
@@ -229,23 +248,31 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
             for p, k in zip(page, batch.column(0).to_pylist()):
                 if p is not None:
                     bucket, who = k, int.from_bytes(p[:4], "little")
-                    heads.append(np.frombuffer(p, _HEAD, who, 4))
-                    cut = np.frombuffer(p, np.uint8, offset=4 + heads[-1].nbytes)
+                    end = 4 + who * _DIGEST
+                    digests_.append(np.frombuffer(p, f"S{_DIGEST}", who, 4))
+                    heads.append(_from_planes(p, end, who * _NUMBERS).reshape(_NUMBERS, who))
+                    cut = np.frombuffer(p, np.uint8, offset=end + who * _NUMBERS * 4)
                     low = np.zeros((len(cut) // _LOW, 8), np.uint8)
                     low[:, :_LOW] = cut.reshape(-1, _LOW)
                     lows.append(low.view("<u8").ravel())
         if not heads:
             return
-        head, low = np.concatenate(heads), np.concatenate(lows)
-        heads, lows = [], []
-        ids, cls = np.unique(head["digest"].astype(np.uint64), axis=0, return_inverse=True)
+        head, low = np.concatenate(heads, axis=1), np.concatenate(lows)
+        # a set is told by its size, too; numpy's fixed texts lose zero bytes at their end
+        bytes_ = np.concatenate(digests_).view(np.uint8).reshape(-1, _DIGEST).astype(np.uint64)
+        upper = bytes_[:, :8] @ (np.uint64(256) ** np.arange(7, -1, -1, dtype=np.uint64))
+        lower = (bytes_[:, 8] << np.uint64(8)) + bytes_[:, 9]
+        digests_, heads, lows = [], [], []
+        ids, cls = np.unique(
+            np.stack([upper, lower, head[0].astype(np.uint64)], 1), axis=0, return_inverse=True)
         cls = cls.ravel()
-        names = np.array([r.tobytes() for r in ids.astype(">u8")] or [b""], object)
+        names = np.array([
+            u.to_bytes(8, "big") + v.to_bytes(2, "big") + n.to_bytes(4, "big")
+            for u, v, n in ids.tolist()] or [b""], object)
         size, parts = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2), np.int64)
-        size[cls], parts[cls] = head["n"], head["parts"]
+        size[cls], parts[cls] = head[0], head[1:3].T
         band = np.array([bands.band(n) for n in size.tolist()], np.int64)
-        owner = np.repeat(np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)),
-                          head["counts"].ravel())
+        owner = np.repeat(np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)), head[3:].T.ravel())
         # members of each signature, a set once: copies from other tasks are the same set
         order = np.lexsort((owner, low))
         low, owner = low[order], owner[order]
@@ -322,10 +349,12 @@ def _verify(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     return settle(with_texts(turned, texts, out, start).distinct(), f"{label}-verified")
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """a, shared, s0, s1, ...: how many members of each set are in another of these sets, too, and
-    a bitmap of its members' hashes. Bitmaps of two sets differ in no more bits than the sets in
-    members."""
+_SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+
+def _sketches(texts: DataFrame, label: str) -> DataFrame:
+    """a, n, s0, s1, ...: size and a bitmap of the hashes of each set's members. Bitmaps of two
+    sets differ in no more bits than the sets in members."""
 
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -333,12 +362,34 @@ def _sketched(texts: DataFrame) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             texts_ = batch.column(1).cast(pa.binary()).to_pylist()
-            bits = np.zeros((len(texts_), SKETCH_WORDS * 64), bool)
+            bits, sizes = np.zeros((len(texts_), SKETCH_WORDS * 64), bool), []
             for row, text in zip(bits, texts_):
-                row[(text_set(text, known) % np.uint64(len(row))).astype(int)] = True
+                tokens = text_set(text, known)
+                row[(tokens % np.uint64(len(row))).astype(int)] = True
+                sizes.append(len(tokens))
             words = np.packbits(bits, axis=1).view(np.int64).reshape(len(texts_), SKETCH_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c) for c in words.T]], names=["row", *names])
+                [batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(c) for c in words.T]],
+                names=["a", "n", *_SKETCH])
+
+    schema = ", ".join(["a binary", "n long", *[f"{c} long" for c in _SKETCH]])
+    return settle(texts.select("key", "text").mapInArrow(sketch, schema), f"{label}-sketches")
+
+
+def _differing(other: str) -> Column:
+    return reduce(add, [
+        F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}{other}"))) for c in _SKETCH])
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps do not rule out a link."""
+    right = sketches.select(*[F.col(c).alias(f"{c}_") for c in sketches.columns])
+    return pairs.join(sketches, "a").join(right, F.col("b") == F.col("a_")).filter(
+        7 * _differing("_") <= F.col("n") + F.col("n_")).select("a", "b")
+
+
+def _shared(texts: DataFrame) -> DataFrame:
+    """a, shared: how many members of each set are in another of these sets, too."""
 
     def members(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -351,17 +402,13 @@ def _sketched(texts: DataFrame) -> DataFrame:
                     [pa.array([row] * len(tokens), pa.int64()), pa.array(tokens.view(np.int64))],
                     names=["row", "token"])
 
-    names = [f"s{i}" for i in range(SKETCH_WORDS)]
     rows = settle(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
     source = rows.select("row", "text")
     tokens = settle(source.mapInArrow(members, "row long, token long"), "tokens")
     several = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = tokens.join(several, "token", "left_semi").groupBy("row").agg(
         F.count("*").alias("shared"))
-    sketches = source.mapInArrow(sketch, ", ".join(f"{c} long" for c in ["row", *names]))
-    return settle(
-        rows.join(shared, "row").join(sketches, "row")
-        .select(F.col("key").alias("a"), "shared", *names), "sketched")
+    return rows.join(shared, "row").select(F.col("key").alias("a"), "shared")
 
 
 def _likely(found: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -385,7 +432,7 @@ def _likely(found: DataFrame, skipped: DataFrame) -> DataFrame:
         F.col("times") >= least - F.floor((F.col("n") + F.col("n_b")) / 7)).select("a", "b")
 
 
-def _unsettled(placed: DataFrame, sketched: DataFrame) -> DataFrame:
+def _unsettled(placed: DataFrame, sketches: DataFrame, shared: DataFrame) -> DataFrame:
     """Pairs with a common hub, in different components, that may link.
 
     Their distances to the hub differ by no more than a link allows, each has as many members that
@@ -394,17 +441,16 @@ def _unsettled(placed: DataFrame, sketched: DataFrame) -> DataFrame:
     """
     hash_ = F.xxhash64("hub")
     hubs = placed.groupBy("a").agg(F.collect_set(hash_).alias("hubs"))
-    left = placed.join(sketched.join(hubs, "a"), "a")
+    known = settle(sketches.drop("n").join(shared, "a").join(hubs, "a"), "known")
+    left = placed.join(known, "a")
     right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
-    differ = reduce(add, [
-        F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_"))) for i in range(SKETCH_WORDS)])
     return left.join(
         right, (F.col("hub") == F.col("hub_")) & (F.col("a") < F.col("a_"))
         & (F.col("root") != F.col("root_"))
         & (F.abs(F.col("distance") - F.col("distance_")) <= 0.25 + 1e-9)
         & (7 * F.least("shared", "shared_") >= 3 * (F.col("n") + F.col("n_")))
         & (4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_"))
-        & (7 * differ <= F.col("n") + F.col("n_"))
+        & (7 * _differing("_") <= F.col("n") + F.col("n_"))
         & (F.array_min(F.array_intersect("hubs", "hubs_")) == hash_),
     ).select("a", F.col("a_").alias("b")).distinct()
 
@@ -436,7 +482,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     star = spokes.filter("a <> hub").select(F.col("hub").alias("a"), F.col("a").alias("b"))
     pairs = settle(_likely(found, skipped).union(star).distinct(), "pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    first = _verify(pairs, _texts(classes, wanted, docs, "first"), "first")
+    texts = _texts(classes, wanted, docs, "likely")
+    sketches = _sketches(texts, "likely")
+    # the distances to a hub are needed whether they are links or not
+    close = settle(_near(pairs, sketches).union(star).distinct(), "close")
+    first = _verify(close, texts, "first")
     is_link = linked(F.col("common"), F.col("n_a"), F.col("n_b"))
     links = first.filter(is_link).select("a", "b")
     roots = components(links)
@@ -455,9 +505,9 @@ def similar_sets(docs: DataFrame) -> DataFrame:
         F.min("root").alias("_least"), F.max("root").alias("_most")).filter("_least <> _most")
     left = settle(placed.join(open_.select("hub"), "hub"), "open")
     if not left.isEmpty():
-        texts = _texts(classes, left.select("a").distinct(), docs, "second")
+        texts = texts.join(left.select("a").distinct(), F.col("key") == F.col("a"), "left_semi")
         rest = settle(
-            _unsettled(left, _sketched(texts)).join(pairs, ["a", "b"], "left_anti"), "rest")
+            _unsettled(left, sketches, _shared(texts)).join(pairs, ["a", "b"], "left_anti"), "rest")
         second = _verify(rest, texts, "second")
         roots = components(links.union(second.filter(is_link).select("a", "b")))
 
