@@ -22,7 +22,7 @@ from tillworks.session import settle
 END = ""  # no word is empty
 SHORT = 511  # words of the short list, the end included
 OTHER, START = SHORT, SHORT + 1  # class of all other words; what stands before a text
-FREQUENT = 1 << 17  # words whose counts every task holds; the others' counts are joined
+FREQUENT = 1 << 17  # at most so many words' counts are held by every task; the others' are joined
 DIMENSIONS = 32
 NOISE = 128
 BATCH = 1024
@@ -69,6 +69,17 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame):
+    """The words of the greatest counts, as many whole counts as make FREQUENT words or fewer, in
+    order; by way of the number of words of each count, so no task sends its own list."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas()
+    sizes = sizes.sort_values("n", ascending=False)
+    fits = sizes["n"][sizes["words"].cumsum() <= FREQUENT]
+    least = int(fits.min()) if len(fits) else 1 << 62
+    top = counts.filter(F.col("n") >= least).toPandas()
+    return top.sort_values(["n", "word"], ascending=[False, True])
+
+
 def _ids(rank: np.ndarray) -> np.ndarray:
     """Output classes from ranks by frequency; -1 is a word that is not frequent."""
     return np.where((rank >= 0) & (rank < SHORT), rank, OTHER)
@@ -305,7 +316,7 @@ def score_all(docs: DataFrame) -> DataFrame:
     training = texts.filter(~F.col("held_out")).select("text")
     counts = settle(count_words(training), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
+    top = _frequent(counts)
     frequent = top["n"].to_numpy(np.int64)
     rank = {w.encode(): i for i, w in enumerate(top["word"])}
     short = frequent[:SHORT]
