@@ -27,7 +27,7 @@ def boilerplate(
     counted by their text, so a hash shared by two lines does no harm.
     """
     pages = settle(docs.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("pages")), "pages")
-    trimmed = F.filter(F.transform(_lines(F.col(text)), F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(_lines(F.col(text)), lambda x: F.trim(x)), lambda x: x != "")
     page = docs.select(F.col(site).alias("site"), F.array_distinct(trimmed).alias("lines"))
 
     def frequent(counted: DataFrame) -> DataFrame:

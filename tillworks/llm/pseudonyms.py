@@ -119,10 +119,10 @@ class Pseudonyms:
     def _digits(self, tag: str, digits: str) -> str:
         return self._mixed(tag, digits, ["0123456789"] * len(digits))
 
-    def _classes(self, tag: str, text: str) -> str:
-        """Permutes letters and digits, each within its class (hexadecimal text as a whole)."""
+    def _classes(self, tag: str, text: str, hexadecimal: bool = True) -> str:
+        """Permutes letters and digits, each within its class; long hexadecimal text as such."""
         chars = "".join(c for c in text if c.isascii() and c.isalnum())
-        if re.fullmatch("[0-9a-f]+", chars) and len(chars) >= 16:
+        if hexadecimal and len(chars) >= 16 and re.fullmatch("[0-9a-f]+", chars):
             alphabets = ["0123456789abcdef"] * len(chars)
             tag += "/hex"
         else:
@@ -148,7 +148,7 @@ class Pseudonyms:
 
         if not 15 <= len(plain) <= 34 or rest(plain) != 1:
             return None
-        body = self._classes(f"iban/{plain[:2]}", plain[4:])
+        body = self._classes(f"iban/{plain[:2]}", plain[4:], hexadecimal=False)
         check = 98 - rest(plain[:2] + "00" + body)
         return _refill(text, f"{plain[:2]}{check:02d}{body}", lambda c: c != " ")
 
