@@ -91,10 +91,13 @@ def passes(packed: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     return lambda hashes: bits[hashes >> shift]
 
 
-def keep_hashes(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+def keep_hashes(
+    df: DataFrame, column: str, wanted: DataFrame, others: bool = False
+) -> DataFrame:
     """Rows whose hash is among those wanted (one column), and by chance some others.
 
-    Comes before a join with few of many rows, so that the rest need not be shuffled.
+    Comes before a join with few of many rows, so that the rest need not be shuffled. With
+    ``others`` exactly the rows that are left out otherwise; a NULL hash counts as 0.
     """
     shared = df.sparkSession.sparkContext.broadcast(
         filter_bits(wanted.toDF("hash").filter("hash IS NOT NULL")))
@@ -106,7 +109,7 @@ def keep_hashes(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
         kept = passes(shared.value)
         for batch in batches:
             hashes = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(kept(hashes.view(np.uint64))))
+            yield batch.filter(pa.array(kept(hashes.view(np.uint64)) != others))
 
     return df.mapInArrow(run, df.schema)
 

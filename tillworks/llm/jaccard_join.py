@@ -529,14 +529,21 @@ def join_all(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the least doc_id of each group, with all its columns.
 
-    A repeated row (equal doc_id and text) stays once; documents without words all stay.
+    A repeated row (equal doc_id and text) stays once; documents without words all stay. Columns
+    named _doc, _hash and _text_hash must not be among those of ``docs`` that matter: the first
+    two may be there, the last is replaced.
     """
     judged = settle(similar_sets(docs), "similar")
     gone = settle(judged.filter(~F.col("keep")).select(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "gone")
-    kept = docs.join(
-        gone, docs["doc_id"].eqNullSafe(gone["_doc"])
-        & (F.xxhash64(docs["text"]) == gone["_hash"]), "left_anti")
+    # only documents that may be gone are shuffled for the join
+    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    maybe = keep_hashes(hashed, "_text_hash", gone.select("_hash"))
+    stays = maybe.join(
+        gone, maybe["doc_id"].eqNullSafe(gone["_doc"])
+        & (maybe["_text_hash"] == gone["_hash"]), "left_anti")
+    sure = keep_hashes(hashed, "_text_hash", gone.select("_hash"), others=True)
+    kept = sure.unionByName(stays).select(*docs.columns)
     repeated = judged.filter(F.col("keep") & (F.col("n_shingles") > 0)).groupBy(
         "doc_id", "text_hash").count().filter("count > 1")
     if repeated.isEmpty():
