@@ -53,3 +53,13 @@ def word_set(hashes: np.ndarray, k: int) -> np.ndarray:
     if len(hashes) == 0:
         return np.empty(0, np.uint64)
     return np.unique(shingles(hashes, min(k, len(hashes))))
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by byte, so that bytes that are mostly zero pack well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes, at: int, count: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8, 4 * count, at).reshape(4, count)
+    return np.ascontiguousarray(rows.T).view("<u4").ravel().astype(np.int64)

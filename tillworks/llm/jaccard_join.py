@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from tillworks.llm.common import fields, keep_hashes, partitions
 from tillworks.llm.components import components
-from tillworks.llm.hashing import WordHashes, mix, word_set
+from tillworks.llm.hashing import WordHashes, from_planes, mix, planes, word_set
 from tillworks.llm.pairing import with_texts
 from tillworks.session import settle
 
@@ -151,7 +151,7 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
                     top = np.concatenate([head[who], counts.reshape(-1, 2)], axis=1)
                     cut = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
                     pages.append(len(who).to_bytes(4, "little") + digests[who].tobytes()
-                                 + _planes(top.T.ravel()) + cut.tobytes())
+                                 + planes(top.T.ravel()) + cut.tobytes())
                     names.append(k)
             heads, sigs, held = [], [], 0
             seen.clear()
@@ -195,16 +195,6 @@ _DIGEST = 10
 _NUMBERS = 5
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 by byte, so that bytes that are mostly zero pack well."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _from_planes(data: bytes, at: int, count: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, 4 * count, at).reshape(4, count)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
 # kinds of rows that a bucket gives
 DOCUMENT, PAIR, SHARED, SKIPPED = range(4)
 _INSTANCES = 1 << 10
@@ -250,7 +240,7 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
                     bucket, who = k, int.from_bytes(p[:4], "little")
                     end = 4 + who * _DIGEST
                     digests_.append(np.frombuffer(p, f"S{_DIGEST}", who, 4))
-                    heads.append(_from_planes(p, end, who * _NUMBERS).reshape(_NUMBERS, who))
+                    heads.append(from_planes(p, end, who * _NUMBERS).reshape(_NUMBERS, who))
                     cut = np.frombuffer(p, np.uint8, offset=end + who * _NUMBERS * 4)
                     low = np.zeros((len(cut) // _LOW, 8), np.uint8)
                     low[:, :_LOW] = cut.reshape(-1, _LOW)
