@@ -89,11 +89,31 @@ def test_new_barcode_goes_to_the_first_row(spark, shop, now):
             dict(row_no=3, id="10", barcode="NEW", product_name="Leche", retail_price="1"),
             dict(row_no=4, barcode="NEW", product_name="Otro", retail_price="1")]
     result = run(spark, shop, now, rows)
-    assert {k: v[0] for k, v in log(result).items()} == {2: "actualizado", 3: "error", 4: "error"}
+    assert {k: v[0] for k, v in log(result).items()} == {
+        2: "actualizado", 3: "error", 4: "actualizado"}
     codes = [r.barcode for r in result.products.collect() if r.barcode]
     assert len(codes) == len(set(codes)) and "NEW" in codes
 
 
+def test_freed_barcode_makes_a_new_product(spark, shop, now):
+    rows = [dict(row_no=2, id="10", barcode="B", product_name="Milk2", retail_price="1"),
+            dict(row_no=3, barcode="7501", product_name="Bread", retail_price="9"),
+            dict(row_no=4, barcode="B", product_name="Milk3", retail_price="2"),
+            dict(row_no=5, id="10", barcode="7501", product_name="Lost", retail_price="2"),
+            dict(row_no=6, id="11", barcode="C", product_name="Pan", retail_price="2"),
+            dict(row_no=7, id="10", barcode="7502", product_name="Milk4", retail_price="2"),
+            dict(row_no=None, barcode="7502", product_name="No number", retail_price="2")]
+    result = run(spark, shop, now, rows)
+    assert {k: v[0] for k, v in log(result).items()} == {
+        2: "actualizado", 3: "creado", 4: "actualizado", 5: "error", 6: "actualizado",
+        7: "actualizado", None: "error"}
+    table = {r.barcode: (r.id, r.product_name) for r in result.products.collect() if r.barcode}
+    assert table["7502"] == (10, "Milk4") and table["C"] == (11, "Pan") and "B" not in table
+    assert table["7501"] == (14, "Bread")
+    again = run(spark, shop, now, rows, last_id=40)
+    assert again.products.filter("product_name = 'Bread'").first().id == 41
+
+
 def replay(products, rows):
     """Row by row over dicts: the plain meaning of an import."""
     table = {p["id"]: dict(p) for p in products}
@@ -111,8 +131,14 @@ def replay(products, rows):
         values = dict(product_name=r["product_name"], description=r.get("description"),
                       retail_price=price, wholesale_price=wholesale,
                       stock=int(r.get("stock") or 0), unit=r.get("unit") or "unidad")
-        if target is not None:
+        code = r.get("barcode")
+        if target is not None and code and any(
+                p["barcode"] == code for i, p in table.items() if i != target):
+            status[r["row_no"]] = "error"
+        elif target is not None:
             table[target].update(values)
+            if code:
+                table[target]["barcode"] = code
             status[r["row_no"]] = "actualizado"
         elif price:
             created += 1
@@ -123,7 +149,8 @@ def replay(products, rows):
     return table, status
 
 
-def test_import_equals_replay(spark, make, now):
+@pytest.mark.parametrize("moves", [[], ["swap"], ["swap", "take"]])
+def test_import_equals_replay(spark, make, now, moves):
     rnd = random.Random(3)
     products = [
         dict(id=i, barcode=f"B{i}" if i % 4 else None, product_name=f"p{i}", retail_price=9.0,
@@ -133,7 +160,7 @@ def test_import_equals_replay(spark, make, now):
     for n in range(2, 600):
         i = rnd.randint(0, 39)
         # a third of all rows belong to one new barcode
-        kind = rnd.choice(["id", "code", "both", "new", "hot", "hot"])
+        kind = rnd.choice(["id", "code", "both", "new", "hot", "hot", *moves])
         r = dict(row_no=n, product_name=rnd.choice(["x", "y", "z", None]),
                  description=rnd.choice([None, f"d{n}"]),
                  retail_price=rnd.choice([None, "0", "5", "7.25"]),
@@ -144,6 +171,11 @@ def test_import_equals_replay(spark, make, now):
             r["id"] = str(i)
         if kind in ("code", "both"):
             r["barcode"] = code
+        if kind in ("swap", "take"):
+            r["id"] = str(i)
+            r["barcode"] = rnd.choice(["N1", "N2", f"B{rnd.randint(0, 12)}", f"M{n % 7}"])
+            if kind == "take":
+                r["barcode"] = rnd.choice(["HOT", None, r["barcode"]])
         if kind == "new":
             r["barcode"] = f"N{rnd.randint(0, 30)}"
         if kind == "hot":

@@ -1,17 +1,18 @@
 """Bulk product upsert from a feed of text rows.
 
-Rows of one target apply in row order. Targets are matched against the catalogue as it stands
-before the feed, plus products that earlier rows of the feed create under a barcode. A barcode
-wanted by several products goes to its owner, else to the first row; the other rows are refused.
+Rows apply in row order. A barcode belongs to the product that holds it as of the row: earlier rows
+may have created its product, moved it there or freed it. A row that wants a barcode of another
+product is refused. Which products are active, and so found by id, is as before the feed.
 Everything per target is an aggregate ("last non-NULL by row number"), so a product or barcode
-repeated very often in the feed is combined before the shuffle.
+repeated very often in the feed is combined before the shuffle; only barcodes that some row moves
+are followed row by row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.pricing import money_from_text, whole_from_text
@@ -46,12 +47,12 @@ def _present(col: str) -> Column:
 
 
 def parse_feed_numbers(feed: DataFrame, missing: str = "default") -> DataFrame:
-    """Number columns parsed; ``bad_number`` tells a text that is none.
+    """Number columns parsed; ``bad_number`` tells a text or a row number that is none.
 
     A missing price, cost or stock becomes 0, or stays NULL with ``missing="keep"``. A missing or
     zero wholesale price or minimum quantity is NULL.
     """
-    bad = F.lit(False)
+    bad = F.col("row_no").isNull()
     parsed: dict[str, Column] = {}
     for cols, parse in ((_MONEY, money_from_text), (_WHOLE, whole_from_text)):
         for c in cols:
@@ -96,22 +97,110 @@ def resolve_names(feed: DataFrame, categories: DataFrame, suppliers: DataFrame)
 
 
 def match_target(feed: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds ``bad_id`` and ``target``: an active product by id, else any product by barcode."""
+    """Adds ``bad_id``, ``by_id`` (an active product) and ``target``: that, else any product by
+    barcode, before the feed."""
     wanted = whole_from_text(F.col("id"))
-    by_id = products.filter("active").select(F.col("id").alias("_by_id"))
+    by_id = products.filter("active").select(F.col("id").alias("by_id"))
     by_code = products.filter("barcode is not null").select(
         "barcode", F.col("id").alias("_by_code")
     )
     return (
         feed.withColumn("bad_id", _present("id") & wanted.isNull())
         .withColumn("_wanted", wanted)
-        .join(by_id, F.col("_wanted") == F.col("_by_id"), "left")
+        .join(by_id, F.col("_wanted") == F.col("by_id"), "left")
         .join(by_code, "barcode", "left")
-        .withColumn("target", F.coalesce("_by_id", "_by_code"))
-        .drop("_wanted", "_by_id", "_by_code", "id")
+        .withColumn("target", F.coalesce("by_id", "_by_code"))
+        .drop("_wanted", "_by_code", "id")
     )
 
 
+def _has_price() -> Column:
+    return F.coalesce("retail_price", F.lit(0)) != 0
+
+
+def _moved_barcodes(clean: DataFrame, owned: DataFrame) -> DataFrame:
+    """Barcodes that a row gives to a product found by id which held another or none before the
+    feed, and those such products held."""
+    held = owned.select(F.col("_owner").alias("by_id"), F.col("barcode").alias("_held"))
+    moving = (
+        clean.filter("by_id is not null and barcode is not null").select("by_id", "barcode")
+        .join(held, "by_id", "left").filter(~F.col("barcode").eqNullSafe(F.col("_held")))
+    )
+    moved = moving.select("barcode").union(moving.select("_held").dropna()).distinct()
+    return settle(moved, "feed-moved")
+
+
+def _settled_outcomes(rows: DataFrame) -> DataFrame:
+    """``outcome`` and ``made_by`` (the row that creates the product) of rows whose barcode stays
+    with its product: the first row with a price creates the product of a new barcode."""
+    new = F.col("target").isNull()
+    starts = rows.filter(new & F.col("barcode").isNotNull() & _has_price()).groupBy("barcode").agg(
+        F.min("row_no").alias("_start")
+    )
+    made_by = F.when(
+        new, F.when(F.col("barcode").isNotNull(), F.col("_start"))
+        .when(_has_price(), F.col("row_no")))
+    placed = rows.join(starts, "barcode", "left").withColumn("made_by", made_by)
+    # rows of a new barcode before the one that creates it have no price
+    outcome = (
+        F.when(~new, UPDATED)
+        .when(F.col("made_by").isNull() | (F.col("row_no") < F.col("made_by")), "price_required")
+        .when(F.col("row_no") == F.col("made_by"), CREATED)
+        .otherwise(UPDATED)
+    )
+    return placed.withColumn("outcome", outcome).drop("_start")
+
+
+def _moving_outcomes(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """``outcome``, ``made_by`` and ``target`` of rows whose barcodes change hands.
+
+    Rounds over all rows at once: from the outcomes assumed so far follows who holds each barcode
+    before each row (a product that takes a barcode frees the one it held), and from that the
+    outcomes. Outcomes depend on earlier rows only, so each round settles at least one more link of
+    every chain, and what no longer changes equals row-by-row processing. New products are
+    numbered by minus the row that creates them.
+    """
+    asks = settle(
+        rows.select("row_no", "barcode", "by_id", _has_price().alias("priced")), "feed-asks")
+    opening = settle(owned.select(
+        F.lit(-1).cast("long").alias("row_no"), "barcode", F.col("_owner").alias("product")),
+        "feed-owned")
+    decided = asks.withColumns({"product": F.col("by_id"), "ok": F.col("by_id").isNotNull()})
+    changed = 1
+    while changed:
+        taken = opening.unionByName(
+            decided.filter("ok").select("row_no", "barcode", "product"))
+        before = F.lag("barcode").over(Window.partitionBy("product").orderBy("row_no"))
+        freed = taken.withColumn("_left", before).filter("_left <> barcode").select(
+            "row_no", F.col("_left").alias("barcode"), F.lit(None).cast("long").alias("product"))
+        events = taken.unionByName(freed).select(
+            "barcode", "row_no", F.lit(1).alias("_kind"), F.struct("product").alias("_event"))
+        seen = decided.withColumn("_kind", F.lit(0)).unionByName(events, allowMissingColumns=True)
+        holder = F.last("_event", ignorenulls=True).over(
+            Window.partitionBy("barcode").orderBy("row_no", "_kind")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))["product"]
+        new = F.when(F.col("priced"), -F.col("row_no"))
+        product = F.coalesce("by_id", "_holder", new)
+        ok = product.isNotNull() & F.coalesce(F.col("_holder") == product, F.lit(True))
+        judged = seen.withColumn("_holder", holder).filter("_kind = 0").select(
+            "row_no", "barcode", "by_id", "priced", product.alias("product"), ok.alias("ok"),
+            (~product.eqNullSafe(F.col("product")) | (ok != F.col("ok"))).alias("_changed"))
+        judged = settle(judged, "feed-round")
+        changed = judged.filter("_changed").count()
+        decided = judged.drop("_changed")
+    outcome = (
+        F.when(F.col("product").isNull(), "price_required")
+        .when(~F.col("ok"), "duplicate")
+        .when(F.col("product") == -F.col("row_no"), CREATED)
+        .otherwise(UPDATED)
+    )
+    results = decided.select(
+        "row_no", F.when(F.col("product") >= 0, F.col("product")).alias("target"),
+        F.when(F.col("product") < 0, -F.col("product")).alias("made_by"),
+        outcome.alias("outcome"))
+    return rows.drop("target").join(results, "row_no")
+
+
 @dataclass
 class Import:
     products: DataFrame
@@ -125,11 +214,13 @@ def upsert_products(
     suppliers: DataFrame,
     now: Column,
     missing: str = "default",
+    last_id: int = 0,
 ) -> Import:
     """The catalogue after the feed, and one log row per named feed row.
 
     Update: non-NULL values overwrite, and of the nullable fields (description, wholesale price,
-    minimum quantity) NULL overwrites too. Insert: needs a sale price other than zero.
+    minimum quantity) NULL overwrites too. Insert: needs a sale price other than zero. ``last_id``
+    is the highest id that products ever had.
     """
     parsed = parse_feed_flags(parse_feed_numbers(clean_feed(feed), missing), missing)
     rows = settle(
@@ -137,35 +228,14 @@ def upsert_products(
     )
     clean = rows.filter(~F.col("bad_number") & ~F.col("bad_id"))
 
-    # who gets a barcode: its owner, else the target (or new product) of the first row wanting it
-    is_new = F.col("target").isNull()
-    claims = clean.filter("barcode is not null")
-    # a new product without a price creates nothing, so it claims nothing
-    claims = claims.filter(~is_new | (F.col("retail_price") != 0))
-    first = claims.groupBy("barcode").agg(
-        F.min_by("target", "row_no").alias("_holder"), F.min("row_no").alias("_start")
-    )
     owned = products.select("barcode", F.col("id").alias("_owner")).dropna()
-    holders = first.join(owned, "barcode", "left").select(
-        "barcode", "_start", F.coalesce("_owner", "_holder").alias("_holder")
+    moved = _moved_barcodes(clean, owned)
+    judged = settle(
+        _settled_outcomes(clean.join(moved, "barcode", "left_anti"))
+        .unionByName(_moving_outcomes(clean.join(moved, "barcode"), owned.join(moved, "barcode"))),
+        "feed-judged",
     )
-    placed = clean.join(holders, "barcode", "left")
-    refused = F.col("barcode").isNotNull() & ~F.col("target").eqNullSafe(F.col("_holder"))
-    no_price = is_new & (F.coalesce("retail_price", F.lit(0)) == 0)
-    creates = F.col("barcode").isNull() | (F.col("row_no") == F.col("_start"))
-    # rows of a new barcode before the one that creates it have no price
-    early = is_new & F.col("barcode").isNotNull() & (
-        F.col("_start").isNull() | (F.col("row_no") < F.col("_start"))
-    )
-    outcome = (
-        F.when(~is_new & refused, "duplicate")
-        .when(~is_new, UPDATED)
-        .when(early | (F.col("barcode").isNull() & no_price), "price_required")
-        .when(refused, "duplicate")
-        .when(creates, CREATED)
-        .otherwise(UPDATED)
-    )
-    judged = settle(placed.withColumn("outcome", outcome).drop("_holder", "_start"), "feed-judged")
+    is_new = F.col("target").isNull()
     applied = judged.filter(F.col("outcome").isin(CREATED, UPDATED))
 
     row = F.col("row_no")
@@ -188,15 +258,8 @@ def upsert_products(
 
     updated = products.join(updates, "id", "left").select(*[value(c) for c in products.columns])
 
-    # one new product per barcode, or per row without one
-    new_key = F.struct("barcode", F.when(F.col("barcode").isNull(), row).alias("row_no"))
-    created = (
-        applied.filter(is_new)
-        .withColumn("_key", new_key)
-        .groupBy("_key")
-        .agg(*folds, F.min("row_no").alias("_row"))
-    )
-    numbered = with_new_ids(created, products, ["_row"])
+    created = applied.filter(is_new).groupBy(F.col("made_by").alias("_row")).agg(*folds)
+    numbered = with_new_ids(created, products, ["_row"], last_id)
     defaults = {"cost_price": 0, "stock": 0, "min_stock": 0, "unit": DEFAULT_UNIT, "active": True}
 
     def created_value(field) -> Column:
