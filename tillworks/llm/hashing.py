@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MOST_WORDS = 1 << 20
+_MOST_WORDS = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
