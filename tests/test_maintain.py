@@ -105,7 +105,9 @@ def test_new_ids_grow_with_the_order(spark):
     rows = spark.range(1000).selectExpr("id * 37 % 1000 as seq")
     table = spark.createDataFrame([(41,)], "id long")
     out = [r.id for r in with_new_ids(rows, table, ["seq"]).orderBy("seq").collect()]
-    assert out == sorted(out) and len(set(out)) == 1000 and out[0] == 42
+    assert out == list(range(42, 1042))
+    above = with_new_ids(rows, table, ["seq"], last_id=99)
+    assert above.agg(F.min("id")).first()[0] == 100
 
 
 def test_integrity_checks(spark, shop, make):

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tillworks.operators import reports
+from tillworks.operators import maintain, reports
 from tillworks.schemas import REPORT_BY_USER, REPORT_PERIOD, TABLES
 from tillworks.session import clear_scratch, scratch_path, scratch_root, settle
 from tillworks.sources import feed, report_files, snapshots, tables
@@ -158,13 +158,66 @@ def test_stream_stock_is_applied_once(spark, shop, tmp_path):
         stream = summary.stream_table(
             spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
         stream_stock.stream_movements(
-            stream, root, str(tmp_path / "log"), str(tmp_path / "cp"), ["seq"]).awaitTermination()
+            stream, root, str(tmp_path / "log"), str(tmp_path / "cp"), ["seq"],
+            "till").awaitTermination()
     assert tables.read_table(spark, root, "products").filter("id = 10").first().stock == 0
     logged = spark.read.parquet(str(tmp_path / "log"))
     assert {r.seq: r.reason for r in logged.collect()} == {
         1: None, 2: "insufficient_stock", 3: None, 4: None}
     # the same batches once more, as after a lost checkpoint: nothing changes
     stream_stock.stream_movements(
-        stream, root, str(tmp_path / "log"), str(tmp_path / "cp2"), ["seq"]).awaitTermination()
+        stream, root, str(tmp_path / "log"), str(tmp_path / "cp2"), ["seq"],
+        "till").awaitTermination()
     products = tables.read_table(spark, root, "products")
     assert products.filter(F.col("id") == 10).first().stock == 0
+
+
+def test_two_streams_over_one_root(spark, make, tmp_path):
+    root = str(tmp_path / "root")
+    tables.commit_tables(
+        spark, root, {"products": make("products", [dict(id=1, stock=5, active=True)])})
+    spark.createDataFrame(
+        [(1, 1, 7, "entrada")], "seq long, product_id long, quantity long, kind string"
+    ).write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    for name in ("one", "two", "one"):
+        stream = summary.stream_table(spark, str(tmp_path / "in"), schema)
+        stream_stock.stream_movements(
+            stream, root, str(tmp_path / "log"), str(tmp_path / f"cp-{name}-{os.urandom(4).hex()}"),
+            ["seq"], name).awaitTermination()
+    assert tables.read_table(spark, root, "products").first().stock == 19
+    # a log folder without its commit does not count
+    spark.createDataFrame([(2, "x")], "seq long, reason string").write.parquet(
+        str(tmp_path / "log" / "stream=one" / "commit=none"))
+    logged = stream_stock.movement_log(spark, root, str(tmp_path / "log"), "one")
+    assert [r.seq for r in logged.collect()] == [1]
+    with pytest.raises(ValueError, match="name"):
+        stream_stock.stream_movements(stream, root, "x", "y", ["seq"], "a/b")
+
+
+def test_ids_are_not_given_again(spark, shop, tmp_path):
+    root = str(tmp_path)
+    tables.commit_tables(spark, root, {"users": shop["users"]})
+    tables.commit_tables(spark, root, {"users": shop["users"].filter("id < 3")})
+    used = tables.last_ids(spark, root)
+    assert used == {"users": 3}
+    new = spark.createDataFrame(
+        [(1, "dora", "h", "empleado")],
+        "seq long, username string, password_hash string, role string")
+    users = tables.read_table(spark, root, "users")
+    done = maintain.insert_rows("users", users, new, used["users"])
+    assert sorted(r.id for r in done.table.collect()) == [1, 2, 4]
+
+
+def test_feed_with_line_breaks_and_bad_row_numbers(spark, tmp_path):
+    path = str(tmp_path / "feed.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('row_no,Código Barras,Nombre Producto,Precio Venta,Descripción\n'
+                '2,1,a,1.0,"two\nlines"\nx,2,b,1.0,\n')
+    got = {r.product_name: (r.row_no, r.description)
+           for r in feed.read_product_feed(spark, path).collect()}
+    assert got == {"a": (2, "two\nlines"), "b": (None, None)}
+    out = str(tmp_path / "written")
+    feed.write_feed(feed.read_product_feed(spark, path), out)
+    assert {r.description for r in feed.read_product_feed(spark, out).collect()} == {
+        "two\nlines", None}

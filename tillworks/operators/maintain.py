@@ -62,9 +62,12 @@ def insert_unique(
     keys: list[str],
     required: tuple[str, ...] = (),
     domains: dict[str, tuple[str, ...]] | None = None,
+    last_id: int = 0,
 ) -> Changed:
     """Append ``rows`` under new ids; the first of equal keys wins, taken keys are refused.
 
+    ``last_id`` is the highest id the table ever had, where higher than those in it.
+
     Rows that lack a required value or hold one outside its set are refused and claim no key.
     """
     missing = _any([F.col(c).isNull() for c in required])
@@ -77,7 +80,7 @@ def insert_unique(
     judged = complete.join(free.withColumn("_first", F.lit(True)), [*keys, "seq"], "left")
     passed = _any([F.col(k).isNull() for k in keys]) | F.col("_first").isNotNull()
     added = with_new_ids(
-        judged.filter(passed).select(*rows.columns), table, ["seq"]
+        judged.filter(passed).select(*rows.columns), table, ["seq"], last_id
     )
     values = [
         F.col(f.name).cast(f.dataType).alias(f.name) if f.name in added.columns
@@ -96,14 +99,16 @@ def hash_passwords(rows: DataFrame) -> DataFrame:
     return rows.withColumn("password_hash", sha256_hex("password")).drop("password")
 
 
-def insert_rows(name: str, table: DataFrame, rows: DataFrame) -> Changed:
+def insert_rows(name: str, table: DataFrame, rows: DataFrame, last_id: int = 0) -> Changed:
     """``insert_unique`` with the unique key, required fields and value sets of the named table."""
     return insert_unique(
-        table, rows, list(UNIQUE[name][0]), REQUIRED[name], DOMAINS.get(name)
+        table, rows, list(UNIQUE[name][0]), REQUIRED[name], DOMAINS.get(name), last_id
     )
 
 
-def insert_products(products: DataFrame, rows: DataFrame, now: Column) -> Changed:
+def insert_products(
+    products: DataFrame, rows: DataFrame, now: Column, last_id: int = 0
+) -> Changed:
     """New products with their defaults; name and sale price must be given."""
     named = rows.withColumn("product_name", F.nullif("product_name", F.lit("")))
     defaults = DEFAULTS["products"]
@@ -113,7 +118,7 @@ def insert_products(products: DataFrame, rows: DataFrame, now: Column) -> Change
     }
     filled = fill_defaults("products", named.withColumns(absent), now)
     stamped = filled.withColumn("modified_at", now)
-    return insert_rows("products", products, stamped)
+    return insert_rows("products", products, stamped, last_id)
 
 
 def _key_conflicts(
@@ -331,7 +336,7 @@ def _unknown_permission(named: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def set_user_permissions(
-    user_permissions: DataFrame, permissions: DataFrame, changes: DataFrame
+    user_permissions: DataFrame, permissions: DataFrame, changes: DataFrame, last_id: int = 0
 ) -> Changed:
     """Upsert overrides (seq, user_id, permission, granted); the last change per pair wins."""
     named = _with_permission_id(changes, permissions)
@@ -342,7 +347,7 @@ def set_user_permissions(
         .agg(F.max_by("granted", "seq").alias("granted"))
     )
     kept = user_permissions.join(latest.select(*pair), pair, "left_anti")
-    added = with_new_ids(latest, user_permissions, pair)
+    added = with_new_ids(latest, user_permissions, pair, last_id)
     columns = user_permissions.columns
     return Changed(
         kept.select(*columns).unionByName(added.select(*columns)),
@@ -351,14 +356,14 @@ def set_user_permissions(
 
 
 def grant_role(
-    role_permissions: DataFrame, permissions: DataFrame, changes: DataFrame
+    role_permissions: DataFrame, permissions: DataFrame, changes: DataFrame, last_id: int = 0
 ) -> Changed:
     """Add (role, permission) pairs that are not there yet."""
     named = _with_permission_id(changes, permissions)
     pair = ["role", "permission_id"]
     wanted = named.filter("permission_id is not null").select(*pair).distinct()
     missing = wanted.join(role_permissions.select(*pair), pair, "left_anti")
-    added = with_new_ids(missing, role_permissions, pair)
+    added = with_new_ids(missing, role_permissions, pair, last_id)
     return Changed(
         role_permissions.unionByName(added.select(*role_permissions.columns)),
         _unknown_permission(named, changes.columns),

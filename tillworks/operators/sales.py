@@ -116,14 +116,17 @@ def post_sales(
     sales: DataFrame,
     sale_lines: DataFrame,
     now: Column,
+    last_ids: dict[str, int] | None = None,
     **allocation,
 ) -> Posting:
     """Post sales in the order of ``seq``; a sale is taken whole or refused whole.
 
     ``new_sales``: seq, sale_ref, user_id, client_name, client_ident, total, tendered (text),
     payment_type, status, notes. ``new_lines``: sale_ref, position, product_id, quantity,
-    unit_price.
+    unit_price. ``last_ids``: the highest ids that sales and sale_lines ever had
+    (``sources.tables.last_ids``).
     """
+    used = last_ids or {}
     checked = settle(
         validate_sales(new_sales, new_lines, products, grants, check_stock=False), "post-checked"
     )
@@ -144,7 +147,9 @@ def post_sales(
         )
     )
 
-    headers = with_new_ids(valid.join(taken, "sale_ref"), sales, ["seq"])
+    headers = with_new_ids(
+        valid.join(taken, "sale_ref"), sales, ["seq"], used.get("sales", 0)
+    )
     headers = headers.withColumn(
         "_paid", tender(F.col("total"), F.col("tendered"), F.col("payment_type"))
     )
@@ -165,6 +170,7 @@ def post_sales(
         new_lines.join(headers.select("sale_ref", F.col("id").alias("sale_id")), "sale_ref"),
         sale_lines,
         ["sale_id", "position", "product_id", "quantity"],
+        used.get("sale_lines", 0),
     ).select(
         "id",
         "sale_id",

@@ -354,21 +354,20 @@ def h5_refused(t):
     return maintain.hard_delete(t.suppliers, named).refused
 
 
-_FULL = "select supplier_id from products where active and stock >= 480"
+_IN_USE = "select supplier_id from products where active"
 
 
 @query("h6_guarded_delete", with_views("suppliers products", f"""
-    select id, 'kept' as outcome from suppliers where id in ({_FULL})
-    union all select id, 'in_use' from suppliers where id in ({_FULL})
+    select id, 'kept' as outcome from suppliers where id in ({_IN_USE})
+    union all select id, 'in_use' from suppliers where id in ({_IN_USE})
     union all select distinct supplier_id, 'not_found' from products
     where supplier_id not in (select id from suppliers)"""))
 def h6(t):
-    # every supplier is to go unless it has a product on full stock; some ids do not exist
+    # every supplier is to go unless it has an active product; some ids do not exist
     ids = t.suppliers.select("id").unionByName(
         t.products.select(F.col("supplier_id").alias("id"))
     )
-    full = t.products.filter("stock >= 480")
-    done = maintain.guarded_delete(t.suppliers, ids, full, "supplier_id")
+    done = maintain.guarded_delete(t.suppliers, ids, t.products, "supplier_id")
     return done.table.select("id", F.lit("kept").alias("outcome")).unionByName(
         done.refused.select("id", F.col("reason").alias("outcome"))
     )

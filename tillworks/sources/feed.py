@@ -17,10 +17,12 @@ def read_product_feed(spark: SparkSession, path: str, file_format: str = "csv")
     The first line of a delimited file is its header. The row number must be in the file, because
     a file read in parallel has no line order. Refused unless product name, barcode and
     sale price headers are present (JSON lines have no header: there a missing key is NULL); absent
-    optional columns are NULL.
+    optional columns are NULL. A row number that is none reads as NULL, and the import refuses
+    that row. Quoted texts of delimited files may hold line breaks, so such a file is read by one
+    task; large feeds come as several files, or as JSON lines or Parquet.
     """
     if file_format == "csv":
-        raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+        raw = spark.read.option("header", True).option("multiLine", True).csv(path)
     elif file_format == "json":
         raw = spark.read.schema(string_schema([ROW_NO, *FEED_COLUMNS])).json(path)
     elif file_format == "parquet":
@@ -31,7 +33,7 @@ def read_product_feed(spark: SparkSession, path: str, file_format: str = "csv")
     if absent:
         raise ValueError("the feed lacks the headers: " + ", ".join(absent))
     return raw.select(
-        F.col(ROW_NO).cast("long").alias(ROW_NO),
+        F.col(ROW_NO).try_cast("long").alias(ROW_NO),
         *[
             (F.col(f"`{h}`") if h in raw.columns else F.lit(None)).cast("string").alias(c)
             for h, c in FEED_COLUMNS.items()

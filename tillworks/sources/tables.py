@@ -1,7 +1,7 @@
 """Versioned tables: Parquet folders named by an append-only list of versions.
 
 ``root/versions`` holds one small JSON file per commit with (version, table_name, path, n_rows,
-tag); the highest version is the current one. A commit first writes the changed tables to new folders
+tag, last_id); the highest version is the current one. A commit first writes the changed tables to new folders
 and appends its list last, in one file, so readers see the old version or the new one and a
 path being read is never overwritten. One writer at a time.
 """
@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 from tillworks.schemas import TABLES
 
 LAYOUT = {"sales": ("sold_at", "id"), "sale_lines": ("sale_id", "id")}
-_VERSIONS = "version long, table_name string, path string, n_rows long, tag string"
+_VERSIONS = "version long, table_name string, path string, n_rows long, tag string, last_id long"
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    """All committed (version, table_name, path, n_rows, tag)."""
+    """All committed (version, table_name, path, n_rows, tag, last_id)."""
     try:
         return spark.read.schema(_VERSIONS).json(f"{root}/versions")
     except AnalysisException as error:
@@ -39,6 +39,12 @@ def current(spark: SparkSession, root: str) -> dict[str, tuple[int, str, int]]:
     return {r.table_name: (r.version, r.path, r.n_rows) for r in rows}
 
 
+def last_ids(spark: SparkSession, root: str) -> dict[str, int]:
+    """table name -> the highest id that any version of the table ever held."""
+    known = versions(spark, root).groupBy("table_name").agg(F.max("last_id").alias("last_id"))
+    return {r.table_name: r.last_id or 0 for r in known.collect()}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The current version of a table under its fixed schema; empty if never written."""
     schema = TABLES[name]
@@ -85,10 +91,16 @@ def commit_tables(
     before = current(spark, root)
     version = max((v for v, _, _ in before.values()), default=0) + 1
     rows = {name: (path, n) for name, (_, path, n) in before.items()}
+    highest = last_ids(spark, root)
     for name, df in tables.items():
         path = f"{root}/data/{name}/v{version:08d}-{uuid.uuid4().hex[:8]}"
         rows[name] = (path, write_files(as_stored(name, df), path, LAYOUT.get(name, ())))
-    listing = [(version, name, path, n, tag) for name, (path, n) in sorted(rows.items())]
+        newest = spark.read.schema(TABLES[name]).parquet(path).agg(F.max("id")).first()[0]
+        highest[name] = max(highest.get(name, 0), newest or 0)
+    listing = [
+        (version, name, path, n, tag, highest.get(name, 0))
+        for name, (path, n) in sorted(rows.items())
+    ]
     spark.createDataFrame(listing, _VERSIONS).coalesce(1).write.mode("append").json(
         f"{root}/versions"
     )

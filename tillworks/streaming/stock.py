@@ -2,35 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillworks.operators.stock import apply_movements, stock_after
-from tillworks.sources.tables import commit_tables, is_tagged, read_table
+from tillworks.sources.tables import commit_tables, read_table, versions
+
+
+def movement_log(spark: SparkSession, root: str, log_path: str, name: str) -> DataFrame | None:
+    """The movements that the stream ``name`` has applied; None if there are none yet.
+
+    Folders whose commit never happened, as after a failure, are left out.
+    """
+    try:
+        logged = spark.read.parquet(f"{log_path}/stream={name}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    done = versions(spark, root).filter(F.col("tag").startswith(f"{name}/")).select(
+        F.substring_index("tag", "/", -1).alias("commit")
+    ).distinct()
+    return logged.join(done, "commit", "left_semi").drop("commit")
 
 
 def stream_movements(
-    movements: DataFrame, root: str, log_path: str, checkpoint: str, order_by: list[str]
+    movements: DataFrame, root: str, log_path: str, checkpoint: str, order_by: list[str], name: str
 ) -> StreamingQuery:
     """Apply each micro-batch to the products table under ``root`` and commit a new version.
 
-    Within a batch, movements apply in the total order ``order_by``. The commit carries the batch
-    number, so a batch that Spark runs again after a failure is not applied twice; its log folder
-    is written before the commit and replaced by such a second run.
+    Within a batch, movements apply in the total order ``order_by``, whose values must not be NULL
+    and tell the movements of the stream ``name`` apart: those that its log already has are not
+    applied again, whatever batch they come in, so neither a batch that Spark runs twice nor a
+    lost checkpoint changes anything. Streams of other names share nothing but the products.
+    The log is written before the commit that makes it valid, and read only in the range of the
+    batch. One stream writes to a root at a time.
     """
+    if not name or "/" in name:
+        raise ValueError("a stream needs a name without slashes")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tag = f"movements-{batch_id}"
-        if is_tagged(spark, root, tag):
+        first = order_by[0]
+        low, high = batch.agg(F.min(first), F.max(first)).first()
+        if low is None:
+            return
+        known = movement_log(spark, root, log_path, name)
+        if known is not None:
+            span = known.filter(F.col(first).between(F.lit(low), F.lit(high)))
+            batch = batch.join(span.select(*order_by), order_by, "left_anti")
+        if batch.isEmpty():
             return
         products = read_table(spark, root, "products")
         applied = apply_movements(products, batch, order_by)
-        applied.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        commit = uuid.uuid4().hex
+        folder = f"{log_path}/stream={name}/commit={commit}"
+        applied.write.parquet(folder)
+        written = spark.read.schema(applied.schema).parquet(folder)
         now = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
-        table = stock_after(products, applied, order_by, now)
-        commit_tables(spark, root, {"products": table}, tag)
+        table = stock_after(products, written, order_by, now)
+        commit_tables(spark, root, {"products": table}, f"{name}/{commit}")
 
     return (
         movements.writeStream.foreachBatch(apply)
