@@ -37,16 +37,15 @@ def replay(transactions, opening):
     return out
 
 
-@pytest.mark.parametrize("options", [
-    {"head_lines": 0, "slow_share": 0}, {"slow_share": 2, "head_lines": 1}])
+@pytest.mark.parametrize("options", [{}, {"block_lines": 1}, {"block_lines": 4}])
 def test_allocation_cases(spark, options):
     got = allocate(spark, [(s, x) for s, x, _ in CASES], {"A": 10, "B": 5}, **options)
     assert got == {s: ok for s, _, ok in CASES}
 
 
 @pytest.mark.parametrize("seed,options", [
-    (1, {"head_lines": 0, "slow_share": 0}), (2, {}), (3, {"head_lines": 25, "slow_share": 0.5})])
-def test_allocation_equals_replay(spark, small_slices, seed, options):
+    (1, {"block_lines": 40}), (2, {}), (3, {"block_lines": 150})])
+def test_allocation_equals_replay(spark, seed, options):
     rnd = random.Random(seed)
     # product p0 is in a third of all lines
     names = [f"p{i}" for i in range(25)]
@@ -63,6 +62,26 @@ def test_allocation_equals_replay(spark, small_slices, seed, options):
     assert allocate(spark, transactions, opening, **options) == replay(transactions, opening)
 
 
+def test_long_chains_take_no_more_rounds_than_blocks(spark, monkeypatch):
+    # sale i of a chain wants what sale i - 1 may have taken, so verdicts alternate along a chain
+    chains, length = 50, 120
+    transactions = [
+        (i * chains + c, [(f"c{c}-{i}", 1), (f"c{c}-{i + 1}", 1)])
+        for c in range(chains) for i in range(length)]
+    opening = {f"c{c}-{i}": 1 for c in range(chains) for i in range(length + 1)}
+    written = []
+
+    def settle(df, label):
+        written.append(label)
+        return write(df, label)
+
+    write = stock.settle
+    monkeypatch.setattr(stock, "settle", settle)
+    got = allocate(spark, transactions, opening, block_lines=3000)
+    assert got == {seq: (seq // chains) % 2 == 0 for seq, _ in transactions}
+    assert 1 < written.count("alloc-round") <= 4
+
+
 def move_all(moves, opening):
     left, out = dict(opening), []
     for seq, product, quantity, kind in sorted(moves):
@@ -191,7 +210,7 @@ def test_posting_equals_replay(spark, make, now, small_slices):
     grants = spark.createDataFrame([(1, sales.SELL)], "user_id long, permission string")
     done = sales.post_sales(*frames(spark, sale_rows, line_rows), products, grants,
                             make("sales", []), make("sale_lines", []), now,
-                            head_lines=50, slow_share=0.1)
+                            block_lines=200)
     transactions = [
         (s, [(p, q) for t, _, p, q in line_rows if t == s]) for s in range(300)]
     want = replay(transactions, opening)

@@ -12,10 +12,9 @@ from pyspark.sql import types as T
 
 from tillworks.operators.folding import fold_in_order
 from tillworks.schemas import MANUAL_NOTE, STOCK_IN, STOCK_OUT
-from tillworks.session import settle, slice_count
+from tillworks.session import settle
 
-HEAD_LINES = 50_000
-SLOW_SHARE = 0.02
+BLOCK_LINES = 50_000
 
 
 # --- movements -----------------------------------------------------------------------------
@@ -103,10 +102,7 @@ def stock_out_adjustment(
 
 
 def allocate_stock(
-    demands: DataFrame,
-    opening: DataFrame,
-    head_lines: int = HEAD_LINES,
-    slow_share: float = SLOW_SHARE,
+    demands: DataFrame, opening: DataFrame, block_lines: int = BLOCK_LINES
 ) -> DataFrame:
     """(txn, accepted) for transactions that take stock of several products at once.
 
@@ -115,15 +111,13 @@ def allocate_stock(
     ``opening``: product_id, stock. A transaction is accepted if every product it takes is left
     in sufficient quantity by the earlier accepted ones; a refused one takes nothing.
 
-    Set-based rounds with two bounds. Per product and in order, ``room`` is the stock left by
-    earlier accepted lines; the open lines before a line may take some more. A transaction with a
-    line beyond its room is refused; one whose lines all fit even if every earlier open line is
-    accepted is accepted. The rest stays open for the next round. The earliest open transaction has
-    no open line before it, so every round decides something and the outcome equals one-by-one
-    processing. Each round works on open lines only.
-
-    When a round decides little, or few lines are left, the earliest ``head_lines`` open lines (a
-    constant, not a share of the data) are replayed one by one in one task.
+    Transactions are cut in order into blocks of about ``block_lines`` lines, and all blocks work
+    at once, round by round. What earlier blocks surely took and what they may take yet, product by
+    product, are sums; between these two bounds a block follows its own open transactions in order.
+    One that does not fit the better bound is refused, one that fits the worse is accepted, the rest
+    stays open for the next round. Chains inside a block are thus followed in one round, and nothing
+    is open before the first block that has open lines, so each round finishes that block at least:
+    there are never more rounds than blocks, and the outcome equals one-by-one processing.
     """
     lines = settle(
         demands.groupBy("txn", "seq", "product_id")
@@ -132,139 +126,125 @@ def allocate_stock(
         .withColumn("room", F.coalesce("room", F.lit(0)).cast("long")),
         "alloc-lines",
     )
+    blocks = max(1, -(-lines.count() // block_lines))
     laid_out = settle(
-        lines.repartitionByRange(slice_count(lines), "product_id", "seq")
-        .withColumn("slice", F.spark_partition_id())
-        .withColumn("open", F.col("need") > 0),
+        lines.repartitionByRange(blocks, "seq")
+        .withColumn("block", F.spark_partition_id())
+        .withColumn("open", F.col("need") > 0)
+        .select(*_LINE),
         "alloc-start",
     )
-    # products cut by a slice border; at most one per border
-    cut = settle(
-        laid_out.select("product_id", "slice").distinct().groupBy("product_id")
-        .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("product_id"),
-        "alloc-cut",
-    )
     accepted = [laid_out.filter(~F.col("open")).select("txn")]
-    work, left = laid_out, laid_out.filter("open").count()
-    slow, rounds = False, 0
-    while left:
-        bounded = _bounds(work, cut)
-        if slow or (rounds and left <= head_lines):
-            work = _replay_head(settle(bounded, "alloc-bounds"), head_lines)
-        else:
-            work = _decide(bounded)
-        work = settle(work, "alloc-round")
+    work, following = laid_out, laid_out
+    while not work.filter("open").isEmpty():
+        work = settle(_follow(following, _before_blocks(work), blocks), "alloc-round")
+        following = work.filter("open")
         accepted.append(work.filter(~F.col("open")).select("txn"))
-        before, left = left, work.filter("open").count()
-        slow, rounds = before - left < slow_share * before, rounds + 1
-    taken = accepted[0]
-    for more in accepted[1:]:
-        taken = taken.unionByName(more)
+        if len(accepted) > UNION_INPUTS:
+            accepted = [settle(_union(accepted), "alloc-accepted")]
     everyone = laid_out.select("txn").distinct()
-    return everyone.join(
-        taken.distinct().withColumn("accepted", F.lit(True)), "txn", "left"
-    ).withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    taken = _union(accepted).distinct().withColumn("accepted", F.lit(True))
+    return everyone.join(taken, "txn", "left").withColumn(
+        "accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def _bounds(work: DataFrame, cut: DataFrame) -> DataFrame:
-    """Open lines with ``room`` brought up to date and ``ahead``, the open need before them.
+_LINE = ("txn", "seq", "product_id", "need", "room", "block", "open")
+#: rounds whose verdicts are read from separate folders before they are written as one
+UNION_INPUTS = 16
 
-    ``work`` holds the open lines and those accepted in the last round. Running sums have two
-    levels: within (product, slice), plus what earlier slices of the same product sum to. No task
-    sees more of a product than a slice.
-    """
-    took = F.when(~F.col("open"), F.col("need")).otherwise(0)
-    asks = F.when(F.col("open"), F.col("need")).otherwise(0)
-    before = (
-        W.partitionBy("product_id", "slice").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    )
-    sums = (
-        work.join(cut, "product_id", "left_semi")
-        .groupBy("product_id", "slice")
-        .agg(F.sum(took).alias("took"), F.sum(asks).alias("asks"))
-    )
-    earlier = W.partitionBy("product_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    carry = sums.select(
-        "product_id",
-        "slice",
-        F.coalesce(F.sum("took").over(earlier), F.lit(0)).alias("carry_took"),
-        F.coalesce(F.sum("asks").over(earlier), F.lit(0)).alias("carry_asks"),
-    )
-    zero = F.lit(0)
-    return (
-        work.withColumn("_took", F.coalesce(F.sum(took).over(before), zero))
-        .withColumn("_asks", F.coalesce(F.sum(asks).over(before), zero))
-        .filter("open")
-        .join(carry, ["product_id", "slice"], "left")
-        .select(
-            "txn", "seq", "product_id", "need", "slice", "open",
-            (F.col("room") - F.col("_took") - F.coalesce("carry_took", zero)).alias("room"),
-            (F.col("_asks") + F.coalesce("carry_asks", zero)).alias("ahead"),
-        )
-    )
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
-_LINE = ("txn", "seq", "product_id", "need", "room", "slice", "open")
 
+def _before_blocks(work: DataFrame) -> DataFrame:
+    """For each product that a block has open lines of: what earlier blocks took in the last round
+    (``need``) and how much their open lines ask for (``room``).
 
-def _decide(bounded: DataFrame) -> DataFrame:
-    """Lines still open, and lines accepted now (``open`` false); refused ones drop out."""
-    verdicts = bounded.groupBy("txn").agg(
-        F.bool_or(F.col("need") > F.col("room")).alias("refused"),
-        F.bool_and(F.col("ahead") + F.col("need") <= F.col("room")).alias("fits"),
+    Lines are summed per block first, so a product is as many rows as there are blocks with it.
+    """
+    sums = work.groupBy("product_id", "block").agg(
+        F.sum(F.when(F.col("open"), 0).otherwise(F.col("need"))).alias("took"),
+        F.sum(F.when(F.col("open"), F.col("need")).otherwise(0)).alias("asks"),
     )
+    earlier = W.partitionBy("product_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     return (
-        bounded.join(verdicts.filter(~F.col("refused")), "txn")
-        .withColumn("open", ~F.col("fits"))
-        .select(*_LINE)
+        sums.withColumn("need", F.sum("took").over(earlier))
+        .withColumn("room", F.sum("asks").over(earlier))
+        .filter("asks > 0 and (need <> 0 or room <> 0)")
+        .select("product_id", "need", "room", "block")
     )
 
 
-def _replay_head(bounded: DataFrame, head_lines: int) -> DataFrame:
-    """Decide the earliest open transactions one by one; leave the later ones open."""
-    first = bounded.select("seq").orderBy("seq").limit(head_lines + 1)
-    end, count = first.agg(F.max("seq"), F.count(F.lit(1))).first()
-    if count <= head_lines:
-        head, rest = bounded, bounded.filter(F.lit(False))
-    else:
-        # whole transactions only: the one at the cut waits
-        head, rest = bounded.filter(F.col("seq") < end), bounded.filter(F.col("seq") >= end)
-        if head.isEmpty():
-            return _decide(bounded)
-    columns = list(_LINE)
-    schema = T.StructType([bounded.schema[c] for c in columns])
-    replayed = (
-        head.select(*columns)
-        .repartition(1)
-        .sortWithinPartitions("seq", "product_id")
-        .mapInArrow(_replay, schema)
+def _follow(lines: DataFrame, before: DataFrame, blocks: int) -> DataFrame:
+    """Lines still open, with ``room`` brought up to date, and lines accepted now (``open`` false).
+
+    Refused lines drop out, and so do those that were accepted before the first round.
+    """
+    schema = lines.select(*_LINE).schema
+    bounds = before.select(
+        *[
+            F.col(c) if c in before.columns else F.lit(None).cast(schema[c].dataType).alias(c)
+            for c in _LINE
+        ]
+    )
+    return (
+        bounds.withColumn("line", F.lit(False))
+        .unionByName(lines.withColumn("line", F.lit(True)))
+        .repartitionById(blocks, F.col("block"))
+        .sortWithinPartitions("block", "line", "seq", "product_id")
+        .mapInArrow(_follow_blocks, schema)
     )
-    return replayed.unionByName(rest.select(*columns))
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Accepted lines of a bounded, ordered run of transactions."""
-    table = pa.Table.from_batches(list(batches)) if batches else None
-    if table is None or not table.num_rows:
-        return
-    seqs, products, needs, rooms = (
-        table.column(c).to_pylist() for c in ("seq", "product_id", "need", "room")
-    )
-    taken: dict = {}
-    kept: list[int] = []
-    at, end = 0, len(seqs)
-    while at < end:
-        stop = at
-        while stop < end and seqs[stop] == seqs[at]:
-            stop += 1
-        run = range(at, stop)
-        if all(needs[i] + taken.get(products[i], 0) <= rooms[i] for i in run):
-            for i in run:
-                taken[products[i]] = taken.get(products[i], 0) + needs[i]
-            kept.extend(run)
-        at = stop
-    accepted = table.take(pa.array(kept, type=pa.int64()))
-    position = accepted.schema.get_field_index("open")
-    closed = pa.array([False] * len(kept), type=pa.bool_())
-    accepted = accepted.set_column(position, accepted.schema.field(position), closed)
-    yield from accepted.to_batches()
+def _follow_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bounds of a block come first, then its lines in order; holds one transaction."""
+    surely: dict = {}
+    maybe: dict = {}
+    asked: list[tuple] = []
+    out: list[tuple] = []
+    at = None
+
+    def decide() -> None:
+        if all(need <= room - surely.get(product, 0) for _, _, product, need, room, _ in asked):
+            fits = all(
+                need <= room - maybe.get(product, 0) for _, _, product, need, room, _ in asked)
+            for txn, seq, product, need, room, block in asked:
+                out.append(
+                    (txn, seq, product, need, room - surely.get(product, 0), block, not fits))
+                maybe[product] = maybe.get(product, 0) + need
+                if fits:
+                    surely[product] = surely.get(product, 0) + need
+        asked.clear()
+
+    def flush() -> pa.RecordBatch:
+        columns = zip(*out) if out else [[]] * len(types)
+        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=list(_LINE))
+
+    types: list[pa.DataType] = []
+    for batch in batches:
+        types = types or [batch.schema.field(c).type for c in _LINE]
+        rows = zip(*[batch.column(c).to_pylist() for c in (*_LINE, "line")])
+        for txn, seq, product, need, room, block, is_open, is_line in rows:
+            if asked and (block, seq) != at:
+                decide()
+            if at is None or block != at[0]:
+                surely.clear()
+                maybe.clear()
+            at = (block, seq)
+            if not is_line:
+                surely[product], maybe[product] = need, need + room
+            elif is_open:
+                asked.append((txn, seq, product, need, room, block))
+            else:
+                surely[product] = surely.get(product, 0) + need
+                maybe[product] = maybe.get(product, 0) + need
+        yield flush()
+    if asked:
+        decide()
+        yield flush()
