@@ -95,6 +95,25 @@ def test_large_documents_come_in_parts(spark, make, shop):
         assert joined == whole[sale]
 
 
+def test_parts_do_not_depend_on_the_layout(spark, make, shop):
+    lines = make("sale_lines", [
+        dict(id=i, sale_id=1 + i % 2, product_id=10, quantity=1, line_subtotal=1)
+        for i in range(300)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            parts = history.sale_documents(
+                shop["sales"], shop["users"], lines, shop["products"], part_lines=40)
+            found.append(sorted((r.id, r.part, [x.id for x in r.lines]) for r in parts.collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert [(p, len(x)) for sale, p, x in found[0] if sale == 1] == [
+        (0, 40), (1, 40), (2, 40), (3, 30)]
+
+
 def test_visible_sales(spark, shop, rows):
     grants = spark.createDataFrame(
         [(1, history.SEE_ALL), (2, history.SEE_OWN), (2, "x")], "user_id long, permission string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.functions.dates import from_day, until_day
@@ -79,9 +79,9 @@ def sale_documents(
 ) -> DataFrame:
     """Sale, user name and its nested lines in line-id order; no lines gives an empty list.
 
-    A sale of at most ``part_lines`` lines is one document, part 0. A larger one comes in several
-    parts of bounded size, whose numbers grow with the lines but may skip, so no group is collected
-    whole however many lines one sale holds.
+    A sale of at most ``part_lines`` lines is one document, part 0. A larger one comes in parts 0, 1,
+    ... of so many lines each, the last of what is left, so no group is collected whole however many
+    lines one sale holds.
     """
     if sale_ids is not None:
         wanted = sale_ids.select(F.col("id").alias("sale_id")).distinct()
@@ -123,18 +123,29 @@ def sale_documents(
 
 
 def _numbered_parts(large: DataFrame, part_lines: int) -> DataFrame:
-    """Lines of large sales with a ``part`` of at most ``part_lines`` lines, in line order.
+    """Lines of large sales with their ``part``: the place within the sale divided by ``part_lines``.
 
-    Parts are numbered without a window over the sale: lines are laid out by range of (sale, line)
-    and each range partition numbers its own rows. monotonically_increasing_id grows by one within
-    a partition and jumps between partitions, so dividing it gives groups of bounded size. The
-    sort covers every column, so a recomputed partition numbers its rows the same way.
+    Places are numbered without a window over the sale: lines are laid out by range of (sale, line)
+    and written, each range numbers its lines of a sale, and counts (one row per sale and range)
+    give what earlier ranges hold. So parts do not depend on the layout. The order covers every
+    column; lines alike in all of them may change places.
     """
     order = ["sale_id", "id", *[c for c in large.columns if c not in ("sale_id", "id")]]
+    laid = settle(
+        large.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
+        "large-lines",
+    )
+    within = Window.partitionBy("sale_id", "_range").orderBy(*order)
+    earlier = (
+        Window.partitionBy("sale_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = laid.groupBy("sale_id", "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "sale_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     return (
-        large.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("part", F.expr(f"monotonically_increasing_id() div {int(part_lines)}"))
+        laid.withColumn("_at", F.row_number().over(within) - 1)
+        .join(starts, ["sale_id", "_range"])
+        .withColumn("part", F.expr(f"(_start + _at) div {int(part_lines)}"))
+        .drop("_range", "_at", "_start")
     )
 
 

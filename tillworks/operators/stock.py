@@ -117,7 +117,9 @@ def allocate_stock(
     One that does not fit the better bound is refused, one that fits the worse is accepted, the rest
     stays open for the next round. Chains inside a block are thus followed in one round, and nothing
     is open before the first block that has open lines, so each round finishes that block at least:
-    there are never more rounds than blocks, and the outcome equals one-by-one processing.
+    there are never more rounds than blocks, and the outcome equals one-by-one processing. Only open
+    lines and those just accepted go on to the next round; neighbouring blocks that few are left of
+    become one, so blocks and rounds shrink with what is left.
     """
     lines = settle(
         demands.groupBy("txn", "seq", "product_id")
@@ -135,10 +137,17 @@ def allocate_stock(
         "alloc-start",
     )
     accepted = [laid_out.filter(~F.col("open")).select("txn")]
-    work, following = laid_out, laid_out
-    while not work.filter("open").isEmpty():
-        work = settle(_follow(following, _before_blocks(work), blocks), "alloc-round")
-        following = work.filter("open")
+    work = laid_out
+    while True:
+        sizes = work.groupBy("block").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open")).collect()
+        if not any(r.n_open for r in sizes):
+            break
+        merged = _merge_blocks(sorted(sizes), block_lines)
+        named = work.sparkSession.createDataFrame(merged, "block int, _merged int")
+        work = work.join(named, "block").withColumn("block", F.col("_merged")).select(*_LINE)
+        blocks = merged[-1][1] + 1
+        work = settle(_follow(work, _before_blocks(work), blocks), "alloc-round")
         accepted.append(work.filter(~F.col("open")).select("txn"))
         if len(accepted) > UNION_INPUTS:
             accepted = [settle(_union(accepted), "alloc-accepted")]
@@ -160,6 +169,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _merge_blocks(sizes: list[tuple], most: int) -> list[tuple[int, int]]:
+    """(block, new block): neighbours become one as long as they hold ``most`` lines at most."""
+    out, now, held = [], 0, 0
+    for block, n, _ in sizes:
+        if held and held + n > most:
+            now, held = now + 1, 0
+        held += n
+        out.append((block, now))
+    return out
+
+
 def _before_blocks(work: DataFrame) -> DataFrame:
     """For each product that a block has open lines of: what earlier blocks took in the last round
     (``need``) and how much their open lines ask for (``room``).
@@ -180,9 +200,10 @@ def _before_blocks(work: DataFrame) -> DataFrame:
 
 
 def _follow(lines: DataFrame, before: DataFrame, blocks: int) -> DataFrame:
-    """Lines still open, with ``room`` brought up to date, and lines accepted now (``open`` false).
+    """Lines still open and lines accepted now (``open`` false).
 
-    Refused lines drop out, and so do those that were accepted before the first round.
+    Refused lines drop out. So do lines accepted before: they are taken off the ``room`` of the
+    lines after them here.
     """
     schema = lines.select(*_LINE).schema
     bounds = before.select(
@@ -202,6 +223,8 @@ def _follow(lines: DataFrame, before: DataFrame, blocks: int) -> DataFrame:
 
 def _follow_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bounds of a block come first, then its lines in order; holds one transaction."""
+    # per product: taken by lines accepted before this round, with those accepted now, with all open
+    took: dict = {}
     surely: dict = {}
     maybe: dict = {}
     asked: list[tuple] = []
@@ -213,8 +236,8 @@ def _follow_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             fits = all(
                 need <= room - maybe.get(product, 0) for _, _, product, need, room, _ in asked)
             for txn, seq, product, need, room, block in asked:
-                out.append(
-                    (txn, seq, product, need, room - surely.get(product, 0), block, not fits))
+                left = room - took.get(product, 0)
+                out.append((txn, seq, product, need, left, block, not fits))
                 maybe[product] = maybe.get(product, 0) + need
                 if fits:
                     surely[product] = surely.get(product, 0) + need
@@ -234,16 +257,17 @@ def _follow_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if asked and (block, seq) != at:
                 decide()
             if at is None or block != at[0]:
+                took.clear()
                 surely.clear()
                 maybe.clear()
             at = (block, seq)
             if not is_line:
-                surely[product], maybe[product] = need, need + room
+                took[product], surely[product], maybe[product] = need, need, need + room
             elif is_open:
                 asked.append((txn, seq, product, need, room, block))
             else:
-                surely[product] = surely.get(product, 0) + need
-                maybe[product] = maybe.get(product, 0) + need
+                for sums in (took, surely, maybe):
+                    sums[product] = sums.get(product, 0) + need
         yield flush()
     if asked:
         decide()

@@ -97,10 +97,11 @@ def e4(t):
     return checked.select("seq", "reason")
 
 
-def _posting(t):
+def _posting(t, **allocation):
     products = t.products.withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
     return sales.post_sales(
-        t.new_sales, t.new_lines, products, grants(t), t.sales, t.sale_lines, now()
+        t.new_sales, t.new_lines, products, grants(t), t.sales, t.sale_lines, now(),
+        **allocation,
     )
 
 
@@ -170,7 +171,8 @@ def e5(t):
            s.quantity is not null as moved
     from products p left join sold s on s.product_id = p.id""", recursive=True))
 def e5_stock(t):
-    return _posting(t).products.select(
+    # blocks so small that lines stay open from one to the next
+    return _posting(t, block_lines=8_000).products.select(
         "id", "stock", F.col("modified_at").isNotNull().alias("moved")
     )
 
