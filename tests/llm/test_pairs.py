@@ -209,3 +209,55 @@ def test_chains_rise_and_pay_for_gaps():
     found = passages.chains([(0, 0, 10), (12, 11, 10), (15, 400, 10), (30, 30, 10)])
     assert found[0] == [(0, 0, 10), (12, 11, 10), (30, 30, 10)]
     assert found[1] == [(15, 400, 10)]
+
+
+def _shared_by_brute_force(a, b, least=50):
+    """Maximal runs of equal words of two lists, by all diagonals: (start_a, start_b, words)."""
+    found = []
+    for d in range(-len(b) + 1, len(a)):
+        run = 0
+        for i in range(max(0, d), min(len(a), len(b) + d) + 1):
+            if i < min(len(a), len(b) + d) and a[i] == b[i - d]:
+                run += 1
+            else:
+                if run >= least:
+                    found.append((i - run, i - run - d, run))
+                run = 0
+    return found
+
+
+def test_passages_of_one_pair_with_other_text_between(docs, prose):
+    """Several shared passages; gaps and chance matches between them lose none."""
+    texts, rng = {}, random.Random(8)
+    for k, gap in enumerate((20, 31, 45, 70, 100, 300, 700)):
+        kept = [prose(100 * k + j, 60) for j in range(3)]
+        phrase = prose(100 * k + 50, 16)  # shared too, but too short
+        for side in range(2):
+            filler = [prose(5000 + 100 * k + 10 * side + j, gap + rng.randrange(5)) for j in range(4)]
+            texts[2 * k + side] = sum(
+                ([*f, *p] for f, p in zip(filler, kept)), []) + filler[3][:12] + phrase + filler[3]
+    rows = passages.shared_passages(docs([(i, " ".join(w)) for i, w in texts.items()])).collect()
+    for k in range(7):
+        a, b = texts[2 * k], texts[2 * k + 1]
+        runs = _shared_by_brute_force(a, b)
+        assert len(runs) == 3
+        for p, q, n in runs:
+            assert any(r.doc_a == 2 * k and r.doc_b == 2 * k + 1
+                       and r.start_a <= p and p + n <= r.end_a
+                       and r.start_b <= q and q + n <= r.end_b for r in rows), (k, p, q)
+    assert all(r.identity >= passages.IDENTITY for r in rows)
+
+
+def test_a_weak_end_does_not_hide_a_passage():
+    """Blocks of few words in a row beside two halves of a passage, with one gap as wide."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    a, b, at, spots = [], [], 0, []
+    for size, gap in ((9, 10), (9, 10), (9, 10), (40, 11), (40, 10), (9, 10), (9, 10), (9, 0)):
+        same = fresh(size)
+        a += [same, fresh(gap)]
+        b += [same, fresh(gap)]
+        spots += [(x, x) for x in range(at, at + size - passages.SEED + 1)]
+        at += size + gap
+    found = passages.passages(np.concatenate(a), np.concatenate(b), np.array(spots))
+    assert any(x[0] <= 57 and x[1] >= 57 + 91 for x in found)
