@@ -143,6 +143,18 @@ def test_jaccard_join(docs, similar, odd):
     assert jaccard_join.join_all(docs([])).isEmpty()
 
 
+def test_signatures_of_two_instances_may_be_equal_by_chance(docs, prose, monkeypatch):
+    """With two bytes kept of each, many are equal, also among sets with no instance in common."""
+    monkeypatch.setattr(jaccard_join, "_LOW", 2)
+    bands, rng = jaccard_join.Bands(), random.Random(6)
+    assert bands.band(50) == bands.band(40) + 1
+    texts = {k: " ".join(prose(3000 + k, 54 if k % 2 else 44)) for k in range(120)}
+    texts |= {200 + k: " ".join(mutated(texts[k].split(), rng, 0.02)) for k in range(40)}
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in jaccard_join.join_all(docs(list(texts.items()))).collect()}
+    assert got == groups(texts)
+
+
 def test_one_of_each(docs, similar, odd):
     df = docs(list(similar.items())).withColumn("_hash", F.lit("x")).withColumn("cls", F.lit(1))
     kept = {r.doc_id for r in jaccard_join.one_of_each(df).collect()}

@@ -264,13 +264,18 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
         band = np.array([bands.band(n) for n in size.tolist()], np.int64)
         owner = np.repeat(np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)), head[3:].T.ravel())
         # members of each signature, a set once: copies from other tasks are the same set
-        order = np.lexsort((owner, low))
-        low, owner = low[order], owner[order]
+        # what is kept of signatures of different instances may be equal by chance
+        instance = band[owner // 2] - owner % 2
+        order = np.lexsort((owner, instance, low))
+        low, owner, instance = low[order], owner[order], instance[order]
         new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (owner[1:] // 2 != owner[:-1] // 2)
-        low, owner = low[new], owner[new]
-        cls, instance = owner // 2, band[owner // 2] - owner % 2
-        at = np.flatnonzero(np.diff(low, prepend=low[:1] + np.uint64(1)))
+        new[1:] = ((low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
+                   | (owner[1:] != owner[:-1]))
+        low, owner, instance = low[new], owner[new], instance[new]
+        cls = owner // 2
+        start = np.ones(len(low), bool)
+        start[1:] = (low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
+        at = np.flatnonzero(start)
         width = np.diff(at, append=len(low))
         found = [np.empty(0, np.int64)]
         for g in range(2, WIDE + 1):
