@@ -1,5 +1,6 @@
 """Language ID, language model and pseudonyms."""
 
+import datetime as dt
 import math
 import random
 import zlib
@@ -128,6 +129,25 @@ def test_equal_values_stay_linked():
     assert pseudonyms._luhn("404189497460879") == 5
 
 
+def test_every_day_of_a_year_in_every_format():
+    """Changed, restored, and equal across formats."""
+    new, old = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", forward=False)
+    images = set()
+    for k in range(366):
+        day = dt.date(2000, 1, 1) + dt.timedelta(k)
+        forms = ["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", *["%d/%m/%Y"] * (day.day > 12)]
+        found = set()
+        for form in forms:
+            text = f"on {day.strftime(form)} at noon"
+            changed, kinds = new.replace(text)
+            assert changed != text and kinds == ["date"], text
+            assert old.replace(changed)[0] == text
+            found.add(dt.datetime.strptime(changed, f"on {form} at noon").date())
+        assert len(found) == 1, day
+        images |= found
+    assert len(images) == 366
+
+
 def test_pseudonymise_documents(docs, odd):
     df = docs([(i, f"x {v} y") for i, v in enumerate(VALUES)]).withColumn("kinds", F.lit(1))
     done = pseudonyms.pseudonymise(df)

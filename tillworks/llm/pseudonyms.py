@@ -165,9 +165,13 @@ class Pseudonyms:
             place = day.toordinal() - FIRST_DAY
             if not 0 <= place < DAYS:
                 return None
-            # a slashed date that reads both ways stays so, and one that does not stays one-way
-            tag, place, size, back = self._date_set(place, text, orders, order)
-            new = back(self._permute(tag, place, size))
+            # a slashed date that reads both ways stays so, and one that does not stays one-way;
+            # in all formats alike, so that equal dates stay equal
+            late = day.day > 12
+            new = None
+            while new is None or (new.day > 12) != late:
+                place = self._permute("date", place, DAYS)
+                new = dt.date.fromordinal(FIRST_DAY + place)
             if iso:
                 return new.isoformat()
             values = {order[0]: f"{new.year:04d}", order[1]: new.month, order[2]: new.day}
@@ -178,19 +182,6 @@ class Pseudonyms:
             return re.search(r"[./]", text)[0].join(joined)
         return None
 
-    @staticmethod
-    def _date_set(place: int, text: str, orders: list, order: tuple):
-        if len(orders) == 2 and order == orders[1]:
-            # day first with slashes, day over 12: permuted among days 13 to 28 of their months
-            day = dt.date.fromordinal(FIRST_DAY + place)
-            if day.day <= 28:
-                n = ((day.year - 1900) * 12 + day.month - 1) * 16 + day.day - 13
-                return "late day", n, 200 * 12 * 16, lambda v: dt.date(
-                    1900 + v // 192, v // 16 % 12 + 1, v % 16 + 13)
-            n = (day.year - 1900) * 3 + day.day - 29
-            return f"month end {day.month}", 0, 1, lambda v, d=day, n=n: d
-        return "date", place, DAYS, lambda v: dt.date.fromordinal(FIRST_DAY + v)
-
     def address(self, text: str) -> str | None:
         octets = text.split(".")
         if any(int(o) > 255 or str(int(o)) != o for o in octets):
