@@ -35,11 +35,18 @@ FORMS = {
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
-    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|-\d)",
-    "secret": r"(?i:\b(?:password|passwd|secret|token|api_?key))\s*[=:]\s*[\"']?[A-Za-z0-9]{8,128}",
+    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+             r"|\+[1-9](?:[ .()-]{0,2}[0-9]){6,14})(?![\w]|-\d)",
+    # to the next space or quote, without marks of a sentence at its end
+    "secret": r"(?i:\b(?:password|passwd|secret|token|api_?key))\s*[=:]\s*[\"']?"
+              r"[^\s\"']{7,}[^\s\"'.,;:!?)\]}>]",
 }
 _FOUND = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()))
 _HINT = re.compile(r"[0-9@=:]")
+# country codes; those of three digits are all others
+_COUNTRY = re.compile(
+    "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+_PIECE = 128  # letters and digits permuted at once; a round's 512 bits are enough for half of them
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -136,9 +143,15 @@ class Pseudonyms:
         name, at, domain = text.partition("@")
         return self._classes("email", name) + at + domain
 
-    def secret(self, text: str) -> str:
-        start = re.search(r"[A-Za-z0-9]+$", text).start()
-        return text[:start] + self._classes("secret", text[start:])
+    def secret(self, text: str) -> str | None:
+        start = re.match(r"\w+\s*[=:]\s*[\"']?", text).end()
+        chars = re.sub("[^A-Za-z0-9]", "", text[start:])
+        if not chars:
+            return None
+        pieces = -(-len(chars) // _PIECE)
+        cuts = [len(chars) * i // pieces for i in range(pieces + 1)]
+        new = "".join(self._classes("secret", chars[i:j]) for i, j in zip(cuts, cuts[1:]))
+        return text[:start] + _refill(text[start:], new, lambda c: c.isascii() and c.isalnum())
 
     def iban(self, text: str) -> str | None:
         plain = text.replace(" ", "")
@@ -210,8 +223,17 @@ class Pseudonyms:
         number += 1 + (number >= 665)
         return f"{number:03d}-{group_ + 1:02d}-{serial_ + 1:04d}"
 
-    def phone(self, text: str) -> str:
+    def phone(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
+        if text[0] == "+":
+            code = _COUNTRY.match(digits)[0]
+            own = digits[len(code):]
+            if code != "1" or len(own) != 10:
+                # the country stays, and so does a zero that the number starts with
+                first = "0" if own[0] == "0" else "123456789"
+                tag = f"phone/+{code}/{first[0]}"
+                new = self._mixed(tag, own, [first] + ["0123456789"] * (len(own) - 1))
+                return _refill(text, code + new, str.isdigit)
         own = digits[-10:]
         # area and exchange that start with 2 to 9 keep doing so
         alphabets = [
