@@ -78,6 +78,21 @@ def test_language_model(docs, odd, monkeypatch):
     assert language_model.score_all(docs([])).isEmpty()
 
 
+def test_training_sees_every_token():
+    """Over its rounds, a task of many tokens sees each as often as it occurs."""
+    rng = np.random.default_rng(2)
+    sizes = (150_000, 900, 230_000)
+    keys = [np.sort(rng.choice(1 << 20, k, replace=False)).astype(np.int32) for k in sizes]
+    n = [rng.integers(1, 7, k).astype(np.int32) for k in sizes]
+    seen = np.concatenate([
+        b for number in range(language_model.ROUNDS)
+        for b in language_model.batches_of(keys, n, number, rng)])
+    want = np.concatenate([np.repeat(k, times) for k, times in zip(keys, n)])
+    assert np.array_equal(np.sort(seen), np.sort(want))
+    few = list(language_model.batches_of(keys[1:2], n[1:2], 0, rng))
+    assert len(few) == language_model.STEPS
+
+
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
     unigram = rng.random(language_model.OTHER + 1)

@@ -26,7 +26,7 @@ FREQUENT = 1 << 17  # at most so many words' counts are held by every task; the
 DIMENSIONS = 32
 NOISE = 128
 BATCH = 1024
-STEPS = 300
+STEPS = 300  # of a task and round, at least; more when its tokens need more
 ROUNDS = 3
 RATE = 0.1
 PARTS, HELD_OUT = 5, 1
@@ -139,6 +139,29 @@ def _statistics(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, "keys binary, n binary")
 
 
+def batches_of(keys: list, n: list, number: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Batches of a round: of each page, shuffled alike in all rounds, its share of the tokens.
+
+    So ROUNDS rounds see every token once, whatever a task holds; tasks of few tokens go on with
+    draws until they have made STEPS.
+    """
+    left, steps = np.empty(0, np.int32), 0
+    for i, (page, times) in enumerate(zip(keys, n)):
+        tokens = np.random.default_rng((11, i)).permutation(np.repeat(page, times))
+        left = np.concatenate([left, tokens[number % ROUNDS:: ROUNDS]])
+        whole = len(left) // BATCH
+        for at in range(whole):
+            yield left[at * BATCH: (at + 1) * BATCH]
+        left, steps = left[whole * BATCH:], steps + whole
+    if len(left):
+        yield left
+        steps += 1
+    if steps < STEPS:
+        every, upto = np.concatenate(keys), np.cumsum(np.concatenate(n))
+        for _ in range(STEPS - steps):
+            yield every[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), "right")]
+
+
 class Model:
     """Word vectors, output vectors and biases; the two places before are weighted per dimension."""
 
@@ -173,23 +196,21 @@ class Model:
             norms[at: at + 4096] = np.log(np.exp(scores - top).sum(axis=1)) + top[:, 0]
         return norms
 
-    def fit(self, keys: np.ndarray, n: np.ndarray, unigram: np.ndarray, seed: int) -> None:
+    def fit(self, keys: list, n: list, unigram: np.ndarray, seed: int) -> None:
         """Tell observed words from words drawn from the unigram noise, in batches, by AdaGrad."""
         rng = np.random.default_rng(seed)
-        upto = np.cumsum(n)
         noise_log = np.log(NOISE * unigram)
         past = [np.full(s, 1e-2) for s in self.SHAPES]
-        for _ in range(STEPS):
+        for key in batches_of(keys, n, seed, rng):
             vectors, out, bias, weights = self.parts
-            key = keys[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), "right")]
             context, word = np.divmod(key.astype(np.int64), OTHER + 1)
             further, before = np.divmod(context, START + 1)
             noise = rng.choice(OTHER + 1, NOISE, p=unigram)
             hidden = vectors[further] * weights[0] + vectors[before] * weights[1]
             told = (hidden * out[word]).sum(axis=1) + bias[word] - noise_log[word]
             fooled = hidden @ out[noise].T + bias[noise] - noise_log[noise]
-            g = -1 / (1 + np.exp(np.clip(told, -30, 30))) / BATCH
-            g_noise = 1 / (1 + np.exp(-np.clip(fooled, -30, 30))) / BATCH
+            g = -1 / (1 + np.exp(np.clip(told, -30, 30))) / len(key)
+            g_noise = 1 / (1 + np.exp(-np.clip(fooled, -30, 30))) / len(key)
             d = [np.zeros(s) for s in self.SHAPES]
             np.add.at(d[1], word, g[:, None] * hidden)
             np.add.at(d[1], noise, g_noise.T @ hidden)
@@ -201,7 +222,7 @@ class Model:
             d[3][0] = (back * vectors[further]).sum(axis=0)
             d[3][1] = (back * vectors[before]).sum(axis=0)
             for part, step, seen in zip(self.parts, d, past):
-                step *= BATCH ** 0.5
+                step *= len(key) ** 0.5
                 seen += step * step
                 part -= RATE * step / np.sqrt(seen)
 
@@ -209,7 +230,8 @@ class Model:
 def train(pages: DataFrame, unigram: np.ndarray) -> Model:
     """Each task trains on its pages from the common model; the mean is the next common model.
 
-    Means are taken by Spark, over whole numbers, so that their order does not matter.
+    Tasks weigh as much as they have tokens, in batches. Means are taken by Spark, over whole
+    numbers, so that their order does not matter.
     """
     model = Model(unigram)
     context = pages.sparkSession.sparkContext
@@ -226,14 +248,15 @@ def train(pages: DataFrame, unigram: np.ndarray) -> Model:
             if keys:
                 mine = Model(unigram)
                 mine.load(shared.value.copy())
-                mine.fit(np.concatenate(keys), np.concatenate(n), unigram, number)
+                mine.fit(keys, n, unigram, number)
                 flat = np.rint(mine.flat() * _UNIT).astype(np.int64)
+                weight = -(-sum(int(x.sum()) for x in n) // BATCH)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)],
-                    names=["i", "v"])
+                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat),
+                     pa.array(np.full(len(flat), weight, np.int64))], names=["i", "v", "w"])
 
-        means = pages.mapInArrow(run, "i int, v long").groupBy("i").agg(
-            (F.sum("v") / F.count("v")).alias("v")).toPandas()
+        means = pages.mapInArrow(run, "i int, v long, w long").groupBy("i").agg(
+            (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v")).toPandas()
         if len(means):
             model.load(means.sort_values("i")["v"].to_numpy() / _UNIT)
     return model
