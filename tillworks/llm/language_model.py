@@ -162,6 +162,13 @@ def batches_of(keys: list, n: list, number: int, rng: np.random.Generator) -> It
             yield every[np.searchsorted(upto, rng.integers(0, upto[-1], BATCH), "right")]
 
 
+def _by_row(row: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values with each row number."""
+    width = values.shape[1]
+    at = (row[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(at, values.ravel(), size * width).reshape(size, width)
+
+
 class Model:
     """Word vectors, output vectors and biases; the two places before are weighted per dimension."""
 
@@ -199,26 +206,29 @@ class Model:
     def fit(self, keys: list, n: list, unigram: np.ndarray, seed: int) -> None:
         """Tell observed words from words drawn from the unigram noise, in batches, by AdaGrad."""
         rng = np.random.default_rng(seed)
-        noise_log = np.log(NOISE * unigram)
+        noise_log, upto = np.log(NOISE * unigram), np.cumsum(unigram)
         past = [np.full(s, 1e-2) for s in self.SHAPES]
         for key in batches_of(keys, n, seed, rng):
             vectors, out, bias, weights = self.parts
             context, word = np.divmod(key.astype(np.int64), OTHER + 1)
             further, before = np.divmod(context, START + 1)
-            noise = rng.choice(OTHER + 1, NOISE, p=unigram)
+            noise = np.searchsorted(upto, rng.random(NOISE) * upto[-1], "right")
             hidden = vectors[further] * weights[0] + vectors[before] * weights[1]
             told = (hidden * out[word]).sum(axis=1) + bias[word] - noise_log[word]
-            fooled = hidden @ out[noise].T + bias[noise] - noise_log[noise]
+            # a batch by its noise is most of the work: in single precision
+            short, drawn = hidden.astype(np.float32), out[noise].astype(np.float32)
+            fooled = short @ drawn.T + (bias[noise] - noise_log[noise]).astype(np.float32)
             g = -1 / (1 + np.exp(np.clip(told, -30, 30))) / len(key)
-            g_noise = 1 / (1 + np.exp(-np.clip(fooled, -30, 30))) / len(key)
+            np.exp(-np.clip(fooled, -30, 30, out=fooled), out=fooled)
+            g_noise = np.float32(1 / len(key)) / (fooled + np.float32(1))
             d = [np.zeros(s) for s in self.SHAPES]
-            np.add.at(d[1], word, g[:, None] * hidden)
-            np.add.at(d[1], noise, g_noise.T @ hidden)
+            d[1] += _by_row(word, g[:, None] * hidden, len(d[1]))
+            np.add.at(d[1], noise, g_noise.T @ short)
             np.add.at(d[2], word, g)
-            np.add.at(d[2], noise, g_noise.sum(axis=0))
-            back = g[:, None] * out[word] + g_noise @ out[noise]
-            np.add.at(d[0], further, back * weights[0])
-            np.add.at(d[0], before, back * weights[1])
+            np.add.at(d[2], noise, g_noise.sum(axis=0, dtype=float))
+            back = g[:, None] * out[word] + g_noise @ drawn
+            d[0] += _by_row(further, back * weights[0], len(d[0]))
+            d[0] += _by_row(before, back * weights[1], len(d[0]))
             d[3][0] = (back * vectors[further]).sum(axis=0)
             d[3][1] = (back * vectors[before]).sum(axis=0)
             for part, step, seen in zip(self.parts, d, past):
