@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tillworks.llm import (
     chat_format,
     decontaminate,
+    exact_copies,
+    filter_audit,
     fingerprint,
     jaccard_join,
     language,
@@ -16,6 +18,7 @@ from tillworks.llm import (
     line_dedup,
     mixing,
     passages,
+    periodic_runs,
     pseudonyms,
 )
 from tillworks.llm.common import table
@@ -39,6 +42,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(stored.unionByName(extra))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents are turned into repeats first, then all are searched."""
+    return periodic_runs.run_digests(
+        periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_fingerprint": _documents(fingerprint.fingerprint_all),
@@ -50,6 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": _documents(line_dedup.clean_lines),
     "op9_mixing": _documents(mixing.taken_words),
     "op10_chat_format": op10_chat_format,
+    "op11_filter_audit": filter_audit.audit,
+    "op12_exact_copies": _documents(exact_copies.copy_groups),
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -57,4 +69,6 @@ SQL: dict[str, str] = {
     "op8_line_dedup": line_dedup.SQL,
     "op9_mixing": mixing.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_exact_copies": exact_copies.SQL,
 }
