@@ -15,38 +15,36 @@ from tillworks.session import settle
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
-SHARD_WORDS = 1 << 18  # words of a shard, but for longer single texts
+SHARD_WORDS = 1 << 21  # words of a shard, but for longer single texts
+TERM_BITS = 63  # of a word's hash, which is its term unless another word has the same
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 _LONGS = T.ArrayType(T.LongType(), False)
 
 
 def _local_shards(docs: DataFrame, text: str) -> DataFrame:
-    """Shards of rows: carried columns, CSR with the shard's own word numbers, and its words."""
+    """Shards of rows: other columns, CSR with the shard's own word numbers, and its words."""
     kept = [c for c in docs.columns if c != text]
     at = len(kept)
     rows = T.ArrayType(T.StructType([docs.schema[c] for c in kept]), False)
     schema = T.StructType([
-        T.StructField("shard", T.LongType(), False), T.StructField("rows", rows, False),
-        T.StructField("starts", _INTS, False), T.StructField("local", _INTS, False),
-        T.StructField("counts", _INTS, False),
+        T.StructField("rows", rows, False), T.StructField("starts", _INTS, False),
+        T.StructField("local", _INTS, False), T.StructField("counts", _INTS, False),
         T.StructField("words", T.ArrayType(T.StringType(), False), False)])
 
     def run(batches: Iterator) -> Iterator:
         from collections import Counter
 
         import pyarrow as pa
-        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        number = TaskContext.get().partitionId() << 32
 
         def shard(pieces, starts, local, counts, words):
             held = pa.concat_arrays(pieces).cast(arrow.field("rows").type.value_type)
             lists = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
             return pa.RecordBatch.from_arrays([
-                pa.array([number], pa.int64()), lists.cast(arrow.field("rows").type),
+                lists.cast(arrow.field("rows").type),
                 pa.array([starts], arrow.field("starts").type),
                 pa.array([local], arrow.field("local").type),
                 pa.array([counts], arrow.field("counts").type),
@@ -67,7 +65,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
                 if size >= SHARD_WORDS:
                     pieces.append(carried.slice(begin, i + 1 - begin))
                     yield shard(pieces, starts, local, counts, known)
-                    number, begin = number + 1, i + 1
+                    begin = i + 1
                     pieces, starts, local, counts, size, known = [], [0], [], [], 0, {}
             if begin < batch.num_rows:
                 pieces.append(carried.slice(begin))
@@ -77,29 +75,66 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
+def _dictionary(shards: DataFrame) -> DataFrame:
+    """word and term of all distinct words of the shards; terms differ."""
+    distinct = shards.select(F.explode("words").alias("word")).distinct()
+    hashed = settle(distinct.withColumn(
+        "term", F.shiftrightunsigned(F.xxhash64("word"), 64 - TERM_BITS)), "dictionary")
+    shared = hashed.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    clashing = settle(hashed.join(shared, "term").select("word"), "clashing")
+    own = numbered(clashing, "word", "place", "clashing-words").select(
+        "word", (-1 - F.col("place")).alias("own"))
+    return hashed.join(own, "word", "left").select(
+        "word", F.coalesce("own", "term").alias("term"))
+
+
 def term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of the texts in shards of CSR, and its dictionary.
 
-    The dictionary has word and term: the distinct words of all texts, numbered 0, 1, ... in code point
-    order. A shard has shard (its number), rows (the other columns of its documents, in order),
-    starts (of each row in terms and counts, and the end), terms and counts. Words are what white space
-    (ASCII) separates, by case; NULL and empty texts make empty rows.
+    The dictionary has word and term, one row per distinct word of all texts. A shard has rows (the
+    other columns of its documents, in order), starts (of each row in terms and counts, and the end),
+    terms and counts. Words are what white space (ASCII) separates, by case; NULL and empty texts make
+    empty rows; ties and repeated rows are rows of their own.
 
-    A shard sends each of its words once to the dictionary and gets its term back, so that what is
-    shuffled are a shard's distinct words, not the texts' words. A shard has about SHARD_WORDS words,
-    or one longer text.
+    A word's term is its 63-bit hash, so that shards need not be joined with the dictionary. Words
+    that share their hash are found in the dictionary, where all of them get terms -1, -2, ...;
+    these few (of n distinct words about n^2 / 2^63: one among 3 thousand million) go to all tasks.
+    A shard has about SHARD_WORDS words, or one longer text; it sends each of its words once.
     """
     local = settle(_local_shards(docs, text), "shards")
-    used = local.select("shard", F.posexplode("words").alias("number", "word"))
-    dictionary = settle(
-        numbered(used.select("word").distinct(), "word", "term", "words"), "dictionary")
-    terms = used.join(dictionary, "word").groupBy("shard").agg(
-        F.array_sort(F.collect_list(F.struct("number", "term"))).alias("pairs"))
-    terms = terms.select("shard", F.transform("pairs", lambda p: p["term"]).alias("by_number"))
-    joined = local.drop("words").join(terms, "shard", "left")
-    return joined.select(
-        "shard", "rows", "starts",
-        F.transform("local", lambda i: F.get("by_number", i)).alias("terms"), "counts"), dictionary
+    dictionary = settle(_dictionary(local), "terms")
+    clashing = {w.encode(): t for w, t in dictionary.filter("term < 0").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(clashing)
+    schema = T.StructType([
+        local.schema["rows"], local.schema["starts"], T.StructField("terms", _LONGS, False),
+        local.schema["counts"]])
+    shift = 64 - TERM_BITS
+
+    def encode(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        own = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, starts, numbers, counts, words = (
+                    batch.column(j).slice(i, 1) for j in range(5))
+                words = words.values.slice(words.offsets[0].as_py(), len(words[0])).cast(pa.binary())
+                terms = np.array([
+                    own[w] if w in own else xxhash.xxh64_intdigest(w, 42) >> shift
+                    for w in words.to_pylist()], np.int64)
+                encoded = terms[numbers[0].values.to_numpy()]
+                lists = pa.ListArray.from_arrays(
+                    pa.array([0, len(encoded)], pa.int32()), pa.array(encoded))
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) for c, f in zip((rows, starts, lists, counts), arrow)],
+                    schema=arrow)
+
+    matrix = local.select("rows", "starts", "local", "counts", "words").mapInArrow(encode, schema)
+    return matrix, dictionary
 
 
 def row_sums(matrix: DataFrame) -> DataFrame:
@@ -140,7 +175,7 @@ def flags(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     prepared = docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("part"),
-        (100 * F.regexp_count(text, F.lit("[A-Z]")).cast("long")
+        (100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long")
          > 5 * F.length(text).cast("long")).alias("c"),
         text.rlike(r"[#$%&*|]").alias("d"), F.unhex(F.sha2(text, 256)).alias("digest"),
         F.col("text"))
