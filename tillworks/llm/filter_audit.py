@@ -88,6 +88,33 @@ def _dictionary(shards: DataFrame) -> DataFrame:
         "word", F.coalesce("own", "term").alias("term"))
 
 
+def _encoded(docs: DataFrame, text: str):
+    """Shards with the shard's own word numbers, the dictionary, and a function of Arrow batches
+    that gives the shards their terms."""
+    local = settle(_local_shards(docs, text), "shards")
+    dictionary = settle(_dictionary(local), "terms")
+    clashing = {w.encode(): t for w, t in dictionary.filter("term < 0").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(clashing)
+    shift = 64 - TERM_BITS
+
+    def encode(batches: Iterator) -> Iterator:
+        """For each shard rows, starts, terms and counts as Arrow and numpy arrays."""
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        own = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, starts, numbers, counts, words = (batch.column(j)[i].values for j in range(5))
+                terms = np.array([
+                    own[w] if w in own else xxhash.xxh64_intdigest(w, 42) >> shift
+                    for w in words.cast(pa.binary()).to_pylist()], np.int64)
+                yield rows, starts.to_numpy(), terms[numbers.to_numpy()], counts.to_numpy()
+
+    return local.select("rows", "starts", "local", "counts", "words"), dictionary, encode
+
+
 def term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The document-term matrix of the texts in shards of CSR, and its dictionary.
 
@@ -101,47 +128,34 @@ def term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     these few (of n distinct words about n^2 / 2^63: one among 3 thousand million) go to all tasks.
     A shard has about SHARD_WORDS words, or one longer text; it sends each of its words once.
     """
-    local = settle(_local_shards(docs, text), "shards")
-    dictionary = settle(_dictionary(local), "terms")
-    clashing = {w.encode(): t for w, t in dictionary.filter("term < 0").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(clashing)
+    local, dictionary, encode = _encoded(docs, text)
     schema = T.StructType([
         local.schema["rows"], local.schema["starts"], T.StructField("terms", _LONGS, False),
         local.schema["counts"]])
-    shift = 64 - TERM_BITS
 
-    def encode(batches: Iterator) -> Iterator:
-        import numpy as np
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        own = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, starts, numbers, counts, words = (
-                    batch.column(j).slice(i, 1) for j in range(5))
-                words = words.values.slice(words.offsets[0].as_py(), len(words[0])).cast(pa.binary())
-                terms = np.array([
-                    own[w] if w in own else xxhash.xxh64_intdigest(w, 42) >> shift
-                    for w in words.to_pylist()], np.int64)
-                encoded = terms[numbers[0].values.to_numpy()]
-                lists = pa.ListArray.from_arrays(
-                    pa.array([0, len(encoded)], pa.int32()), pa.array(encoded))
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) for c, f in zip((rows, starts, lists, counts), arrow)],
-                    schema=arrow)
+        for parts in encode(batches):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                     for x in parts]
+            yield pa.RecordBatch.from_arrays(
+                [x.cast(f.type) for x, f in zip(lists, arrow)], schema=arrow)
 
-    matrix = local.select("rows", "starts", "local", "counts", "words").mapInArrow(encode, schema)
-    return matrix, dictionary
+    return local.mapInArrow(run, schema), dictionary
 
 
-def row_sums(matrix: DataFrame) -> DataFrame:
-    """The rows of a matrix with n_words (sum of counts) and n_distinct (nonzero counts)."""
-    carried = matrix.schema["rows"].dataType.elementType
+def row_sums(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns with n_words and n_distinct: sums and nonzero counts of the matrix's rows.
+
+    The matrix is summed up shard by shard where its terms are given, and not stored.
+    """
+    local, _, encode = _encoded(docs, text)
     schema = T.StructType([
-        *carried, *(T.StructField(n, T.LongType(), False) for n in ("n_words", "n_distinct"))])
+        *local.schema["rows"].dataType.elementType,
+        *(T.StructField(n, T.LongType(), False) for n in ("n_words", "n_distinct"))])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -149,18 +163,15 @@ def row_sums(matrix: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, starts, terms, counts = (batch.column(j)[i].values for j in range(4))
-                starts = starts.to_numpy()
-                before = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
-                nonzero = np.concatenate([[0], np.cumsum(
-                    (terms.to_numpy() >= 0) & (counts.to_numpy() > 0), dtype=np.int64)])
-                made = [pa.array(x[starts[1:]] - x[starts[:-1]]) for x in (before, nonzero)]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) for c, f in zip([*rows.flatten(), *made], arrow)], schema=arrow)
+        for rows, starts, terms, counts in encode(batches):
+            before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            held = np.concatenate([[0], np.cumsum(counts > 0, dtype=np.int64)])
+            sums, nonzero = (x[starts[1:]] - x[starts[:-1]] for x in (before, held))
+            made = [pa.array(sums), pa.array(nonzero)]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(f.type) for c, f in zip([*rows.flatten(), *made], arrow)], schema=arrow)
 
-    return matrix.select("rows", "starts", "terms", "counts").mapInArrow(run, schema)
+    return local.mapInArrow(run, schema)
 
 
 def flags(docs: DataFrame) -> DataFrame:
@@ -179,8 +190,7 @@ def flags(docs: DataFrame) -> DataFrame:
          > 5 * F.length(text).cast("long")).alias("c"),
         text.rlike(r"[#$%&*|]").alias("d"), F.unhex(F.sha2(text, 256)).alias("digest"),
         F.col("text"))
-    matrix, _ = term_matrix(prepared)
-    rows = settle(row_sums(matrix), "row-sums")
+    rows = settle(row_sums(prepared), "row-sums")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     copied = settle(first.filter("n > 1").drop("n"), "copied")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
