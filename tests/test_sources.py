@@ -172,6 +172,26 @@ def test_stream_stock_is_applied_once(spark, shop, tmp_path):
     assert products.filter(F.col("id") == 10).first().stock == 0
 
 
+def test_movements_without_an_order_are_refused(spark, make, tmp_path):
+    root, log = str(tmp_path / "root"), str(tmp_path / "log")
+    tables.commit_tables(
+        spark, root, {"products": make("products", [dict(id=1, stock=5, active=True)])})
+    schema = "seq long, product_id long, quantity long, kind string"
+    for batch in ([(None, 1, 3, "entrada")], [(1, 1, 1, "entrada"), (None, 1, 7, "entrada")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    fields = spark.read.parquet(str(tmp_path / "in")).schema
+    for checkpoint in ("cp", "cp2"):  # the second as after a lost checkpoint
+        stream = summary.stream_table(
+            spark, str(tmp_path / "in"), fields, maxFilesPerTrigger=1)
+        stream_stock.stream_movements(
+            stream, root, log, str(tmp_path / checkpoint), ["seq"], "till").awaitTermination()
+        assert tables.read_table(spark, root, "products").first().stock == 6
+    logged = stream_stock.movement_log(spark, root, log, "till").collect()
+    assert {(r.seq, r.quantity, r.reason) for r in logged} == {
+        (1, 1, None), (None, 3, "bad_order"), (None, 7, "bad_order")}
+
+
 def test_two_streams_over_one_root(spark, make, tmp_path):
     root = str(tmp_path / "root")
     tables.commit_tables(

@@ -11,16 +11,17 @@ _PART_BITS = 33  # monotonically_increasing_id holds the partition above so many
 
 
 def with_new_ids(
-    rows: DataFrame, table: DataFrame, order_by: list[str], last_id: int = 0
+    rows: DataFrame, table: DataFrame | None, order_by: list[str], last_id: int = 0
 ) -> DataFrame:
     """``rows`` with consecutive ids above those of ``table``, growing in the given order.
 
     ``last_id`` is the highest id the table ever had (``sources.tables.last_ids``), so that ids of
-    deleted rows are not given again. Range partitions number their own rows and add what the
+    deleted rows are not given again; with it the table need not be read (None). Range partitions number their own rows and add what the
     partitions before them hold, so there is no global sort in one task. The numbered rows are
     written first, because generated ids must not change when a part is computed again.
     """
-    highest = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    highest = F.lit(0) if table is None else table.agg(
+        F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     numbered = settle(
         rows.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)

@@ -100,12 +100,16 @@ def validate_sales(
 
 @dataclass
 class Posting:
-    """New rows for ``sales`` and ``sale_lines``, the refused sales, and the new ``products``."""
+    """New rows for ``sales`` and ``sale_lines``, the refused sales, and the new ``products``.
+
+    ``sold`` is (id, quantity) of the products that the accepted sales took.
+    """
 
     sales: DataFrame
     lines: DataFrame
     refused: DataFrame
     products: DataFrame
+    sold: DataFrame
 
 
 def post_sales(
@@ -113,8 +117,8 @@ def post_sales(
     new_lines: DataFrame,
     products: DataFrame,
     grants: DataFrame,
-    sales: DataFrame,
-    sale_lines: DataFrame,
+    sales: DataFrame | None,
+    sale_lines: DataFrame | None,
     now: Column,
     last_ids: dict[str, int] | None = None,
     **allocation,
@@ -124,7 +128,7 @@ def post_sales(
     ``new_sales``: seq, sale_ref, user_id, client_name, client_ident, total, tendered (text),
     payment_type, status, notes. ``new_lines``: sale_ref, position, product_id, quantity,
     unit_price. ``last_ids``: the highest ids that sales and sale_lines ever had
-    (``sources.tables.last_ids``).
+    (``sources.tables.last_ids``); with them the two tables may be None.
     """
     used = last_ids or {}
     checked = settle(
@@ -180,10 +184,16 @@ def post_sales(
         (F.col("quantity") * F.col("unit_price")).cast(MONEY).alias("line_subtotal"),
         F.lit(0).cast(MONEY).alias("line_discount"),
     )
-    sold = rows.groupBy(F.col("product_id").alias("id")).agg(F.sum("quantity").alias("_sold"))
-    left = products.join(sold, "id", "left")
+    sold = rows.groupBy(F.col("product_id").alias("id")).agg(F.sum("quantity").alias("quantity"))
+    return Posting(
+        posted.select(*TABLES["sales"].names), rows, refused, take_sold(products, sold, now), sold)
+
+
+def take_sold(products: DataFrame, sold: DataFrame, now: Column) -> DataFrame:
+    """Products with the quantities of ``sold`` (id, quantity) taken off; ``modified_at`` is set."""
+    left = products.join(sold.withColumnRenamed("quantity", "_sold"), "id", "left")
     hit = F.col("_sold").isNotNull()
-    new_products = left.select(
+    return left.select(
         *[
             (F.col("stock") - F.coalesce("_sold", F.lit(0))).alias("stock") if c == "stock"
             else F.when(hit, now).otherwise(F.col(c)).alias(c) if c == "modified_at"
@@ -191,7 +201,6 @@ def post_sales(
             for c in products.columns
         ]
     )
-    return Posting(posted.select(*TABLES["sales"].names), rows, refused, new_products)
 
 
 # --- carts ---------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ from tillworks.plans.driver_views import with_views
 from tillworks.plans.registry import query
 from tillworks.plans.admin_queries import now
 from tillworks.plans.report_queries import ACCESS, GRANTS_SQL, grants
+from tillworks.session import scratch_path
+from tillworks.sources import stored, tables
 
 MOVEMENT_ORDER = ["moved_at", "doc_no", "line_no", "party_no", "amount"]
 _ORDER = ", ".join(MOVEMENT_ORDER)
@@ -177,6 +179,46 @@ def e5_stock(t):
     )
 
 
+_TOTALS = {"sales": "user_id", "sale_lines": "quantity", "products": "stock"}
+
+
+@query("e5_commit_posting", with_views(f"{_POST_VIEWS} sales sale_lines", f"""
+    with {_ALLOCATED.strip()},
+    headers as (
+        select (select max(id) from sales) + row_number() over (order by seq) as id, user_id
+        from validated join taken using (sale_ref)
+        union all select id, user_id from sales),
+    sold as (select product_id, quantity from new_lines join taken using (sale_ref)),
+    all_lines as (
+        select (select max(id) from sale_lines) + row_number() over () as id, quantity from sold
+        union all select id, quantity from sale_lines),
+    left_over as (
+        select p.id, p.stock - coalesce(s.quantity, 0) as stock from products p left join
+            (select product_id, sum(quantity) as quantity from sold group by 1) s
+            on s.product_id = p.id)
+    select 'sales' as table_name, cast(count(*) as bigint) as n_rows,
+           cast(sum(id) as bigint) as id_sum, cast(sum(user_id) as bigint) as amount from headers
+    union all select 'sale_lines', count(*), cast(sum(id) as bigint),
+                     cast(sum(quantity) as bigint) from all_lines
+    union all select 'products', count(*), cast(sum(id) as bigint),
+                     cast(sum(stock) as bigint) from left_over""", recursive=True))
+def e5_commit(t):
+    """Posted to stored tables in one commit, and these read back."""
+    root = scratch_path(t.spark, "tables")
+    products = t.products.withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
+    tables.commit_tables(t.spark, root, {
+        "sales": t.sales, "sale_lines": t.sale_lines, "products": products})
+    stored.post(t.spark, root, t.new_sales, t.new_lines, grants(t), now(), block_lines=8_000)
+    out = None
+    for name, column in _TOTALS.items():
+        part = tables.read_table(t.spark, root, name).agg(
+            F.count("*").alias("n_rows"), F.sum("id").alias("id_sum"),
+            F.sum(column).cast("long").alias("amount"),
+        ).select(F.lit(name).alias("table_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("e6_cart_fold", with_views("cart_events products", f"""
     with ordered as (
         select e.*, p.retail_price, p.wholesale_price, p.wholesale_min_qty, p.active,
