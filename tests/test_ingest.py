@@ -130,7 +130,8 @@ def replay(products, rows):
         wholesale = float(r.get("wholesale_price") or 0) or None
         values = dict(product_name=r["product_name"], description=r.get("description"),
                       retail_price=price, wholesale_price=wholesale,
-                      stock=int(r.get("stock") or 0), unit=r.get("unit") or "unidad")
+                      stock=int(r.get("stock") or 0), unit=r.get("unit") or "unidad",
+                      active=r.get("active") in (None, "si"))
         code = r.get("barcode")
         if target is not None and code and any(
                 p["barcode"] == code for i, p in table.items() if i != target):
@@ -142,16 +143,35 @@ def replay(products, rows):
             status[r["row_no"]] = "actualizado"
         elif price:
             created += 1
-            table[f"new{created}"] = dict(values, barcode=r.get("barcode"), active=True)
+            table[f"new{created}"] = dict(values, barcode=r.get("barcode"))
             status[r["row_no"]] = "creado"
         else:
             status[r["row_no"]] = "error"
     return table, status
 
 
-@pytest.mark.parametrize("moves", [[], ["swap"], ["swap", "take"]])
-def test_import_equals_replay(spark, make, now, moves):
-    rnd = random.Random(3)
+def test_a_product_switched_off_is_not_found_by_id(spark, shop, now):
+    rows = [dict(row_no=2, id="10", product_name="Milk", retail_price="1", active="no"),
+            dict(row_no=3, id="10", product_name="Bread", retail_price="9"),
+            dict(row_no=4, id="10", product_name="No price"),
+            dict(row_no=5, barcode="7501", product_name="Milk again", retail_price="2"),
+            dict(row_no=6, id="10", product_name="Milk once more", retail_price="3")]
+    before = {r.id for r in shop["products"].collect()}
+    assert shop["products"].filter("id = 10").first().barcode == "7501"
+    result = run(spark, shop, now, rows)
+    assert {k: v[0] for k, v in log(result).items()} == {
+        2: "actualizado", 3: "creado", 4: "error", 5: "actualizado", 6: "actualizado"}
+    table = {r.id: r for r in result.products.collect()}
+    new = [r for i, r in table.items() if i not in before]
+    assert [(r.product_name, float(r.retail_price), r.active) for r in new] == [
+        ("Bread", 9.0, True)]
+    assert table[10].product_name == "Milk once more" and table[10].active
+
+
+@pytest.mark.parametrize("moves,seed", [
+    ([], 3), (["swap"], 3), (["swap", "take"], 3), (["switch"], 4), (["switch", "swap", "take"], 5)])
+def test_import_equals_replay(spark, make, now, moves, seed):
+    rnd = random.Random(seed)
     products = [
         dict(id=i, barcode=f"B{i}" if i % 4 else None, product_name=f"p{i}", retail_price=9.0,
              wholesale_price=None, description="old", stock=3, unit="kg", active=i % 5 != 0)
@@ -160,7 +180,8 @@ def test_import_equals_replay(spark, make, now, moves):
     for n in range(2, 600):
         i = rnd.randint(0, 39)
         # a third of all rows belong to one new barcode
-        kind = rnd.choice(["id", "code", "both", "new", "hot", "hot", *moves])
+        kind = rnd.choice(["id", "code", "both", "new", "hot", "hot",
+                           *[m for m in moves if m != "switch"]])
         r = dict(row_no=n, product_name=rnd.choice(["x", "y", "z", None]),
                  description=rnd.choice([None, f"d{n}"]),
                  retail_price=rnd.choice([None, "0", "5", "7.25"]),
@@ -180,6 +201,8 @@ def test_import_equals_replay(spark, make, now, moves):
             r["barcode"] = f"N{rnd.randint(0, 30)}"
         if kind == "hot":
             r["barcode"] = "HOT"
+        if "switch" in moves and rnd.random() < 0.2:
+            r["active"] = rnd.choice(["no", "si"])
         rows.append(r)
     result = ingest.upsert_products(
         make("products", products), feed(spark, rows), make("categories", []),
@@ -190,7 +213,7 @@ def test_import_equals_replay(spark, make, now, moves):
     def shown(r):
         number = None if r["wholesale_price"] is None else float(r["wholesale_price"])
         return (r["barcode"], r["product_name"], r["description"], float(r["retail_price"]),
-                number, r["stock"], r["unit"])
+                number, r["stock"], r["unit"], r["active"])
 
     got = sorted((shown(r.asDict()) for r in result.products.collect()), key=str)
     assert got == sorted((shown(r) for r in table.values()), key=str)

@@ -2,10 +2,10 @@
 
 Rows apply in row order. A barcode belongs to the product that holds it as of the row: earlier rows
 may have created its product, moved it there or freed it. A row that wants a barcode of another
-product is refused. Which products are active, and so found by id, is as before the feed.
-Everything per target is an aggregate ("last non-NULL by row number"), so a product or barcode
-repeated very often in the feed is combined before the shuffle; only barcodes that some row moves
-are followed row by row.
+product is refused. A product is found by id while it is active as of the row: earlier rows may have
+switched it on or off. Everything per target is an aggregate ("last non-NULL by row number"), so a
+product or barcode repeated very often in the feed is combined before the shuffle; only rows of
+barcodes that some row moves, and of products that some row switches, are followed in order.
 """
 
 from __future__ import annotations
@@ -97,20 +97,22 @@ def resolve_names(feed: DataFrame, categories: DataFrame, suppliers: DataFrame)
 
 
 def match_target(feed: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds ``bad_id``, ``by_id`` (an active product) and ``target``: that, else any product by
-    barcode, before the feed."""
-    wanted = whole_from_text(F.col("id"))
-    by_id = products.filter("active").select(F.col("id").alias("by_id"))
+    """Adds ``bad_id``, ``wanted`` (the product of the row's id), ``by_id`` (that, if active) and
+    ``target``: by_id, else any product by barcode; all as before the feed."""
+    asked = whole_from_text(F.col("id"))
+    known = products.select(
+        F.col("id").alias("wanted"), F.coalesce("active", F.lit(False)).alias("_on"))
     by_code = products.filter("barcode is not null").select(
         "barcode", F.col("id").alias("_by_code")
     )
     return (
-        feed.withColumn("bad_id", _present("id") & wanted.isNull())
-        .withColumn("_wanted", wanted)
-        .join(by_id, F.col("_wanted") == F.col("by_id"), "left")
+        feed.withColumn("bad_id", _present("id") & asked.isNull())
+        .withColumn("_asked", asked)
+        .join(known, F.col("_asked") == F.col("wanted"), "left")
         .join(by_code, "barcode", "left")
+        .withColumn("by_id", F.when(F.col("_on"), F.col("wanted")))
         .withColumn("target", F.coalesce("by_id", "_by_code"))
-        .drop("_wanted", "_by_code", "id")
+        .drop("_asked", "_by_code", "_on", "id")
     )
 
 
@@ -119,15 +121,41 @@ def _has_price() -> Column:
 
 
 def _moved_barcodes(clean: DataFrame, owned: DataFrame) -> DataFrame:
-    """Barcodes that a row gives to a product found by id which held another or none before the
-    feed, and those such products held."""
-    held = owned.select(F.col("_owner").alias("by_id"), F.col("barcode").alias("_held"))
+    """Barcodes that a row asks for a product that held another or none before the feed, and those
+    such products held."""
+    held = owned.select(F.col("_owner").alias("wanted"), F.col("barcode").alias("_held"))
     moving = (
-        clean.filter("by_id is not null and barcode is not null").select("by_id", "barcode")
-        .join(held, "by_id", "left").filter(~F.col("barcode").eqNullSafe(F.col("_held")))
+        clean.filter("wanted is not null and barcode is not null").select("wanted", "barcode")
+        .join(held, "wanted", "left").filter(~F.col("barcode").eqNullSafe(F.col("_held")))
     )
-    moved = moving.select("barcode").union(moving.select("_held").dropna()).distinct()
-    return settle(moved, "feed-moved")
+    return moving.select("barcode").union(moving.select("_held").dropna()).distinct()
+
+
+def _in_doubt(clean: DataFrame, products: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Barcodes and products whose rows must be followed in order.
+
+    A product may be switched if a row that could reach it, by its id or by a barcode that it held or
+    is asked for it, has another activity than it had before the feed. Its barcodes then join those
+    that are moved: what its rows take or leave depends on whether it is found by id. Rows of all other
+    barcodes and products neither see such a change nor cause one.
+    """
+    asked = clean.filter("wanted is not null and barcode is not null").select(
+        "barcode", F.col("wanted").alias("product"))
+    reach = asked.union(owned.select("barcode", F.col("_owner").alias("product"))).distinct()
+    flags = [F.bool_or(F.col("active")).alias("_on"), F.bool_or(~F.col("active")).alias("_off")]
+    by_code = clean.filter("barcode is not null").groupBy("barcode").agg(*flags)
+    by_id = clean.filter("wanted is not null").groupBy(F.col("wanted").alias("product")).agg(*flags)
+    seen = reach.join(by_code, "barcode").select("product", "_on", "_off").unionByName(by_id)
+    opening = products.select(
+        F.col("id").alias("product"), F.coalesce("active", F.lit(False)).alias("_was"))
+    switched = settle(
+        seen.groupBy("product").agg(F.bool_or("_on").alias("_on"), F.bool_or("_off").alias("_off"))
+        .join(opening, "product").filter("(_was and _off) or (not _was and _on)")
+        .select("product"), "feed-switched")
+    moved = settle(
+        _moved_barcodes(clean, owned).union(reach.join(switched, "product").select("barcode"))
+        .distinct(), "feed-moved")
+    return moved, switched
 
 
 def _settled_outcomes(rows: DataFrame) -> DataFrame:
@@ -151,41 +179,65 @@ def _settled_outcomes(rows: DataFrame) -> DataFrame:
     return placed.withColumn("outcome", outcome).drop("_start")
 
 
-def _moving_outcomes(rows: DataFrame, owned: DataFrame) -> DataFrame:
-    """``outcome``, ``made_by`` and ``target`` of rows whose barcodes change hands.
+def _moving_outcomes(rows: DataFrame, products: DataFrame, owned: DataFrame) -> DataFrame:
+    """``outcome``, ``made_by`` and ``target`` of rows whose barcodes change hands or whose products
+    are switched on or off.
 
-    Rounds over all rows at once: from the outcomes assumed so far follows who holds each barcode
-    before each row (a product that takes a barcode frees the one it held), and from that the
-    outcomes. Outcomes depend on earlier rows only, so each round settles at least one more link of
-    every chain, and what no longer changes equals row-by-row processing. New products are
-    numbered by minus the row that creates them.
+    Rounds over all rows at once: from the outcomes assumed so far follows who holds each barcode and
+    which product is active before each row (a product that takes a barcode frees the one it
+    held), and from that the outcomes. Outcomes depend on earlier rows only, so each round settles at
+    least one more link of every chain, and what no longer changes equals row-by-row processing. New
+    products are numbered by minus the row that creates them.
     """
+    none = F.lit(None).cast("long")
     asks = settle(
-        rows.select("row_no", "barcode", "by_id", _has_price().alias("priced")), "feed-asks")
-    opening = settle(owned.select(
-        F.lit(-1).cast("long").alias("row_no"), "barcode", F.col("_owner").alias("product")),
-        "feed-owned")
+        rows.select("row_no", "barcode", "wanted", "active", "by_id",
+                    _has_price().alias("priced")), "feed-asks")
+    before_all = F.lit(-1).cast("long").alias("row_no")
+    opening = settle(
+        owned.select(before_all, "barcode", F.col("_owner").alias("product")), "feed-owned")
+    switches = settle(
+        products.join(asks.select(F.col("wanted").alias("id")).dropna().distinct(), "id")
+        .select(before_all, F.col("id").alias("product"),
+                F.coalesce("active", F.lit(False)).alias("_flag")), "feed-active")
     decided = asks.withColumns({"product": F.col("by_id"), "ok": F.col("by_id").isNotNull()})
+    upto = (Window.unboundedPreceding, Window.currentRow)
     changed = 1
     while changed:
+        # who is active: the last accepted row that says so
+        flagged = switches.unionByName(decided.filter("ok and product >= 0 and active is not null")
+                                       .select("row_no", "product", F.col("active").alias("_flag")))
+        flags = flagged.select(
+            F.col("product").alias("wanted"), "row_no", F.lit(1).alias("_kind"), "_flag")
+        by_number = Window.partitionBy("wanted").orderBy("row_no", "_kind").rowsBetween(*upto)
+        on = decided.filter("wanted is not null").withColumn("_kind", F.lit(0)).unionByName(
+            flags, allowMissingColumns=True).withColumn(
+            "_on", F.last("_flag", ignorenulls=True).over(by_number)).filter("_kind = 0")
+        found = on.withColumn("by_id", F.when(F.col("_on"), F.col("wanted"))).select(
+            *decided.columns).unionByName(
+            decided.filter("wanted is null").withColumn("by_id", none))
+        # who holds the barcode
         taken = opening.unionByName(
-            decided.filter("ok").select("row_no", "barcode", "product"))
+            decided.filter("ok and barcode is not null").select("row_no", "barcode", "product"))
         before = F.lag("barcode").over(Window.partitionBy("product").orderBy("row_no"))
         freed = taken.withColumn("_left", before).filter("_left <> barcode").select(
-            "row_no", F.col("_left").alias("barcode"), F.lit(None).cast("long").alias("product"))
+            "row_no", F.col("_left").alias("barcode"), none.alias("product"))
         events = taken.unionByName(freed).select(
             "barcode", "row_no", F.lit(1).alias("_kind"), F.struct("product").alias("_event"))
-        seen = decided.withColumn("_kind", F.lit(0)).unionByName(events, allowMissingColumns=True)
-        holder = F.last("_event", ignorenulls=True).over(
-            Window.partitionBy("barcode").orderBy("row_no", "_kind")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))["product"]
+        by_code = Window.partitionBy("barcode").orderBy("row_no", "_kind").rowsBetween(*upto)
+        seen = found.filter("barcode is not null").withColumn("_kind", F.lit(0)).unionByName(
+            events, allowMissingColumns=True).withColumn(
+            "_holder", F.last("_event", ignorenulls=True).over(by_code)["product"])
+        seen = seen.filter("_kind = 0").drop("_kind", "_event").unionByName(
+            found.filter("barcode is null").withColumn("_holder", none))
         new = F.when(F.col("priced"), -F.col("row_no"))
         product = F.coalesce("by_id", "_holder", new)
         ok = product.isNotNull() & F.coalesce(F.col("_holder") == product, F.lit(True))
-        judged = seen.withColumn("_holder", holder).filter("_kind = 0").select(
-            "row_no", "barcode", "by_id", "priced", product.alias("product"), ok.alias("ok"),
-            (~product.eqNullSafe(F.col("product")) | (ok != F.col("ok"))).alias("_changed"))
-        judged = settle(judged, "feed-round")
+        judged = settle(seen.select(
+            "row_no", "barcode", "wanted", "active", "by_id", "priced", product.alias("product"),
+            ok.alias("ok"),
+            (~product.eqNullSafe(F.col("product")) | (ok != F.col("ok"))).alias("_changed"),
+        ), "feed-round")
         changed = judged.filter("_changed").count()
         decided = judged.drop("_changed")
     outcome = (
@@ -229,10 +281,15 @@ def upsert_products(
     clean = rows.filter(~F.col("bad_number") & ~F.col("bad_id"))
 
     owned = products.select("barcode", F.col("id").alias("_owner")).dropna()
-    moved = _moved_barcodes(clean, owned)
+    moved, switched = _in_doubt(clean, products, owned)
+    clean = clean.join(moved.withColumn("_moves", F.lit(True)), "barcode", "left").join(
+        switched.select(F.col("product").alias("wanted"), F.lit(True).alias("_switches")),
+        "wanted", "left").withColumn(
+        "_follow", F.coalesce("_moves", "_switches", F.lit(False))).drop("_moves", "_switches")
+    followed = clean.filter("_follow").drop("_follow")
     judged = settle(
-        _settled_outcomes(clean.join(moved, "barcode", "left_anti"))
-        .unionByName(_moving_outcomes(clean.join(moved, "barcode"), owned.join(moved, "barcode"))),
+        _settled_outcomes(clean.filter("not _follow").drop("_follow")).unionByName(
+            _moving_outcomes(followed, products, owned.join(moved, "barcode"))),
         "feed-judged",
     )
     is_new = F.col("target").isNull()

@@ -136,3 +136,49 @@ def g2_g3(t):
         "row_no", F.col("cost_price").cast("double").alias("cost_price"), "wholesale_min_qty",
         "stock", "bad_number", "unit", "barcode", "active",
     )
+
+
+# four rows per product: by id switched off, by id only, by barcode switched on, by id only
+_SWITCHING = """
+    steps as (
+        select p.id, p.id * 4 + k.k + 2 as row_no, k.k as n, case when k.k <> 3 then p.id end
+                   as wanted, case when k.k = 3 then p.barcode end as barcode,
+               case when k.k <> 4 or p.id % 2 = 0 then 5 else 0 end as price,
+               case k.k when 1 then false when 3 then true else p.id % 3 <> 0 end as active
+        from products p, (select unnest([1, 2, 3, 4]) as k) k),
+    fold as (
+        select id, cast(0 as bigint) as n, active as state, cast(null as bigint) as row_no,
+               cast(null as varchar) as outcome from products
+        union all
+        select f.id, s.n, case when (s.wanted is not null and f.state) or s.barcode is not null
+                               then s.active else f.state end,
+               s.row_no, case when (s.wanted is not null and f.state) or s.barcode is not null
+                              then 'actualizado' when s.price <> 0 then 'creado' else 'error' end
+        from fold f join steps s on s.id = f.id and s.n = f.n + 1)"""
+
+
+@query("g5_switched_products", with_views("products", f"""
+    with {_SWITCHING.strip()}
+    select f.row_no, f.outcome as status, l.state as active_after
+    from fold f join fold l on l.id = f.id and l.n = 4 where f.n > 0""", recursive=True))
+def g5_switched(t):
+    """An import whose rows switch products off and on, and ask for them by id in between."""
+    products = t.products.withColumns({
+        c: F.lit(None).cast("timestamp_ntz") for c in ("created_at", "modified_at")
+    })
+    k = F.col("k")
+    rows = products.withColumn("k", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])))
+    active = F.when(k == 1, "no").when(k == 3, "si").when(F.col("id") % 3 != 0, "yes")
+    feed = rows.select(
+        (F.col("id") * 4 + k + 2).alias("row_no"),
+        F.when(k != 3, F.col("id")).cast("string").alias("id"),
+        F.when(k == 3, F.col("barcode")).alias("barcode"), F.lit("renamed").alias("product_name"),
+        F.when((k != 4) | (F.col("id") % 2 == 0), "5").alias("retail_price"),
+        F.coalesce(active, F.lit("no")).alias("active"),
+        *[F.lit(None).cast("string").alias(c) for c in (
+            "description", "category", "supplier", "cost_price", "wholesale_price",
+            "wholesale_min_qty", "stock", "min_stock", "unit")])
+    done = ingest.upsert_products(products, feed, t.categories, t.suppliers, now())
+    after = done.products.select(F.col("id").alias("_id"), F.col("active").alias("active_after"))
+    return done.log.join(after, F.expr("(row_no - 3) div 4") == F.col("_id")).select(
+        "row_no", "status", "active_after")
