@@ -102,19 +102,20 @@ def move_all(moves, opening):
     return out, left
 
 
-def test_movements_equal_replay(spark, make, now, small_slices):
+@pytest.mark.parametrize("slices,opening", [(30, 30), (7, 0), (None, 30)])
+def test_movements_equal_replay(spark, make, now, slices, opening):
     rnd = random.Random(7)
     # product 0 holds a third of the movements, so it spans several slices
     moves = [
         (seq, 0 if rnd.random() < 0.34 else rnd.randint(1, 60), rnd.randint(0, 9),
          rnd.choice(["entrada", "salida", "salida", "salida", "otra"]))
         for seq in range(3000)]
-    active = {p: rnd.randint(0, 30) for p in range(55)}
+    active = {p: rnd.randint(0, opening) for p in range(55)}
     products = make("products", [
         dict(id=p, product_name="x", retail_price=1, stock=active.get(p, 9), active=p in active)
         for p in range(60)])
     rows = spark.createDataFrame(moves, "seq long, product_id long, quantity long, kind string")
-    applied = stock.apply_movements(products, rows, ["seq"])
+    applied = stock.apply_movements(products, rows, ["seq"], slices)
     want, left = move_all(moves, active)
     got = sorted((r.seq, r.reason, r.stock) for r in applied.collect())
     assert got == want
@@ -125,6 +126,69 @@ def test_movements_equal_replay(spark, make, now, small_slices):
     assert {p for p, r in table.items() if r.modified_at} == moved
 
 
+def written_as(monkeypatch):
+    labels = []
+
+    def settle(df, label):
+        labels.append(label)
+        return write(df, label)
+
+    write = stock.settle
+    monkeypatch.setattr(stock, "settle", settle)
+    return labels
+
+
+def test_a_product_that_never_runs_out_is_followed_once(spark, make, monkeypatch):
+    rnd = random.Random(8)
+    moves = [(seq, 1, rnd.randint(1, 9), rnd.choice(["entrada", "salida"])) for seq in range(2000)]
+    products = make("products", [
+        dict(id=1, product_name="x", retail_price=1, stock=100_000, active=True)])
+    rows = spark.createDataFrame(moves, "seq long, product_id long, quantity long, kind string")
+    labels = written_as(monkeypatch)
+    got = sorted(
+        (r.seq, r.reason, r.stock)
+        for r in stock.apply_movements(products, rows, ["seq"], slices=40).collect())
+    assert got == move_all(moves, {1: 100_000})[0]
+    assert labels == ["movements"]
+
+
+def test_only_slices_out_of_bounds_are_followed_again(spark, make, monkeypatch):
+    # out-movements use the stock up in the first slices; later slices see another stock than assumed
+    moves = [(seq, 1, 1, "salida" if seq < 500 or seq % 2 else "entrada") for seq in range(1200)]
+    products = make("products", [
+        dict(id=1, product_name="x", retail_price=1, stock=300, active=True)])
+    rows = spark.createDataFrame(moves, "seq long, product_id long, quantity long, kind string")
+    labels = written_as(monkeypatch)
+    got = sorted(
+        (r.seq, r.reason, r.stock)
+        for r in stock.apply_movements(products, rows, ["seq"], slices=24).collect())
+    assert got == move_all(moves, {1: 300})[0]
+    assert 2 <= len(labels) <= 4
+
+
+@pytest.mark.parametrize("slices", [1, 20])
+def test_deliveries_are_running_sums(spark, make, slices):
+    rnd = random.Random(9)
+    moves = [(seq, rnd.choice([0, 0, 1, 2, 9, None]), rnd.choice([0, -1, None, 1, 5, 7]))
+             for seq in range(600)]
+    products = make("products", [
+        dict(id=p, product_name="x", retail_price=1, stock=p * 10, active=p != 2)
+        for p in range(4)])
+    rows = spark.createDataFrame(moves, "seq long, product_id long, quantity long")
+    done = stock.stock_in(products, rows, ["seq"], slices)
+    left, want = {0: 0, 1: 10, 3: 30}, []
+    for seq, product, quantity in moves:
+        bad = quantity is None or quantity <= 0
+        if product in left and not bad:
+            left[product] += quantity
+        reason = "bad_quantity" if bad else None if product in left else "product_not_found"
+        want.append((seq, reason, left.get(product)))
+    assert sorted((r.seq, r.reason, r.stock) for r in done.collect()) == want
+    plan = done._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+    assert {r.kind for r in done.collect()} == {"entrada"}
+
+
 def test_manual_adjustments(spark, shop):
     rows = spark.createDataFrame(
         [(1, 10, 5, "roto"), (2, 10, 16, "x"), (3, 10, 1, None), (4, 10, 1, ""), (5, 10, 0, "x"),

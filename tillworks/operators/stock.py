@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.operators.folding import fold_in_order
 from tillworks.schemas import MANUAL_NOTE, STOCK_IN, STOCK_OUT
 from tillworks.session import settle
 
@@ -19,42 +18,157 @@ BLOCK_LINES = 50_000
 
 # --- movements -----------------------------------------------------------------------------
 
+#: no bound on the opening stock
+_FAR = 1 << 62
 
-def _move(event: tuple, state: tuple) -> tuple[tuple, tuple]:
-    kind, quantity = event
-    (stock,) = state
-    if quantity is None or quantity <= 0:
-        return state, ("bad_quantity",)
-    if stock is None:
-        return state, ("product_not_found",)
-    if kind == STOCK_IN:
-        return (stock + quantity,), (None,)
-    if kind != STOCK_OUT:
-        return state, ("bad_kind",)
-    if stock < quantity:
-        return state, ("insufficient_stock",)
-    return (stock - quantity,), (None,)
+
+def _laid_out(movements: DataFrame, order_by: list[str], slices: int | None) -> DataFrame:
+    """Movements by range of (product, order), so that a very large product is cut into slices of
+    ordinary size; ``_slice`` is the range. Spark chooses their number if none is given."""
+    by_place = ["product_id", *order_by]
+    number = [slices] if slices else []
+    return movements.repartitionByRange(*number, *by_place).sortWithinPartitions(
+        *by_place).withColumn("_slice", F.spark_partition_id())
 
 
 def apply_movements(
-    products: DataFrame, movements: DataFrame, order_by: list[str]
+    products: DataFrame, movements: DataFrame, order_by: list[str], slices: int | None = None
 ) -> DataFrame:
     """``movements`` with ``reason`` (NULL = accepted) and ``stock`` after each one.
 
     Movements of a product apply in the total order ``order_by``: in-movements add, out-movements
     subtract when the stock suffices. Only active products take movements.
+
+    Verdicts depend on earlier verdicts, so a slice of a product is followed in order, all slices at
+    once, each from the product's opening stock. What a slice did also holds for other stocks at its
+    start: as long as no accepted movement would lack stock and no refused one would find it. That is an
+    interval, and within it the slice changes the stock by the same amount. So the slices of a
+    product are put together by sums of these amounts, and only a slice whose stock turns out to lie
+    outside its interval is followed again, from the stock that the sums give; the first such slice of
+    a product is then final. A product whose stock never runs out is followed once, however many
+    slices it has. What slices tell each other is one row for each slice of a cut product.
     """
     opening = products.filter("active").select(F.col("id").alias("product_id"), "stock")
-    return fold_in_order(
-        movements,
-        key=["product_id"],
-        order_by=order_by,
-        start=opening,
-        inputs=["kind", "quantity"],
-        state=[T.StructField("stock", T.LongType())],
-        result=[T.StructField("reason", T.StringType())],
-        step=_move,
-    )
+    start = opening.withColumnRenamed("stock", "_from")
+    laid_out = _laid_out(movements.join(start, "product_id", "left"), order_by, slices)
+    runs = [settle(_followed(laid_out.select(*movements.columns, "_slice", "_from")), "movements")]
+    chosen, shifts = _put_together(runs, order_by)
+    place = ["product_id", "_slice"]
+    out = None
+    for i, run in enumerate(runs):
+        picked = run.withColumn("_run", F.lit(i))
+        if len(runs) > 1:
+            others = chosen.filter(F.col("_run") != i).select(*place)
+            picked = picked.join(others, place, "left_anti")
+        out = picked if out is None else out.unionByName(picked)
+    if shifts is not None:
+        out = out.join(shifts, place, "left").withColumn(
+            "stock", F.col("stock") + F.coalesce("_shift", F.lit(0)))
+    return out.select(*movements.columns, "stock", "reason")
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """Rows of slices, in order, with stock and reason; ``_from`` is the stock before the slice."""
+    schema = T.StructType([
+        *rows.schema, T.StructField("stock", T.LongType()),
+        T.StructField("reason", T.StringType())])
+    return rows.mapInArrow(_follow_slices, schema)
+
+
+def _follow_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, stock = None, None
+    for batch in batches:
+        columns = (batch.column(c).to_pylist()
+                   for c in ("product_id", "_slice", "_from", "kind", "quantity"))
+        stocks, reasons = [], []
+        for product, piece, start, kind, quantity in zip(*columns):
+            if (product, piece) != at:
+                at, stock = (product, piece), start
+            if quantity is None or quantity <= 0:
+                reason = "bad_quantity"
+            elif stock is None:
+                reason = "product_not_found"
+            elif kind == STOCK_IN:
+                reason, stock = None, stock + quantity
+            elif kind != STOCK_OUT:
+                reason = "bad_kind"
+            elif stock < quantity:
+                reason = "insufficient_stock"
+            else:
+                reason, stock = None, stock - quantity
+            stocks.append(stock)
+            reasons.append(reason)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(stocks, pa.int64()), pa.array(reasons, pa.string())],
+            names=[*batch.schema.names, "stock", "reason"])
+
+
+def _slice_sums(run: DataFrame, only_cut: bool) -> list[tuple]:
+    """(product, slice, from, change, low, high) of the slices (of products that are cut).
+
+    The slice's verdicts hold for all stocks from low to high at its start: its accepted out-movements
+    leave at least from - low, and its refused ones lack more than high - from.
+    """
+    left = F.when(F.col("reason").isNull() & (F.col("kind") == STOCK_OUT), F.col("stock"))
+    lacking = F.when(
+        F.col("reason") == "insufficient_stock", F.col("quantity") - F.col("stock") - 1)
+    signed = F.when(F.col("kind") == STOCK_IN, F.col("quantity")).otherwise(-F.col("quantity"))
+    sums = run.filter("_from is not null").groupBy("product_id", "_slice").agg(
+        F.first("_from").alias("start"),
+        F.coalesce(F.sum(F.when(F.col("reason").isNull(), signed)), F.lit(0)).alias("change"),
+        F.coalesce(F.min(left), F.lit(_FAR)).alias("spare"),
+        F.coalesce(F.min(lacking), F.lit(_FAR)).alias("more"))
+    if only_cut:
+        slices = F.count(F.lit(1)).over(W.partitionBy("product_id"))
+        sums = sums.withColumn("_n", slices).filter("_n > 1")
+    return [
+        (r.product_id, r._slice, r.start, r.change, r.start - r.spare, r.start + r.more)
+        for r in sums.collect()]
+
+
+def _put_together(runs: list[DataFrame], order_by: list[str]):
+    """Follow slices again until all fit; (product, slice, run) of those, and what to add to stocks.
+
+    ``runs`` grows by one for each time. The driver holds a few numbers for each slice of a cut product,
+    of which there are fewer than two for each range.
+    """
+    spark = runs[0].sparkSession
+    key = runs[0].schema["product_id"].dataType
+    ways: dict[tuple, list[tuple]] = {}
+    opening: dict = {}
+    for product, piece, *rest in _slice_sums(runs[0], only_cut=True):
+        ways[product, piece] = [(0, *rest)]
+        opening[product] = rest[0]
+    if not ways:
+        return None, None
+    while True:
+        wrong, plan, now, held = [], [], None, 0
+        for product, piece in sorted(ways):
+            if product != now:
+                now, held = product, opening[product]
+            tried = ways[product, piece]
+            fit = next((w for w in tried if w[3] <= held <= w[4]), None)
+            if fit is None:
+                held = max(held, 0)
+                wrong.append((product, piece, held))
+                fit = tried[-1]  # to go on with, until the slice is followed from here
+            plan.append((product, piece, fit[0], held - fit[1]))
+            held += fit[2]
+        if not wrong:
+            break
+        schema = T.StructType([T.StructField("product_id", key)]).add("_slice", T.IntegerType()).add(
+            "_from", T.LongType())
+        again = spark.createDataFrame(wrong, schema)
+        rows = runs[0].drop("_from", "stock", "reason").join(again, ["product_id", "_slice"])
+        rows = rows.repartition("product_id", "_slice").sortWithinPartitions(
+            "product_id", "_slice", *order_by).select(*runs[0].drop("stock", "reason").columns)
+        runs.append(settle(_followed(rows), "movements"))
+        for product, piece, *rest in _slice_sums(runs[-1], only_cut=False):
+            ways[product, piece].append((len(runs) - 1, *rest))
+    schema = T.StructType([T.StructField("product_id", key)]).add("_slice", T.IntegerType()).add(
+        "_run", T.IntegerType()).add("_shift", T.LongType())
+    made = spark.createDataFrame(plan, schema)
+    return made.drop("_shift"), made.filter("_shift <> 0").drop("_run")
 
 
 def stock_after(products: DataFrame, applied: DataFrame, order_by: list[str], now) -> DataFrame:
@@ -76,9 +190,39 @@ def stock_after(products: DataFrame, applied: DataFrame, order_by: list[str], no
     )
 
 
-def stock_in(products: DataFrame, deliveries: DataFrame, order_by: list[str]) -> DataFrame:
-    """Deliveries as in-movements; ``stock`` is the new stock."""
-    return apply_movements(products, deliveries.withColumn("kind", F.lit(STOCK_IN)), order_by)
+def stock_in(
+    products: DataFrame, deliveries: DataFrame, order_by: list[str], slices: int | None = None
+) -> DataFrame:
+    """Deliveries as in-movements; ``stock`` is the new stock.
+
+    Nothing is refused for want of stock, so stocks are running sums: within a range of (product,
+    order) by a window, and before it the sums of the product's earlier ranges. A product with much of
+    the data is cut into ranges like any other.
+    """
+    columns = [c for c in deliveries.columns if c != "kind"]
+    laid_out = settle(
+        _laid_out(deliveries.select(*columns), order_by, slices), "deliveries")
+    good = F.col("quantity") > 0
+    amount = F.when(good, F.col("quantity")).otherwise(0)
+    earlier = W.partitionBy("product_id").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    opening = products.filter("active").select(
+        F.col("id").alias("product_id"), F.col("stock").alias("_open"))
+    before = (
+        laid_out.groupBy("product_id", "_slice").agg(F.sum(amount).alias("_sum"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .join(opening, "product_id")
+        .select("product_id", "_slice", (F.col("_open") + F.col("_before")).alias("_start"))
+    )
+    so_far = W.partitionBy("product_id", "_slice").orderBy(*order_by).rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    reason = F.when(~F.coalesce(good, F.lit(False)), "bad_quantity").when(
+        F.col("_start").isNull(), "product_not_found")
+    return (
+        laid_out.withColumn("_sum", F.sum(amount).over(so_far))
+        .join(before, ["product_id", "_slice"], "left")
+        .select(*columns, F.lit(STOCK_IN).alias("kind"),
+                (F.col("_start") + F.col("_sum")).alias("stock"), reason.alias("reason"))
+    )
 
 
 def stock_out_adjustment(
