@@ -148,6 +148,43 @@ def check_daily_totals(spark, shop, tmp_path):
         ("2025-06-26", None): (20.0, 1)}
 
 
+def test_days_are_closed_and_late_sales_kept(spark, make, tmp_path):
+    folder, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+
+    def sale(i, day, total, **more):
+        return dict(id=i, sold_at=f"2025-06-{day:02d} 10:00:00", user_id=1, total=total,
+                    payment_type="efectivo", status="completada") | more
+
+    batches = [
+        [sale(1, 1, 10), sale(2, 3, 5)],  # closes the 1st: newest is the 3rd less a day
+        [sale(3, 1, 7), sale(4, 2, 1), sale(5, 5, 2), sale(6, 5, 9, status="cancelada")],
+        [sale(7, 2, 4), sale(8, 6, 3), sale(9, 5, 1, payment_type=None)],
+        [sale(10, 6, 8), sale(11, 9, 8)]]
+
+    def run(checkpoint=cp):
+        stream = summary.stream_table(
+            spark, folder, TABLES["sales"], maxFilesPerTrigger=1)
+        summary.write_day_sums(stream, out, checkpoint).awaitTermination()
+
+    for rows in batches[:3]:
+        make("sales", rows).coalesce(1).write.mode("append").parquet(folder)
+        run()
+    got = {(r.day.day, r.payment_type): (float(r.total_sales), r.n_sales, r.is_closed)
+           for r in summary.day_sums(spark, out).collect()}
+    assert got == {
+        (1, "efectivo"): (10, 1, True), (2, "efectivo"): (1, 1, True),
+        (3, "efectivo"): (5, 1, True), (5, "efectivo"): (2, 1, False), (5, None): (1, 1, False),
+        (6, "efectivo"): (3, 1, False)}
+    assert {(r.id, r.batch) for r in summary.late_sales(spark, out).collect()} == {(3, 1), (7, 2)}
+    summary.close_days(spark, out)
+    assert summary.day_sums(spark, out).filter("not is_closed").isEmpty()
+    make("sales", batches[3]).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    assert {r.id for r in summary.late_sales(spark, out).collect()} == {3, 7, 10, 11}
+    run()  # nothing new
+    assert summary.day_sums(spark, out).count() == 6
+
+
 def test_stream_stock_is_applied_once(spark, shop, tmp_path):
     root = stored(spark, shop, str(tmp_path / "root"))
     for batch in ([(1, 10, 5, "salida"), (2, 10, 100, "salida")], [(3, 10, 85, "entrada")],

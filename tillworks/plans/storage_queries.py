@@ -14,6 +14,7 @@ from tillworks.session import scratch_path, settle
 from tillworks.sources import feed as feed_files
 from tillworks.sources import report_files, snapshots, tables
 from tillworks.streaming.stock import stream_movements
+from tillworks.streaming import summary
 from tillworks.streaming.summary import daily_payment_totals, stream_table, write_daily_totals
 
 _NOW = dt.datetime(2025, 6, 30, 12, 0, 0)
@@ -145,6 +146,56 @@ def s1(t):
     )
 
 
+# three batches by time; some sales of the first come with the last
+_CUTS = ("1997-01-01", "1999-06-01")
+_BATCHES = f"""
+    batches as (
+        select *, case when sold_at < timestamp '{_CUTS[0]}'
+                       then case when id % 50 = 0 then 2 else 0 end
+                       when sold_at < timestamp '{_CUTS[1]}' then 1 else 2 end as batch
+        from sales where status = 'completada'),
+    kept as (
+        select * from batches b where batch = 0 or cast(sold_at as date) >= (
+            select cast(max(sold_at) - interval 1 day as date) from batches e
+            where e.batch < b.batch))"""
+
+
+def _closed_days(t):
+    folder = scratch_path(t.spark, "stream-in")
+    early, later = (F.col("sold_at") < F.lit(c).cast("timestamp_ntz") for c in _CUTS)
+    held_back = early & (F.col("id") % 50 == 0)
+    rows = t.sales.select("id", "sold_at", "total", "payment_type", "status")
+    for part in (early & ~held_back, later & ~early, held_back | ~later):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    schema = t.spark.read.parquet(folder).schema
+    out = scratch_path(t.spark, "stream-out")
+    stream = stream_table(t.spark, folder, schema, maxFilesPerTrigger=1)
+    summary.write_day_sums(
+        stream, out, scratch_path(t.spark, "stream-checkpoint")).awaitTermination()
+    summary.close_days(t.spark, out)
+    return out
+
+
+@query("s1_stream_closed_days", with_views("sales", f"""
+    with {_BATCHES.strip()}
+    select cast(sold_at as date) as day, payment_type, cast(sum(total) as double) as total_sales,
+           count(id) as n_sales, true as is_closed
+    from kept group by 1, 2"""))
+def s1_closed(t):
+    """All days of the stream, closed, from three batches of which the last brings late sales."""
+    return summary.day_sums(t.spark, _closed_days(t)).withColumn(
+        "total_sales", F.col("total_sales").cast("double"))
+
+
+@query("s1_stream_late_sales", with_views("sales", f"""
+    with {_BATCHES.strip()}
+    select id, cast(total as double) as total from batches
+    where id not in (select id from kept)"""))
+def s1_late(t):
+    late = summary.late_sales(t.spark, _closed_days(t))
+    return late.select("id", F.col("total").cast("double").alias("total"))
+
+
 @query("s2_stream_stock", with_views("movements products", f"""
     with {_moves_sql('movements').strip()},
     last as (select product_id, stock from fold
