@@ -278,3 +278,26 @@ def test_feed_with_line_breaks_and_bad_row_numbers(spark, tmp_path):
     feed.write_feed(feed.read_product_feed(spark, path), out)
     assert {r.description for r in feed.read_product_feed(spark, out).collect()} == {
         "two\nlines", None}
+
+
+@pytest.mark.parametrize("split", ["128m", "60b"])
+def test_rows_are_numbered_by_their_place(spark, tmp_path, split):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    head = "Código Barras,Nombre Producto,Precio Venta,Descripción\n"
+    (folder / "a.csv").write_text(
+        head + '1,a,1.0,"two\nlines, and ""quotes"""\n\n2,b,2.0,\n3,"c",3.0,"\n\nx"\n', "utf-8")
+    (folder / "b.csv").write_text(
+        head + "".join(f"{i},n{i},1.0,plain {i}\n" for i in range(10, 60)), "utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {r.row_no: (r.barcode, r.product_name, r.description)
+               for r in feed.read_product_feed(spark, str(folder)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {2: ("1", "a", 'two\nlines, and "quotes"'), 4: ("2", "b", None),
+            5: ("3", "c", "\n\nx")}
+    want |= {6 + i: (str(10 + i), f"n{10 + i}", f"plain {10 + i}") for i in range(50)}
+    assert got == want
