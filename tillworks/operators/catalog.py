@@ -77,11 +77,22 @@ def list_products(
     suppliers: DataFrame,
     page: int = 1,
     limit: int | None = 25,
+    after: tuple[str, int] | None = None,
     **filters,
 ) -> DataFrame:
-    """One page of enriched products by name; names are joined to the page only."""
+    """One page of enriched products by name; names are joined to the page only.
+
+    ``after`` = (product_name, id) of the last row seen continues from there without an offset, so a
+    deep page costs no more than the first; ``page`` then does not count.
+    """
     order = ["product_name", "id"]
     rows = filter_products(products, **filters)
+    if after is not None:
+        name, last = F.lit(after[0]), F.lit(after[1])
+        rows = rows.filter(
+            (F.col("product_name") > name) | ((F.col("product_name") == name) & (F.col("id") > last))
+        )
+        page = 1
     if limit:
         rows = take_page(rows, order, page, limit)
     return enrich_products(rows, categories, suppliers).orderBy(*order)
@@ -115,9 +126,11 @@ def search_products(
     A term of six or more digits is tried as the barcode of an active product. Every other term,
     and a barcode that misses, is searched in the names; the first ``limit`` by name are kept.
 
-    Terms and names never meet as a cross product. A name containing a pattern also contains
-    the pattern's longest piece without wildcards, so names are cut into all pieces of the
-    lengths in use and joined on the piece by equality; LIKE then checks the whole pattern.
+    Terms and names never meet as a cross product. A name containing a pattern also contains all
+    its pieces between wildcards, so names are cut into pieces of the lengths in use, of which those
+    that some pattern has are kept. A pattern that is one piece takes the first names that hold it. Any
+    other is joined with the names of its rarest piece, and LIKE then checks the whole pattern. Terms
+    that differ by case only are searched once.
     """
     asked = (
         terms.select(F.regexp_replace("term", r"^\s+|\s+$", "").alias("term"))
@@ -148,48 +161,59 @@ def _first(df: DataFrame, by: str, limit: int) -> DataFrame:
 
 
 def _search_names(terms: DataFrame, active: DataFrame, limit: int) -> DataFrame:
-    patterns = terms.withColumn("pattern", fold_ascii("term"))
-    pieces = F.split("pattern", "[%_]")
-    longest = F.reduce(
-        pieces, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)
+    spelled = settle(terms.withColumn("pattern", fold_ascii("term")), "search-patterns")
+    patterns = spelled.select("pattern").distinct()
+    pieces = settle(
+        patterns.withColumn("piece", F.explode(F.array_distinct(F.split("pattern", "[%_]"))))
+        .filter("piece <> ''"), "search-pieces")
+    wanted = pieces.select("piece").distinct()
+    lengths = (
+        wanted.select(F.length("piece").alias("n"))
+        .agg(F.coalesce(F.collect_set("n"), F.array().cast("array<int>")).alias("ns"))
+        .scalar()
     )
-    patterns = patterns.withColumn("piece", longest)
 
     # a name can give at most `limit` rows to any term, so the rest of its copies can go
     names = _first(active, "product_name", limit).select(
         "id", "product_name", "barcode", fold_ascii("product_name").alias("folded")
     )
-
-    with_piece = patterns.filter("piece <> ''")
-    lengths = (
-        with_piece.select(F.length("piece").alias("n"))
-        .agg(F.coalesce(F.collect_set("n"), F.array().cast("array<int>")).alias("ns"))
-        .scalar()
-    )
     starts = F.sequence(F.lit(1), F.length("folded") - F.col("n") + 1)
     cuts = F.transform(starts, lambda start: F.substr(F.col("folded"), start, F.col("n")))
-    cut = (
+    postings = settle(
         names.withColumn("n", F.explode(lengths))
         .filter(F.col("n") <= F.length("folded"))
         .withColumn("piece", F.explode(F.array_distinct(cuts)))
+        .join(wanted, "piece", "left_semi"), "search-postings")
+
+    # without wildcards the names that hold the piece are the matches; few of them are needed
+    plain = pieces.filter("piece = pattern").select("piece")
+    whole = _first(postings.join(plain, "piece", "left_semi"), "piece", limit).withColumn(
+        "pattern", F.col("piece"))
+    # with wildcards every piece must be in the name, so the rarest leads to the candidates
+    rarest = (
+        pieces.filter("piece <> pattern")
+        .join(postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n_names")), "piece", "left")
+        .groupBy("pattern")
+        .agg(F.min_by("piece", F.struct(F.coalesce("n_names", F.lit(0)), "piece")).alias("piece"))
     )
-    matched = cut.join(with_piece, "piece").filter(
+    matched = postings.join(rarest, "piece").filter(
         F.like("folded", F.concat(F.lit("%"), F.replace("pattern", F.lit("\\"), F.lit("\\\\")),
                                   F.lit("%")))
     )
 
     # wildcards only: what counts is the least number of characters
-    only_wild = patterns.filter("piece = ''").select(
-        "term", (F.length("pattern") - F.length(F.replace("pattern", F.lit("_"), F.lit(""))))
+    only_wild = patterns.filter(F.regexp_replace("pattern", "[%_]", "") == "").select(
+        "pattern", (F.length("pattern") - F.length(F.replace("pattern", F.lit("_"), F.lit(""))))
         .alias("least")
     )
     by_length = _first(names.withColumn("n", F.length("folded")), "n", limit)
     reach = by_length.withColumn("least", F.explode(F.sequence(F.lit(0), F.col("n"))))
     wild = reach.join(only_wild, "least")
 
-    columns = ["term", "id", "product_name", "barcode"]
-    found = _first(matched.select(*columns).unionByName(wild.select(*columns)), "term", limit)
-    return found.select(
+    columns = ["pattern", "id", "product_name", "barcode"]
+    found = whole.select(*columns).unionByName(matched.select(*columns)).unionByName(
+        wild.select(*columns))
+    return spelled.join(_first(found, "pattern", limit), "pattern").select(
         "term", "position", F.col("id").alias("product_id"), "product_name", "barcode"
     )
 

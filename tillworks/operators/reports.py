@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillworks.functions.dates import day_range, require_days
 from tillworks.schemas import COMPLETED, MONEY
+from tillworks.session import settle
 
 
 def completed_sales(sales: DataFrame, first: str, last: str) -> DataFrame:
@@ -153,3 +154,36 @@ def period_sales_detail(sales: DataFrame, users: DataFrame, first: str, last: st
         )
         .orderBy("sold_at", "id")
     )
+
+
+def product_report(
+    sales: DataFrame, lines: DataFrame, products: DataFrame, first: str, last: str, n=10
+) -> DataFrame:
+    """Both rankings of a period: ranking, product_id, barcode, product_name, total_quantity,
+    total_value.
+
+    Sales and lines are read once and summed per product once; each ranking takes its first ``n`` from
+    those sums, and only they are looked up in the products. Lines of products that do not exist are
+    left out. The counted sales, one id each, are written first: their lowest and highest id then let
+    the scan skip lines of other periods.
+    """
+    n = _check_top(n)
+    counted = settle(
+        completed_sales(sales, first, last).select(F.col("id").alias("sale_id")), "counted-sales")
+    low, high = counted.agg(F.min("sale_id"), F.max("sale_id")).first()
+    wanted = lines.select("sale_id", "product_id", "quantity", "line_subtotal").filter(
+        F.col("sale_id").between(F.lit(low), F.lit(high)))
+    known = products.select(F.col("id").alias("product_id"))
+    sums = (
+        wanted.join(counted, "sale_id", "left_semi")
+        .groupBy("product_id")
+        .agg(F.sum("quantity").alias("total_quantity"), F.sum("line_subtotal").alias("total_value"))
+        .join(known, "product_id", "left_semi")
+    )
+    rankings = [
+        sums.orderBy(F.desc(column), "product_id").limit(n).withColumn("ranking", F.lit(name))
+        for name, column in (("quantity", "total_quantity"), ("value", "total_value"))
+    ]
+    names = products.select(F.col("id").alias("product_id"), "barcode", "product_name")
+    return rankings[0].unionByName(rankings[1]).join(names, "product_id").select(
+        "ranking", "product_id", "barcode", "product_name", "total_quantity", "total_value")

@@ -8,7 +8,7 @@ from tillworks.operators import access, maintain, quality
 from tillworks.plans.driver_views import with_views
 from tillworks.plans.registry import query
 from tillworks.plans.report_queries import ACCESS, GRANTS_SQL, grants
-from tillworks.schemas import CAPABILITIES, MONEY, PAYMENT_TYPES, REQUIRED
+from tillworks.schemas import CAPABILITIES, DOMAINS, MONEY, PAYMENT_TYPES, REQUIRED, UNIQUE
 
 def now():
     """The statement time of the registered queries."""
@@ -102,6 +102,18 @@ def i5(t):
     )
 
 
+@query("i5_shown_cost", with_views(f"products {ACCESS}", f"""
+    with g as ({GRANTS_SQL})
+    select id, product_name, cast(case when exists (select 1 from g where user_id = 8
+           and permission in ('ver_precio_compra', 'gestionar_inventario'))
+           then cost_price end as double) as cost_price
+    from products"""))
+def i5_shown(t):
+    return access.mask_cost(t.products, grants(t), requester_id=8).select(
+        "id", "product_name", F.col("cost_price").cast("double").alias("cost_price")
+    )
+
+
 # --- maintenance ---------------------------------------------------------------------------
 
 _NEW_USERS = """
@@ -555,6 +567,82 @@ def j3(t):
     )
 
 
+# copies of rows and of keys, a missing value, and values outside their sets
+_FAULTY = {
+    "users": ("select id, case when id % 9 = 0 then null else username end as username, "
+              "sha256(username) as password_hash, "
+              "case when id % 5 = 0 then 'jefe' else role end as role from users "
+              "union all select id + (id % 2), username, 'x', role from users where id % 4 = 0"),
+    "suppliers": ("select id, supplier_name, phone from suppliers union all "
+                  "select id + 100000, supplier_name, phone from suppliers where id % 3 = 0"),
+    "products": ("select id, barcode, product_name, cost_price, retail_price, stock from products "
+                 "union all select -id - 1, barcode, null, cost_price, null, stock from products "
+                 "where id % 11 = 0"),
+    "sales": ("select id, user_id, total, case when id % 7 = 0 then 'vale' else payment_type end "
+              "as payment_type, case when id % 6 = 0 then 'rara' else status end as status "
+              "from sales"),
+}
+
+
+def _faults_sql() -> str:
+    parts = []
+    for name in _FAULTY:
+        for key in (("id",), *UNIQUE.get(name, ())):
+            keys = ", ".join(key)
+            known = " and ".join(f"{k} is not null" for k in key)
+            parts.append(
+                f"select '{name}' as table_name, 'key' as kind, '{','.join(key)}' as columns, "
+                f"count(*) as n_bad from (select {keys} from bad_{name} where {known} "
+                f"group by {keys} having count(*) > 1)")
+        for c in REQUIRED[name]:
+            parts.append(f"select '{name}', 'missing', '{c}', count(*) from bad_{name} "
+                         f"where {c} is null")
+        for c, values in DOMAINS.get(name, {}).items():
+            listed = ", ".join(f"'{v}'" for v in values)
+            parts.append(f"select '{name}', 'domain', '{c}', count(*) from bad_{name} "
+                         f"where {c} not in ({listed})")
+    return "\n union all ".join(parts)
+
+
+@query("j_integrity", with_views(" ".join(_FAULTY), "with " + ", ".join(
+    f"bad_{n} as ({text})" for n, text in _FAULTY.items()) + " " + _faults_sql()))
+def j_integrity(t):
+    """All declared keys, required values and value sets of four tables, one pass over each."""
+    def text(c):
+        return F.lit(c)
+
+    users, products = t.users, t.products
+    copies = users.filter("id % 4 = 0").select(
+        (F.col("id") + F.col("id") % 2).alias("id"), "username", text("x").alias("password_hash"),
+        "role")
+    faulty = {
+        "users": users.select(
+            "id", F.when(F.col("id") % 9 != 0, F.col("username")).alias("username"),
+            F.sha2("username", 256).alias("password_hash"),
+            F.when(F.col("id") % 5 == 0, text("jefe")).otherwise(F.col("role")).alias("role"),
+        ).unionByName(copies),
+        "suppliers": t.suppliers.select("id", "supplier_name", "phone").unionByName(
+            t.suppliers.filter("id % 3 = 0").select(
+                (F.col("id") + 100000).alias("id"), "supplier_name", "phone")),
+        "products": products.select(
+            "id", "barcode", "product_name", "cost_price", "retail_price", "stock").unionByName(
+            products.filter("id % 11 = 0").select(
+                (-F.col("id") - 1).alias("id"), "barcode",
+                F.lit(None).cast("string").alias("product_name"), "cost_price",
+                F.lit(None).cast("decimal(18,2)").alias("retail_price"), "stock")),
+        "sales": t.sales.select(
+            "id", "user_id", "total",
+            F.when(F.col("id") % 7 == 0, text("vale")).otherwise(F.col("payment_type"))
+            .alias("payment_type"),
+            F.when(F.col("id") % 6 == 0, text("rara")).otherwise(F.col("status")).alias("status")),
+    }
+    out = None
+    for name, df in faulty.items():
+        part = quality.integrity_report(name, df)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("j4_orphan_products", with_views("products suppliers", """
     select id, supplier_id from products
     where supplier_id not in (select id from suppliers)"""))

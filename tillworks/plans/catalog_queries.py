@@ -85,6 +85,23 @@ def b6_filters(t):
     )
 
 
+@query("b6_product_keyset", with_views(_DIMS, f"""
+    {_ENRICHED} where p.active and (p.product_name > 'red gear'
+                                    or (p.product_name = 'red gear' and p.id > 500))
+    order by p.product_name, p.id limit 25"""))
+def b6_keyset(t):
+    return _plain(catalog.list_products(*_dims(t), after=("red gear", 500)))
+
+
+@query("b6_low_in_category", with_views(_DIMS, f"""
+    {_ENRICHED} where p.category_id = 3
+      and {fold_sql('p.product_name')} like '%l_%r%' and p.stock <= p.min_stock"""))
+def b6_low(t):
+    return _plain(
+        catalog.list_products(
+            *_dims(t), limit=None, name="L_%r", category_id=3, low_stock=True, only_active=False))
+
+
 @query("b7_low_stock", with_views(_DIMS, f"""
     {_ENRICHED} where p.active and p.stock <= p.min_stock
     order by p.product_name, p.id limit 25 offset 50"""))
@@ -152,6 +169,31 @@ def b10(t):
     return found.withColumn("position", F.col("position").cast("long"))
 
 
+_WILD = """
+    wild as (select distinct case when id % 3 = 0 then 'RING%' || cast(id % 40 as varchar)
+                                  when id % 3 = 1 then substr(product_name, 1, 3) || '_%ge'
+                                  else '%' || substr(product_name, 2, 4) || '%wid_et' end as term
+             from products)"""
+
+
+@query("b10_search_wildcards", with_views("products", f"""
+    with {_WILD.strip()}
+    select * from (
+        select w.term, row_number() over (partition by w.term order by p.product_name, p.id)
+                   as position, p.id as product_id, p.product_name, p.barcode
+        from wild w join products p on p.active
+             and {fold_sql('p.product_name')} like '%' || {fold_sql('w.term')} || '%')
+    where position <= 5"""))
+def b10_wild(t):
+    """Terms of several pieces, many of which share one of them."""
+    name, id_ = F.col("product_name"), F.col("id")
+    term = F.when(id_ % 3 == 0, F.concat(F.lit("RING%"), (id_ % 40).cast("string"))).when(
+        id_ % 3 == 1, F.concat(F.substring(name, 1, 3), F.lit("_%ge"))).otherwise(
+        F.concat(F.lit("%"), F.substring(name, 2, 4), F.lit("%wid_et")))
+    found = catalog.search_products(t.products.select(term.alias("term")).distinct(), t.products)
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
 @query("b11_permissions", with_views("permissions", "select permission from permissions"))
 def b11(t):
     return catalog.list_permissions(t.permissions)

@@ -228,3 +228,78 @@ def c4_totals(t):
     return history.visible_totals(t.sales, t.users, grants(t)).select(
         "user_id", "scope", "n_sales", *_double("total_sales")
     )
+
+
+@query("d3_d4_product_report", with_views("sales sale_lines products", f"""
+    with totals as ({_TOTALS})
+    select * from (select 'quantity' as ranking, * from totals
+                   order by total_quantity desc, product_id limit 10)
+    union all
+    select * from (select 'value' as ranking, * from totals
+                   order by total_value desc, product_id limit 10)"""))
+def d3_d4_report(t):
+    return reports.product_report(t.sales, t.sale_lines, t.products, *YEAR).withColumn(
+        "total_value", F.col("total_value").cast("double"))
+
+
+def _seen(t, requester, **filters):
+    found = history.visible_sales(t.sales, grants(t), requester_id=requester, **filters)
+    return found.select("id", "user_id", F.col("total").cast("double").alias("total"))
+
+
+# requester 20 may see all sales, 80 their own
+@query("c4_all_sales", with_views(f"sales {ACCESS}", f"""
+    with g as ({GRANTS_SQL})
+    select id, user_id, cast(total as double) as total from sales
+    where user_id = 3 and exists (select 1 from g where g.user_id = 20
+                                  and permission = 'ver_historial_ventas_todas')"""))
+def c4_all(t):
+    return _seen(t, 20, user_id=3)
+
+
+@query("c4_own_sales", with_views(f"sales {ACCESS}", f"""
+    with g as ({GRANTS_SQL})
+    select id, user_id, cast(total as double) as total from sales
+    where user_id = 80 and exists (select 1 from g where g.user_id = 80
+                                   and permission = 'ver_historial_ventas_propias')"""))
+def c4_own(t):
+    return _seen(t, 80, user_id=3)
+
+
+@query("c4_visible_documents", with_views(f"sales users sale_lines products {ACCESS}", f"""
+    with g as ({GRANTS_SQL})
+    select s.id, u.username, count(p.id) as n_lines, coalesce(sum(
+               case when p.id is not null then l.quantity end), 0)::bigint as quantity
+    from sales s join users u on u.id = s.user_id left join sale_lines l on l.sale_id = s.id
+         left join products p on p.id = l.product_id
+    where s.user_id = 80 and exists (select 1 from g where g.user_id = 80
+                                     and permission = 'ver_historial_ventas_propias')
+    group by 1, 2"""))
+def c4_documents(t):
+    found = history.visible_documents(
+        t.sales, t.users, t.sale_lines, t.products, grants(t), requester_id=80)
+    quantity = F.aggregate(
+        "lines", F.lit(0).cast("long"), lambda a, x: a + x["quantity"].cast("long"))
+    return found.select(
+        "id", "username", F.size("lines").cast("long").alias("n_lines"),
+        quantity.alias("quantity"))
+
+
+@query("c3_document_parts", with_views("sales users sale_lines products", """
+    with placed as (
+        select l.*, p.id as known, (row_number() over (partition by l.sale_id order by l.id,
+                   l.product_id, l.quantity, l.unit_price, l.line_subtotal) - 1) as place,
+               count(*) over (partition by l.sale_id) as n
+        from sale_lines l join products p on l.product_id = p.id)
+    select s.id, cast(case when n > 3 then place // 3 else 0 end as bigint) as part,
+           count(known) as n_lines, coalesce(sum(quantity), 0)::bigint as quantity
+    from sales s join users u on s.user_id = u.id left join placed l on l.sale_id = s.id
+    group by 1, 2"""))
+def c3_parts(t):
+    """Documents in parts of three lines, so that most sales have several."""
+    documents = history.sale_documents(
+        t.sales, t.users, t.sale_lines, t.products, part_lines=3)
+    quantity = F.aggregate(
+        "lines", F.lit(0).cast("long"), lambda a, x: a + x["quantity"].cast("long"))
+    return documents.select(
+        "id", "part", F.size("lines").cast("long").alias("n_lines"), quantity.alias("quantity"))

@@ -208,7 +208,7 @@ def e5_commit(t):
     products = t.products.withColumn("modified_at", F.lit(None).cast("timestamp_ntz"))
     tables.commit_tables(t.spark, root, {
         "sales": t.sales, "sale_lines": t.sale_lines, "products": products})
-    stored.post(t.spark, root, t.new_sales, t.new_lines, grants(t), now(), block_lines=8_000)
+    stored.post(t.spark, root, t.new_sales, t.new_lines, grants(t), now(), block_lines=1_000)
     out = None
     for name, column in _TOTALS.items():
         part = tables.read_table(t.spark, root, name).agg(

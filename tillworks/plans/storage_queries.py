@@ -9,7 +9,13 @@ from tillworks.plans.driver_views import with_views
 from tillworks.plans.registry import query
 from tillworks.plans.report_queries import YEAR, _IN_YEAR
 from tillworks.plans.stock_queries import MOVEMENT_ORDER, _moves_sql
-from tillworks.schemas import REPORT_CATALOGUE, REPORT_PERIOD, TABLES
+from tillworks.schemas import (
+    FEED_COLUMNS,
+    REPORT_BY_USER,
+    REPORT_CATALOGUE,
+    REPORT_PERIOD,
+    TABLES,
+)
 from tillworks.session import scratch_path, settle
 from tillworks.sources import feed as feed_files
 from tillworks.sources import report_files, snapshots, tables
@@ -63,6 +69,57 @@ def a4(t):
     return t.spark.read.option("header", True).csv(f"{folder}/tipo_pago")
 
 
+@query("a4_product_report", with_views("sales sale_lines products", f"""
+    with totals as (
+        select p.id, p.barcode, p.product_name, sum(l.quantity) as quantity,
+               sum(l.line_subtotal) as amount
+        from sale_lines l join products p on l.product_id = p.id join sales s on l.sale_id = s.id
+        where {_IN_YEAR} group by 1, 2, 3)
+    select 'por_cantidad' as sheet, coalesce(barcode, 'N/A') as barcode, product_name,
+           cast(quantity as varchar) as shown
+    from (select * from totals order by quantity desc, id limit 10)
+    union all
+    select 'por_valor', coalesce(barcode, 'N/A'), product_name, '$' || cast(amount as varchar)
+    from (select * from totals order by amount desc, id limit 10)"""))
+def a4_products(t):
+    report = reports.product_report(t.sales, t.sale_lines, t.products, *YEAR)
+    folder = report_files.write_report(
+        report_files.product_sheets(report), scratch_path(t.spark, "reports"),
+        report_files.top_name(10), _NOW)
+    out = None
+    for sheet in ("por_cantidad", "por_valor"):
+        back = t.spark.read.option("header", True).csv(f"{folder}/{sheet}")
+        part = back.toDF("barcode", "product_name", "shown").withColumn("sheet", F.lit(sheet))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("a4_user_report", with_views("sales users", f"""
+    select u.username as "Nombre de Usuario", cast(count(*) as varchar) as "Número de Ventas",
+           '$' || cast(sum(s.total) as varchar) as "Total Vendido ($)"
+    from sales s join users u on u.id = s.user_id where {_IN_YEAR} group by u.id, u.username"""))
+def a4_users(t):
+    by_user = reports.sales_by_user(t.sales, t.users, *YEAR)
+    folder = report_files.write_report(
+        report_files.user_sheets(by_user), scratch_path(t.spark, "reports"),
+        REPORT_BY_USER, _NOW)
+    return t.spark.read.option("header", True).csv(f"{folder}/por_usuario")
+
+
+@query("a2_numbered_feed", with_views("feed", """
+    select row_number() over (order by row_no) + 1 as row_no,
+           coalesce(product_name, '') as product_name from feed"""))
+def a2_numbered(t):
+    """A feed without row numbers, in several files: rows are numbered by their place."""
+    path = scratch_path(t.spark, "feed")
+    heads = {c: h for h, c in FEED_COLUMNS.items()}
+    t.feed.repartitionByRange(5, "row_no").sortWithinPartitions("row_no").select(
+        *[F.col(c).alias(h) for c, h in heads.items()]
+    ).write.options(header=True, escape='"', emptyValue="").csv(path)
+    return feed_files.read_product_feed(t.spark, path).select(
+        "row_no", F.coalesce("product_name", F.lit("")).alias("product_name"))
+
+
 _COUNTS = "\n union all ".join(
     f"select '{n}' as table_name, count(*) as n_rows, cast(coalesce(sum(id), 0) as bigint) "
     f"as id_sum from {n}" for n in TABLES

@@ -65,6 +65,13 @@ def top_sheets(by_quantity: DataFrame, by_value: DataFrame) -> dict[str, DataFra
     }
 
 
+def product_sheets(report: DataFrame) -> dict[str, DataFrame]:
+    """Both sheets of ``product_report``."""
+    return top_sheets(
+        report.filter("ranking = 'quantity'").orderBy(F.desc("total_quantity"), "product_id"),
+        report.filter("ranking = 'value'").orderBy(F.desc("total_value"), "product_id"))
+
+
 def user_sheets(by_user: DataFrame) -> dict[str, DataFrame]:
     return {
         "por_usuario": by_user.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.functions.dates import file_stamp
-from tillworks.operators.quality import check_domains, check_not_null, check_unique_keys
+from tillworks.operators.quality import integrity_report
 from tillworks.schemas import SNAPSHOT, TABLES
 from tillworks.sources.tables import commit_tables, current, read_table, write_files
 
@@ -41,19 +41,21 @@ def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
+_FAULTS = {"missing": "required value missing", "key": "key repeated",
+           "domain": "value outside its set"}
+
+
 def snapshot_faults(tables: dict[str, DataFrame]) -> list[str]:
-    """Tables that break a required column, a unique key or a value set.
+    """Tables that break a required column, a primary id or unique key, or a value set; each table is
+    read once.
 
     Dangling references are legal.
     """
     faults = []
     for name, df in tables.items():
-        if not check_not_null(name, df).filter(F.col("n_bad") > 0).isEmpty():
-            faults.append(f"{name}: required value missing")
-        if any(not repeated.isEmpty() for repeated in check_unique_keys(name, df)):
-            faults.append(f"{name}: key repeated")
-        if any(not outside.isEmpty() for outside in check_domains(name, df).values()):
-            faults.append(f"{name}: value outside its set")
+        broken = integrity_report(name, df).filter("n_bad > 0").collect()
+        kinds = {r.kind for r in broken}
+        faults += [f"{name}: {text}" for kind, text in _FAULTS.items() if kind in kinds]
     return faults
 
 
