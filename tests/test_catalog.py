@@ -130,3 +130,49 @@ def test_export_has_the_file_headers(shop):
     assert out.columns == list(EXPORT_COLUMNS) and len(out.columns) == 18
     assert {r["ID"]: r["Activo"] for r in out.collect()} == {
         10: "Sí", 11: "Sí", 12: "Sí", 13: "No"}
+
+
+def test_search_joins_by_the_rarest_piece(spark, make, monkeypatch):
+    names = [f"widget {i:04d}" for i in range(400)] + [f"other widget x{i}" for i in range(30)]
+    products = make("products", [
+        dict(id=i, product_name=n, barcode=None, active=True) for i, n in enumerate(names)])
+    terms = [f"widget%{i:03d}" for i in range(300)] + ["wid_et", "WIDGET", "widget", "x2%%", "_",
+                                                        "nothing%widget", "widget%%nothing"]
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    joined = []
+    like = F.like
+
+    def counting(*args):
+        joined.append(args)
+        return like(*args)
+
+    monkeypatch.setattr(catalog.F, "like", counting)
+    got = {}
+    for r in catalog.search_products(asked, products).collect():
+        got.setdefault(r.term, {})[r.position] = r.product_id
+    assert len(joined) == 1
+
+    def matches(pattern, text):
+        import re
+
+        rule = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern)
+        return re.search(rule, text, re.S) is not None
+
+    for t in terms:
+        want = sorted((n, i) for i, n in enumerate(names) if matches(t.lower(), n))[:5]
+        assert [i for _, i in want] == [got.get(t, {})[p] for p in sorted(got.get(t, {}))], t
+
+
+def test_catalogue_pages_by_key(spark, make):
+    products = make("products", [
+        dict(id=i, product_name=f"n{i % 7}", active=i % 5 != 0) for i in range(60)])
+    none = make("categories", []), make("suppliers", [])
+    pages, after = [], None
+    while True:
+        rows = catalog.list_products(products, *none, limit=9, after=after).collect()
+        if not rows:
+            break
+        pages += [r.id for r in rows]
+        after = (rows[-1].product_name, rows[-1].id)
+    every = catalog.list_products(products, *none, limit=None).collect()
+    assert pages == [r.id for r in every] and len(pages) == 48

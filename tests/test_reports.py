@@ -130,3 +130,24 @@ def test_visible_sales(spark, shop, rows):
     assert {r.id for r in documents} == {1, 5}
     assert rows(history.visible_totals(sales, shop["users"], grants)) == [
         (1, "all", 5, 1195.0), (2, "own", 3, 1080.0), (3, "refused", 0, None)]
+
+
+def test_product_report_reads_sales_and_lines_once(spark, shop, monkeypatch):
+    week = ("2025-06-22", "2025-06-29")
+    totals = reports.product_totals(shop["sales"], shop["sale_lines"], shop["products"], *week)
+    report = reports.product_report(
+        shop["sales"], shop["sale_lines"], shop["products"], *week, n=2)
+    rows = report.collect()
+    for ranking, top, column in (
+            ("quantity", reports.top_products_by_quantity(totals, 2), "total_quantity"),
+            ("value", reports.top_products_by_value(totals, 2), "total_value")):
+        got = {(r.product_id, r[column]) for r in rows if r.ranking == ranking}
+        assert got == {(r.product_id, r[column]) for r in top.collect()}
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+    with pytest.raises(ValueError):
+        reports.product_report(
+            shop["sales"], shop["sale_lines"], shop["products"], *week, n=0)
+    empty = reports.product_report(
+        shop["sales"], shop["sale_lines"], shop["products"], "2001-01-01", "2001-01-02")
+    assert empty.count() == 0

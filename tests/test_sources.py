@@ -95,6 +95,11 @@ def test_bad_snapshots_are_refused(spark, shop, make, tmp_path):
     other = snapshots.export_snapshot(spark, root, out, NOW + dt.timedelta(seconds=5))
     with pytest.raises(ValueError, match="sales: value outside its set"):
         snapshots.restore_snapshot(spark, other, good, out, NOW)
+    twice = dict(shop, sales=shop["sales"].unionByName(shop["sales"].filter("id = 1")))
+    root = stored(spark, twice, str(tmp_path / "twice"))
+    repeated = snapshots.export_snapshot(spark, root, out, NOW + dt.timedelta(seconds=9))
+    with pytest.raises(ValueError, match="sales: key repeated"):
+        snapshots.restore_snapshot(spark, repeated, good, out, NOW)
     shop["sales"].limit(2).write.mode("overwrite").parquet(f"{folder}/sales")
     with pytest.raises(ValueError, match="not complete"):
         snapshots.read_snapshot(spark, folder)

@@ -145,12 +145,19 @@ def a5(t):
         t.spark, root, out, _NOW)))
 
 
-@query("a6_restore_snapshot", with_views(_ALL, _COUNTS))
+# the benchmark lines repeat their ids, which a restore refuses: one line of each id is stored
+@query("a6_restore_snapshot", with_views(_ALL, _COUNTS.replace(
+    "select 'sale_lines' as table_name, count(*) as n_rows, cast(coalesce(sum(id), 0)",
+    "select 'sale_lines' as table_name, count(distinct id) as n_rows, "
+    "cast(coalesce(sum(distinct id), 0)")))
 def a6(t):
     # a state that passes the checks is exported, the tables change, and the export replaces them
     root = scratch_path(t.spark, "tables")
     before = {n: getattr(t, n) for n in TABLES}
     before["users"] = before["users"].withColumn("password_hash", F.sha2("username", 256))
+    line = F.struct(*[c for c in before["sale_lines"].columns if c != "id"])
+    before["sale_lines"] = before["sale_lines"].groupBy("id").agg(
+        F.min(line).alias("line")).select("id", "line.*")
     tables.commit_tables(t.spark, root, before)
     out = scratch_path(t.spark, "backup")
     folder = snapshots.export_snapshot(t.spark, root, out, _NOW)
