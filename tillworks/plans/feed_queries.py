@@ -95,11 +95,11 @@ def g_upsert(t):
     with {_JUDGED.strip()}
     select row_no, product_name, case when outcome in ('creado', 'actualizado') then outcome
                                       else 'error' end as status,
-           case outcome when 'creado' then 'Creado correctamente'
-                when 'actualizado' then 'Actualizado correctamente'
-                when 'price_required' then 'Precio Venta requerido para nuevo producto'
-                when 'bad_number' then 'Error de formato numérico en precios o stock'
-                when 'bad_id' then 'ID inválido' end as message
+           case outcome when 'creado' then 'product added'
+                when 'actualizado' then 'product changed'
+                when 'price_required' then 'a new product needs a sale price'
+                when 'bad_number' then 'a price or a quantity is not a number'
+                when 'bad_id' then 'the id is not a whole number' end as message
     from judged"""))
 def g_log(t):
     return _import(t).log

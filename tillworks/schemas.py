@@ -122,12 +122,12 @@ EXPORT_COLUMNS = {
 # Import log.
 CREATED, UPDATED, ERROR = "creado", "actualizado", "error"
 IMPORT_MESSAGES = {
-    CREATED: "Creado correctamente",
-    UPDATED: "Actualizado correctamente",
-    "duplicate": "código de barras duplicado con otro producto",
-    "price_required": "Precio Venta requerido para nuevo producto",
-    "bad_number": "Error de formato numérico en precios o stock",
-    "bad_id": "ID inválido",
+    CREATED: "product added",
+    UPDATED: "product changed",
+    "duplicate": "the barcode belongs to another product",
+    "price_required": "a new product needs a sale price",
+    "bad_number": "a price or a quantity is not a number",
+    "bad_id": "the id is not a whole number",
 }
 
 # Texts in notes, report files and snapshot names.

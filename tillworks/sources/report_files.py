@@ -39,8 +39,8 @@ def period_sheets(report: DataFrame) -> dict[str, DataFrame]:
         "resumen": report.filter("is_summary").select(
             count.alias("Total Transacciones"),
             currency_text(F.col("total_sales")).alias("Total Ventas"),
-            currency_text(F.round("average_sale", 2).cast("decimal(18,2)"))
-            .alias("Venta Promedio"),
+            currency_text(F.round(F.col("total_sales") / F.nullif(count, F.lit(0)).cast(
+                "decimal(20,0)"), 2).cast("decimal(28,2)")).alias("Venta Promedio"),
         ),
         "tipo_pago": report.filter(~F.col("is_summary")).select(
             _or_dash("payment_type").alias("Tipo de Pago"),
