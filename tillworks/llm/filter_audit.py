@@ -33,24 +33,33 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
         T.StructField("words", T.ArrayType(T.StringType(), False), False)])
 
     def run(batches: Iterator) -> Iterator:
+        from array import array
         from collections import Counter
 
+        import numpy as np
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
 
+        def one_list(values, kind):
+            lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return lists.cast(kind)
+
+        def ints(values):
+            return pa.array(np.frombuffer(values, np.int32) if values else np.empty(0, np.int32))
+
         def shard(pieces, starts, local, counts, words):
             held = pa.concat_arrays(pieces).cast(arrow.field("rows").type.value_type)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
-            return pa.RecordBatch.from_arrays([
-                lists.cast(arrow.field("rows").type),
-                pa.array([starts], arrow.field("starts").type),
-                pa.array([local], arrow.field("local").type),
-                pa.array([counts], arrow.field("counts").type),
-                pa.array([[w.decode() for w in words]], arrow.field("words").type)], schema=arrow)
-
-        pieces, starts, local, counts, size, known = [], [0], [], [], 0, {}
+            spelled = pa.array(list(words), pa.binary()).cast(pa.string())
+            parts = (held, ints(starts), ints(local), ints(counts), spelled)
+            return pa.RecordBatch.from_arrays(
+                [one_list(x, f.type) for x, f in zip(parts, arrow)], schema=arrow)
+
+        def empty():
+            return [], array("i", [0]), array("i"), array("i"), 0, {}
+
+        pieces, starts, local, counts, size, known = empty()
         for batch in batches:
             carried = pa.StructArray.from_arrays(
                 batch.columns[:at], fields=[batch.schema.field(i) for i in range(at)])
@@ -66,7 +75,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
                     pieces.append(carried.slice(begin, i + 1 - begin))
                     yield shard(pieces, starts, local, counts, known)
                     begin = i + 1
-                    pieces, starts, local, counts, size, known = [], [0], [], [], 0, {}
+                    pieces, starts, local, counts, size, known = empty()
             if begin < batch.num_rows:
                 pieces.append(carried.slice(begin))
         if pieces:
