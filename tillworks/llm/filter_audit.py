@@ -42,6 +42,11 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
 
         arrow = to_arrow_schema(schema)
 
+        class Numbers(dict):
+            def __missing__(self, word):
+                number = self[word] = len(self)
+                return number
+
         def one_list(values, kind):
             lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return lists.cast(kind)
@@ -57,7 +62,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
                 [one_list(x, f.type) for x, f in zip(parts, arrow)], schema=arrow)
 
         def empty():
-            return [], array("i", [0]), array("i"), array("i"), 0, {}
+            return [], array("i", [0]), array("i"), array("i"), 0, Numbers()
 
         pieces, starts, local, counts, size, known = empty()
         for batch in batches:
@@ -66,8 +71,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
             begin = 0
             for i, value in enumerate(batch.column(at).cast(pa.binary())):
                 terms = Counter((value.as_py() or b"").split())
-                for word in terms:
-                    local.append(known.setdefault(word, len(known)))
+                local.extend(map(known.__getitem__, terms))
                 counts.extend(terms.values())
                 starts.append(len(local))
                 size += terms.total() + 1
