@@ -52,6 +52,23 @@ def test_language_depends_on_the_text_alone(docs, labelled):
     assert a == b
 
 
+def test_language_is_that_of_the_full_sums(docs):
+    """Long texts outvote any prior, as in plain naive Bayes over all n-grams."""
+    for priors, expected in ((1e-6, "bb"), (1e-300, "aa")):
+        logs = np.full((language.FEATURES + 1, 2), -9.0)
+        logs[:-1, 1] = -8.8
+        logs[-1] = 0.0, math.log(priors)
+        text = " ".join(["word"] * 500 if priors < 1e-100 else ["word"] * 5000)
+        grams = sum(len(text) + n - 1 for n in language.ORDERS) - 2
+        model = ["aa", "bb"], logs
+        if priors < 1e-100:  # 500 words are too few against this one
+            logs[:-1, 1] = -8.9
+        plain = 0.0 + grams * logs[0, 0], logs[-1, 1] + grams * logs[0, 1]
+        assert (plain[1] > plain[0]) == (expected == "bb")
+        r = language.predict(docs([(1, text)]), model).first()
+        assert r.lang_pred == expected and 0.5 <= r.score <= 1
+
+
 def test_language_model(docs, odd, monkeypatch):
     rng = random.Random(1)
     follow = {w: [f"f{w}{k}" for k in range(3)] for w in range(20)}

@@ -110,8 +110,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """Replaces the text column by lang_pred and score.
 
     ``und`` with score 0 where the text is NULL or has no letter, or nothing was learned. The
-    score is the posterior of the language; since the n-grams of a text are far from independent,
-    evidence beyond EVIDENCE n-grams counts as their average. Ties go to the first language.
+    language is that of the greatest sum of the prior and all n-grams; ties go to the first. Since
+    the n-grams of a text are far from independent, its score is no plain posterior: of a text
+    with more than EVIDENCE n-grams, the sums are scaled down to so many before they are compared.
     """
     langs, logs = model
     shared = docs.sparkSession.sparkContext.broadcast(logs)
@@ -133,11 +134,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                         np.add.at(sums, rows[piece[at]], each)
                         np.add.at(grams, rows[piece[at]], np.diff(at, append=len(ids)))
             some = grams > 0
-            sums *= (np.minimum(grams, EVIDENCE) / np.maximum(grams, 1))[:, None]
             if langs:
                 sums += matrix[FEATURES]
             best = sums.argmax(axis=1)
             sums -= sums.max(axis=1, keepdims=True)
+            sums *= (np.minimum(grams, EVIDENCE) / np.maximum(grams, 1))[:, None]
             share = 1 / np.exp(sums).sum(axis=1)
             return {
                 "lang_pred": [langs[b] if s else UNKNOWN for b, s in zip(best, some)],
