@@ -117,3 +117,23 @@ def test_each_reply_is_an_example_of_its_own(spark):
 
 def test_sql_is_there_for_the_native_operators():
     assert {"op1_decontaminate", "op8_line_dedup", "op9_mixing", "op10_chat_format"} <= set(SQL)
+
+
+def test_mixed_rows_agree_with_mix_and_keep_every_name(docs, prose):
+    """Names of helper columns, repeated rows and NULL ids; the copies are those of mix."""
+    rows = [(i, " ".join(prose(i, 5 + i % 40)), "en", f"s{i % 3}") for i in range(150)]
+    rows += [(None, "no id", "en", None)] * 40 + [(7, "same", "en", "s0")] * 200 + [(8, None, None, "s1")]
+    clashes = ["_rate", "_start", "row", "row_hash", "tie", "at", "lane", "n", "copy", "target"]
+    df = docs(rows).withColumns({c: F.lit(7.5) for c in clashes})
+    size = mixing.n_words(F.col("text"))
+    got = mixing.mixed_rows(df, size)
+    assert got.columns == [*df.columns, "copy_"]
+    expected = mixing.mix(df.withColumn("size", size))
+    assert {"_rate", "_start", "row", "n"} <= set(expected.columns)
+    counts = lambda x, n: {
+        (r[0], r[1]): r[2] for r in x.groupBy("doc_id", "text").agg(n).collect() if r[2]}
+    assert counts(got, F.count("*")) == counts(expected, F.sum("copies"))
+    assert got.filter("copy != 7.5 OR `_rate` != 7.5 OR target != 7.5").isEmpty()
+    again = mixing.mixed_rows(df.repartition(7), size)
+    assert again.exceptAll(got).isEmpty() and got.exceptAll(again).isEmpty()
+    assert mixing.mixed_rows(docs([]), size).isEmpty()

@@ -65,52 +65,62 @@ def targets(
         F.least(F.col("source_size") * float(most), F.col("weight") * level).alias("target"))
 
 
+ADDED = ("source_size", "target", "copies")
+
+
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED
 ) -> DataFrame:
     """Adds source_size, target and copies to documents with doc_id, source and size.
 
-    Columns of these names are replaced. Each document of a source expects target / source_size
-    copies. Documents are ordered by about their size (so that the words taken come near the
-    target), copies expected are summed up in that order from one random start per source, and a
-    document is taken once for each whole number that its piece of the sum crosses.
+    Columns of these names are replaced, all others kept, whatever they are called. Each document
+    of a source expects target / source_size copies. Documents are ordered by about their size (so
+    that the words taken come near the target), copies expected are summed up in that order from
+    one random start per source, and a document is taken once for each whole number that its
+    piece of the sum crosses.
 
     The order is (size class, lane, size, digest of doc_id): lanes by digest keep a source
     with much of the data from being numbered in one task. Reruns agree: nothing depends on the
     layout. Equal doc_ids are told apart by size; rows equal in both may swap their copies.
     NULL source is a source of its own; size must not be NULL. No sizes at all: no copies.
+
+    All columns go through a sort; ``mixed_rows`` numbers wide documents without that.
     """
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    lanes = docs.drop("source_size", "target", "copies").withColumns({
-        "_source": _source_key(), "_bits": _size_class(F.col("size")),
-        "_lane": _small_hash(key, LANES), "_tie": F.md5(key)})
-    lane = ["_source", "_bits", "_lane"]
+    # one column holds the rows as they are, so that no name of theirs can clash
+    lanes = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "source", "size",
+        _source_key().alias("source_key"), _size_class(F.col("size")).alias("class"),
+        _small_hash(key, LANES).alias("lane"), F.md5(key).alias("tie"))
+    lane = ["source_key", "class", "lane"]
     counted = settle(
         lanes.groupBy(*lane).agg(
-            F.first("source").alias("source"), F.count("*").alias("_n"),
-            F.sum("size").alias("_size")), "lanes")
-    totals = counted.groupBy("_source").agg(
-        F.first("source").alias("source"), F.sum("_size").alias("source_size")).drop("_source")
-    start = _small_hash(F.concat(F.col("_source"), F.lit(f"/{seed}")), 65536) / 65536.0
+            F.first("source").alias("source"), F.count("*").alias("n"),
+            F.sum("size").alias("lane_size")), "lanes")
+    totals = counted.groupBy("source_key").agg(
+        F.first("source").alias("source"), F.sum("lane_size").alias("source_size")).drop(
+        "source_key")
+    start = _small_hash(F.concat(F.col("source_key"), F.lit(f"/{seed}")), 65536) / 65536.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per_source = targets(totals, weights, share, most).select(
-        _source_key().alias("_source"), "source_size", "target", rate.alias("_rate"))
-    before = Window.partitionBy("_source").orderBy("_bits", "_lane").rowsBetween(
+        _source_key().alias("source_key"), "source_size", "target", rate.alias("rate"))
+    before = Window.partitionBy("source_key").orderBy("class", "lane").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = settle(
-        counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(per_source, "_source")
-        .select(*lane, "_before", "source_size", "target", "_rate", start.alias("_start")),
+        counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .join(per_source, "source_key")
+        .select(*lane, "before", "source_size", "target", "rate", start.alias("start")),
         "starts")
-    place = F.row_number().over(Window.partitionBy(*lane).orderBy("size", "_tie"))
+    at = F.row_number().over(Window.partitionBy(*lane).orderBy("size", "tie"))
     crossed = (
-        F.floor(F.col("_place") * F.col("_rate") + F.col("_start"))
-        - F.floor((F.col("_place") - 1) * F.col("_rate") + F.col("_start")))
+        F.floor(F.col("place") * F.col("rate") + F.col("start"))
+        - F.floor((F.col("place") - 1) * F.col("rate") + F.col("start")))
     return (
-        lanes.withColumn("_at", place).join(starts, lane)
-        .withColumn("_place", F.col("_before") + F.col("_at"))
-        .withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
-        .drop(*lane, "_tie", "_at", "_before", "_place", "_rate", "_start"))
+        lanes.withColumn("at", at).join(starts, lane)
+        .withColumn("place", F.col("before") + F.col("at"))
+        .select("row.*", "source_size", "target",
+                F.least(crossed, F.lit(most)).cast("long").alias("copies")))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
@@ -119,6 +129,61 @@ def emit(mixed: DataFrame) -> DataFrame:
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed. Rows that share it by chance may swap copies."""
+    plain = [f.name for f in docs.schema.fields
+             if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
+def mixed_rows(docs: DataFrame, size: Column, most: int = MOST, **settings) -> DataFrame:
+    """Documents with doc_id, source and any other columns as often as ``mix`` takes them.
+
+    Copies are numbered from 1 in the last column, copy (copy_ where there is a column copy, and
+    so on). Only doc_id, source, size and a hash of each row are sorted and numbered; the copies
+    then meet the documents by that hash, in one shuffle without a sort. Rows equal in all columns
+    are counted off among themselves, first within each partition and then over the partitions'
+    counts, so many repeats of one row are not brought to one task.
+    """
+    numbers = settle(
+        docs.select(_row_hash(docs).alias("row_hash"), "doc_id", "source", size.alias("size")),
+        "sizes")
+    per_row = settle(
+        mix(numbers, most=most, **settings).groupBy("row_hash").agg(
+            F.count("*").alias("n"),
+            # how many of the equal rows are taken once at least, twice at least, ...
+            F.array(*[F.count_if(F.col("copies") > k) for k in range(most)]).alias("taken")),
+        "copies")
+    wide = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        _row_hash(docs).alias("row_hash"))
+    copies = F.aggregate(
+        "taken", F.lit(0).cast("long"), lambda x, k: x + (F.col("nth") < k).cast("long"))
+    single = per_row.filter((F.col("n") == 1) & (F.col("taken")[0] > 0)).hint("shuffle_hash")
+    rows = wide.join(single, "row_hash").withColumn("nth", F.lit(0).cast("long"))
+    repeated = per_row.filter(F.col("n") > 1)
+    if not repeated.isEmpty():
+        laid = settle(
+            wide.join(repeated, "row_hash")
+            .withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}),
+            "repeated")
+        before = Window.partitionBy("row_hash").orderBy("part").rowsBetween(
+            Window.unboundedPreceding, -1)
+        parts = laid.groupBy("row_hash", "part").agg(F.count("*").alias("rows")).withColumn(
+            "before", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+        within = F.row_number().over(Window.partitionBy("row_hash", "part").orderBy("at"))
+        rows = rows.unionByName(
+            laid.withColumn("within", within).join(parts, ["row_hash", "part"])
+            .withColumn("nth", F.col("before") + F.col("within") - 1)
+            .select(*rows.columns))
+    name, names = "copy", {c.lower() for c in docs.columns}
+    while name in names:
+        name += "_"
+    taken = rows.withColumn("copies", copies).filter(F.col("copies") > 0)
+    return taken.select(
+        "row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(name))
+
+
 def taken_words(docs: DataFrame) -> DataFrame:
     sized = settle(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sized")
     return mix(sized).select(
