@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_models import invented
 from test_pairs import groups, judge
 
@@ -47,3 +48,26 @@ def test_pipeline(spark, tmp_path):
     taken = sum(len(r.text.split()) for r in got)
     assert abs(taken - 1.5 * total) < 0.1 * total
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language ID"
+
+
+def test_pipeline_odd_tables(spark, odd, tmp_path):
+    """Clashing names, rows without labels, ties, repeated rows, and an empty table."""
+    clashes = ["score", "lang_pred", "_read", "read_text", "size", "copies", "copy", "_text_hash",
+               "_hash", "_doc", "_drop", "_site", "target", "row", "words"]
+    rows = odd.withColumns({c: F.lit(7.5) for c in clashes}).drop("n_chars")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    for name, lang, n in (("labelled", "en", 4), ("unlabelled", None, 4), ("empty", "en", 0)):
+        (spark.createDataFrame([], odd.schema) if not n else
+         rows.withColumn("lang", F.lit(lang).cast("string"))).write.parquet(
+            f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(
+            f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        if not n:
+            assert got.isEmpty()
+            continue
+        assert got.columns == [*rows.columns, "copy_"]
+        assert got.filter(" OR ".join(f"`{c}` != 7.5 OR `{c}` IS NULL" for c in clashes)).isEmpty()
+        texts = {r.text for r in got.collect()}
+        assert len(texts) >= 3 and texts <= {r.text for r in rows.collect()}
