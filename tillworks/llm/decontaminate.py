@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import filter_bits, map_text, passes
+from tillworks.llm.common import filter_bits, giving_back, map_text, passes
 from tillworks.llm.hashing import WordHashes, shingles, word_bytes
 from tillworks.session import settle
 
@@ -49,7 +49,7 @@ def _window_rows(benchmark: DataFrame) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     named = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    return named.select(F.col("item_id").cast("string"), "text").mapInArrow(run, schema)
+    return named.select(F.col("item_id").cast("string"), "text").mapInArrow(giving_back(run), schema)
 
 
 def _hits(shared, sizes: list[int]):
@@ -85,7 +85,7 @@ def _counts(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values), pa.array(n)], names=["hash", "n"])
 
-    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(
+    return docs.select("text").mapInArrow(giving_back(run), "hash long, n long").groupBy("hash").agg(
         F.sum("n").alias("n"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import fields, keep_hashes, partitions
+from tillworks.llm.common import fields, giving_back, keep_hashes, partitions
 from tillworks.llm.components import components
 from tillworks.llm.hashing import WordHashes, from_planes, mix, planes, word_set
 from tillworks.llm.pairing import with_texts
@@ -185,7 +185,7 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
         yield from flush()
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(giving_back(run), schema)
 
 
 #: bytes of a set's digest; a set is known by these and its size
@@ -303,7 +303,7 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
             SKIPPED, a=names[a], instance=of, times=times,
             parts=parts[a, which % 2] - np.array(needed, np.int64))
 
-    return pages.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)
+    return pages.repartitionById(buckets, F.col("bucket")).mapInArrow(giving_back(run), schema)
 
 
 def _texts(classes: DataFrame, wanted: DataFrame, docs: DataFrame, label: str) -> DataFrame:
@@ -368,7 +368,7 @@ def _sketches(texts: DataFrame, label: str) -> DataFrame:
                 names=["a", "n", *_SKETCH])
 
     schema = ", ".join(["a binary", "n long", *[f"{c} long" for c in _SKETCH]])
-    return settle(texts.select("key", "text").mapInArrow(sketch, schema), f"{label}-sketches")
+    return settle(texts.select("key", "text").mapInArrow(giving_back(sketch), schema), f"{label}-sketches")
 
 
 def _differing(other: str) -> Column:
@@ -399,7 +399,7 @@ def _shared(texts: DataFrame) -> DataFrame:
 
     rows = settle(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
     source = rows.select("row", "text")
-    tokens = settle(source.mapInArrow(members, "row long, token long"), "tokens")
+    tokens = settle(source.mapInArrow(giving_back(members), "row long, token long"), "tokens")
     several = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
     shared = tokens.join(several, "token", "left_semi").groupBy("row").agg(
         F.count("*").alias("shared"))

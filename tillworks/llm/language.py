@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import fold, map_text
+from tillworks.llm.common import fold, giving_back, map_text
 
 FEATURES = 1 << 16
 ORDERS = (2, 3)
@@ -94,7 +94,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                  pa.array(mine[at])], names=["lang", "feature", "n"])
 
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    summed = labelled.select("lang", "text").mapInArrow(count, schema).groupBy(
+    summed = labelled.select("lang", "text").mapInArrow(giving_back(count), schema).groupBy(
         "lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(summed["lang"].unique())
     counts = np.zeros((FEATURES + 1, len(langs)))
