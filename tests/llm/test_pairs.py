@@ -273,3 +273,63 @@ def test_a_weak_end_does_not_hide_a_passage():
         at += size + gap
     found = passages.passages(np.concatenate(a), np.concatenate(b), np.array(spots))
     assert any(x[0] <= 57 and x[1] >= 57 + 91 for x in found)
+
+
+def _linked(rows):
+    """Least document that each can be reached from by passages."""
+    root: dict = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for r in rows:
+        a, b = sorted((find(r.doc_a), find(r.doc_b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def test_passages_whose_seeds_have_several_hubs(docs, prose):
+    """Hubs that hold too little of a passage do not keep the others that hold it apart."""
+    own = lambda i, n=80: prose(900 + i, n, 10**6)
+    p, r, s = prose(801, 60, 10**6), prose(802, 50, 10**6), prose(803, 90, 10**6)
+    texts = {
+        0: own(0) + p[:35] + own(1), 1: own(2) + p[-35:] + own(3), 2: own(4) + p, 3: p + own(5),
+        10: own(6) + r[:49] + own(7), 11: own(8) + r[1:] + own(9), 12: own(10) + r, 13: r + own(11),
+        20: own(12) + s[:30] + own(13), 21: s[20:60] + own(14), 22: own(15) + s[50:],
+        23: own(16, 30) + s, 24: own(17, 9) + s + own(18)}
+    rows = passages.shared_passages(docs([(i, " ".join(w)) for i, w in texts.items()])).collect()
+    assert {(r.doc_a, r.doc_b) for r in rows} == {(2, 3), (12, 13), (23, 24)}
+    spans = {r.doc_a: (r.start_a, r.end_a, r.start_b, r.end_b) for r in rows}
+    assert spans == {2: (80, 140, 0, 60), 12: (80, 130, 0, 50), 23: (30, 120, 9, 99)}
+    both = passages.passages_of_documents(docs([(i, " ".join(w)) for i, w in texts.items()]))
+    assert {(r.doc_id, r.partner_id) for r in both.collect()} == {
+        (2, 3), (3, 2), (12, 13), (13, 12), (23, 24), (24, 23)}
+
+
+def test_links_of_many_documents_by_brute_force(docs, prose):
+    """Pieces of a few passages in many documents: the same groups as by all pairs."""
+    rng, texts = random.Random(12), {}
+    sources = [prose(700 + k, 110, 10**6) for k in range(5)]
+    for i in range(60):
+        words = prose(2000 + i, 20, 10**6)
+        for _ in range(2):
+            source = rng.choice(sources)
+            n = rng.choice((20, 35, 49, 50, 70, 90))
+            at = rng.randrange(len(source) - n)
+            words += source[at: at + n] + prose(3000 + 10 * i + len(words), 15, 10**6)
+        texts[i] = words
+    rows = passages.shared_passages(docs([(i, " ".join(w)) for i, w in texts.items()])).collect()
+    got, linked = _linked(rows), 0
+    for a in texts:
+        for b in range(a):
+            if _shared_by_brute_force(texts[b], texts[a]):
+                linked += 1
+                assert a in got and got[a] == got[b], (b, a)
+    assert linked > 50
+
+
+def test_a_changed_stretch_is_aligned_across_insertions(docs, prose):
+    """Every 7th word of a long stretch changed, one word inserted at each end of it."""
+    words = prose(600, 500, 10**6)
+    changed = [w if not 130 <= i < 370 or i % 7 else f"x{i}" for i, w in enumerate(words)]
+    changed = changed[:130] + ["extra"] + changed[130:370] + ["extra"] + changed[370:]
+    got = passages.shared_passages(docs([(1, " ".join(words)), (2, " ".join(changed))])).collect()
+    assert [(r.start_a, r.end_a, r.start_b, r.end_b) for r in got] == [(0, 500, 0, 502)]
+    assert got[0].n_same == 500 - sum(130 <= i < 370 and i % 7 == 0 for i in range(500))

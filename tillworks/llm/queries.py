@@ -54,7 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": _documents(jaccard_join.join_all),
     "op4_language_model": _documents(language_model.score_all),
     "op5_language": _documents(language.identify),
-    "op6_passages": _documents(passages.shared_passages),
+    "op6_passages": _documents(passages.passages_of_documents),
     "op7_pseudonyms": _documents(pseudonyms.pseudonymise_all),
     "op8_line_dedup": _documents(line_dedup.clean_lines),
     "op9_mixing": _documents(mixing.taken_words),
