@@ -95,36 +95,99 @@ def test_language_model(docs, odd, monkeypatch):
     assert language_model.score_all(docs([])).isEmpty()
 
 
-def test_training_sees_every_token():
-    """Over its rounds, a task of many tokens sees each as often as it occurs."""
-    rng = np.random.default_rng(2)
-    sizes = (150_000, 900, 230_000)
-    keys = [np.sort(rng.choice(1 << 20, k, replace=False)).astype(np.int32) for k in sizes]
-    n = [rng.integers(1, 7, k).astype(np.int32) for k in sizes]
-    seen = np.concatenate([
-        b for number in range(language_model.ROUNDS)
-        for b in language_model.batches_of(keys, n, number, rng)])
-    want = np.concatenate([np.repeat(k, times) for k, times in zip(keys, n)])
-    assert np.array_equal(np.sort(seen), np.sort(want))
-    few = list(language_model.batches_of(keys[1:2], n[1:2], 0, rng))
-    assert len(few) == language_model.STEPS
-
-
-def test_model_is_normalised():
-    rng = np.random.default_rng(0)
-    unigram = rng.random(language_model.OTHER + 1)
-    model = language_model.Model(unigram / unigram.sum())
-    context = np.array([5, 700, 1000])
-    scores = model.hidden(context) @ model.parts[1].T + model.parts[2]
-    total = np.exp(scores - model.log_norm(context)[:, None]).sum(axis=1)
-    assert np.allclose(total, 1, atol=1e-4)
+def zipf(size=6000):
+    return language_model.Layout((1e6 / np.arange(1, size + 1)).astype(np.int64), 5000)
+
+
+def test_training_sees_every_token(docs):
+    """Pages hold every token once; a task of many tokens has each as often as it occurs."""
+    rng, layout, end = np.random.default_rng(2), zipf(), 3
+    ids = rng.integers(0, layout.start, 400_000).astype(np.int32)
+    ids = np.append(ids, np.int32(language_model._BREAK))
+    first, within = [], []
+    for further, before, out, cls in language_model.batches_of([ids], layout, end, rng):
+        assert len(further) == len(before) == len(out)
+        (first if cls is None else within).append(out)
+        if cls is not None:
+            assert layout.members(cls).start <= out.min() and out.max() < layout.members(cls).stop
+    tokens = np.append(ids[:-1], end)
+    tail = tokens[(tokens >= layout.head) & (tokens < layout.size)]
+    assert np.array_equal(np.sort(np.concatenate(first)), np.sort(layout.outputs(tokens)))
+    assert np.array_equal(np.sort(np.concatenate(within)), np.sort(tail) - layout.head + layout.top)
+    few = list(language_model.batches_of([ids[-900:]], layout, end, rng))
+    assert sum(b[3] is None for b in few) == language_model.STEPS
+
+    texts = docs([(i, f"w{i % 7} x") for i in range(50)] + [(50, None)]).select("text")
+    rank = {f"w{i}".encode(): i for i in range(7)}
+    shared = texts.sparkSession.sparkContext.broadcast((rank, np.ones(7, np.int64), 0))
+    rows = language_model._pages(texts.repartition(3), shared, 2).collect()
+    sent = np.concatenate([np.frombuffer(r.ids, "<i4") for r in rows])
+    assert {r["round"] for r in rows} == {0, 1, 2} and {r.slot for r in rows} == {0, 1}
+    assert Counter(sent.tolist()) == Counter([i % 7 for i in range(50)] + [7] * 50 + [-1] * 51)
+
+
+@pytest.mark.parametrize("size", [0, 3, 900])
+def test_model_is_normalised(size):
+    """Over all words with vectors and the class of the others, in any context."""
+    layout = zipf(size)
+    model = language_model.Model(layout)
+    model.table[: layout.first] *= 20
+    every = np.arange(size + 1)
+    for context in ((layout.start, layout.start), (size, 0), (size // 2, size)):
+        a, b = (np.full(size + 1, c) for c in context)
+        assert abs(np.exp(model.log_chances(a, b, every)).sum() - 1) < 1e-4
+
+
+def test_untrained_model_is_the_counts():
+    layout = zipf(900)
+    model = language_model.Model(layout)
+    model.table[: layout.first] = 0
+    counts = np.append((1e6 / np.arange(1, 901)).astype(np.int64), 5000) + 0.5
+    start = np.full(901, layout.start)
+    got = model.log_chances(start, start, np.arange(901))
+    assert np.allclose(got, np.log(counts / counts.sum()), atol=1e-3)
+
+
+def test_rare_words_depend_on_their_context():
+    """Words of ranks about 5,000: told apart by the word before them, as outputs and as contexts."""
+    layout, rng = zipf(), np.random.default_rng(5)
+    pairs = {4990 + k: 5500 - 7 * k for k in range(20)}
+    page = []
+    for _ in range(15_000):
+        if rng.random() < 0.3:
+            a = int(rng.choice(list(pairs)))
+            page += [a, pairs[a]]
+        page += rng.integers(0, 50, 3).tolist()
+    model = language_model.Model(layout)
+    for _ in range(language_model.ROUNDS):
+        model.fit([np.array(page + [language_model._BREAK], np.int32)], 3, rng)
+    before = np.array(list(pairs))
+    further = np.full(len(pairs), 7)
+    right = model.log_chances(further, before, np.array(list(pairs.values())))
+    wrong = model.log_chances(further, before, np.array(list(pairs.values())[::-1]))
+    often = np.log([page.count(w) / len(page) for w in pairs.values()])
+    assert (right > often).all() and (right - wrong).mean() > 2 and (right > wrong).mean() > 0.9
+    elsewhere = model.log_chances(further, np.full(len(pairs), 7), np.array(list(pairs.values())))
+    assert (right > elsewhere + 1).all()
+
+
+def test_changes_are_means_by_batches(spark):
+    def row(block, part, times, change):
+        return (block, part, np.array(times, "<i8").tobytes(), np.array(change, "<i4").tobytes())
+
+    rows = [row(0, 0, [1, 0], [[8, 8], [0, 0]]), row(0, 0, [3, 0], [[4, 0], [0, 0]]),
+            row(0, 1, [0, 2], [[0, 0], [6, -6]]), row(2, 1, [5, 5], [[1, 1], [1, 1]])]
+    changes = spark.createDataFrame(rows, "block int, part int, times binary, change binary")
+    means = language_model._means(language_model._means(changes, "block", "part"), "block")
+    got = {r.block: np.frombuffer(r.change, "<i4").tolist() for r in means.collect()}
+    assert got == {0: [5, 2, 6, -6], 2: [1, 1, 1, 1]}
 
 
 def test_contexts_stop_at_ends():
     ids = np.array([1, 2, 9, 9, 3, 9])  # texts "1 2", "", "3", each ended by 9
-    s, m = language_model.START, language_model.START + 1
-    got = language_model._contexts(ids, np.array([2, 3, 5]))
-    assert [divmod(x, m) for x in got.tolist()] == [(s, s), (s, 1), (1, 2), (s, s), (s, s), (s, 3)]
+    further, before = language_model._contexts(ids, np.array([2, 3, 5]), 20)
+    assert further.tolist() == [20, 20, 1, 20, 20, 20]
+    assert before.tolist() == [20, 1, 2, 20, 20, 3]
 
 
 def test_feistel_is_a_permutation():
