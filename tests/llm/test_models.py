@@ -123,6 +123,7 @@ def test_training_sees_every_token(docs):
     rows = language_model._pages(texts.repartition(3), shared, 2).collect()
     sent = np.concatenate([np.frombuffer(r.ids, "<i4") for r in rows])
     assert {r["round"] for r in rows} == {0, 1, 2} and {r.slot for r in rows} == {0, 1}
+    assert len({(r["round"], r.page) for r in rows}) == len(rows)
     assert Counter(sent.tolist()) == Counter([i % 7 for i in range(50)] + [7] * 50 + [-1] * 51)
 
 

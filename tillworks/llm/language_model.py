@@ -183,7 +183,8 @@ def _pages(texts: DataFrame, shared, tasks: int) -> DataFrame:
                 page = np.concatenate(held[turn:: ROUNDS]).astype("<i4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([turn], pa.int32()), pa.array([(number + sent) % tasks], pa.int32()),
-                     pa.array([page], pa.binary())], names=["round", "slot", "ids"])
+                     pa.array([(sent << 32) + number], pa.int64()),
+                     pa.array([page], pa.binary())], names=["round", "slot", "page", "ids"])
             held, size, sent = [], 0, sent + 1
 
         for batch in batches:
@@ -198,7 +199,7 @@ def _pages(texts: DataFrame, shared, tasks: int) -> DataFrame:
         if held:
             yield from pages()
 
-    return texts.mapInArrow(giving_back(run), "round int, slot int, ids binary")
+    return texts.mapInArrow(giving_back(run), "round int, slot int, page long, ids binary")
 
 
 def _of_page(ids: np.ndarray, layout: Layout, end: int, rng: np.random.Generator) -> Iterator[tuple]:
@@ -415,7 +416,9 @@ def train(pages: DataFrame, counted: np.ndarray, others: int, end: int, tasks: i
                          pa.array([change.tobytes()], pa.binary())],
                         names=["block", "part", "times", "change"])
 
-        mine = pages.filter(F.col("round") == number).repartitionById(tasks, F.col("slot"))
+        # in one order, so that a task that runs again comes to the same changes
+        mine = pages.filter(F.col("round") == number).repartitionById(
+            tasks, F.col("slot")).sortWithinPartitions("page")
         changes = mine.select("slot", "ids").mapInArrow(
             giving_back(run), "block int, part int, times binary, change binary")
         means = _means(_means(changes, "block", "part"), "block")
