@@ -82,6 +82,27 @@ def test_long_chains_take_no_more_rounds_than_blocks(spark, monkeypatch):
     assert 1 < written.count("alloc-round") <= 4
 
 
+def test_blocks_do_not_make_tasks(spark, monkeypatch):
+    # blocks of one line each: a few tasks follow them, and write a few files
+    rnd = random.Random(5)
+    transactions = [(seq, [(f"p{rnd.randrange(40)}", rnd.randint(1, 3)) for _ in range(2)])
+                    for seq in range(300)]
+    opening = {f"p{i}": 9 for i in range(40)}
+    most = []
+
+    def settle(df, label):
+        done = write(df, label)
+        if label in ("alloc-start", "alloc-round"):
+            most.append(len(done.inputFiles()))
+        return done
+
+    write = stock.settle
+    monkeypatch.setattr(stock, "settle", settle)
+    got = allocate(spark, transactions, opening, block_lines=2)
+    assert got == replay(transactions, opening)
+    assert max(most) <= spark.sparkContext.defaultParallelism + 1
+
+
 def move_all(moves, opening):
     left, out = dict(opening), []
     for seq, product, quantity, kind in sorted(moves):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from tillworks.schemas import MANUAL_NOTE, STOCK_IN, STOCK_OUT
 from tillworks.session import settle
 
 BLOCK_LINES = 50_000
+TASK_LINES = 100_000  # lines of the blocks that one task follows, one block after the other
 
 
 # --- movements -----------------------------------------------------------------------------
@@ -263,7 +265,8 @@ def allocate_stock(
     is open before the first block that has open lines, so each round finishes that block at least:
     there are never more rounds than blocks, and the outcome equals one-by-one processing. Only open
     lines and those just accepted go on to the next round; neighbouring blocks that few are left of
-    become one, so blocks and rounds shrink with what is left.
+    become one, so blocks and rounds shrink with what is left. However small the blocks, a task gets
+    enough neighbouring ones to be worth its start.
     """
     lines = settle(
         demands.groupBy("txn", "seq", "product_id")
@@ -272,10 +275,17 @@ def allocate_stock(
         .withColumn("room", F.coalesce("room", F.lit(0)).cast("long")),
         "alloc-lines",
     )
-    blocks = max(1, -(-lines.count() // block_lines))
+    n_lines = lines.count()
+    blocks = max(1, -(-n_lines // block_lines))
+    each = -(-blocks // _tasks(lines.sparkSession, blocks, n_lines))
+    # the place of a transaction's first line in its range tells the block; ids hold range and place
+    first = F.min("_id").over(W.partitionBy("seq"))
+    place = first.bitwiseAND((1 << _PLACE_BITS) - 1)
     laid_out = settle(
-        lines.repartitionByRange(blocks, "seq")
-        .withColumn("block", F.spark_partition_id())
+        lines.repartitionByRange(-(-blocks // each), "seq")
+        .sortWithinPartitions("seq")
+        .withColumn("_id", F.monotonically_increasing_id())
+        .withColumn("block", first - place + F.least(F.floor(place / block_lines), F.lit(each - 1)))
         .withColumn("open", F.col("need") > 0)
         .select(*_LINE),
         "alloc-start",
@@ -288,10 +298,11 @@ def allocate_stock(
         if not any(r.n_open for r in sizes):
             break
         merged = _merge_blocks(sorted(sizes), block_lines)
-        named = work.sparkSession.createDataFrame(merged, "block int, _merged int")
+        named = work.sparkSession.createDataFrame(merged, "block long, _merged long")
         work = work.join(named, "block").withColumn("block", F.col("_merged")).select(*_LINE)
         blocks = merged[-1][1] + 1
-        work = settle(_follow(work, _before_blocks(work), blocks), "alloc-round")
+        tasks = _tasks(work.sparkSession, blocks, sum(r.n for r in sizes))
+        work = settle(_follow(work, _before_blocks(work), blocks, tasks), "alloc-round")
         accepted.append(work.filter(~F.col("open")).select("txn"))
         if len(accepted) > UNION_INPUTS:
             accepted = [settle(_union(accepted), "alloc-accepted")]
@@ -302,6 +313,7 @@ def allocate_stock(
 
 
 _LINE = ("txn", "seq", "product_id", "need", "room", "block", "open")
+_PLACE_BITS = 33  # monotonically_increasing_id holds the partition above so many bits
 #: rounds whose verdicts are read from separate folders before they are written as one
 UNION_INPUTS = 16
 
@@ -313,6 +325,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _tasks(spark: SparkSession, blocks: int, n_lines: int) -> int:
+    """Tasks for so many lines in blocks: one for TASK_LINES, and no core without work."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(blocks, max(cores, -(-n_lines // TASK_LINES)))
+
+
 def _merge_blocks(sizes: list[tuple], most: int) -> list[tuple[int, int]]:
     """(block, new block): neighbours become one as long as they hold ``most`` lines at most."""
     out, now, held = [], 0, 0
@@ -343,7 +361,7 @@ def _before_blocks(work: DataFrame) -> DataFrame:
     )
 
 
-def _follow(lines: DataFrame, before: DataFrame, blocks: int) -> DataFrame:
+def _follow(lines: DataFrame, before: DataFrame, blocks: int, tasks: int) -> DataFrame:
     """Lines still open and lines accepted now (``open`` false).
 
     Refused lines drop out. So do lines accepted before: they are taken off the ``room`` of the
@@ -359,60 +377,72 @@ def _follow(lines: DataFrame, before: DataFrame, blocks: int) -> DataFrame:
     return (
         bounds.withColumn("line", F.lit(False))
         .unionByName(lines.withColumn("line", F.lit(True)))
-        .repartitionById(blocks, F.col("block"))
+        .repartitionById(tasks, F.floor(F.col("block") * tasks / blocks).cast("int"))
         .sortWithinPartitions("block", "line", "seq", "product_id")
         .mapInArrow(_follow_blocks, schema)
     )
 
 
 def _follow_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bounds of a block come first, then its lines in order; holds one transaction."""
-    # per product: taken by lines accepted before this round, with those accepted now, with all open
-    took: dict = {}
-    surely: dict = {}
-    maybe: dict = {}
-    asked: list[tuple] = []
-    out: list[tuple] = []
-    at = None
-
-    def decide() -> None:
-        if all(need <= room - surely.get(product, 0) for _, _, product, need, room, _ in asked):
-            fits = all(
-                need <= room - maybe.get(product, 0) for _, _, product, need, room, _ in asked)
-            for txn, seq, product, need, room, block in asked:
-                left = room - took.get(product, 0)
-                out.append((txn, seq, product, need, left, block, not fits))
-                maybe[product] = maybe.get(product, 0) + need
-                if fits:
-                    surely[product] = surely.get(product, 0) + need
-        asked.clear()
-
-    def flush() -> pa.RecordBatch:
-        columns = zip(*out) if out else [[]] * len(types)
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-        out.clear()
-        return pa.RecordBatch.from_arrays(arrays, names=list(_LINE))
-
-    types: list[pa.DataType] = []
+    """Blocks one after the other; holds one block."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        types = types or [batch.schema.field(c).type for c in _LINE]
-        rows = zip(*[batch.column(c).to_pylist() for c in (*_LINE, "line")])
-        for txn, seq, product, need, room, block, is_open, is_line in rows:
-            if asked and (block, seq) != at:
-                decide()
-            if at is None or block != at[0]:
-                took.clear()
-                surely.clear()
-                maybe.clear()
-            at = (block, seq)
-            if not is_line:
-                took[product], surely[product], maybe[product] = need, need, need + room
-            elif is_open:
-                asked.append((txn, seq, product, need, room, block))
-            else:
-                for sums in (took, surely, maybe):
-                    sums[product] = sums.get(product, 0) + need
-        yield flush()
-    if asked:
-        decide()
-        yield flush()
+        block = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for low, high in zip(edges, edges[1:]):
+            if low == high:
+                continue
+            if held and held[0].column("block")[0].as_py() != block[low]:
+                yield _follow_block(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield _follow_block(held)
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """Values numbered, NULL like any other; and how many there are."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return coded.indices.to_numpy(), len(coded.dictionary)
+
+
+def _follow_block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A block's bounds come first, then its lines in order."""
+    rows = pa.Table.from_batches(batches)
+    product, n_products = _codes(rows.column("product_id"))
+    seq, _ = _codes(rows.column("seq"))
+    need, room = (rows.column(c).to_numpy() for c in ("need", "room"))
+    is_line = rows.column("line").to_numpy()
+    begin = int(np.count_nonzero(~is_line))
+    # per product: taken by lines accepted before this round, with those accepted now, with all open
+    before = np.zeros((2, n_products), np.int64)
+    before[:, product[:begin]] = need[:begin], room[:begin]
+    took, maybe = before[0].tolist(), before.sum(axis=0).tolist()
+    surely = list(took)
+    firsts = begin + np.flatnonzero(np.diff(seq[begin:], prepend=-1))
+    open_ = rows.column("open").to_pylist()
+    product, need, room = product.tolist(), need.tolist(), room.tolist()
+    kept, left, still = [], [], []
+    for low, high in zip(firsts.tolist(), [*firsts[1:].tolist(), len(seq)]):
+        asked = [i for i in range(low, high) if open_[i]]
+        if len(asked) < high - low:
+            for i in range(low, high):
+                if not open_[i]:
+                    for sums in (took, surely, maybe):
+                        sums[product[i]] += need[i]
+        if any(need[i] > room[i] - surely[product[i]] for i in asked):
+            continue
+        fits = all(need[i] <= room[i] - maybe[product[i]] for i in asked)
+        for i in asked:
+            p, n = product[i], need[i]
+            kept.append(i)
+            left.append(room[i] - took[p])
+            still.append(not fits)
+            maybe[p] += n
+            if fits:
+                surely[p] += n
+    out = rows.select(list(_LINE)).take(pa.array(kept, pa.int64())).combine_chunks()
+    for name, values in (("room", left), ("open", still)):
+        at = out.schema.get_field_index(name)
+        out = out.set_column(at, name, pa.array(values, out.schema.field(name).type))
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=list(_LINE))
