@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillworks.operators import maintain, reports
+from tillworks.plans import storage_queries
 from tillworks.schemas import REPORT_BY_USER, REPORT_PERIOD, TABLES
 from tillworks.session import clear_scratch, scratch_path, scratch_root, settle
 from tillworks.sources import feed, report_files, snapshots, tables
@@ -306,3 +307,19 @@ def test_rows_are_numbered_by_their_place(spark, tmp_path, split):
             5: ("3", "c", "\n\nx")}
     want |= {6 + i: (str(10 + i), f"n{10 + i}", f"plain {10 + i}") for i in range(50)}
     assert got == want
+
+
+def test_stream_batches_may_be_of_many_files(spark):
+    parts = [spark.range(10 * i, 10 * i + 10, numPartitions=4) for i in range(2)]
+    target = scratch_path(spark, "many-files")
+    batches = []
+
+    def start(stream):
+        return stream.writeStream.foreachBatch(
+            lambda batch, _: batches.append((sorted(r.id for r in batch.collect()),
+                                             len(batch.inputFiles())))
+        ).option("checkpointLocation", target).trigger(availableNow=True).start()
+
+    storage_queries._in_turn(spark, parts, start)
+    assert [ids for ids, _ in batches] == [list(range(10)), list(range(10, 20))]
+    assert all(files == 4 for _, files in batches)

@@ -224,18 +224,24 @@ _BATCHES = f"""
             where e.batch < b.batch))"""
 
 
+def _in_turn(spark, parts, start) -> None:
+    """Stream the parts, each as one micro-batch of as many files as it has, one after the other:
+    the stream that ``start`` makes of the folder runs to its end after each part is there."""
+    folder = scratch_path(spark, "stream-in")
+    for rows in parts:
+        rows.write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        start(stream_table(spark, folder, schema)).awaitTermination()
+
+
 def _closed_days(t):
-    folder = scratch_path(t.spark, "stream-in")
     early, later = (F.col("sold_at") < F.lit(c).cast("timestamp_ntz") for c in _CUTS)
     held_back = early & (F.col("id") % 50 == 0)
     rows = t.sales.select("id", "sold_at", "total", "payment_type", "status")
-    for part in (early & ~held_back, later & ~early, held_back | ~later):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    schema = t.spark.read.parquet(folder).schema
-    out = scratch_path(t.spark, "stream-out")
-    stream = stream_table(t.spark, folder, schema, maxFilesPerTrigger=1)
-    summary.write_day_sums(
-        stream, out, scratch_path(t.spark, "stream-checkpoint")).awaitTermination()
+    out, checkpoint = (scratch_path(t.spark, x) for x in ("stream-out", "stream-checkpoint"))
+    parts = (early & ~held_back, later & ~early, held_back | ~later)
+    _in_turn(t.spark, [rows.filter(p) for p in parts],
+             lambda stream: summary.write_day_sums(stream, out, checkpoint))
     summary.close_days(t.spark, out)
     return out
 
@@ -268,16 +274,11 @@ def s1_late(t):
     from products p left join last l on l.product_id = p.id""", recursive=True))
 def s2(t):
     root = _stored(t, ["products"])
-    # two files, older movements first; one file per micro-batch
-    folder = scratch_path(t.spark, "stream-in")
+    # two micro-batches, older movements first
     cut = F.lit("1998-06-01").cast("timestamp_ntz")
-    for part in (F.col("moved_at") < cut, F.col("moved_at") >= cut):
-        t.movements.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    schema = t.spark.read.parquet(folder).schema
-    moves = stream_table(t.spark, folder, schema, maxFilesPerTrigger=1)
-    running = stream_movements(
-        moves, root, scratch_path(t.spark, "stream-log"),
-        scratch_path(t.spark, "stream-checkpoint"), MOVEMENT_ORDER, "movements",
-    )
-    running.awaitTermination()
+    log, checkpoint = (scratch_path(t.spark, x) for x in ("stream-log", "stream-checkpoint"))
+    parts = (F.col("moved_at") < cut, F.col("moved_at") >= cut)
+    _in_turn(t.spark, [t.movements.filter(p) for p in parts],
+             lambda moves: stream_movements(
+                 moves, root, log, checkpoint, MOVEMENT_ORDER, "movements"))
     return tables.read_table(t.spark, root, "products").select("id", "stock")
