@@ -110,6 +110,20 @@ def test_new_ids_grow_with_the_order(spark):
     assert above.agg(F.min("id")).first()[0] == 100
 
 
+def test_integrity_report_groups_keys_as_they_are(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", "h", "empleado"), (1, None, "h", "empleado"), (None, "a", None, "x"),
+         (3, "b", "h", None)],
+        "id long, username string, password_hash string, role string")
+    report = quality.integrity_report("users", rows)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "to_json" not in plan and "structstojson" not in plan.lower()
+    found = {(r.kind, r["columns"]): r.n_bad for r in report.collect()}
+    assert found[("key", "id")] == 1 and found[("key", "username")] == 1
+    assert found[("missing", "username")] == 1 and found[("missing", "password_hash")] == 1
+    assert found[("missing", "role")] == 1 and found[("domain", "role")] == 1
+
+
 def test_integrity_checks(spark, shop, make):
     users = make("users", [
         dict(id=1, username="a", role="jefe"), dict(id=2, username="a", role=None),

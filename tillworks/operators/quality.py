@@ -66,42 +66,28 @@ def check_domains(name: str, table: DataFrame) -> dict[str, DataFrame]:
 
 
 def integrity_report(name: str, table: DataFrame) -> DataFrame:
-    """(table_name, kind, columns, n_bad) of all declared rules of a table, from one pass over it.
+    """(table_name, kind, columns, n_bad) of all declared rules of a table.
 
     Kinds: ``key`` (values of the id or of a unique key that several rows hold), ``missing`` (rows
-    without a required value), ``domain`` (rows with a value outside its set). Each row gives one entry
-    per key and one per broken rule; entries are counted before and after one shuffle.
+    without a required value), ``domain`` (rows with a value outside its set). Rows are counted in one
+    pass without a shuffle; each key is one more pass over its own columns, grouped by them as they are.
     """
     held = set(table.columns)
-
-    def entry(kind: str, columns, value: Column, when: Column) -> Column:
-        return F.when(when, F.struct(
-            F.lit(kind).alias("kind"), F.lit(",".join(columns)).alias("columns"),
-            value.alias("value")))
-
-    rules = []
+    counts = {("missing", c): F.col(c).isNull() for c in REQUIRED[name] if c in held}
+    counts |= {("domain", c): ~F.col(c).isin(*v) for c, v in DOMAINS.get(name, {}).items()}
+    rule = "named_struct('kind', '{}', 'columns', '{}', 'n_bad', {})"
+    found = [table.agg(*[F.count_if(when).alias("_".join(r)) for r, when in counts.items()]).select(
+        F.inline(F.array(*[F.expr(rule.format(*r, f"`{'_'.join(r)}`")) for r in counts])))]
     for key in (("id",), *UNIQUE.get(name, ())):
-        complete = F.lit(True)
-        for c in key:
-            complete = complete & F.col(c).isNotNull()
-        rules.append(("key", key, F.to_json(F.struct(*key)), complete))
-    none = F.lit(None).cast("string")
-    rules += [("missing", (c,), none, F.col(c).isNull()) for c in REQUIRED[name] if c in held]
-    rules += [("domain", (c,), none, F.coalesce(~F.col(c).isin(*v), F.lit(False)))
-              for c, v in DOMAINS.get(name, {}).items()]
-    declared = F.explode(F.lit([f"{kind} {','.join(columns)}" for kind, columns, *_ in rules]))
-    entries = table.select(F.explode(F.array_compact(F.array(
-        *[entry(*rule) for rule in rules]))).alias("e")).select("e.*")
-    counts = entries.groupBy("kind", "columns", "value").agg(F.count(F.lit(1)).alias("n"))
-    bad = counts.groupBy("kind", "columns").agg(F.sum(
-        F.when(F.col("kind") == "key", (F.col("n") > 1).cast("long")).otherwise(F.col("n")))
-        .alias("n_bad"))
-    every = table.sparkSession.range(1).select(declared.alias("rule")).select(
-        F.split_part("rule", F.lit(" "), F.lit(1)).alias("kind"),
-        F.split_part("rule", F.lit(" "), F.lit(2)).alias("columns"))
-    return every.join(bad, ["kind", "columns"], "left").select(
-        F.lit(name).alias("table_name"), "kind", "columns",
-        F.coalesce("n_bad", F.lit(0)).alias("n_bad"))
+        repeated = check_unique(table, list(key)).agg(F.count(F.lit(1)).alias("n_bad"))
+        found.append(repeated.select(
+            F.lit("key").alias("kind"), F.lit(",".join(key)).alias("columns"), "n_bad"))
+    if not counts:
+        found = found[1:]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(F.lit(name).alias("table_name"), "kind", "columns", "n_bad")
 
 
 def check_reference(child: DataFrame, column: str, parent: DataFrame) -> DataFrame:
