@@ -114,6 +114,17 @@ def test_parts_do_not_depend_on_the_layout(spark, make, shop):
         (0, 40), (1, 40), (2, 40), (3, 30)]
 
 
+def test_numbering_parts_shuffles_lines_once(make):
+    lines = make("sale_lines", [
+        dict(id=i, sale_id=i % 3, product_id=i % 7, quantity=1, line_subtotal=1)
+        for i in range(200)])
+    parts = history._numbered_parts(lines, 10)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan  # lines are shuffled by range, before
+    found = {(r.sale_id, r.id): r.part for r in parts.collect()}
+    assert found == {(i % 3, i): i // 3 // 10 for i in range(200)}
+
+
 def test_visible_sales(spark, shop, rows):
     grants = spark.createDataFrame(
         [(1, history.SEE_ALL), (2, history.SEE_OWN), (2, "x")], "user_id long, permission string")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillworks.functions.dates import from_day, until_day
 from tillworks.functions.text import contains_text
@@ -88,8 +93,9 @@ def sale_documents(
         sales = sales.join(wanted.withColumnRenamed("sale_id", "id"), "id", "left_semi")
         lines = lines.join(wanted, "sale_id", "left_semi")
     named = document_lines(lines, products)
-    line = F.struct(*[c for c in named.columns if c != "sale_id"])
-    found = F.collect_list(F.struct("id", line.alias("line"))).alias("found")
+    # the id first, to sort by; lines are brought into the order of their columns afterwards
+    shown = [c for c in named.columns if c != "sale_id"]
+    found = F.collect_list(F.struct("id", *[c for c in shown if c != "id"])).alias("found")
     large_ids = settle(
         lines.groupBy("sale_id").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > part_lines).select("sale_id"),
@@ -112,7 +118,9 @@ def sale_documents(
     nested = collected.select(
         F.col("sale_id").alias("id"),
         "part",
-        F.transform(F.sort_array("found"), lambda x: x["line"]).alias("lines"),
+        F.transform(
+            F.sort_array("found"), lambda x: F.struct(*[x[c].alias(c) for c in shown])
+        ).alias("lines"),
     )
     names = users.select(F.col("id").alias("user_id"), "username")
     headed = sales.join(names, "user_id").join(nested, "id", "left")
@@ -125,30 +133,61 @@ def sale_documents(
 def _numbered_parts(large: DataFrame, part_lines: int) -> DataFrame:
     """Lines of large sales with their ``part``: the place within the sale divided by ``part_lines``.
 
-    Places are numbered without a window over the sale: lines are laid out by range of (sale, line)
-    and written, each range numbers its lines of a sale, and counts (one row per sale and range)
-    give what earlier ranges hold. So parts do not depend on the layout. The order covers every
-    column; lines alike in all of them may change places.
+    Places are numbered without a window over the sale and without a shuffle of their own: lines are
+    laid out by range of (sale, line), numbered as they lie there, and written. A sale is cut by few
+    ranges, so all that is joined to the lines is a few rows for each range: what earlier ranges
+    hold of its first sale. So parts do not depend on the layout. The order covers every column;
+    lines alike in all of them may change places.
     """
     order = ["sale_id", "id", *[c for c in large.columns if c not in ("sale_id", "id")]]
+    schema = T.StructType([*large.schema, T.StructField("_range", T.IntegerType()),
+                           T.StructField("_at", T.LongType())])
     laid = settle(
-        large.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()),
+        large.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_range", F.spark_partition_id())
+        .mapInArrow(_numbered, schema),
         "large-lines",
     )
-    within = Window.partitionBy("sale_id", "_range").orderBy(*order)
+    # only the first and the last sale of a range may lie in others as well
+    ends = laid.groupBy("_range").agg(
+        F.array(F.min("sale_id"), F.max("sale_id")).alias("ends")).select(
+        "_range", F.explode(F.array_distinct("ends")).alias("sale_id"))
     earlier = (
         Window.partitionBy("sale_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = laid.groupBy("sale_id", "_range").agg(F.count(F.lit(1)).alias("_n")).select(
-        "sale_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    starts = settle(
+        laid.join(settle(ends, "large-ends"), ["sale_id", "_range"], "left_semi")
+        .groupBy("sale_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_start", F.sum("_n").over(earlier))
+        .filter("_start is not null").drop("_n"),
+        "large-starts",
+    )
     return (
-        laid.withColumn("_at", F.row_number().over(within) - 1)
-        .join(starts, ["sale_id", "_range"])
-        .withColumn("part", F.expr(f"(_start + _at) div {int(part_lines)}"))
+        laid.join(starts, ["sale_id", "_range"], "left")
+        .withColumn("part", F.expr(f"(coalesce(_start, 0) + _at) div {int(part_lines)}"))
         .drop("_range", "_at", "_start")
     )
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by sale with ``_at``, their place among those of the sale, from 0."""
+    last, held = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sale = batch.column("sale_id").dictionary_encode(null_encoding="encode")
+        code = sale.indices.to_numpy()
+        firsts = np.flatnonzero(np.diff(code, prepend=-1))
+        sizes = np.diff(firsts, append=len(code))
+        at = np.arange(len(code)) - np.repeat(firsts, sizes)
+        values = sale.dictionary.to_pylist()
+        if (values[code[0]],) == last:
+            at[: sizes[0]] += held
+        last, held = (values[code[-1]],), int(at[-1]) + 1
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "_at"])
+
+
 def visible_sales(
     sales: DataFrame,
     grants: DataFrame,
