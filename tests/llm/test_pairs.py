@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontaminate, fingerprint, jaccard_join, passages
+from tillworks.llm import decontaminate, fingerprint, hashing, jaccard_join, passages
 from tillworks.llm.components import components
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -325,6 +325,37 @@ def test_links_of_many_documents_by_brute_force(docs, prose):
     assert linked > 50
 
 
+def test_links_that_hubs_hide(docs, prose):
+    """Fuzzy passages that no hub holds as a whole, and a hub with a passage's seeds before it."""
+    own = lambda i, n=70: prose(950 + i, n, 10**6)
+    p, r, s = (prose(k, 96, 10**6) for k in (811, 812, 813))
+    fuzzy = lambda w: [f"x{i}" if i % 24 == 23 else x for i, x in enumerate(w)]
+    pieces = lambda w, i: sum(
+        ([*w[k:k + 24], *own(100 * i + k, 30)] for k in (72, 24, 48, 0)), [])
+    texts = {
+        # the hub has the pieces apart; no 50 equal words in a row
+        0: pieces(p, 1), 1: own(1) + p, 2: own(2) + fuzzy(p),
+        # more documents with the pieces than are compared each with each
+        **{10 + k: own(10 + k) + pieces(r, 10 + k) for k in range(20)}, 40: own(3) + r, 41: fuzzy(r),
+        # all pieces come first in the hub, then the passage
+        50: pieces(s, 2) + own(4) + s, 51: own(5) + fuzzy(s)}
+    df = docs([(i, " ".join(w)) for i, w in texts.items()])
+    rows = passages.shared_passages(df).collect()
+    assert {(r.doc_a, r.doc_b) for r in rows} == {(1, 2), (40, 41), (50, 51)}
+    assert all(r.end_b - r.start_b >= 95 for r in rows)
+
+
+def test_words_are_told_apart_by_their_hashes():
+    text = bytes(random.Random(3).choices(b" \t\n\r\x0b\f\x00\x1cabABz\xc3\x85\xff", k=150_000))
+    text += b" " + b"long" * 20_000 + b" LONG" + b"long" * 19_999 + b" " + b"x" * 65
+    known: dict = {}
+    words, hashes = text.lower().split(), hashing.spaced_words(text).tolist()
+    assert len(words) == len(hashes)
+    assert all(known.setdefault(w, h) == h for w, h in zip(words, hashes))
+    assert len(set(known.values())) == len(known)
+    assert not len(hashing.spaced_words(b"")) and not len(hashing.spaced_words(b" \n"))
+
+
 def test_a_changed_stretch_is_aligned_across_insertions(docs, prose):
     """Every 7th word of a long stretch changed, one word inserted at each end of it."""
     words = prose(600, 500, 10**6)
