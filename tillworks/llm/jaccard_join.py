@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from tillworks.llm.common import fields, giving_back, keep_hashes, partitions
 from tillworks.llm.components import components
-from tillworks.llm.hashing import WordHashes, from_planes, mix, planes, word_set
+from tillworks.llm.hashing import from_planes, mix, planes, spaced_words, word_set
 from tillworks.llm.pairing import with_texts
 from tillworks.session import settle
 
@@ -49,8 +49,8 @@ def linked(common, size_a, size_b):
     return 100 * common >= 75 * (size_a + size_b - common)
 
 
-def text_set(text: bytes | None, known: WordHashes) -> np.ndarray:
-    return word_set(known.of(text.lower().split()) if text else np.empty(0, np.uint64), WORDS)
+def text_set(text: bytes | None) -> np.ndarray:
+    return word_set(spaced_words(text or b""), WORDS)
 
 
 def set_digest(tokens: np.ndarray) -> bytes:
@@ -125,7 +125,7 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, known, bands = to_arrow_schema(schema), WordHashes(), Bands()
+        arrow, bands = to_arrow_schema(schema), Bands()
         seen: set[bytes] = set()
         heads, sigs, held = [], [], 0
 
@@ -162,7 +162,7 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             digests, sizes = [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
-                tokens = text_set(text, known)
+                tokens = text_set(text)
                 sizes.append(len(tokens))
                 digest = set_digest(tokens) if len(tokens) else None
                 name = digest + len(tokens).to_bytes(4, "big") if digest else None
@@ -333,12 +333,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
         F.lit(None).cast("int").alias("data"))
 
     def start():
-        known = WordHashes()
-
         def count(a: np.ndarray, b: np.ndarray, _) -> list[tuple]:
             return [(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))]
 
-        return (lambda text: text_set(text, known)), count
+        return text_set, count
 
     out = [T.StructField(c, T.LongType()) for c in ("common", "n_a", "n_b")]
     return settle(with_texts(turned, texts, out, start).distinct(), f"{label}-verified")
@@ -354,12 +352,11 @@ def _sketches(texts: DataFrame, label: str) -> DataFrame:
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = WordHashes()
         for batch in batches:
             texts_ = batch.column(1).cast(pa.binary()).to_pylist()
             bits, sizes = np.zeros((len(texts_), SKETCH_WORDS * 64), bool), []
             for row, text in zip(bits, texts_):
-                tokens = text_set(text, known)
+                tokens = text_set(text)
                 row[(tokens % np.uint64(len(row))).astype(int)] = True
                 sizes.append(len(tokens))
             words = np.packbits(bits, axis=1).view(np.int64).reshape(len(texts_), SKETCH_WORDS)
@@ -389,9 +386,8 @@ def _shared(texts: DataFrame) -> DataFrame:
     def members(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = WordHashes()
         for batch in batches:
-            sets = [text_set(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [text_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for row, tokens in zip(batch.column(0).to_pylist(), sets):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row] * len(tokens), pa.int64()), pa.array(tokens.view(np.int64))],
