@@ -16,7 +16,9 @@ ORDERS = (2, 3)
 SMOOTHING = 0.5
 EVIDENCE = 60
 UNKNOWN = "und"
-_PIECE = 1 << 19  # code points worked on at once
+_PIECE = 1 << 19  # code points of a text worked on at once
+_LOT = 1 << 16  # code points from which texts are no longer put together
+_ROWS = 1024  # texts of a batch held as Python objects at once
 _CODES = 0x33480  # letters lie below
 
 
@@ -36,7 +38,7 @@ def _pieces(texts: list) -> Iterator[tuple[list[int], list[str]]]:
             rows.append(row)
             lot.append(piece)
             size += len(piece)
-            if size >= _PIECE:
+            if size >= _LOT:
                 yield rows, lot
                 rows, lot, size = [], [], 0
     if lot:
@@ -78,15 +80,16 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         letters = _letters()
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lang in set(langs):
-                mine = counts.setdefault(lang, np.zeros(FEATURES + 1, np.int64))
-                texts = [t for t, x in zip(batch.column(1).cast(pa.binary()).to_pylist(), langs)
-                         if x == lang]
-                mine[FEATURES] += len(texts)
-                for _, lot in _pieces(texts):
-                    for ids, _ in _ngrams(lot, letters):
-                        mine[:FEATURES] += np.bincount(ids, minlength=FEATURES)
+            for at in range(0, batch.num_rows, _ROWS):
+                langs = batch.column(0).slice(at, _ROWS).to_pylist()
+                texts = batch.column(1).slice(at, _ROWS).cast(pa.binary()).to_pylist()
+                for lang in set(langs):
+                    mine = counts.setdefault(lang, np.zeros(FEATURES + 1, np.int64))
+                    these = [t for t, x in zip(texts, langs) if x == lang]
+                    mine[FEATURES] += len(these)
+                    for _, lot in _pieces(these):
+                        for ids, _ in _ngrams(lot, letters):
+                            mine[:FEATURES] += np.bincount(ids, minlength=FEATURES)
         for lang, mine in counts.items():
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays(
@@ -147,7 +150,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         return score
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_text(docs.drop("lang_pred", "score"), text, added, start)
+    return map_text(docs.drop("lang_pred", "score"), text, added, start, _ROWS)
 
 
 def held_out(parts: int = 4, part: int = 2):
