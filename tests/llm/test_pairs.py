@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,33 @@ def test_signatures_of_two_instances_may_be_equal_by_chance(docs, prose, monkeyp
     assert got == groups(texts)
 
 
+def test_pages_repeat_little_of_a_document(docs, prose, monkeypatch):
+    """Signatures of 4 bytes, 16 more per document and bucket, and fewer buckets than partitions."""
+    df = docs([(k, " ".join(prose(k, 400))) for k in range(200)])
+    bands, made, heads = jaccard_join.Bands(), 0, 0
+    for row in df.collect():
+        tokens = jaccard_join.text_set(row.text.encode())
+        own = np.concatenate([jaccard_join.signatures(tokens, i, bands)[0]
+                              for i in bands.instances(len(tokens))])
+        made, heads = made + len(own), heads + len(np.unique(own % np.uint64(64)))
+    pages = jaccard_join._pages(df.repartition(1), 64).filter("page IS NOT NULL").collect()
+    packed = sum(len(pa.compress(r.page, codec="lz4_raw", asbytes=True)) for r in pages)
+    assert packed <= 4 * made + 16 * heads
+    asked, real = [], jaccard_join._pages
+    monkeypatch.setattr(jaccard_join, "_pages", lambda d, n, *x: asked.append(n) or real(d, n, *x))
+    assert jaccard_join.join_all(df).count() == 200
+    assert asked == [2] and df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_sets_of_equal_ids_get_others(docs, similar, monkeypatch):
+    real = jaccard_join.set_names
+    monkeypatch.setattr(jaccard_join, "set_names", lambda tokens, seed: (
+        real(tokens, seed)[0] % (1 << (63 if seed else 4)), real(tokens, seed)[1]))
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in jaccard_join.join_all(docs(list(similar.items()))).collect()}
+    assert got == groups(similar)
+
+
 def test_one_of_each(docs, similar, odd):
     df = docs(list(similar.items())).withColumn("_hash", F.lit("x")).withColumn("cls", F.lit(1))
     kept = {r.doc_id for r in jaccard_join.one_of_each(df).collect()}

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, count
 from operator import add
 
 import numpy as np
@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 from tillworks.llm.common import fields, giving_back, keep_hashes, partitions
 from tillworks.llm.components import components
 from tillworks.llm.hashing import from_planes, mix, planes, spaced_words, word_set
-from tillworks.llm.pairing import with_texts
 from tillworks.session import settle
 
 WORDS = 5
@@ -41,7 +40,8 @@ SPARE = 0.12  # share of signatures that a set can do without
 WIDE = 8  # signatures of more sets than this are skipped by sets that can
 SKETCH_WORDS = 16  # 64-bit words of a bitmap
 _FLUSH = 1 << 21  # signatures held by a task before it sends them on
-_LOW = 5  # bytes kept of a signature besides its bucket; a chance match is found out later
+_ROUNDS = 3  # shuffle partitions whose signatures one bucket takes, one after the other
+_LOW = 4  # bytes kept of a signature besides its bucket (4 at most); chance matches come out later
 
 
 def linked(common, size_a, size_b):
@@ -53,8 +53,10 @@ def text_set(text: bytes | None) -> np.ndarray:
     return word_set(spaced_words(text or b""), WORDS)
 
 
-def set_digest(tokens: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(tokens.tobytes())[:_DIGEST]
+def set_names(tokens: np.ndarray, seed: int) -> tuple[int, int]:
+    """Two numbers of a set: its id, not negative, and one that tells sets of equal ids apart."""
+    both = xxhash.xxh3_128_intdigest(tokens.tobytes(), seed)
+    return both >> 65, (both & ((1 << 64) - 1)) - (1 << 63)
 
 
 class Bands:
@@ -114,27 +116,26 @@ def signatures(tokens: np.ndarray, instance: int, bands: Bands) -> tuple[np.ndar
     return np.unique(np.concatenate(found)), len(at)
 
 
-def _pages(docs: DataFrame, buckets: int) -> DataFrame:
-    """Documents with their set's digest and size, and pages of signatures for each bucket."""
+def _pages(docs: DataFrame, buckets: int, seed: int = 0) -> DataFrame:
+    """Documents with their set's names and size, and pages of signatures for each bucket."""
     schema = T.StructType([
         T.StructField("bucket", T.IntegerType()), T.StructField("page", T.BinaryType()),
         *fields(docs, "doc_id"), T.StructField("text_hash", T.LongType()),
-        T.StructField("cls", T.BinaryType()), T.StructField("n", T.LongType())])
+        *[T.StructField(c, T.LongType()) for c in ("cls", "other", "n")]])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, bands = to_arrow_schema(schema), Bands()
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         heads, sigs, held = [], [], 0
 
         def flush():
             nonlocal heads, sigs, held
             if not heads:
                 return
-            digests = np.frombuffer(b"".join(h[0] for h in heads), np.uint8).reshape(-1, _DIGEST)
-            head = np.array([h[1:] for h in heads], np.int64)
+            head = np.array(heads, np.int64)
             lengths = np.array([len(x) for pair in sigs for x in pair])
             every = np.concatenate([x for pair in sigs for x in pair])
             owner = np.repeat(np.arange(len(lengths)), lengths)  # document * 2 + instance
@@ -148,9 +149,9 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(mine):
                     who, at = np.unique(mine // 2, return_inverse=True)
                     counts = np.bincount(at * 2 + mine % 2, minlength=2 * len(who))
-                    top = np.concatenate([head[who], counts.reshape(-1, 2)], axis=1)
+                    top = np.concatenate([head[who, 1:], counts.reshape(-1, 2)], axis=1)
                     cut = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
-                    pages.append(len(who).to_bytes(4, "little") + digests[who].tobytes()
+                    pages.append(len(who).to_bytes(4, "little") + head[who, 0].tobytes()
                                  + planes(top.T.ravel()) + cut.tobytes())
                     names.append(k)
             heads, sigs, held = [], [], 0
@@ -160,19 +161,18 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
                 [pa.array(names, pa.int32()), pa.array(pages, pa.binary()), *empty], schema=arrow)
 
         for batch in batches:
-            digests, sizes = [], []
+            names, sizes = [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 tokens = text_set(text)
                 sizes.append(len(tokens))
-                digest = set_digest(tokens) if len(tokens) else None
-                name = digest + len(tokens).to_bytes(4, "big") if digest else None
-                digests.append(name)
-                if digest is None or name in seen:
+                name = set_names(tokens, seed) if len(tokens) else (None, None)
+                names.append(name)
+                if not len(tokens) or name in seen:
                     continue
                 seen.add(name)
                 made = [signatures(tokens, x, bands) for x in bands.instances(len(tokens))]
                 made += [(tokens[:0], 0)] * (2 - len(made))
-                heads.append((digest, len(tokens), made[0][1], made[1][1]))
+                heads.append((name[0], len(tokens), made[0][1], made[1][1]))
                 sigs.append([x[0] for x in made])
                 held += sum(len(x[0]) for x in made)
                 if held >= _FLUSH:
@@ -180,7 +180,7 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
             where = np.arange(len(sizes), dtype=np.int32) % buckets
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where), pa.nulls(len(sizes), pa.binary()), batch.column(0),
-                 batch.column(1), pa.array(digests, pa.binary()),
+                 batch.column(1), *[pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)],
                  pa.array(sizes, pa.int64())], schema=arrow)
         yield from flush()
 
@@ -188,10 +188,9 @@ def _pages(docs: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(giving_back(run), schema)
 
 
-#: bytes of a set's digest; a set is known by these and its size
-_DIGEST = 10
-#: what a page has of each document, a column after the other: size, parts that are not empty in the
-#: instance of its own band and in the one before, and how many signatures of each are in the page
+#: what a page has of each document besides its set's id of 8 bytes, a column after the other: size,
+#: parts that are not empty in the instance of its own band and in the one before, and how many
+#: signatures of each are in the page
 _NUMBERS = 5
 
 
@@ -205,16 +204,15 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
     the others; and how many of those each set has."""
     schema = T.StructType([
         T.StructField("kind", T.IntegerType()), *fields(pages, "doc_id", "text_hash"),
-        T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()),
         *[T.StructField(c, T.LongType()) for c in (
-            "n", "n_b", "sig", "instance", "parts", "parts_b", "times")]])
+            "a", "b", "other", "n", "n_b", "sig", "instance", "parts", "parts_b", "times")]])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, bands = to_arrow_schema(schema), Bands()
-        digests_, heads, lows = [], [], []
+        names, heads, lows = [], [], []
         bucket = 0
 
         def rows(kind: int, **columns):
@@ -234,74 +232,72 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
                 docs = batch.take(pa.array(at))
                 yield from rows(
                     DOCUMENT, doc_id=docs.column(2), text_hash=docs.column(3), a=docs.column(4),
-                    n=docs.column(5))
+                    other=docs.column(5), n=docs.column(6))
             for p, k in zip(page, batch.column(0).to_pylist()):
                 if p is not None:
                     bucket, who = k, int.from_bytes(p[:4], "little")
-                    end = 4 + who * _DIGEST
-                    digests_.append(np.frombuffer(p, f"S{_DIGEST}", who, 4))
+                    end = 4 + who * 8
+                    names.append(np.frombuffer(p, "<i8", who, 4).copy())
                     heads.append(from_planes(p, end, who * _NUMBERS).reshape(_NUMBERS, who))
                     cut = np.frombuffer(p, np.uint8, offset=end + who * _NUMBERS * 4)
-                    low = np.zeros((len(cut) // _LOW, 8), np.uint8)
+                    low = np.zeros((len(cut) // _LOW, 4), np.uint8)
                     low[:, :_LOW] = cut.reshape(-1, _LOW)
-                    lows.append(low.view("<u8").ravel())
+                    lows.append(low.view("<u4").ravel())
         if not heads:
             return
         head, low = np.concatenate(heads, axis=1), np.concatenate(lows)
-        # a set is told by its size, too; numpy's fixed texts lose zero bytes at their end
-        bytes_ = np.concatenate(digests_).view(np.uint8).reshape(-1, _DIGEST).astype(np.uint64)
-        upper = bytes_[:, :8] @ (np.uint64(256) ** np.arange(7, -1, -1, dtype=np.uint64))
-        lower = (bytes_[:, 8] << np.uint64(8)) + bytes_[:, 9]
-        digests_, heads, lows = [], [], []
-        ids, cls = np.unique(
-            np.stack([upper, lower, head[0].astype(np.uint64)], 1), axis=0, return_inverse=True)
-        cls = cls.ravel()
-        names = np.array([
-            u.to_bytes(8, "big") + v.to_bytes(2, "big") + n.to_bytes(4, "big")
-            for u, v, n in ids.tolist()] or [b""], object)
+        ids, cls = np.unique(np.concatenate(names), return_inverse=True)
+        names, heads, lows = [], [], []
         size, parts = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2), np.int64)
         size[cls], parts[cls] = head[0], head[1:3].T
         band = np.array([bands.band(n) for n in size.tolist()], np.int64)
-        owner = np.repeat(np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)), head[3:].T.ravel())
-        # members of each signature, a set once: copies from other tasks are the same set
-        # what is kept of signatures of different instances may be equal by chance
-        instance = band[owner // 2] - owner % 2
-        order = np.lexsort((owner, instance, low))
-        low, owner, instance = low[order], owner[order], instance[order]
-        new = np.ones(len(low), bool)
-        new[1:] = ((low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
-                   | (owner[1:] != owner[:-1]))
-        low, owner, instance = low[new], owner[new], instance[new]
-        cls = owner // 2
-        start = np.ones(len(low), bool)
-        start[1:] = (low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
-        at = np.flatnonzero(start)
-        width = np.diff(at, append=len(low))
-        found = [np.empty(0, np.int64)]
-        for g in range(2, WIDE + 1):
-            places = at[width == g][:, None] + np.arange(g)
-            members = cls[places]
-            for i, j in combinations(range(g), 2):
-                a, b = members[:, i], members[:, j]
-                near = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-                found.append(
-                    (a[near] * len(ids) + b[near]) * _INSTANCES + instance[places[near, i]])
-        pairs, times = np.unique(np.concatenate(found), return_counts=True)
-        pairs, of = np.divmod(pairs, _INSTANCES)
-        a, b = np.divmod(pairs, len(ids))
-        yield from rows(
-            PAIR, a=names[a], b=names[b], n=size[a], n_b=size[b], instance=of, times=times,
-            parts=parts[a, band[a] - of], parts_b=parts[b, band[b] - of])
-        wide = np.flatnonzero(np.repeat(width > WIDE, width))
-        yield from rows(
-            SHARED, a=names[cls[wide]], n=size[cls[wide]], instance=instance[wide],
-            sig=(low[wide] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64))
-        which, times = np.unique(owner[wide], return_counts=True)
-        a, of = which // 2, band[which // 2] - which % 2
-        needed = [bands.needed(n, i) for n, i in zip(size[a].tolist(), of.tolist())]
-        yield from rows(
-            SKIPPED, a=names[a], instance=of, times=times,
-            parts=parts[a, which % 2] - np.array(needed, np.int64))
+
+        def of_signatures(low: np.ndarray, owner: np.ndarray):
+            # members of each signature, a set once: copies from other tasks are the same set
+            # what is kept of signatures of different instances may be equal by chance
+            instance = band[owner // 2] - owner % 2
+            order = np.lexsort((owner, instance, low))
+            low, owner, instance = low[order], owner[order], instance[order]
+            new = np.ones(len(low), bool)
+            new[1:] = ((low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
+                       | (owner[1:] != owner[:-1]))
+            low, owner, instance = low[new], owner[new], instance[new]
+            cls = owner // 2
+            start = np.ones(len(low), bool)
+            start[1:] = (low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
+            at = np.flatnonzero(start)
+            width = np.diff(at, append=len(low))
+            found = [np.empty(0, np.int64)]
+            for g in range(2, WIDE + 1):
+                places = at[width == g][:, None] + np.arange(g)
+                members = cls[places]
+                for i, j in combinations(range(g), 2):
+                    a, b = members[:, i], members[:, j]
+                    near = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
+                    found.append(
+                        (a[near] * len(ids) + b[near]) * _INSTANCES + instance[places[near, i]])
+            pairs, times = np.unique(np.concatenate(found), return_counts=True)
+            pairs, of = np.divmod(pairs, _INSTANCES)
+            a, b = np.divmod(pairs, len(ids))
+            yield from rows(
+                PAIR, a=ids[a], b=ids[b], n=size[a], n_b=size[b], instance=of, times=times,
+                parts=parts[a, band[a] - of], parts_b=parts[b, band[b] - of])
+            wide = np.flatnonzero(np.repeat(width > WIDE, width))
+            yield from rows(
+                SHARED, a=ids[cls[wide]], n=size[cls[wide]], instance=instance[wide],
+                sig=low[wide].astype(np.int64) * buckets + bucket)
+            which, times = np.unique(owner[wide], return_counts=True)
+            a, of = which // 2, band[which // 2] - which % 2
+            needed = [bands.needed(n, i) for n, i in zip(size[a].tolist(), of.tolist())]
+            yield from rows(
+                SKIPPED, a=ids[a], instance=of, times=times,
+                parts=parts[a, which % 2] - np.array(needed, np.int64))
+
+        owners = np.repeat(
+            np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)), head[3:].T.ravel()).astype(np.int32)
+        for part in range(_ROUNDS):
+            chosen = low % _ROUNDS == part
+            yield from of_signatures(low[chosen], owners[chosen].astype(np.int64))
 
     return pages.repartitionById(buckets, F.col("bucket")).mapInArrow(giving_back(run), schema)
 
@@ -311,10 +307,12 @@ def _texts(classes: DataFrame, wanted: DataFrame, docs: DataFrame, label: str) -
     who = settle(classes.join(wanted, classes["cls"] == wanted["a"], "left_semi").select(
         F.col("cls").alias("key"), F.col("first.doc_id").alias("_doc"),
         F.col("first.text_hash").alias("_hash")), f"{label}-who")
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), "text")
-    some = keep_hashes(hashed, "_hash", who.select("_hash"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), "text").withColumn(
+        "_row", F.xxhash64("doc_id", "_text_hash"))
+    # copies of a wanted text under another doc_id need not be shuffled
+    some = keep_hashes(hashed, "_row", who.select(F.xxhash64("_doc", "_hash")))
     # the hash of the text goes along, so rows that share a doc_id are told apart
-    return settle(some.withColumnRenamed("_hash", "_text_hash").join(
+    return settle(some.drop("_row").join(
         who, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")),
     ).select("key", "text"), f"{label}-texts")
 
@@ -329,17 +327,33 @@ def _verify(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     turned = pairs.join(many, pairs["a"] == many["_a"]).join(
         other, pairs["b"] == other["_b"]).select(
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
-        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-        F.lit(None).cast("int").alias("data"))
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    # the text of a comes last, so that only the other is shuffled once for each pair
+    both_texts = turned.join(texts.toDF("b", "text_b"), "b").join(
+        texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    schema = T.StructType([
+        T.StructField(c, T.LongType()) for c in ("a", "b", "common", "n_a", "n_b")])
 
-    def start():
-        def count(a: np.ndarray, b: np.ndarray, _) -> list[tuple]:
-            return [(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))]
+    def intersect(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        return text_set, count
+        at, mine = None, None
+        for batch in batches:
+            a, text_a, text_b = (batch.column(i) for i in (0, 2, 3))
+            made = []
+            for i, key in enumerate(a.to_pylist()):
+                if key != at:
+                    at, mine = key, text_set(text_a[i].as_py().encode())
+                theirs = text_set(text_b[i].as_py().encode())
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                made.append((common, len(mine), len(theirs)))
+            yield pa.RecordBatch.from_arrays(
+                [a, batch.column(1), *[
+                    pa.array([x[i] for x in made], pa.int64()) for i in range(3)]],
+                names=schema.names)
 
-    out = [T.StructField(c, T.LongType()) for c in ("common", "n_a", "n_b")]
-    return settle(with_texts(turned, texts, out, start).distinct(), f"{label}-verified")
+    return settle(
+        both_texts.mapInArrow(giving_back(intersect), schema).distinct(), f"{label}-verified")
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
@@ -364,7 +378,7 @@ def _sketches(texts: DataFrame, label: str) -> DataFrame:
                 [batch.column(0), pa.array(sizes, pa.int64()), *[pa.array(c) for c in words.T]],
                 names=["a", "n", *_SKETCH])
 
-    schema = ", ".join(["a binary", "n long", *[f"{c} long" for c in _SKETCH]])
+    schema = ", ".join(["a long", "n long", *[f"{c} long" for c in _SKETCH]])
     return settle(texts.select("key", "text").mapInArrow(giving_back(sketch), schema), f"{label}-sketches")
 
 
@@ -454,14 +468,22 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     and texts without words are linked with nothing, so each stands for itself. A repeated row has
     the results of the first. Only doc_id and text are read.
     """
-    buckets = partitions(docs.sparkSession)
-    found = settle(_matches(_pages(docs, buckets), buckets), "matches")
-    rows = found.filter(F.col("kind") == DOCUMENT).select(
-        "doc_id", "text_hash", F.col("a").alias("cls"), F.col("n").alias("n_shingles"))
+    # a page repeats what it has of a document, so buckets are few and worked off in rounds
+    buckets = -(-partitions(docs.sparkSession) // _ROUNDS)
     # NULL ids last: a struct orders NULL first
     node = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = settle(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(
-        F.min(node).alias("first")), "classes")
+    named = F.struct("other", F.col("n").alias("size"))
+    for seed in count():
+        found = settle(_matches(_pages(docs, buckets, seed), buckets), "matches")
+        rows = found.filter(F.col("kind") == DOCUMENT)
+        classes = settle(rows.filter("a IS NOT NULL").groupBy(F.col("a").alias("cls")).agg(
+            F.min(node).alias("first"), (F.min(named) < F.max(named)).alias("several")), "classes")
+        # sets that differ have an id in common: other ids for all
+        if not classes.agg(F.max("several")).first()[0]:
+            break
+    rows = rows.select(
+        "doc_id", "text_hash", F.col("a").alias("cls"), F.col("n").alias("n_shingles"))
+    classes = classes.drop("several")
 
     shared = found.filter(F.col("kind") == SHARED).select("a", "sig", "instance", "n")
     skipped = settle(found.filter(F.col("kind") == SKIPPED).groupBy("a", "instance").agg(
