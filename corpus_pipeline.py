@@ -48,7 +48,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.train(docs.filter(~language.held_out()))
     if not model[0]:
         return docs
-    found = language.predict(docs.withColumn("read_text", F.col("text")), model, "read_text")
+    found = language.predict(docs, model, keep=True)
     sure = found.filter(
         (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= CONFIDENCE))
     return sure.withColumn("lang", F.col("lang_pred")).select(*docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tillworks.llm import decontaminate, fingerprint, hashing, jaccard_join, passages
+from tillworks.llm import common, decontaminate, fingerprint, hashing, jaccard_join, passages
 from tillworks.llm.components import components
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -174,6 +174,51 @@ def test_pages_repeat_little_of_a_document(docs, prose, monkeypatch):
     assert asked == [2] and df.sparkSession.conf.get("spark.sql.shuffle.partitions") == "4"
 
 
+def test_workers_get_and_give_small_batches(docs, prose, monkeypatch):
+    """Long texts come to Python, and pages and rows go back, a few MB at once; the session's
+    setting is as before."""
+    limit, key = 6 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def measured(run, real=jaccard_join.giving_back):
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > limit:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return real(lambda batches: small(run(small(batches))))
+
+    monkeypatch.setattr(jaccard_join, "giving_back", measured)
+    texts = [" ".join(prose(k, 1200) + ["x" * 4000]) for k in range(400)]
+    df = docs([(k, t) for k, t in enumerate(texts + texts)]).repartition(1)
+    conf = df.sparkSession.conf
+    assert conf.get(key, None) is None
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_all(df).collect()}
+    assert got == {k: k % 400 for k in range(800)}
+    assert conf.get(key, None) is None
+    conf.set(key, "8m")
+    try:
+        with common.small_batches(df.sparkSession):
+            assert conf.get(key) == "8m"
+        assert conf.get(key) == "8m"
+    finally:
+        conf.unset(key)
+
+
+def test_small_lots_send_copies_once(docs, prose, monkeypatch):
+    """A task that has sent its signatures on still knows which sets they were of."""
+    texts = [" ".join(prose(k, 300)) for k in range(60)]
+    df = docs([(k, t) for k, t in enumerate(texts + texts)]).coalesce(1)
+
+    def heads():
+        pages = jaccard_join._pages(df, 1).filter("page IS NOT NULL").collect()
+        return [int.from_bytes(r.page[:4], "little") for r in pages]
+
+    assert heads() == [60]
+    monkeypatch.setattr(jaccard_join, "_FLUSH", 2000)
+    assert sum(heads()) == 60 and len(heads()) > 3
+
+
 def test_sets_of_equal_ids_get_others(docs, similar, monkeypatch):
     real = jaccard_join.set_names
     monkeypatch.setattr(jaccard_join, "set_names", lambda tokens, seed: (

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import fields, giving_back, keep_hashes, partitions
+from tillworks.llm.common import fields, giving_back, keep_hashes, partitions, small_batches
 from tillworks.llm.components import components
 from tillworks.llm.hashing import from_planes, mix, planes, spaced_words, word_set
 from tillworks.session import settle
@@ -39,7 +39,8 @@ WORDS = 5
 SPARE = 0.12  # share of signatures that a set can do without
 WIDE = 8  # signatures of more sets than this are skipped by sets that can
 SKETCH_WORDS = 16  # 64-bit words of a bitmap
-_FLUSH = 1 << 21  # signatures held by a task before it sends them on
+_FLUSH = 1 << 19  # signatures held by a task before it sends them on
+_SEEN = 1 << 16  # sets that a task knows it has sent
 _ROUNDS = 3  # shuffle partitions whose signatures one bucket takes, one after the other
 _LOW = 4  # bytes kept of a signature besides its bucket (4 at most); chance matches come out later
 
@@ -138,11 +139,13 @@ def _pages(docs: DataFrame, buckets: int, seed: int = 0) -> DataFrame:
             head = np.array(heads, np.int64)
             lengths = np.array([len(x) for pair in sigs for x in pair])
             every = np.concatenate([x for pair in sigs for x in pair])
-            owner = np.repeat(np.arange(len(lengths)), lengths)  # document * 2 + instance
-            bucket = (every % np.uint64(buckets)).astype(np.int64)
+            heads, sigs, held = [], [], 0
+            # document * 2 + instance
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            bucket = (every % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
             order = np.argsort(bucket, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
             rest, owner = (every // np.uint64(buckets))[order], owner[order]
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             pages, names = [], []
             for k in range(buckets):
                 mine, low = owner[edges[k]: edges[k + 1]], rest[edges[k]: edges[k + 1]]
@@ -154,8 +157,6 @@ def _pages(docs: DataFrame, buckets: int, seed: int = 0) -> DataFrame:
                     pages.append(len(who).to_bytes(4, "little") + head[who, 0].tobytes()
                                  + planes(top.T.ravel()) + cut.tobytes())
                     names.append(k)
-            heads, sigs, held = [], [], 0
-            seen.clear()
             empty = [pa.nulls(len(pages), f.type) for f in list(arrow)[2:]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int32()), pa.array(pages, pa.binary()), *empty], schema=arrow)
@@ -169,6 +170,8 @@ def _pages(docs: DataFrame, buckets: int, seed: int = 0) -> DataFrame:
                 names.append(name)
                 if not len(tokens) or name in seen:
                     continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
                 seen.add(name)
                 made = [signatures(tokens, x, bands) for x in bands.instances(len(tokens))]
                 made += [(tokens[:0], 0)] * (2 - len(made))
@@ -245,19 +248,22 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
                     lows.append(low.view("<u4").ravel())
         if not heads:
             return
-        head, low = np.concatenate(heads, axis=1), np.concatenate(lows)
+        head = np.concatenate(heads, axis=1)
         ids, cls = np.unique(np.concatenate(names), return_inverse=True)
-        names, heads, lows = [], [], []
+        names, heads = [], []
+        low = np.concatenate(lows)
+        lows = []
         size, parts = np.zeros(len(ids), np.int64), np.zeros((len(ids), 2), np.int64)
         size[cls], parts[cls] = head[0], head[1:3].T
-        band = np.array([bands.band(n) for n in size.tolist()], np.int64)
+        band = np.array([bands.band(n) for n in size.tolist()], np.int16)
 
         def of_signatures(low: np.ndarray, owner: np.ndarray):
             # members of each signature, a set once: copies from other tasks are the same set
             # what is kept of signatures of different instances may be equal by chance
-            instance = band[owner // 2] - owner % 2
+            instance = band[owner // 2] - (owner % 2).astype(np.int16)
             order = np.lexsort((owner, instance, low))
             low, owner, instance = low[order], owner[order], instance[order]
+            del order
             new = np.ones(len(low), bool)
             new[1:] = ((low[1:] != low[:-1]) | (instance[1:] != instance[:-1])
                        | (owner[1:] != owner[:-1]))
@@ -270,7 +276,7 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
             found = [np.empty(0, np.int64)]
             for g in range(2, WIDE + 1):
                 places = at[width == g][:, None] + np.arange(g)
-                members = cls[places]
+                members = cls[places].astype(np.int64)
                 for i, j in combinations(range(g), 2):
                     a, b = members[:, i], members[:, j]
                     near = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
@@ -284,20 +290,21 @@ def _matches(pages: DataFrame, buckets: int) -> DataFrame:
                 parts=parts[a, band[a] - of], parts_b=parts[b, band[b] - of])
             wide = np.flatnonzero(np.repeat(width > WIDE, width))
             yield from rows(
-                SHARED, a=ids[cls[wide]], n=size[cls[wide]], instance=instance[wide],
+                SHARED, a=ids[cls[wide]], n=size[cls[wide]], instance=instance[wide].astype(np.int64),
                 sig=low[wide].astype(np.int64) * buckets + bucket)
             which, times = np.unique(owner[wide], return_counts=True)
-            a, of = which // 2, band[which // 2] - which % 2
+            a, of = which // 2, band[which // 2] - which.astype(np.int64) % 2
             needed = [bands.needed(n, i) for n, i in zip(size[a].tolist(), of.tolist())]
             yield from rows(
                 SKIPPED, a=ids[a], instance=of, times=times,
                 parts=parts[a, which % 2] - np.array(needed, np.int64))
 
         owners = np.repeat(
-            np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls)), head[3:].T.ravel()).astype(np.int32)
+            (np.repeat(cls, 2) * 2 + np.tile([0, 1], len(cls))).astype(np.int32),
+            head[3:].T.ravel())
         for part in range(_ROUNDS):
             chosen = low % _ROUNDS == part
-            yield from of_signatures(low[chosen], owners[chosen].astype(np.int64))
+            yield from of_signatures(low[chosen], owners[chosen])
 
     return pages.repartitionById(buckets, F.col("bucket")).mapInArrow(giving_back(run), schema)
 
@@ -468,6 +475,12 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     and texts without words are linked with nothing, so each stands for itself. A repeated row has
     the results of the first. Only doc_id and text are read.
     """
+    # workers of many stages share an executor with what it holds itself
+    with small_batches(docs.sparkSession):
+        return _judged(docs)
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     # a page repeats what it has of a document, so buckets are few and worked off in rounds
     buckets = -(-partitions(docs.sparkSession) // _ROUNDS)
     # NULL ids last: a struct orders NULL first

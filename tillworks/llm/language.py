@@ -109,8 +109,10 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.concatenate([logs, prior]).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """Replaces the text column by lang_pred and score.
+def predict(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: bool = False
+) -> DataFrame:
+    """Replaces the text column by lang_pred and score; with ``keep`` the text stays, too.
 
     ``und`` with score 0 where the text is NULL or has no letter, or nothing was learned. The
     language is that of the greatest sum of the prior and all n-grams; ties go to the first. Since
@@ -150,7 +152,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         return score
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_text(docs.drop("lang_pred", "score"), text, added, start, _ROWS)
+    return map_text(docs.drop("lang_pred", "score"), text, added, start, _ROWS, keep)
 
 
 def held_out(parts: int = 4, part: int = 2):
