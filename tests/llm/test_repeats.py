@@ -175,6 +175,39 @@ def test_term_matrix_holds_every_count(docs, prose, monkeypatch, bits):
         assert found[i] == want
 
 
+def test_audit_hands_on_little_at_once(spark, docs, prose, monkeypatch):
+    """Texts and shards come to Python a few MB at once, a file's shards one by one; settings stay."""
+    import pyarrow.parquet as pq
+
+    limit, key, files = 6 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def measured(run, real=filter_audit.giving_back):
+        def small(batches):
+            for batch in batches:
+                if batch.nbytes > limit:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return real(lambda batches: small(run(small(batches))))
+
+    def settled(df, label, real=filter_audit.settle, **options):
+        out = real(df, label, **options)
+        files.extend(out.inputFiles() if label == "shards" else [])
+        return out
+
+    monkeypatch.setattr(filter_audit, "giving_back", measured)
+    monkeypatch.setattr(filter_audit, "settle", settled)
+    monkeypatch.setattr(filter_audit, "SHARD_WORDS", 60_000)
+    texts = [" ".join(prose(k, 1200, 10**6) + ["X" * 4000] * (k % 2)) for k in range(1000)]
+    df = docs(list(enumerate(texts))).coalesce(1)
+    got = {r.doc_id: r["mask"] for r in filter_audit.flags(df).collect()}
+    assert got == {k: 4 * (k % 2) for k in range(1000)}
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in files]
+    sizes = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert len(sizes) > 15 and set(sizes) == {1}
+    assert spark.conf.get(key, None) is None
+
+
 def test_audit_odd_rows(odd, docs, spark):
     label = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     clash = odd.withColumns({c: F.lit(7) for c in ("part", "mask", "rows", "shard", "digest", "n")})

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import permutations
 from math import factorial
 
@@ -10,26 +11,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillworks.llm.common import numbered, table
+from tillworks.llm.common import giving_back, numbered, small_batches, table
+from tillworks.llm.hashing import from_planes, planes
 from tillworks.session import settle
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
-SHARD_WORDS = 1 << 21  # words of a shard, but for longer single texts
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = b"#$%&*|"
+SHARD_WORDS = 1 << 20  # words of a shard, but for longer single texts
 TERM_BITS = 63  # of a word's hash, which is its term unless another word has the same
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 _LONGS = T.ArrayType(T.LongType(), False)
 
 
-def _local_shards(docs: DataFrame, text: str) -> DataFrame:
-    """Shards of rows: other columns, CSR with the shard's own word numbers, and its words."""
+def _local_shards(
+    docs: DataFrame, text: str, added: list[T.StructField], measure: Callable | None
+) -> DataFrame:
+    """Shards of rows: other columns, CSR with the shard's own word numbers, and its words.
+
+    Numbers and counts are bytes, as `planes` makes them: Parquet takes long over lists of numbers.
+    """
     kept = [c for c in docs.columns if c != text]
     at = len(kept)
-    rows = T.ArrayType(T.StructType([docs.schema[c] for c in kept]), False)
+    rows = T.ArrayType(T.StructType([*(docs.schema[c] for c in kept), *added]), False)
     schema = T.StructType([
         T.StructField("rows", rows, False), T.StructField("starts", _INTS, False),
-        T.StructField("local", _INTS, False), T.StructField("counts", _INTS, False),
+        T.StructField("local", T.BinaryType(), False), T.StructField("counts", T.BinaryType(), False),
         T.StructField("words", T.ArrayType(T.StringType(), False), False)])
 
     def run(batches: Iterator) -> Iterator:
@@ -41,6 +50,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        row = arrow.field("rows").type.value_type
 
         class Numbers(dict):
             def __missing__(self, word):
@@ -51,26 +61,33 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             return lists.cast(kind)
 
-        def ints(values):
-            return pa.array(np.frombuffer(values, np.int32) if values else np.empty(0, np.int32))
+        def packed(values):
+            return pa.array([planes(np.array(values, np.int32))], pa.binary())
 
         def shard(pieces, starts, local, counts, words):
-            held = pa.concat_arrays(pieces).cast(arrow.field("rows").type.value_type)
+            held = pa.concat_arrays(pieces).cast(row)
             spelled = pa.array(list(words), pa.binary()).cast(pa.string())
-            parts = (held, ints(starts), ints(local), ints(counts), spelled)
+            first, last = (one_list(x, arrow.field(n).type) for x, n in (
+                (held, "rows"), (spelled, "words")))
+            begins = one_list(pa.array(np.array(starts, np.int32)), arrow.field("starts").type)
             return pa.RecordBatch.from_arrays(
-                [one_list(x, f.type) for x, f in zip(parts, arrow)], schema=arrow)
+                [first, begins, packed(local), packed(counts), last], schema=arrow)
 
         def empty():
             return [], array("i", [0]), array("i"), array("i"), 0, Numbers()
 
         pieces, starts, local, counts, size, known = empty()
         for batch in batches:
+            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            made = measure(texts) if measure else []
+            made = [pa.array(x, row.field(at + k).type) for k, x in enumerate(made)]
             carried = pa.StructArray.from_arrays(
-                batch.columns[:at], fields=[batch.schema.field(i) for i in range(at)])
+                [*batch.columns[:at], *made],
+                fields=[batch.schema.field(i) for i in range(at)]
+                + [row.field(at + k) for k in range(len(made))])
             begin = 0
-            for i, value in enumerate(batch.column(at).cast(pa.binary())):
-                terms = Counter((value.as_py() or b"").split())
+            for i, value in enumerate(texts):
+                terms = Counter(value.split())
                 local.extend(map(known.__getitem__, terms))
                 counts.extend(terms.values())
                 starts.append(len(local))
@@ -85,7 +102,7 @@ def _local_shards(docs: DataFrame, text: str) -> DataFrame:
         if pieces:
             yield shard(pieces, starts, local, counts, known)
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).mapInArrow(giving_back(run), schema)
 
 
 def _dictionary(shards: DataFrame) -> DataFrame:
@@ -101,10 +118,19 @@ def _dictionary(shards: DataFrame) -> DataFrame:
         "word", F.coalesce("own", "term").alias("term"))
 
 
-def _encoded(docs: DataFrame, text: str):
+def _encoded(
+    docs: DataFrame, text: str, added: list[T.StructField] | tuple = (),
+    measure: Callable | None = None,
+):
     """Shards with the shard's own word numbers, the dictionary, and a function of Arrow batches
-    that gives the shards their terms."""
-    local = settle(_local_shards(docs, text), "shards")
+    that gives the shards their terms.
+
+    A shard is some MB in one row, so each is a row group of its own: neither who writes a file of
+    them nor who reads it holds more than one.
+    """
+    with small_batches(docs.sparkSession):
+        local = settle(_local_shards(docs, text, added, measure), "shards",
+                       **{"parquet.block.row.count.limit": 1})
     dictionary = settle(_dictionary(local), "terms")
     clashing = {w.encode(): t for w, t in dictionary.filter("term < 0").collect()}
     shared = docs.sparkSession.sparkContext.broadcast(clashing)
@@ -119,11 +145,13 @@ def _encoded(docs: DataFrame, text: str):
         own = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, starts, numbers, counts, words = (batch.column(j)[i].values for j in range(5))
+                rows, starts, words = (batch.column(j)[i].values for j in (0, 1, 4))
+                numbers, counts = (batch.column(j)[i].as_py() for j in (2, 3))
+                numbers, counts = (from_planes(x, 0, len(x) // 4) for x in (numbers, counts))
                 terms = np.array([
                     own[w] if w in own else xxhash.xxh64_intdigest(w, 42) >> shift
                     for w in words.cast(pa.binary()).to_pylist()], np.int64)
-                yield rows, starts.to_numpy(), terms[numbers.to_numpy()], counts.to_numpy()
+                yield rows, starts.to_numpy(), terms[numbers], counts
 
     return local.select("rows", "starts", "local", "counts", "words"), dictionary, encode
 
@@ -144,7 +172,7 @@ def term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
     local, dictionary, encode = _encoded(docs, text)
     schema = T.StructType([
         local.schema["rows"], local.schema["starts"], T.StructField("terms", _LONGS, False),
-        local.schema["counts"]])
+        T.StructField("counts", _INTS, False)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -157,15 +185,20 @@ def term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFra
             yield pa.RecordBatch.from_arrays(
                 [x.cast(f.type) for x, f in zip(lists, arrow)], schema=arrow)
 
-    return local.mapInArrow(run, schema), dictionary
+    return local.mapInArrow(giving_back(run), schema), dictionary
 
 
-def row_sums(docs: DataFrame, text: str = "text") -> DataFrame:
+def row_sums(
+    docs: DataFrame, text: str = "text", added: list[T.StructField] | tuple = (),
+    measure: Callable[[list], list] | None = None,
+) -> DataFrame:
     """The other columns with n_words and n_distinct: sums and nonzero counts of the matrix's rows.
 
-    The matrix is summed up shard by shard where its terms are given, and not stored.
+    The matrix is summed up shard by shard where its terms are given, and not stored. ``measure``
+    takes the texts of a batch (bytes in UTF-8; NULL ones are empty) and returns the columns
+    ``added``, which come before the sums.
     """
-    local, _, encode = _encoded(docs, text)
+    local, _, encode = _encoded(docs, text, added, measure)
     schema = T.StructType([
         *local.schema["rows"].dataType.elementType,
         *(T.StructField(n, T.LongType(), False) for n in ("n_words", "n_distinct"))])
@@ -184,7 +217,14 @@ def row_sums(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip([*rows.flatten(), *made], arrow)], schema=arrow)
 
-    return local.mapInArrow(run, schema)
+    return local.mapInArrow(giving_back(run), schema)
+
+
+def _measured(texts: list[bytes]) -> list[list]:
+    """How many capitals A-Z each text has, whether it has a mark, and its SHA-256."""
+    return [[len(t) - len(t.translate(None, CAPITALS)) for t in texts],
+            [len(t.translate(None, MARKS)) < len(t) for t in texts],
+            [hashlib.sha256(t).digest() for t in texts]]
 
 
 def flags(docs: DataFrame) -> DataFrame:
@@ -198,18 +238,18 @@ def flags(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     prepared = docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("part"),
-        (100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long")
-         > 5 * F.length(text).cast("long")).alias("c"),
-        text.rlike(r"[#$%&*|]").alias("d"), F.unhex(F.sha2(text, 256)).alias("digest"),
-        F.col("text"))
-    rows = settle(row_sums(prepared), "row-sums")
+        "doc_id", F.coalesce("source", F.lit("")).alias("part"), F.length(text).alias("length"),
+        text.alias("text"))
+    added = [T.StructField(c, kind, False) for c, kind in (
+        ("capitals", T.LongType()), ("marked", T.BooleanType()), ("digest", T.BinaryType()))]
+    with small_batches(docs.sparkSession):
+        rows = settle(row_sums(prepared, "text", added, _measured), "row-sums")
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     copied = settle(first.filter("n > 1").drop("n"), "copied")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     fails = [
         F.col("n_words") < 50, 100 * F.col("n_distinct") < 65 * F.col("n_words"),
-        F.col("c"), F.col("d"), copy]
+        100 * F.col("capitals") > 5 * F.col("length").cast("long"), F.col("marked"), copy]
     mask = sum((f.cast("int") * (1 << i) for i, f in enumerate(fails)), F.lit(0))
     return rows.join(copied, "digest", "left").select("doc_id", "part", mask.alias("mask"))
 
