@@ -398,6 +398,47 @@ def test_links_of_many_documents_by_brute_force(docs, prose):
     assert linked > 50
 
 
+def test_links_whose_seeds_very_many_documents_hold(docs, prose, monkeypatch):
+    """All pieces of a fuzzy passage, and all two that follow each other, are in many documents."""
+    own = lambda i, n=70: prose(7000 + i, n, 10**6)
+    r = prose(814, 96, 10**6)
+    fuzzy = [f"x{i}" if i % 24 == 23 else x for i, x in enumerate(r)]
+    texts = {k: own(k) + r[24 * (k % 3): 24 * (k % 3) + 48] + own(100 + k) for k in range(60)}
+    texts |= {80: own(300) + r + own(301), 81: fuzzy + own(302), 82: own(303, 9) + fuzzy}
+    df = docs([(i, " ".join(w)) for i, w in texts.items()])
+    for block in (passages.BLOCK, 9):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        rows = passages.shared_passages(df).collect()
+        assert {(r.doc_a, r.doc_b) for r in rows} == {(80, 81), (80, 82), (81, 82)}
+        assert all(r.end_b - r.start_b >= 95 for r in rows) and len(rows) == 3
+
+
+@pytest.mark.parametrize("often", [1024, 30])
+def test_partners_looked_at_together_are_those_compared_one_by_one(prose, monkeypatch, often):
+    """Near copies, common lines of many lengths and repeats: no pair with a passage is set aside."""
+    monkeypatch.setattr(passages, "OFTEN", often)
+    rng, texts = random.Random(21), []
+    line = prose(815, 49, 10**6)
+    for k in range(120):
+        words = prose(8000 + k, rng.choice([0, 3, 60]), 10**6)
+        n = rng.choice([8, 20, 33, 38, 40, 42, 46, 49])
+        part = line[:n] if rng.random() < 0.7 else line[-n:]
+        words += part + prose(8500 + k % 9, rng.choice([0, 9, 70]), 10**6)
+        words += mutated(prose(8600 + k % 4, 60, 10**6), rng, 0.3 * rng.random())
+        texts.append(" ".join(words + part[:rng.choice([9, 49])] * (k % 5 == 0)).encode())
+    block = passages.Block(list(range(120)), [[(7, True)]] * 120, texts)
+    compared = set_aside = 0
+    for i, a in enumerate(block.texts):
+        met = block.partners(i, [(7, False)])
+        likely = set(block.likely(a, met).tolist())
+        assert met.sum() == 119 - i and len(likely) <= met.sum()
+        for j in np.flatnonzero(met).tolist():
+            found = passages._whole(a, block.texts[j], block.places[j])[1]
+            assert not found or j in likely, (i, j)
+            compared, set_aside = compared + bool(found), set_aside + (j not in likely)
+    assert compared > 500 and set_aside > 500
+
+
 def test_links_that_hubs_hide(docs, prose):
     """Fuzzy passages that no hub holds as a whole, and a hub with a passage's seeds before it."""
     own = lambda i, n=70: prose(950 + i, n, 10**6)
